@@ -1,0 +1,25 @@
+"""Join helpers with an explicit size check before broadcasting.
+
+A side is broadcast only when a bounded count proves it small; otherwise the
+join is left to the planner (shuffle join, which AQE may still turn into a
+broadcast join once the shuffle stage has measured the real size, or split when
+a key is skewed).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a side may hold to be broadcast by hint.  Dimension rows here are a few
+# dozen bytes, so this keeps a broadcast table well under 100 MB.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def has_at_most(df: DataFrame, n: int) -> bool:
+    """True when ``df`` has at most ``n`` rows; reads at most ``n + 1`` rows."""
+    return df.limit(n + 1).count() <= n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return F.broadcast(df) if has_at_most(df, max_rows) else df

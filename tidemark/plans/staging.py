@@ -1,0 +1,70 @@
+"""Stored inputs and materialised views under the shared checkpoint folder.
+
+The clinical inputs of the test setup are derived from the driver's tables
+(``sources.surrogate``).  ``stage_inputs`` writes them once as Parquet tables --
+the load step a warehouse would have done -- so queries scan stored inputs with
+their explicit schemas instead of re-deriving them in every plan.
+``materialise_views`` runs the refresh chain (P22) into stored views, which the
+read-side operators (clock, pages, timelines, census, browse) query, as the
+reference's endpoints query its materialised views.
+
+Everything lives under ``spark.checkpoint.dir`` (the cluster's shared folder),
+keyed by the source folder and its files' sizes and modification times, so a
+changed source is staged afresh.  A write is complete when Spark's
+``_SUCCESS`` marker exists; an interrupted write is simply redone.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..schemas import INPUTS
+from ..session import checkpoint_dir
+from ..sources.surrogate import ClinicalTables, surrogate_tables
+from ..sources.tables import read_inputs
+from .pipeline import ORDER, refresh
+
+
+def _source_key(sf_dir: str) -> str:
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    try:
+        for name in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, name))
+            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    except OSError:
+        pass  # not a local folder (object store): key on the path alone
+    return h.hexdigest()[:16]
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
+def stage_root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{_source_key(sf_dir)}"
+
+
+def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+    """The eleven clinical inputs, stored once, read back with explicit schemas."""
+    root = f"{stage_root(spark, sf_dir)}/inputs"
+    derived = None
+    for name in INPUTS:
+        path = f"{root}/{name}"
+        if not _complete(spark, path):
+            derived = derived or surrogate_tables(spark, sf_dir)
+            getattr(derived, name).write.mode("overwrite").parquet(path)
+    return read_inputs(spark, root)
+
+
+def materialise_views(spark: SparkSession, sf_dir: str, inputs: ClinicalTables) -> dict[str, DataFrame]:
+    """The nine stored tables of the chain, refreshed when missing."""
+    root = f"{stage_root(spark, sf_dir)}/views"
+    if not all(_complete(spark, f"{root}/{n}") for n in ORDER):
+        refresh(spark, inputs, root)
+    return {n: spark.read.parquet(f"{root}/{n}") for n in ORDER}

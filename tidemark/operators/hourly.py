@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import policy_agg
 from ..functions.time import round_to_hour
-from ..schemas import OUTPUTS, VITAL_MEANS
+from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
 from .joins import broadcast_if_small
 from .sessions import gap_sessions
 
@@ -64,14 +64,31 @@ def in_stay_window(events: DataFrame, window: DataFrame, time_col: str, on: list
 # --- P6 -----------------------------------------------------------------------
 
 def vital_clusters(vitals: DataFrame, cohort: DataFrame) -> DataFrame:
-    """One row per gap cluster: mean of every vital, first non-NULL site."""
-    cols = ["charttime"] + list(VITAL_POLICIES)
-    v = vitals.select(*KEYS, *cols).join(cohort.select(*KEYS), KEYS, "left_semi")
+    """One row per gap cluster: mean of every vital, first non-NULL site, and the
+    hour of the cluster's first reading (``charttime_hour``).
+
+    Two steps keep the shuffles small.  Pieces of a cluster are reduced inside
+    each (stay, chunk) partition of the sessionisation -- no exchange, sums and
+    counts instead of means.  The pieces (about one row per cluster) are then
+    shuffled once on (subject, stay, hour) and merged; that partitioning also
+    serves the hourly reduction that follows, so it needs no exchange either.
+    """
+    v = vitals.select(*KEYS, "charttime", *VITAL_POLICIES).join(cohort.select(*KEYS), KEYS, "left_semi")
     v = v.withColumn("temperature", F.col("temperature").cast("double"))
-    s = gap_sessions(v, KEYS, "charttime")
-    aggs = [policy_agg(c, p, order="charttime") for c, p in VITAL_POLICIES.items()]
-    return (s.groupBy(*KEYS, "cluster_id", "cluster_time").agg(*aggs)
-            .withColumn("charttime_hour", round_to_hour("cluster_time")))
+    s = gap_sessions(v, KEYS, "charttime", keep_chunk=True)
+    cluster_keys = ["cluster_id", "cluster_time"]
+    piece_aggs = []
+    for c in VITAL_MEANS:
+        piece_aggs += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
+    piece_aggs.append(policy_agg("temperature_site", "first", order="charttime").alias("_site"))
+    pieces = (s.groupBy(*KEYS, "_chunk", *cluster_keys).agg(*piece_aggs)
+              .withColumn("charttime_hour", round_to_hour("cluster_time"))
+              .repartition(*KEYS, "charttime_hour"))
+    merged = [(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in VITAL_MEANS]
+    # pieces of one cluster are in time order by chunk: the earliest piece's site wins
+    site = F.min(F.when(F.col("_site").isNotNull(), F.struct(F.col("_chunk"), F.col("_site"))))["_site"]
+    out = pieces.groupBy(*KEYS, "charttime_hour", *cluster_keys).agg(*merged, site.alias("temperature_site"))
+    return out.select(*KEYS, *cluster_keys, *VITAL_COLUMNS, "charttime_hour")
 
 
 def vitals_hourly(vitals: DataFrame, cohort: DataFrame, grid: DataFrame) -> DataFrame:

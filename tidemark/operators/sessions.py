@@ -40,10 +40,13 @@ def _chunk_of(time_col: str, chunk_hours: int):
 
 
 def gap_sessions(df: DataFrame, keys: list[str], time_col: str = "charttime",
-                 gap: str = CLUSTER_GAP, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+                 gap: str = CLUSTER_GAP, chunk_hours: int = CHUNK_HOURS,
+                 keep_chunk: bool = False) -> DataFrame:
     """Adds ``cluster_time`` (first time of the reading's cluster) and ``cluster_id``.
 
-    Rows with a NULL time belong to no cluster and are dropped.
+    Rows with a NULL time belong to no cluster and are dropped.  With
+    ``keep_chunk`` the ``_chunk`` column stays: the rows are partitioned by
+    (keys, _chunk), so an aggregation that includes those keys needs no shuffle.
     """
     t = F.col(time_col)
     gap_e = F.expr(gap)
@@ -78,7 +81,8 @@ def gap_sessions(df: DataFrame, keys: list[str], time_col: str = "charttime",
     out = rows.join(summary, part)
     return (out.withColumn("cluster_time", F.coalesce(F.col("_local_start"), F.col("_head_time")))
             .withColumn("cluster_id", (F.col("_head_n") + F.col("_local_n")).cast("long"))
-            .drop("_chunk", "_start", "_local_start", "_local_n", "_head_time", "_head_n"))
+            .drop(*([] if keep_chunk else ["_chunk"]), "_start", "_local_start", "_local_n",
+                  "_head_time", "_head_n"))
 
 
 def session_summary(sessionized: DataFrame, keys: list[str], time_col: str = "charttime") -> DataFrame:

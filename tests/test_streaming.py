@@ -1,0 +1,48 @@
+"""The streaming clock emits, per tick, what the batch delta operators return."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import selection as SEL
+from tidemark.operators import snapshot as P
+from tidemark.streaming.clock import run_clock
+from test_read_side import profile
+from conftest import ts
+
+
+def test_clock_ticks_match_batch_delta(spark):
+    people = profile(spark, [
+        (1, 60, "M", "W", 10, 100, "MICU", "2130-03-13 01:10:00", None),
+        (2, 61, "F", "B", 20, 200, "SICU", "2151-03-13 02:40:00", None),
+        (3, 62, "F", "A", 30, 300, "SICU", "2151-03-13 02:05:00", None)])
+    on_day = SEL.admitted_on(people, 3, 13)
+    rows = [(1, 100, ts(f"2130-03-13 {h:02d}:00:00")) for h in range(0, 5)] + \
+           [(2, 200, ts(f"2151-03-13 {h:02d}:00:00")) for h in range(1, 5)]
+    cols = ["heart_rate", "sbp", "dbp", "mbp", "sbp_ni", "dbp_ni", "mbp_ni", "resp_rate", "temperature",
+            "temperature_site", "spo2", "glucose"]
+    vitals = spark.createDataFrame(rows, "subject_id int, stay_id int, charttime_hour timestamp_ntz")
+    vitals = vitals.select("*", *[F.lit(None).cast("string" if c == "temperature_site" else "double").alias(c)
+                                  for c in cols])
+    procs = vitals.select("subject_id", "stay_id", "charttime_hour",
+                          *[F.lit(None).cast(t).alias(c) for c, t in [
+                              ("charttime", "timestamp_ntz"), ("itemid", "int"), ("item_label", "string"),
+                              ("item_unitname", "string"), ("value", "double"), ("valueuom", "string"),
+                              ("location", "string"), ("locationcategory", "string"),
+                              ("ordercategoryname", "string"), ("ordercategorydescription", "string"),
+                              ("statusdescription", "string"), ("originalamount", "double"),
+                              ("originalrate", "double")]])
+    out = tempfile.mkdtemp(prefix="tidemark-clock-")
+    n = run_clock(spark, on_day, vitals, procs, 3, 13, out, until_hour=4, name=f"t{uuid.uuid4().hex}",
+                  timeout_s=240)
+    assert n >= 5
+    got = spark.read.parquet(f"{out}/vitalsigns")
+    for h in range(5):
+        want = P.delta_vitals(vitals, on_day, 3, 13, h).count()
+        assert got.filter(F.col("tick") == h).count() == want, h
+    new = {r.tick: r.n for r in spark.read.parquet(f"{out}/new_patients").groupBy("tick")
+           .agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert new.get(1) == 1 and new.get(2) == 2

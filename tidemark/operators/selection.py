@@ -35,12 +35,12 @@ def cohort_relation(spark: SparkSession, triples: Sequence[tuple[int, int, int]]
 
 def select_cohort(profile: DataFrame, triples: DataFrame | None = None,
                   subject_ids: DataFrame | None = None) -> DataFrame:
-    """P10 cohort part: keep profiles matching the cohort (triples take precedence)."""
+    """P10 cohort part: keep profiles matching the cohort (triples take precedence).
+    A semi join ignores duplicate cohort rows, so the lists are not de-duplicated."""
     if triples is not None:
-        return profile.join(broadcast_if_small(triples.select(*TRIPLE).distinct()), TRIPLE, "left_semi")
+        return profile.join(broadcast_if_small(triples.select(*TRIPLE)), TRIPLE, "left_semi")
     if subject_ids is not None:
-        return profile.join(broadcast_if_small(subject_ids.select("subject_id").distinct()),
-                            "subject_id", "left_semi")
+        return profile.join(broadcast_if_small(subject_ids.select("subject_id")), "subject_id", "left_semi")
     return profile
 
 

@@ -88,6 +88,9 @@ def lookup_one(profile: DataFrame, subject_id: int, stay_id: int, hadm_id: int)
 def _clock_rows(df: DataFrame, month: int, day: int, hour: int, upto: bool) -> DataFrame:
     if hour < 0:
         return df.filter(F.lit(False))
+    if "chart_month" in df.columns and "chart_day" in df.columns:
+        # stored calendar partitions: the same test, pruned at directory level
+        df = df.filter((F.col("chart_month") == month) & (F.col("chart_day") == day))
     h = F.hour("charttime_hour")
     return df.filter(on_month_day("charttime_hour", month, day) & ((h <= hour) if upto else (h == hour)))
 
@@ -97,7 +100,7 @@ def vitals_timeline(vitals_hourly: DataFrame, stays: DataFrame, month: int, day:
     """Hourly vitals of the selected stays up to the clock hour, with the
     ``HH:00`` label (grid rows without readings included, as in the table)."""
     v = _clock_rows(vitals_hourly, month, day, hour, upto=True)
-    v = v.join(stays.select("subject_id", "stay_id").distinct(), ["subject_id", "stay_id"], "left_semi")
+    v = v.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
     return v.select("subject_id", "stay_id", *TIMELINE_COLUMNS,
                     hour_label("charttime_hour").alias("hour_label"))
 
@@ -115,7 +118,7 @@ def procedure_log(procedures_hourly: DataFrame, stays: DataFrame, month: int, da
     """Procedure rows of the selected stays up to the clock hour and the
     stay's row count (empty grid hours count, as in the table)."""
     p = _clock_rows(procedures_hourly, month, day, hour, upto=True)
-    p = p.join(stays.select("subject_id", "stay_id").distinct(), ["subject_id", "stay_id"], "left_semi")
+    p = p.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
     p = p.select("subject_id", "stay_id", *PROCEDURE_LOG_COLUMNS)
     counts = p.groupBy("subject_id", "stay_id").agg(F.count(F.lit(1)).alias("procedures_count"))
     return p.join(counts, ["subject_id", "stay_id"])
@@ -151,8 +154,11 @@ def delta_procedures(procedures_hourly: DataFrame, on_day: DataFrame, month: int
 def _admitted_rows_by_hour(table: DataFrame, on_day: DataFrame, month: int, day: int) -> DataFrame:
     """Rows of an hourly table on the clock day whose stay was admitted by the
     row's hour, counted per hour (equi join on stay + residual hour test)."""
-    rows = table.filter(on_month_day("charttime_hour", month, day)) \
-                .select("stay_id", F.hour("charttime_hour").alias("hour"))
+    on_day_rows = table
+    if "chart_month" in table.columns and "chart_day" in table.columns:
+        on_day_rows = table.filter((F.col("chart_month") == month) & (F.col("chart_day") == day))
+    rows = on_day_rows.filter(on_month_day("charttime_hour", month, day)) \
+                      .select("stay_id", F.hour("charttime_hour").alias("hour"))
     adm = on_day.select("stay_id", F.hour("intime").alias("admit_hour"))
     return (rows.join(adm, "stay_id").filter(F.col("admit_hour") <= F.col("hour"))
             .groupBy("hour").agg(F.count(F.lit(1)).alias("n")))

@@ -46,8 +46,12 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+# Bumped whenever the stored layout changes, so old stored tables are not reused.
+LAYOUT_VERSION = 2
+
+
 def stage_root(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{_source_key(sf_dir)}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/v{LAYOUT_VERSION}-{_source_key(sf_dir)}"
 
 
 def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:

@@ -63,3 +63,15 @@ def test_refresh_writes_chain_in_order(spark):
     assert "PartitionFilters: [isnotnull(chart_month" in plan_text(vit)
     # asking for a downstream table rebuilds only it and what follows
     assert list(refresh(spark, t, out, ["fisi9t_chemistry_hourly"])) == ORDER[7:]
+
+
+def test_json_sink_keeps_nulls(spark):
+    import json
+    import os
+
+    from tidemark.plans.sinks import write_json
+    out = tempfile.mkdtemp(prefix="tidemark-json-") + "/rows"
+    df = spark.createDataFrame([(1, None)], "a int, b double")
+    write_json(df, out)
+    lines = [ln for f in os.listdir(out) if f.endswith(".json") for ln in open(os.path.join(out, f))]
+    assert [json.loads(ln) for ln in lines] == [{"a": 1, "b": None}]

@@ -99,3 +99,20 @@ def test_census_matches_ticks(spark, people):
         want = vitals.filter(F.hour("charttime_hour") == h).join(
             SEL.admitted_as_of(on_day, h).select("stay_id"), "stay_id", "left_semi").count()
         assert census[h].vitalsigns_count == want, h
+
+
+def test_row_labels_and_key(spark, people):
+    r = people.select(D.row_label().alias("l"), D.composite_key().alias("k")).orderBy("k").first()
+    assert r.l == "Patient 1 - Stay 100" and tuple(r.k) == (1, 100, 10)
+    v = spark.createDataFrame([(7, ts("2130-03-13 10:00:00"), None)],
+                              "subject_id int, charttime_hour timestamp_ntz, item_label string")
+    got = v.select(D.row_label("vitals"), D.row_label("procedure")).first()
+    assert tuple(got) == ("Vitals for 7 at 2130-03-13 10:00:00", "Procedure for 7 - None")
+
+
+def test_readiness_report(spark, people):
+    from tidemark.operators.quality import readiness
+    people.createOrReplaceTempView("fisi9t_unique_patient_profile")
+    rep = readiness(spark, "fisi9t_unique_patient_profile", ["subject_id", "stay_id", "anchor_age", "gender"])
+    assert rep["ok"] and rep["count"] == 4 and len(rep["sample"]) == 4 and rep["database"]
+    assert readiness(spark, "no_such_table")["ok"] is False

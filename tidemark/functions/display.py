@@ -53,10 +53,34 @@ def datetime_text(c, fmt: str = DATETIME_FORMAT) -> Column:
     return F.coalesce(F.date_format(_c(c), fmt), F.lit(MISSING))
 
 
+def composite_key() -> Column:
+    """The true key of a profile row, (subject_id, stay_id, hadm_id), as one value."""
+    return F.struct("subject_id", "stay_id", "hadm_id")
+
+
+# Row label formats of the three read models.
+PATIENT_LABEL = "Patient %d - Stay %d"
+VITALS_LABEL = "Vitals for %d at %s"
+PROCEDURE_LABEL = "Procedure for %d - %s"
+
+
+def row_label(kind: str = "patient") -> Column:
+    """Row label text of a profile, vitals-hour or procedure row (X11)."""
+    if kind == "patient":
+        return F.format_string(PATIENT_LABEL, F.col("subject_id"), F.col("stay_id"))
+    if kind == "vitals":
+        return F.format_string(VITALS_LABEL, F.col("subject_id"),
+                               F.date_format("charttime_hour", "yyyy-MM-dd HH:mm:ss"))
+    if kind == "procedure":
+        return F.format_string(PROCEDURE_LABEL, F.col("subject_id"),
+                               F.coalesce(F.col("item_label"), F.lit("None")))
+    raise ValueError(kind)
+
+
 def patient_rows(patients: DataFrame) -> DataFrame:
     """Rows as the patient list shows them."""
     return patients.select(
-        "subject_id", "stay_id", "hadm_id",
+        "subject_id", "stay_id", "hadm_id", row_label().alias("label"),
         or_missing("anchor_age", numeric=True).alias("age_text"),
         gender_label("gender").alias("gender_text"),
         truncate_chars(or_missing("race")).alias("race_text"),

@@ -20,8 +20,10 @@ default -- and a small per-chunk summary carries across chunk borders:
    start and the number of starts before the chunk;
 4. join the summary back on (stay, chunk).
 
-The big input is shuffled once, on (stay keys, chunk).  Chunk size is a
-parameter; a reading a second for a full day is still only 86,400 rows a task.
+The wide input is shuffled once, on (stay keys, chunk).  The summary pass
+re-reads only (keys, time) -- a narrow second shuffle, cheaper than persisting
+the wide rows for two consumers.  Chunk size is a parameter; a reading a second
+for a full day is still only 86,400 rows a task.
 """
 
 from __future__ import annotations

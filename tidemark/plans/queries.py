@@ -13,6 +13,7 @@ summation order).
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import cached_property
 
@@ -59,12 +60,15 @@ class Ctx:
 
     _cache: dict[tuple[str, str], "Ctx"] = {}
 
+    _lock = threading.Lock()
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Ctx":
         key = (str(spark.sparkContext.applicationId) + str(id(spark)), sf_dir)
-        if key not in cls._cache:
-            cls._cache[key] = cls(spark, sf_dir)
-        return cls._cache[key]
+        with cls._lock:
+            if key not in cls._cache:
+                cls._cache[key] = cls(spark, sf_dir)
+            return cls._cache[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,21 +55,27 @@ def stage_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/v{LAYOUT_VERSION}-{_source_key(sf_dir)}"
 
 
+# One writer at a time per process (queries may be called from several threads).
+_LOCK = threading.RLock()
+
+
 def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     """The eleven clinical inputs, stored once, read back with explicit schemas."""
     root = f"{stage_root(spark, sf_dir)}/inputs"
-    derived = None
-    for name in INPUTS:
-        path = f"{root}/{name}"
-        if not _complete(spark, path):
-            derived = derived or surrogate_tables(spark, sf_dir)
-            getattr(derived, name).write.mode("overwrite").parquet(path)
+    with _LOCK:
+        derived = None
+        for name in INPUTS:
+            path = f"{root}/{name}"
+            if not _complete(spark, path):
+                derived = derived or surrogate_tables(spark, sf_dir)
+                getattr(derived, name).write.mode("overwrite").parquet(path)
     return read_inputs(spark, root)
 
 
 def materialise_views(spark: SparkSession, sf_dir: str, inputs: ClinicalTables) -> dict[str, DataFrame]:
     """The nine stored tables of the chain, refreshed when missing."""
     root = f"{stage_root(spark, sf_dir)}/views"
-    if not all(_complete(spark, f"{root}/{n}") for n in ORDER):
-        refresh(spark, inputs, root)
+    with _LOCK:
+        if not all(_complete(spark, f"{root}/{n}") for n in ORDER):
+            refresh(spark, inputs, root)
     return {n: spark.read.parquet(f"{root}/{n}") for n in ORDER}

@@ -40,6 +40,7 @@ CLOCK_DAY = 1
 CLOCK_HOUR = 16
 PAGE = 2
 SEARCH = "14 2"
+BROWSE_GENDER = "F"
 TRIPLE_SEGMENTS = ("BUILDING", "MACHINERY")
 SUBJECT_SEGMENTS = ("AUTOMOBILE",)
 DIGITS = 6
@@ -184,6 +185,8 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
     "hourly_census": lambda c: P.hourly_census(c.spark, c.on_day(), c.vitals_hourly(),
                                                c.procedures_hourly(), CLOCK_MONTH, CLOCK_DAY),
     "facet_counts": lambda c: B.facet_counts(c.profile),
+    "browse_rows": lambda c: B.browse_rows(c.profile, {"gender": BROWSE_GENDER}),
+    "session_window_clusters": lambda c: SS.gap_sessions_window(_all_vitals(c), KEYS),
     "id_search": lambda c: B.id_search(c.profile, SEARCH),
     "display_rows": lambda c: D.patient_rows(c.profile),
     "procedure_display": lambda c: D.procedure_rows(P.procedure_log(

@@ -75,3 +75,20 @@ def test_json_sink_keeps_nulls(spark):
     write_json(df, out)
     lines = [ln for f in os.listdir(out) if f.endswith(".json") for ln in open(os.path.join(out, f))]
     assert [json.loads(ln) for ln in lines] == [{"a": 1, "b": None}]
+
+
+def test_broadcast_check_bounds_bytes(spark):
+    from tidemark.operators.joins import broadcast_if_small, row_width
+    df = spark.range(100).selectExpr("cast(id as int) a", "cast(id as string) b")
+    assert row_width(df.schema) == 8 + 4 + 20
+    big = broadcast_if_small(df, max_bytes=32 * 10)      # room for 10 rows: not broadcast
+    small = broadcast_if_small(df, max_bytes=32 * 1000)  # room for 1000 rows: broadcast
+    assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_scale_conf_sizes_partitions():
+    from tidemark.session import scale_conf
+    conf = scale_conf(100 * 1024 ** 4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1)["spark.sql.shuffle.partitions"]) == 200

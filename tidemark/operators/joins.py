@@ -1,19 +1,38 @@
 """Join helpers with an explicit size check before broadcasting.
 
-A side is broadcast only when a bounded count proves it small; otherwise the
-join is left to the planner (shuffle join, which AQE may still turn into a
-broadcast join once the shuffle stage has measured the real size, or split when
-a key is skewed).
+A side is broadcast only when a bounded count proves it small: at most
+``max_bytes / row_width`` rows, where the row width is estimated from the schema
+(Spark's default sizes: 20 bytes per string, the fixed width otherwise).  The
+count reads at most that many rows plus one.  Otherwise the join is left to the
+planner: a shuffle join, which AQE may still turn into a broadcast join once the
+shuffle stage has measured the real size, or split when a key is skewed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a side may hold to be broadcast by hint.  Dimension rows here are a few
-# dozen bytes, so this keeps a broadcast table well under 100 MB.
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+_WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
+          T.DoubleType: 8, T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8,
+          T.TimestampNTZType: 8, T.StringType: 20, T.BinaryType: 100}
+
+
+def row_width(schema: T.StructType) -> int:
+    """Estimated bytes per row (plus 8 bytes of row overhead)."""
+    total = 8
+    for f in schema.fields:
+        dt = f.dataType
+        if isinstance(dt, T.DecimalType):
+            total += 8 if dt.precision <= 18 else 16
+        elif isinstance(dt, T.StructType):
+            total += row_width(dt)
+        else:
+            total += _WIDTH.get(type(dt), 100)
+    return total
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
@@ -21,5 +40,6 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    max_rows = max(1, max_bytes // row_width(df.schema))
     return F.broadcast(df) if has_at_most(df, max_rows) else df

@@ -49,6 +49,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle and scan sizing for a given input volume (e.g. 100 TB).
+
+    The initial shuffle partition count is sized so one partition holds about
+    ``target_partition_bytes`` of input; AQE then coalesces small partitions
+    toward the advisory size and splits skewed ones, so memory per task stays
+    bounded whatever the key distribution.
+    """
+    partitions = max(200, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
+def apply_scale(spark: SparkSession, input_bytes: int) -> None:
+    for k, v in scale_conf(input_bytes).items():
+        spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 

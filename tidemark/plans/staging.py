@@ -48,7 +48,7 @@ def _complete(spark: SparkSession, path: str) -> bool:
 
 
 # Bumped whenever the stored layout changes, so old stored tables are not reused.
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 
 
 def stage_root(spark: SparkSession, sf_dir: str) -> str:
@@ -68,7 +68,10 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
             path = f"{root}/{name}"
             if not _complete(spark, path):
                 derived = derived or surrogate_tables(spark, sf_dir)
-                getattr(derived, name).write.mode("overwrite").parquet(path)
+                # round-robin into one file per core: scans get parallel splits and
+                # no key (however hot) decides a file's size
+                files = max(1, spark.sparkContext.defaultParallelism)
+                getattr(derived, name).repartition(files).write.mode("overwrite").parquet(path)
     return read_inputs(spark, root)
 
 

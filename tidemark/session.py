@@ -42,6 +42,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
+        # small local inputs: let AQE keep a few partitions per shuffle instead of one
+        b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     spark = b.getOrCreate()
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)

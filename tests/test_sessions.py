@@ -1,4 +1,4 @@
-"""Gap sessions: the cluster rule, chunk borders, and a brute-force property."""
+"""Gap sessions: the cluster rule, bucket edges, and a brute-force property."""
 
 from __future__ import annotations
 
@@ -34,9 +34,9 @@ def brute_force(rows):
     return out
 
 
-def run(spark, rows, chunk_hours=24):
+def run(spark, rows, gap_minutes=15):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = gap_sessions(df, ["stay_id"], chunk_hours=chunk_hours).collect()
+    got = gap_sessions(df, ["stay_id"], gap_minutes=gap_minutes).collect()
     return {(r.stay_id, r.charttime): (r.cluster_id, r.cluster_time) for r in got}, len(got)
 
 
@@ -47,13 +47,12 @@ def test_gap_of_exactly_15_minutes_stays_in_cluster(spark):  # M2
     assert got[(1, ts("2130-03-13 10:30:01"))] == (2, ts("2130-03-13 10:30:01"))
 
 
-def test_chained_cluster_crossing_chunks_keeps_first_time(spark):  # M3, across chunk borders
-    start = ts("2130-03-13 20:00:00")
-    rows = [(1, start + timedelta(minutes=10 * i)) for i in range(60)]  # 10 hours, over midnight
-    for chunk_hours in (1, 24):
-        got, n = run(spark, rows, chunk_hours)
-        assert n == 60
-        assert set(got.values()) == {(1, start)}
+def test_chained_cluster_keeps_first_time(spark):  # M3, over many buckets and midnight
+    start = ts("2130-03-13 20:07:00")
+    rows = [(1, start + timedelta(minutes=10 * i)) for i in range(60)]  # 10 hours
+    got, n = run(spark, rows)
+    assert n == 60
+    assert set(got.values()) == {(1, start)}
 
 
 def test_peers_share_a_cluster(spark):  # rule 5
@@ -62,6 +61,16 @@ def test_peers_share_a_cluster(spark):  # rule 5
     assert n == 3 and got[(1, ts("2130-03-13 11:00:00"))] == (2, ts("2130-03-13 11:00:00"))
 
 
+def test_gap_exactly_at_bucket_edges(spark):
+    # readings exactly 15 minutes apart on bucket boundaries, and 15 min 1 us apart
+    base = ts("2130-03-13 10:00:00")
+    rows = [(1, base), (1, base + timedelta(minutes=15)), (1, base + timedelta(minutes=30, microseconds=1)),
+            (1, base + timedelta(minutes=44, seconds=59)), (1, base + timedelta(minutes=60))]
+    got, _ = run(spark, rows)
+    assert [got[(1, t)][0] for _, t in rows] == [1, 1, 2, 2, 3]
+    assert got == brute_force(rows)
+
+
 def test_null_times_are_dropped(spark):
     rows = [(1, None), (1, ts("2130-03-13 10:00:00"))]
     _, n = run(spark, rows)
@@ -78,10 +87,9 @@ def test_matches_brute_force_on_random_data(spark):
             t += timedelta(minutes=rnd.choice([0, 1, 5, 14, 15, 16, 40, 300]), seconds=rnd.choice([0, 0, 1]))
             rows.append((stay, t))
     want = brute_force(rows)
-    for chunk_hours in (1, 3, 24):
-        got, n = run(spark, rows, chunk_hours)
-        assert n == len(rows)
-        assert got == want, f"chunk_hours={chunk_hours}"
+    got, n = run(spark, rows)
+    assert n == len(rows)
+    assert got == want
 
 
 def test_summary_and_session_window_agree(spark):
@@ -90,7 +98,23 @@ def test_summary_and_session_window_agree(spark):
     rows = [(s, base + timedelta(minutes=rnd.randint(0, 3000))) for s in range(4) for _ in range(80)]
     df = spark.createDataFrame(rows, SCHEMA)
     a = {(r.stay_id, r.cluster_time, r.cluster_end, r.n_readings)
-         for r in session_summary(gap_sessions(df, ["stay_id"], chunk_hours=2), ["stay_id"]).collect()}
+         for r in session_summary(df, ["stay_id"]).collect()}
     b = {(r.stay_id, r.cluster_time, r.cluster_end, r.n_readings)
          for r in gap_sessions_window(df, ["stay_id"]).collect()}
     assert a == b
+
+
+def test_matches_brute_force_many_seeds(spark):
+    steps = [timedelta(0), timedelta(minutes=15), timedelta(minutes=15, microseconds=1),
+             timedelta(minutes=14, seconds=59, microseconds=999999), timedelta(minutes=30),
+             timedelta(minutes=7, seconds=30), timedelta(hours=2), timedelta(microseconds=1)]
+    rows = []
+    for seed in range(8):
+        rnd = random.Random(100 + seed)
+        t = datetime(2130, 1, 1) + timedelta(minutes=15 * rnd.randint(0, 8))  # aligned starts too
+        for _ in range(rnd.randint(20, 120)):
+            t += rnd.choice(steps)
+            rows.append((seed, t))
+    got, n = run(spark, rows)
+    assert n == len(rows)
+    assert got == brute_force(rows)

@@ -24,7 +24,7 @@ from ..functions.aggregates import policy_agg
 from ..functions.time import round_to_hour
 from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
 from .joins import broadcast_if_small
-from .sessions import gap_sessions
+from .sessions import bucket_sessions, gap_buckets
 
 KEYS = ["subject_id", "stay_id"]
 
@@ -67,28 +67,26 @@ def vital_clusters(vitals: DataFrame, cohort: DataFrame) -> DataFrame:
     """One row per gap cluster: mean of every vital, first non-NULL site, and the
     hour of the cluster's first reading (``charttime_hour``).
 
-    Two steps keep the shuffles small.  Pieces of a cluster are reduced inside
-    each (stay, chunk) partition of the sessionisation -- no exchange, sums and
-    counts instead of means.  The pieces (about one row per cluster) are then
-    shuffled once on (subject, stay, hour) and merged; that partitioning also
-    serves the hourly reduction that follows, so it needs no exchange either.
+    The readings are reduced once, to 15-minute bucket rows (sums, counts, first
+    site) with partial aggregation before the only shuffle of the big table.
+    Clusters are runs of buckets: their means are sums over the run divided by
+    counts, and both the cluster and the hour reduction run on the stay
+    partitioning of the bucket window, without another exchange.
     """
     v = vitals.select(*KEYS, "charttime", *VITAL_POLICIES).join(cohort.select(*KEYS), KEYS, "left_semi")
     v = v.withColumn("temperature", F.col("temperature").cast("double"))
-    s = gap_sessions(v, KEYS, "charttime", keep_chunk=True)
-    cluster_keys = ["cluster_id", "cluster_time"]
-    piece_aggs = []
+    site = F.col("temperature_site")
+    bucket_aggs = []
     for c in VITAL_MEANS:
-        piece_aggs += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
-    piece_aggs.append(policy_agg("temperature_site", "first", order="charttime").alias("_site"))
-    pieces = (s.groupBy(*KEYS, "_chunk", *cluster_keys).agg(*piece_aggs)
-              .withColumn("charttime_hour", round_to_hour("cluster_time"))
-              .repartition(*KEYS, "charttime_hour"))
+        bucket_aggs += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
+    bucket_aggs.append(F.min(F.when(site.isNotNull(), F.struct(F.col("charttime").alias("t"), site.alias("v"))))
+                       .alias("_site"))
+    b = bucket_sessions(gap_buckets(v, KEYS, "charttime", aggs=bucket_aggs), KEYS)
+    cluster_keys = ["cluster_id", "cluster_time"]
     merged = [(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in VITAL_MEANS]
-    # pieces of one cluster are in time order by chunk: the earliest piece's site wins
-    site = F.min(F.when(F.col("_site").isNotNull(), F.struct(F.col("_chunk"), F.col("_site"))))["_site"]
-    out = pieces.groupBy(*KEYS, "charttime_hour", *cluster_keys).agg(*merged, site.alias("temperature_site"))
-    return out.select(*KEYS, *cluster_keys, *VITAL_COLUMNS, "charttime_hour")
+    out = b.groupBy(*KEYS, *cluster_keys).agg(*merged, F.min("_site")["v"].alias("temperature_site"))
+    return out.select(*KEYS, *cluster_keys, *VITAL_COLUMNS,
+                      round_to_hour("cluster_time").alias("charttime_hour"))
 
 
 def vitals_hourly(vitals: DataFrame, cohort: DataFrame, grid: DataFrame) -> DataFrame:

@@ -6,101 +6,85 @@ earlier reading or the previous distinct time is strictly more than ``gap``
 before it; readings at equal times share a cluster.  A cluster is named by its
 first time (``cluster_time``) and numbered ``cluster_id`` = 1, 2, ... per stay.
 
-Skew.  A plain window over the stay would put all readings of a stay into one
-task.  Here the window runs per (stay, time chunk) -- one chunk is a day by
-default -- and a small per-chunk summary carries across chunk borders:
-
-1. per (stay, chunk): ``lag`` gives the gap to the previous reading inside the
-   chunk; rows after a gap are *internal* starts; a running max/count over the
-   chunk gives the latest internal start and the number of internal starts;
-2. per (stay, chunk) summary (no extra shuffle -- the rows are already
-   partitioned by those keys): first/last time, latest internal start, count;
-3. per stay over its chunk summaries (one row per chunk): whether the chunk's
-   first row opens a cluster (gap to the previous chunk's last time), the latest
-   start and the number of starts before the chunk;
-4. join the summary back on (stay, chunk).
-
-The wide input is shuffled once, on (stay keys, chunk).  The summary pass
-re-reads only (keys, time) -- a narrow second shuffle, cheaper than persisting
-the wide rows for two consumers.  Chunk size is a parameter; a reading a second
-for a full day is still only 86,400 rows a task.
+Buckets.  Cut time into buckets exactly ``gap`` wide.  Two readings of one bucket
+are less than ``gap`` apart, so only the first reading of a bucket can open a
+cluster, and it does exactly when the previous non-empty bucket's last reading
+is more than ``gap`` before it (an empty bucket in between always means a
+larger gap).  So the whole rule runs on per-bucket summaries -- first time, last
+time, and whatever sums the caller needs -- which partial aggregation builds
+before the shuffle.  A stay with any number of readings becomes at most one row
+per ``gap`` of its duration (96 rows a day for 15 minutes); the window that
+numbers the clusters runs over those rows only, so no stay, however hot, puts
+its readings into one task.  Clusters are runs of consecutive buckets, so
+per-cluster results come from the bucket rows, on the stay partitioning the
+window already made (no further exchange).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import CLUSTER_GAP
+GAP_MINUTES = 15
 
-CHUNK_HOURS = 24
 
-
-def _chunk_of(time_col: str, chunk_hours: int):
+def _bucket_of(time_col: str, gap_minutes: int) -> Column:
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    return F.floor(micros / F.lit(chunk_hours * 3_600_000_000)).cast("long")
+    return F.floor(micros / F.lit(gap_minutes * 60_000_000)).cast("long")
+
+
+def gap_buckets(df: DataFrame, keys: list[str], time_col: str = "charttime",
+                gap_minutes: int = GAP_MINUTES, aggs: list[Column] | None = None) -> DataFrame:
+    """One row per (keys, bucket): ``_t_first``, ``_t_last``, ``_n`` and ``aggs``.
+    Rows with a NULL time belong to no cluster and are dropped."""
+    t = F.col(time_col)
+    return (df.filter(t.isNotNull()).withColumn("_bucket", _bucket_of(time_col, gap_minutes))
+            .groupBy(*keys, "_bucket")
+            .agg(F.min(time_col).alias("_t_first"), F.max(time_col).alias("_t_last"),
+                 F.count(F.lit(1)).alias("_n"), *(aggs or [])))
+
+
+def bucket_sessions(buckets: DataFrame, keys: list[str], gap_minutes: int = GAP_MINUTES) -> DataFrame:
+    """Adds ``cluster_id`` and ``cluster_time`` to each bucket row."""
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev_last = F.lag("_t_last").over(w)
+    opens = prev_last.isNull() | (F.col("_t_first") > prev_last + F.make_dt_interval(mins=F.lit(gap_minutes)))
+    b = buckets.withColumn("_opens", opens)
+    return (b.withColumn("cluster_id", F.count(F.when(F.col("_opens"), 1)).over(upto))
+            .withColumn("cluster_time", F.max(F.when(F.col("_opens"), F.col("_t_first"))).over(upto))
+            .drop("_opens"))
 
 
 def gap_sessions(df: DataFrame, keys: list[str], time_col: str = "charttime",
-                 gap: str = CLUSTER_GAP, chunk_hours: int = CHUNK_HOURS,
-                 keep_chunk: bool = False) -> DataFrame:
-    """Adds ``cluster_time`` (first time of the reading's cluster) and ``cluster_id``.
+                 gap_minutes: int = GAP_MINUTES) -> DataFrame:
+    """Every reading with its ``cluster_id`` and ``cluster_time`` (NULL times dropped).
 
-    Rows with a NULL time belong to no cluster and are dropped.  With
-    ``keep_chunk`` the ``_chunk`` column stays: the rows are partitioned by
-    (keys, _chunk), so an aggregation that includes those keys needs no shuffle.
-    """
-    t = F.col(time_col)
-    gap_e = F.expr(gap)
-    part = keys + ["_chunk"]
-    rows = df.filter(t.isNotNull()).withColumn("_chunk", _chunk_of(time_col, chunk_hours))
-
-    w_row = Window.partitionBy(*part).orderBy(time_col)
-    prev = F.lag(t).over(w_row)
-    rows = rows.withColumn("_start", F.when(prev.isNotNull() & (t > prev + gap_e), t))
-    # default frame with ORDER BY is RANGE ... CURRENT ROW: peers share the values
-    rows = (rows.withColumn("_local_start", F.max("_start").over(w_row))
-            .withColumn("_local_n", F.count("_start").over(w_row)))
-
-    summary = rows.groupBy(*part).agg(F.min(time_col).alias("_t_first"), F.max(time_col).alias("_t_last"),
-                                      F.max("_start").alias("_s_last"), F.count("_start").alias("_s_n"))
-    w_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    before = w_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    prev_last = F.lag("_t_last").over(w_chunk)
-    summary = summary.withColumn(
-        "_head_start", (prev_last.isNull() | (F.col("_t_first") > prev_last + gap_e)).cast("int"))
-    chunk_last_start = F.coalesce(F.col("_s_last"),
-                                  F.when(F.col("_head_start") == 1, F.col("_t_first")))
-    chunk_starts = F.col("_s_n") + F.col("_head_start")
-    summary = (summary
-               .withColumn("_carried_start", F.max(chunk_last_start).over(before))
-               .withColumn("_carried_n", F.coalesce(F.sum(chunk_starts).over(before), F.lit(0)))
-               .select(*part,
-                       F.when(F.col("_head_start") == 1, F.col("_t_first"))
-                       .otherwise(F.col("_carried_start")).alias("_head_time"),
-                       (F.col("_carried_n") + F.col("_head_start")).alias("_head_n")))
-
-    out = rows.join(summary, part)
-    return (out.withColumn("cluster_time", F.coalesce(F.col("_local_start"), F.col("_head_time")))
-            .withColumn("cluster_id", (F.col("_head_n") + F.col("_local_n")).cast("long"))
-            .drop(*([] if keep_chunk else ["_chunk"]), "_start", "_local_start", "_local_n",
-                  "_head_time", "_head_n"))
-
-
-def session_summary(sessionized: DataFrame, keys: list[str], time_col: str = "charttime") -> DataFrame:
-    """One row per cluster: first and last time and the number of readings."""
-    return (sessionized.groupBy(*keys, "cluster_id", "cluster_time")
-            .agg(F.max(time_col).alias("cluster_end"), F.count(F.lit(1)).alias("n_readings")))
+    The bucket table is joined back on (keys, bucket); it is unique on that key,
+    so the join is a lookup (AQE splits a hot bucket of the reading side)."""
+    rows = df.filter(F.col(time_col).isNotNull()).withColumn("_bucket", _bucket_of(time_col, gap_minutes))
+    clusters = bucket_sessions(gap_buckets(df, keys, time_col, gap_minutes), keys, gap_minutes)
+    return (rows.join(clusters.select(*keys, "_bucket", "cluster_id", "cluster_time"), keys + ["_bucket"])
+            .drop("_bucket"))
+
+
+def session_summary(df: DataFrame, keys: list[str], time_col: str = "charttime",
+                    gap_minutes: int = GAP_MINUTES) -> DataFrame:
+    """One row per cluster: first and last time and the number of readings,
+    computed from the bucket rows alone."""
+    b = bucket_sessions(gap_buckets(df, keys, time_col, gap_minutes), keys, gap_minutes)
+    return (b.groupBy(*keys, "cluster_id", "cluster_time")
+            .agg(F.max("_t_last").alias("cluster_end"), F.sum("_n").alias("n_readings")))
 
 
 def gap_sessions_window(df: DataFrame, keys: list[str], time_col: str = "charttime",
-                        gap_minutes: int = 15) -> DataFrame:
+                        gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """The same clusters with Spark's ``session_window`` (one group per cluster).
 
     ``session_window`` merges a reading into the open session when it falls
     within ``gap`` of the previous one, inclusive, which is the cluster rule.
-    It partitions by the stay keys alone, so it is the form for streams (with a
-    watermark) and for stays of bounded size.
+    It groups by the stay keys alone, so it suits streams (with a watermark) and
+    stays of bounded size; the bucket form above is the batch operator.
     """
     sw = F.session_window(F.col(time_col), f"{gap_minutes} minutes")
     return (df.groupBy(*keys, sw.alias("_sw"))

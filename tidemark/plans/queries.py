@@ -148,7 +148,7 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
     "hour_grid": lambda c: c.grid,
     "round_to_hour": lambda c: c.t.vitalsign.select(*KEYS, "charttime",
                                                     round_to_hour("charttime").alias("charttime_hour")),
-    "gap_sessions": lambda c: SS.session_summary(SS.gap_sessions(_all_vitals(c), KEYS), KEYS),
+    "gap_sessions": lambda c: SS.session_summary(_all_vitals(c), KEYS),
     "gap_sessions_lag": lambda c: SS.gap_sessions(_all_vitals(c), KEYS)
     .select(*KEYS, "charttime", "cluster_id", "cluster_time"),
     "session_means": lambda c: _round(H.vital_clusters(c.t.vitalsign, c.cohort), VITAL_MEANS),

@@ -9,8 +9,9 @@ read-side operators (clock, pages, timelines, census, browse) query, as the
 reference's endpoints query its materialised views.
 
 Everything lives under ``spark.checkpoint.dir`` (the cluster's shared folder),
-keyed by the source folder and its files' sizes and modification times, so a
-changed source is staged afresh.  A write is complete when Spark's
+keyed by a fingerprint of the library code and by the source folder and its
+files' sizes and modification times, so changed code or a changed source is
+staged afresh.  A write is complete when Spark's
 ``_SUCCESS`` marker exists; an interrupted write is simply redone.
 """
 
@@ -47,12 +48,22 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-# Bumped whenever the stored layout changes, so old stored tables are not reused.
-LAYOUT_VERSION = 3
+def _code_key() -> str:
+    """Fingerprint of the library source: stored tables of other code are not reused."""
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for root, _, files in sorted(os.walk(pkg)):
+        for name in sorted(f for f in files if f.endswith(".py")):
+            with open(os.path.join(root, name), "rb") as fh:
+                h.update(name.encode() + fh.read())
+    return h.hexdigest()[:12]
+
+
+_CODE_KEY = _code_key()
 
 
 def stage_root(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/v{LAYOUT_VERSION}-{_source_key(sf_dir)}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{_CODE_KEY}-{_source_key(sf_dir)}"
 
 
 # One writer at a time per process (queries may be called from several threads).

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 
 import __spark_entry__ as E
-from tidemark.plans.pipeline import ORDER, refresh
+from tidemark.plans.chain import ORDER, refresh
 from tidemark.schemas import OUTPUTS
 from tidemark.sources.surrogate import surrogate_tables
 

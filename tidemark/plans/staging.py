@@ -27,7 +27,7 @@ from ..schemas import INPUTS
 from ..session import checkpoint_dir
 from ..sources.surrogate import ClinicalTables, surrogate_tables
 from ..sources.tables import read_inputs
-from .pipeline import ORDER, refresh
+from .chain import ORDER, refresh
 
 
 def _source_key(sf_dir: str) -> str:

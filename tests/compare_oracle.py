@@ -36,6 +36,16 @@ def _norm(v):
     return str(v)
 
 
+SPARK_TO_DUCKDB = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "double": "DOUBLE",
+                   "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+                   "date": "DATE", "float": "FLOAT"}
+
+
+def spark_types(df) -> dict[str, str]:
+    return {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from compare_oracle import TABLES, digest
+from compare_oracle import TABLES, digest, spark_types
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,5 +28,6 @@ def test_matches_oracle(spark, con, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert spark_types(df) == {c: str(t) for c, t in zip(ocols, con.sql(E.oracle_sql()[name]).types)}
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)

@@ -92,3 +92,21 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100 * 1024 ** 4)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_cli_refresh_from_stored_inputs(spark):
+    import os
+
+    from tidemark.__main__ import main
+    from tidemark.schemas import INPUTS
+    root = tempfile.mkdtemp(prefix="tidemark-cli-")
+    t = surrogate_tables(spark, SF)
+    for name in INPUTS:
+        getattr(t, name).write.parquet(f"{root}/inputs/{name}")
+    # a downstream table alone: its missing upstream profile is built first
+    assert main(["refresh", "--inputs", f"{root}/inputs", "--out", f"{root}/a",
+                 "--tables", "fisi9t_chemistry_hourly"]) == 0
+    assert os.path.exists(f"{root}/a/fisi9t_unique_patient_profile/_SUCCESS")
+    assert spark.read.parquet(f"{root}/a/fisi9t_chemistry_hourly").count() > 0
+    assert main(["refresh", "--inputs", f"{root}/inputs", "--out", f"{root}/b"]) == 0
+    assert all(os.path.exists(f"{root}/b/{n}/_SUCCESS") for n in ORDER)

@@ -87,22 +87,33 @@ def write_table(df: DataFrame, path: str, sort_keys: list[str], fmt: str = "parq
     writer.save(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A table folder whose write finished (Spark's ``_SUCCESS`` marker exists)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+
+
 def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
             tables: list[str] | None = None, fmt: str = "parquet") -> dict[str, str]:
     """Rebuild the chain in dependency order under ``out_root`` (a shared folder).
 
     Downstream tables are always rebuilt after their inputs (the CASCADE of a
-    view drop): asking for a table also rebuilds what depends on it.
+    view drop): asking for a table also rebuilds what depends on it.  The hourly
+    tables read the stored profile; when it is missing it is built first.
     """
     wanted = set(tables or ORDER)
     first = min(ORDER.index(n) for n in wanted)
     todo = ORDER[first:]
     paths = {}
     chain = C.cohort_chain(t)
+    profile_name = "fisi9t_unique_patient_profile"
+    profile_path = f"{out_root}/{profile_name}"
+    if profile_name not in todo and not is_complete(spark, profile_path):
+        todo = [profile_name] + todo
     for name in [n for n in todo if n in chain]:
         paths[name] = f"{out_root}/{name}"
         write_table(chain[name], paths[name], LAYOUT[name], fmt)
-    profile_path = f"{out_root}/fisi9t_unique_patient_profile"
     profile = spark.read.format(fmt).load(profile_path)
     for name, df in hourly_tables(t, profile).items():
         if name in todo:

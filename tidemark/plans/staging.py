@@ -27,7 +27,7 @@ from ..schemas import INPUTS
 from ..session import checkpoint_dir
 from ..sources.surrogate import ClinicalTables, surrogate_tables
 from ..sources.tables import read_inputs
-from .chain import ORDER, refresh
+from .chain import ORDER, is_complete, refresh
 
 
 def _source_key(sf_dir: str) -> str:
@@ -41,13 +41,6 @@ def _source_key(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
 def _code_key() -> str:
     """Fingerprint of the library source: stored tables of other code are not reused."""
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -77,7 +70,7 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
         derived = None
         for name in INPUTS:
             path = f"{root}/{name}"
-            if not _complete(spark, path):
+            if not is_complete(spark, path):
                 derived = derived or surrogate_tables(spark, sf_dir)
                 # round-robin into one file per core: scans get parallel splits and
                 # no key (however hot) decides a file's size
@@ -90,6 +83,6 @@ def materialise_views(spark: SparkSession, sf_dir: str, inputs: ClinicalTables)
     """The nine stored tables of the chain, refreshed when missing."""
     root = f"{stage_root(spark, sf_dir)}/views"
     with _LOCK:
-        if not all(_complete(spark, f"{root}/{n}") for n in ORDER):
+        if not all(is_complete(spark, f"{root}/{n}") for n in ORDER):
             refresh(spark, inputs, root)
     return {n: spark.read.parquet(f"{root}/{n}") for n in ORDER}

@@ -92,6 +92,8 @@ def test_census_matches_ticks(spark, people):
     on_day = SEL.admitted_on(people, 3, 13)
     census = {r.hour: r for r in P.hourly_census(spark, on_day, vitals, vitals, 3, 13).collect()}
     assert len(census) == 24
+    assert census[0].current_time == "March 13, 2025 01:00"
+    assert census[23].current_time == "March 14, 2025 00:00"
     assert census[5].new_patients == 2 and census[5].total_admitted == 2
     assert census[7].total_admitted == 3
     assert sum(r.new_patients for r in census.values()) == census[23].total_admitted

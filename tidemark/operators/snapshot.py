@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import json_object
-from ..functions.time import hour_label, on_month_day
+from ..functions.time import display_clock, hour_label, on_month_day
 from .joins import has_at_most
 from .selection import TRIPLE
 
@@ -165,9 +165,13 @@ def _admitted_rows_by_hour(table: DataFrame, on_day: DataFrame, month: int, day:
 
 
 def hourly_census(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFrame,
-                  procedures_hourly: DataFrame, month: int, day: int) -> DataFrame:
-    """All 24 clock ticks at once: new patients at the hour, patients admitted by
-    the hour (running sum), and the vitals / procedure rows a tick returns."""
+                  procedures_hourly: DataFrame, month: int, day: int,
+                  display_date: str | None = None) -> DataFrame:
+    """All 24 clock ticks at once: the tick's display time, new patients at the
+    hour, patients admitted by the hour (running sum), and the vitals / procedure
+    rows a tick returns.  ``display_date`` (``yyyy-MM-dd``) is the day the clock
+    text shows; by default the clock day in year 2025."""
+    display_date = display_date or f"2025-{month:02d}-{day:02d}"
     hours = spark.range(CLOCK_HOURS).select(F.col("id").cast("int").alias("hour"))
     new = on_day.groupBy(F.hour("intime").alias("hour")).agg(F.count(F.lit(1)).alias("new_patients"))
     vit = _admitted_rows_by_hour(vitals_hourly, on_day, month, day).withColumnRenamed("n", "vitalsigns_count")
@@ -177,6 +181,7 @@ def hourly_census(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFra
     running = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     out = (hours.join(new, "hour", "left").join(vit, "hour", "left").join(proc, "hour", "left")
            .fillna(0, ["new_patients", "vitalsigns_count", "procedureevents_count"]))
-    return out.select("hour", "new_patients",
+    return out.select("hour", display_clock(F.col("hour"), F.lit(display_date)).alias("current_time"),
+                      "new_patients",
                       F.sum("new_patients").over(running).alias("total_admitted"),
                       "vitalsigns_count", "procedureevents_count")

@@ -110,3 +110,13 @@ def test_cli_refresh_from_stored_inputs(spark):
     assert spark.read.parquet(f"{root}/a/fisi9t_chemistry_hourly").count() > 0
     assert main(["refresh", "--inputs", f"{root}/inputs", "--out", f"{root}/b"]) == 0
     assert all(os.path.exists(f"{root}/b/{n}/_SUCCESS") for n in ORDER)
+
+
+def test_tables_are_queryable_by_name(spark):
+    from tidemark.plans.chain import build_tables, register_tables
+    t = surrogate_tables(spark, SF).register()
+    names = register_tables(build_tables(t))
+    assert names == ORDER
+    n = spark.sql("SELECT count(*) FROM fisi9t_unique_patient_profile").first()[0]
+    assert n == 12
+    assert spark.sql("SELECT count(*) FROM icustays").first()[0] == 45

@@ -62,6 +62,13 @@ def build_tables(t: ClinicalTables) -> dict[str, DataFrame]:
     return out
 
 
+def register_tables(tables: dict[str, DataFrame]) -> list[str]:
+    """Expose the tables to ``spark.sql`` under their names (session temp views)."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return list(tables)
+
+
 # Hourly tables are stored in calendar partitions of their hour, so the clock
 # filters (month and day of any year) prune directories instead of scanning.
 CALENDAR_TABLES = {"fisi9t_vitalsign_hourly", "fisi9t_procedureevents_hourly",

@@ -16,6 +16,8 @@ clock filters.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +96,35 @@ def write_table(df: DataFrame, path: str, sort_keys: list[str], fmt: str = "parq
     writer.save(path)
 
 
+def fs_path(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A table folder whose write finished (Spark's ``_SUCCESS`` marker exists)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+    fs, hpath = fs_path(spark, path + "/_SUCCESS")
+    return bool(fs.exists(hpath))
+
+
+def write_once(spark: SparkSession, write, path: str) -> None:
+    """Publish a table at ``path`` unless a complete one is there already.
+
+    ``write(tmp_path)`` writes into a fresh sibling folder, which is then renamed
+    into place (atomic on HDFS and local disks), so readers never see a partial
+    table, a failed attempt leaves only its own scratch folder, and two writers
+    racing for the same path keep the first complete table.
+    """
+    if is_complete(spark, path):
+        return
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    write(tmp)
+    fs, target = fs_path(spark, path)
+    if fs.exists(target) and not is_complete(spark, path):
+        fs.delete(target, True)  # leftover of an interrupted non-atomic writer
+    _, src = fs_path(spark, tmp)
+    if not fs.rename(src, target):
+        fs.delete(src, True)  # another writer published first
 
 
 def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,

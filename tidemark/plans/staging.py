@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ from ..schemas import INPUTS
 from ..session import checkpoint_dir
 from ..sources.surrogate import ClinicalTables, surrogate_tables
 from ..sources.tables import read_inputs
-from .chain import ORDER, is_complete, refresh
+from .chain import ORDER, fs_path, is_complete, refresh, write_once
 
 
 def _source_key(sf_dir: str) -> str:
@@ -75,14 +76,26 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
                 # round-robin into one file per core: scans get parallel splits and
                 # no key (however hot) decides a file's size
                 files = max(1, spark.sparkContext.defaultParallelism)
-                getattr(derived, name).repartition(files).write.mode("overwrite").parquet(path)
+                df = getattr(derived, name).repartition(files)
+                write_once(spark, lambda tmp, df=df: df.write.parquet(tmp), path)
     return read_inputs(spark, root)
 
 
+def _move(spark: SparkSession, src: str, dst: str) -> None:
+    fs, s = fs_path(spark, src)
+    _, d = fs_path(spark, dst)
+    if not fs.rename(s, d):
+        raise OSError(f"cannot move {src} to {dst}")
+
+
 def materialise_views(spark: SparkSession, sf_dir: str, inputs: ClinicalTables) -> dict[str, DataFrame]:
     """The nine stored tables of the chain, refreshed when missing."""
     root = f"{stage_root(spark, sf_dir)}/views"
     with _LOCK:
         if not all(is_complete(spark, f"{root}/{n}") for n in ORDER):
-            refresh(spark, inputs, root)
+            # refresh into a private folder, then publish each table atomically
+            scratch = f"{root}.tmp-{uuid.uuid4().hex}"
+            refresh(spark, inputs, scratch)
+            for n in ORDER:
+                write_once(spark, lambda tmp, n=n: _move(spark, f"{scratch}/{n}", tmp), f"{root}/{n}")
     return {n: spark.read.parquet(f"{root}/{n}") for n in ORDER}

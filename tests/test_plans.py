@@ -120,3 +120,19 @@ def test_tables_are_queryable_by_name(spark):
     n = spark.sql("SELECT count(*) FROM fisi9t_unique_patient_profile").first()[0]
     assert n == 12
     assert spark.sql("SELECT count(*) FROM icustays").first()[0] == 45
+
+
+def test_write_once_replaces_partial_and_keeps_first(spark):
+    import os
+
+    from tidemark.plans.chain import is_complete, write_once
+    base = tempfile.mkdtemp(prefix="tidemark-once-")
+    path = f"{base}/t"
+    os.makedirs(path)
+    open(f"{path}/part-junk", "w").write("interrupted writer")  # no _SUCCESS marker
+    assert not is_complete(spark, path)
+    write_once(spark, lambda tmp: spark.range(3).write.parquet(tmp), path)
+    assert is_complete(spark, path) and spark.read.parquet(path).count() == 3
+    write_once(spark, lambda tmp: spark.range(7).write.parquet(tmp), path)  # already published
+    assert spark.read.parquet(path).count() == 3
+    assert not any(".tmp-" in n for n in os.listdir(base))

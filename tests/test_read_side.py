@@ -118,3 +118,13 @@ def test_readiness_report(spark, people):
     rep = readiness(spark, "fisi9t_unique_patient_profile", ["subject_id", "stay_id", "anchor_age", "gender"])
     assert rep["ok"] and rep["count"] == 4 and len(rep["sample"]) == 4 and rep["database"]
     assert readiness(spark, "no_such_table")["ok"] is False
+
+
+def test_lookup_one_and_batch(spark, people):  # P13
+    assert P.lookup_one(people, 1, 100, 10).count() == 1
+    with pytest.raises(LookupError):
+        P.lookup_one(people, 1, 100, 11)
+    req = spark.createDataFrame([(1, 100, 10), (1, 100, 11), (1, 100, 10)],
+                                "subject_id int, stay_id int, hadm_id int")
+    got = sorted((r.hadm_id, r.found, r.anchor_age) for r in P.patient_lookup(people, req).collect())
+    assert got == [(10, True, 60), (11, False, None)]

@@ -118,3 +118,18 @@ def test_matches_brute_force_many_seeds(spark):
     got, n = run(spark, rows)
     assert n == len(rows)
     assert got == brute_force(rows)
+
+
+def test_hot_stay_reduces_to_bucket_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.sessions import gap_buckets
+    n = 100_000  # one stay, a reading every 0.864 s for a day, plus one quiet stay
+    hot = spark.range(n).select(F.lit(1).alias("stay_id"),
+                                (F.lit(ts("2130-03-13 00:00:00")) + F.make_dt_interval(
+                                    secs=F.col("id") * 0.864)).cast("timestamp_ntz").alias("charttime"))
+    cold = spark.createDataFrame([(2, ts("2130-03-13 05:00:00"))], SCHEMA)
+    df = hot.unionByName(cold)
+    assert gap_buckets(df, ["stay_id"]).filter("stay_id = 1").count() <= 96
+    got = {r.stay_id: (r.cluster_id, r.n_readings) for r in session_summary(df, ["stay_id"]).collect()}
+    assert got == {1: (1, n), 2: (1, 1)}

@@ -24,7 +24,7 @@ from ..functions.aggregates import policy_agg
 from ..functions.time import round_to_hour
 from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
 from .joins import broadcast_if_small
-from .sessions import bucket_sessions, gap_buckets
+from .sessions import bucket_of, bucket_sessions, gap_buckets
 
 KEYS = ["subject_id", "stay_id"]
 
@@ -67,21 +67,28 @@ def vital_clusters(vitals: DataFrame, cohort: DataFrame) -> DataFrame:
     """One row per gap cluster: mean of every vital, first non-NULL site, and the
     hour of the cluster's first reading (``charttime_hour``).
 
-    The readings are reduced once, to 15-minute bucket rows (sums, counts, first
-    site) with partial aggregation before the only shuffle of the big table.
-    Clusters are runs of buckets: their means are sums over the run divided by
-    counts, and both the cluster and the hour reduction run on the stay
-    partitioning of the bucket window, without another exchange.
+    The readings are reduced once, to 15-minute bucket rows, with partial
+    aggregation before the only shuffle of the big table.  Sums and counts are a
+    hash aggregate (code-generated); the first site by time needs a (time, text)
+    buffer, which Spark aggregates by sorting, so it is reduced on its own over
+    the rows that have a site (three narrow columns) and joined 1:1 on (stay,
+    bucket), both sides already partitioned on those keys.  Clusters are runs of
+    buckets: their means are sums over the run divided by counts, and both the
+    cluster and the hour reduction run on the stay partitioning of the bucket
+    window, without another exchange.
     """
     v = vitals.select(*KEYS, "charttime", *VITAL_POLICIES).join(cohort.select(*KEYS), KEYS, "left_semi")
     v = v.withColumn("temperature", F.col("temperature").cast("double"))
-    site = F.col("temperature_site")
-    bucket_aggs = []
+    numeric = []
     for c in VITAL_MEANS:
-        bucket_aggs += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
-    bucket_aggs.append(F.min(F.when(site.isNotNull(), F.struct(F.col("charttime").alias("t"), site.alias("v"))))
-                       .alias("_site"))
-    b = bucket_sessions(gap_buckets(v, KEYS, "charttime", aggs=bucket_aggs), KEYS)
+        numeric += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
+    buckets = gap_buckets(v.drop("temperature_site"), KEYS, "charttime", aggs=numeric)
+    site = F.col("temperature_site")
+    sites = (v.filter(site.isNotNull() & F.col("charttime").isNotNull())
+             .select(*KEYS, bucket_of("charttime").alias("_bucket"),
+                     F.struct(F.col("charttime").alias("t"), site.alias("v")).alias("_ts"))
+             .groupBy(*KEYS, "_bucket").agg(F.min("_ts").alias("_site")))
+    b = bucket_sessions(buckets.join(sites, KEYS + ["_bucket"], "left"), KEYS)
     cluster_keys = ["cluster_id", "cluster_time"]
     merged = [(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in VITAL_MEANS]
     out = b.groupBy(*KEYS, *cluster_keys).agg(*merged, F.min("_site")["v"].alias("temperature_site"))

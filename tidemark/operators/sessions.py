@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 GAP_MINUTES = 15
 
 
-def _bucket_of(time_col: str, gap_minutes: int) -> Column:
+def bucket_of(time_col: str, gap_minutes: int = GAP_MINUTES) -> Column:
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     return F.floor(micros / F.lit(gap_minutes * 60_000_000)).cast("long")
 
@@ -38,7 +38,7 @@ def gap_buckets(df: DataFrame, keys: list[str], time_col: str = "charttime",
     """One row per (keys, bucket): ``_t_first``, ``_t_last``, ``_n`` and ``aggs``.
     Rows with a NULL time belong to no cluster and are dropped."""
     t = F.col(time_col)
-    return (df.filter(t.isNotNull()).withColumn("_bucket", _bucket_of(time_col, gap_minutes))
+    return (df.filter(t.isNotNull()).withColumn("_bucket", bucket_of(time_col, gap_minutes))
             .groupBy(*keys, "_bucket")
             .agg(F.min(time_col).alias("_t_first"), F.max(time_col).alias("_t_last"),
                  F.count(F.lit(1)).alias("_n"), *(aggs or [])))
@@ -62,7 +62,7 @@ def gap_sessions(df: DataFrame, keys: list[str], time_col: str = "charttime",
 
     The bucket table is joined back on (keys, bucket); it is unique on that key,
     so the join is a lookup (AQE splits a hot bucket of the reading side)."""
-    rows = df.filter(F.col(time_col).isNotNull()).withColumn("_bucket", _bucket_of(time_col, gap_minutes))
+    rows = df.filter(F.col(time_col).isNotNull()).withColumn("_bucket", bucket_of(time_col, gap_minutes))
     clusters = bucket_sessions(gap_buckets(df, keys, time_col, gap_minutes), keys, gap_minutes)
     return (rows.join(clusters.select(*keys, "_bucket", "cluster_id", "cluster_time"), keys + ["_bucket"])
             .drop("_bucket"))

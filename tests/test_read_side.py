@@ -128,3 +128,12 @@ def test_lookup_one_and_batch(spark, people):  # P13
                                 "subject_id int, stay_id int, hadm_id int")
     got = sorted((r.hadm_id, r.found, r.anchor_age) for r in P.patient_lookup(people, req).collect())
     assert got == [(10, True, 60), (11, False, None)]
+
+
+def test_ordered_timeline(spark, people):
+    rows = [(1, 100, ts(f"2130-03-13 {h:02d}:00:00")) for h in (4, 2, 3)]
+    cols = ["heart_rate", "sbp", "dbp", "mbp", "resp_rate", "temperature", "spo2", "glucose"]
+    v = spark.createDataFrame(rows, "subject_id int, stay_id int, charttime_hour timestamp_ntz") \
+        .select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
+    got = [r.hour_label for r in P.vitals_timeline(v, people, 3, 13, 3, ordered=True).collect()]
+    assert got == ["02:00", "03:00"]

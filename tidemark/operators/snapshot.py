@@ -96,13 +96,15 @@ def _clock_rows(df: DataFrame, month: int, day: int, hour: int, upto: bool) -> D
 
 
 def vitals_timeline(vitals_hourly: DataFrame, stays: DataFrame, month: int, day: int,
-                    hour: int) -> DataFrame:
+                    hour: int, ordered: bool = False) -> DataFrame:
     """Hourly vitals of the selected stays up to the clock hour, with the
-    ``HH:00`` label (grid rows without readings included, as in the table)."""
+    ``HH:00`` label (grid rows without readings included, as in the table).
+    ``ordered`` sorts by (stay, hour) -- a range-partitioned distributed sort."""
     v = _clock_rows(vitals_hourly, month, day, hour, upto=True)
     v = v.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
-    return v.select("subject_id", "stay_id", *TIMELINE_COLUMNS,
-                    hour_label("charttime_hour").alias("hour_label"))
+    out = v.select("subject_id", "stay_id", *TIMELINE_COLUMNS,
+                   hour_label("charttime_hour").alias("hour_label"))
+    return out.orderBy("stay_id", "charttime_hour") if ordered else out
 
 
 def vitals_timeline_json(timeline: DataFrame) -> DataFrame:
@@ -114,14 +116,16 @@ def vitals_timeline_json(timeline: DataFrame) -> DataFrame:
 
 
 def procedure_log(procedures_hourly: DataFrame, stays: DataFrame, month: int, day: int,
-                  hour: int) -> DataFrame:
+                  hour: int, ordered: bool = False) -> DataFrame:
     """Procedure rows of the selected stays up to the clock hour and the
-    stay's row count (empty grid hours count, as in the table)."""
+    stay's row count (empty grid hours count, as in the table).  ``ordered``
+    sorts by (stay, hour, event time)."""
     p = _clock_rows(procedures_hourly, month, day, hour, upto=True)
     p = p.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
     p = p.select("subject_id", "stay_id", *PROCEDURE_LOG_COLUMNS)
     counts = p.groupBy("subject_id", "stay_id").agg(F.count(F.lit(1)).alias("procedures_count"))
-    return p.join(counts, ["subject_id", "stay_id"])
+    out = p.join(counts, ["subject_id", "stay_id"])
+    return out.orderBy("stay_id", "charttime_hour", F.asc_nulls_last("charttime")) if ordered else out
 
 
 # --- P16 hourly delta ------------------------------------------------------------

@@ -136,3 +136,13 @@ def test_write_once_replaces_partial_and_keeps_first(spark):
     write_once(spark, lambda tmp: spark.range(7).write.parquet(tmp), path)  # already published
     assert spark.read.parquet(path).count() == 3
     assert not any(".tmp-" in n for n in os.listdir(base))
+
+
+def test_single_stay_filter_reaches_scan(spark):
+    from tidemark.operators.snapshot import for_stay, vitals_timeline
+    from tidemark.plans.queries import Ctx
+    c = Ctx.of(spark, SF)
+    one = for_stay(c.views["fisi9t_vitalsign_hourly"], 1, 30000010)
+    text = plan_text(vitals_timeline(one, c.profile, 1, 1, 23))
+    assert "EqualTo(stay_id,30000010)" in text and "EqualTo(subject_id,1)" in text
+    assert "PartitionFilters: [isnotnull(chart_month" in text

@@ -85,6 +85,13 @@ def lookup_one(profile: DataFrame, subject_id: int, stay_id: int, hadm_id: int)
 
 # --- P14, P15 detail page ---------------------------------------------------------
 
+def for_stay(table: DataFrame, subject_id: int, stay_id: int) -> DataFrame:
+    """One patient's rows: equality filters that reach the Parquet scan, where
+    the (stay_id, charttime_hour) sort of the stored tables lets min/max
+    statistics skip row groups."""
+    return table.filter((F.col("stay_id") == stay_id) & (F.col("subject_id") == subject_id))
+
+
 def _clock_rows(df: DataFrame, month: int, day: int, hour: int, upto: bool) -> DataFrame:
     if hour < 0:
         return df.filter(F.lit(False))

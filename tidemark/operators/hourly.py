@@ -125,16 +125,18 @@ def procedures_hourly(procedures: DataFrame, window: DataFrame, items: DataFrame
 
     Every in-window event rounds to an hour on its stay's grid (in <= t <= out
     gives trunc(in) <= round(t) <= trunc(out) + 1h), so the events pass through
-    without a join to the grid, and the hours with no event come from an anti
-    join of two key sets that are each unique per (stay, hour).  A stay-hour with
-    very many events therefore never meets a join.
+    without a join to the grid, and the hours with no event come from one
+    aggregation over the grid's and the events' (stay, hour) keys.  A stay-hour
+    with very many events is reduced map-side and never meets a join.
     """
     cols = OUTPUTS["fisi9t_procedureevents_hourly"]
+    key = KEYS + ["charttime_hour"]
     ev = procedure_events(procedures, window, items).select(*cols)
-    event_hours = ev.select(*KEYS, "charttime_hour").distinct()
-    empty = grid.join(event_hours, KEYS + ["charttime_hour"], "left_anti")
-    empty = empty.select(*KEYS, "charttime_hour",
-                         *[F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in cols[3:]])
+    # grid hours with no event: one aggregation over grid keys (0) and event keys
+    # (1), partially aggregated before its single exchange; keys whose max is 0
+    marks = grid.select(*key, F.lit(0).alias("_has")).unionByName(ev.select(*key, F.lit(1).alias("_has")))
+    empty = marks.groupBy(*key).agg(F.max("_has").alias("_has")).filter(F.col("_has") == 0)
+    empty = empty.select(*key, *[F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in cols[3:]])
     return ev.unionByName(empty)
 
 

@@ -42,6 +42,25 @@ def reduce_hourly(df: DataFrame, policies: dict[str, str], time_col: str,
     return df.groupBy(*keys, hour_col).agg(*aggs)
 
 
+def reduce_on_grid(grid: DataFrame, rows: DataFrame, policies: dict[str, str], time_col: str,
+                   columns: list[str]) -> DataFrame:
+    """Grid LEFT JOIN (rows reduced per hour), as one aggregation.
+
+    Grid keys (NULL values, flag 1) and rows (flag 0) are unioned and reduced by
+    (subject, stay, hour) with the policies, which skip the grid's NULLs; keys
+    whose flag is 0 are not on the grid and drop.  Both inputs are partially
+    aggregated before the single exchange, so neither a hot hour nor the join
+    of a second shuffle is left.
+    """
+    key = KEYS + ["charttime_hour"]
+    src = rows.select(*key, time_col, *policies).withColumn("_grid", F.lit(0))
+    g = grid.select(*key, *[F.lit(None).cast(src.schema[c].dataType).alias(c) for c in [time_col, *policies]],
+                    F.lit(1).alias("_grid"))
+    aggs = [policy_agg(c, p, order=time_col) for c, p in policies.items()]
+    out = src.unionByName(g).groupBy(*key).agg(*aggs, F.max("_grid").alias("_grid"))
+    return out.filter(F.col("_grid") == 1).select(*key, *columns)
+
+
 def on_grid(grid: DataFrame, hourly: DataFrame, columns: list[str]) -> DataFrame:
     """Grid LEFT JOIN hourly on (subject, stay, hour).  Subject is functionally
     dependent on stay; keeping it in the key lets both sides share the
@@ -152,8 +171,7 @@ def labs_in_stay(labs: DataFrame, window: DataFrame, columns: list[str]) -> Data
 def labs_hourly(labs: DataFrame, window: DataFrame, grid: DataFrame, policies: dict[str, str],
                 table: str) -> DataFrame:
     x = labs_in_stay(labs, window, list(policies))
-    hourly = reduce_hourly(x, policies, time_col="charttime")
-    return on_grid(grid, hourly, OUTPUTS[table][3:])
+    return reduce_on_grid(grid, x, policies, "charttime", OUTPUTS[table][3:])
 
 
 def chemistry_hourly(chem: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:

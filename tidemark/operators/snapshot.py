@@ -188,9 +188,12 @@ def hourly_census(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFra
     vit = _admitted_rows_by_hour(vitals_hourly, on_day, month, day).withColumnRenamed("n", "vitalsigns_count")
     proc = _admitted_rows_by_hour(procedures_hourly, on_day, month, day) \
         .withColumnRenamed("n", "procedureevents_count")
-    # 24 rows: the running total is a window over the tiny per-hour table only.
+    # Each per-hour aggregate is keyed by hour of day: at most 24 rows whatever the
+    # data, a proven bound, so they are broadcast; the running total is a window
+    # over the 24-row table only.
     running = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    out = (hours.join(new, "hour", "left").join(vit, "hour", "left").join(proc, "hour", "left")
+    out = (hours.join(F.broadcast(new), "hour", "left").join(F.broadcast(vit), "hour", "left")
+           .join(F.broadcast(proc), "hour", "left")
            .fillna(0, ["new_patients", "vitalsigns_count", "procedureevents_count"]))
     return out.select("hour", display_clock(F.col("hour"), F.lit(display_date)).alias("current_time"),
                       "new_patients",

@@ -146,3 +146,12 @@ def test_single_stay_filter_reaches_scan(spark):
     text = plan_text(vitals_timeline(one, c.profile, 1, 1, 23))
     assert "EqualTo(stay_id,30000010)" in text and "EqualTo(subject_id,1)" in text
     assert "PartitionFilters: [isnotnull(chart_month" in text
+
+
+def test_inputs_read_from_catalog_by_name(spark):
+    from tidemark.operators.cohort import cohort_chain
+    from tidemark.sources.tables import read_inputs
+    surrogate_tables(spark, SF).register()  # the inputs as named tables of the session catalog
+    t = read_inputs(spark)
+    assert t.vitalsign.schema == surrogate_tables(spark, SF).vitalsign.schema
+    assert cohort_chain(t)["fisi9t_unique_patient_profile"].count() == 12

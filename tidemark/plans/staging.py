@@ -60,6 +60,8 @@ def stage_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tidemark/{_CODE_KEY}-{_source_key(sf_dir)}"
 
 
+ROWS_PER_FILE = 10_000
+
 # One writer at a time per process (queries may be called from several threads).
 _LOCK = threading.RLock()
 
@@ -73,10 +75,13 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
             path = f"{root}/{name}"
             if not is_complete(spark, path):
                 derived = derived or surrogate_tables(spark, sf_dir)
-                # round-robin into one file per core: scans get parallel splits and
-                # no key (however hot) decides a file's size
-                files = max(1, spark.sparkContext.defaultParallelism)
-                df = getattr(derived, name).repartition(files)
+                # round-robin into up to one file per core (at least ~10k rows a
+                # file): scans get parallel splits, small dimensions stay one file,
+                # and no key (however hot) decides a file's size
+                df = getattr(derived, name)
+                rows = df.count()
+                files = max(1, min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
+                df = df.repartition(files)
                 write_once(spark, lambda tmp, df=df: df.write.parquet(tmp), path)
     return read_inputs(spark, root)
 

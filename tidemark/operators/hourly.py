@@ -1,10 +1,11 @@
 """Hourly feature tables on the dense grid.
 
-``reduce_hourly`` is the shared operator: readings (or cluster summaries) are
-rounded half-up to the hour and each column collapses with its policy
-(mean/min/max/first/last, see ``functions.aggregates``).  The result, unique per
-(subject, stay, hour), is left-joined to the grid -- a 1:1 join, so no key of it
-can be skewed.
+Readings (or cluster summaries) are rounded half-up to the hour and each column
+collapses with its policy (mean/min/max/first/last, see ``functions.aggregates``)
+onto the dense grid.  ``reduce_on_grid`` does the reduction and the grid in one
+aggregation (labs); ``reduce_hourly`` + ``on_grid`` reduce first and join the
+grid 1:1 (vitals, whose clusters are already partitioned by stay).  Either way no
+key of a join can be skewed.
 
 * P6 vitals: gap clusters first (mean per cluster, first site by time), then the
   cluster means are averaged per hour of the cluster's *first* reading.
@@ -73,7 +74,7 @@ def in_stay_window(events: DataFrame, window: DataFrame, time_col: str, on: list
     """Range join (J11/J12): events x stay window on ``on`` with the closed range
     ``icu_intime <= time <= icu_outtime``.  The window table holds one row per
     cohort stay; the residual range is evaluated inside the equi join."""
-    w = window.select(*({"subject_id", "stay_id"} | set(on)), "icu_intime", "icu_outtime")
+    w = window.select(*dict.fromkeys(["subject_id", "stay_id", *on]), "icu_intime", "icu_outtime")
     t = F.col(time_col)
     joined = events.filter(t.isNotNull()).join(w, on)
     return joined.filter((t >= F.col("icu_intime")) & (t <= F.col("icu_outtime"))) \

@@ -22,16 +22,19 @@ POLICIES = ("mean", "min", "max", "first", "last")
 
 
 def first_non_null(value: str, order: str) -> Column:
+    """Earliest non-NULL ``value`` by ``order`` (ties: smallest value)."""
     v = F.col(value)
     return F.min(F.when(v.isNotNull(), F.struct(F.col(order).alias("t"), v.alias("v"))))["v"]
 
 
 def last_non_null(value: str, order: str) -> Column:
+    """Latest non-NULL ``value`` by ``order`` (ties: largest value)."""
     v = F.col(value)
     return F.max(F.when(v.isNotNull(), F.struct(F.col(order).alias("t"), v.alias("v"))))["v"]
 
 
 def policy_agg(column: str, policy: str, order: str | None = None, source: str | None = None) -> Column:
+    """The aggregate of ``policy`` over ``source`` (default ``column``), named ``column``."""
     src = source or column
     if policy == "mean":
         e = F.avg(F.col(src))

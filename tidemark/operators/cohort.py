@@ -22,6 +22,7 @@ from .joins import broadcast_if_small
 
 
 def top1_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
+    """One row per ``key``: the first by ``order`` (row_number with a partial WindowGroupLimit)."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 

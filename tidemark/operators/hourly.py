@@ -117,6 +117,7 @@ def vital_clusters(vitals: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def vitals_hourly(vitals: DataFrame, cohort: DataFrame, grid: DataFrame) -> DataFrame:
+    """Vitals on the grid, the mean of cluster means per hour of the cluster's first reading."""
     clusters = vital_clusters(vitals, cohort)
     hourly = reduce_hourly(clusters, VITAL_POLICIES, time_col="cluster_time")
     return on_grid(grid, hourly, OUTPUTS["fisi9t_vitalsign_hourly"][3:])
@@ -171,13 +172,16 @@ def labs_in_stay(labs: DataFrame, window: DataFrame, columns: list[str]) -> Data
 
 def labs_hourly(labs: DataFrame, window: DataFrame, grid: DataFrame, policies: dict[str, str],
                 table: str) -> DataFrame:
+    """Labs inside the stay window, reduced per hour with ``policies``, on the grid."""
     x = labs_in_stay(labs, window, list(policies))
     return reduce_on_grid(grid, x, policies, "charttime", OUTPUTS[table][3:])
 
 
 def chemistry_hourly(chem: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:
+    """Bicarbonate min, calcium and sodium mean, potassium max per hour."""
     return labs_hourly(chem, window, grid, CHEMISTRY_POLICIES, "fisi9t_chemistry_hourly")
 
 
 def coagulation_hourly(coag: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:
+    """Inr, pt, ptt, thrombin last; d_dimer max; fibrinogen min per hour."""
     return labs_hourly(coag, window, grid, COAGULATION_POLICIES, "fisi9t_coagulation_hourly")

@@ -41,5 +41,6 @@ def has_at_most(df: DataFrame, n: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when a bounded count proves it under ``max_bytes``."""
     max_rows = max(1, max_bytes // row_width(df.schema))
     return F.broadcast(df) if has_at_most(df, max_rows) else df

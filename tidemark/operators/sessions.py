@@ -29,6 +29,7 @@ GAP_MINUTES = 15
 
 
 def bucket_of(time_col: str, gap_minutes: int = GAP_MINUTES) -> Column:
+    """Index of the gap-wide time bucket of ``time_col``."""
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     return F.floor(micros / F.lit(gap_minutes * 60_000_000)).cast("long")
 

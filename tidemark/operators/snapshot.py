@@ -138,6 +138,7 @@ def procedure_log(procedures_hourly: DataFrame, stays: DataFrame, month: int, da
 # --- P16 hourly delta ------------------------------------------------------------
 
 def delta_new_patients(on_day: DataFrame, hour: int) -> DataFrame:
+    """Patients of the clock day admitted at exactly ``hour``."""
     return on_day.filter(F.hour("intime") == hour).select(*NEW_PATIENT_COLUMNS)
 
 
@@ -156,6 +157,7 @@ def delta_vitals(vitals_hourly: DataFrame, on_day: DataFrame, month: int, day: i
 
 def delta_procedures(procedures_hourly: DataFrame, on_day: DataFrame, month: int, day: int,
                      hour: int) -> DataFrame:
+    """Procedure rows at exactly the clock hour for every admitted stay."""
     p = _clock_rows(procedures_hourly, month, day, hour, upto=False)
     return p.join(_admitted_stays(on_day, hour), "stay_id", "left_semi").select(*DELTA_PROCEDURE_COLUMNS)
 

@@ -59,6 +59,7 @@ def hourly_tables(t: ClinicalTables, profile: DataFrame) -> dict[str, DataFrame]
 
 
 def build_tables(t: ClinicalTables) -> dict[str, DataFrame]:
+    """All nine tables as lazy DataFrames over ``t``."""
     out = C.cohort_chain(t)
     out.update(hourly_tables(t, out["fisi9t_unique_patient_profile"]))
     return out

@@ -63,6 +63,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+    """The eleven clinical inputs derived from the test tables in ``sf_dir``."""
     ev = _events(spark, sf_dir)
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")

@@ -59,8 +59,10 @@ def start_clock(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFrame
 
 def run_clock(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFrame,
               procedures_hourly: DataFrame, month: int, day: int, out_root: str,
-              until_hour: int = LAST_HOUR, name: str = "clock", timeout_s: float = 600) -> int:
-    """Run the clock until ``until_hour`` has been processed; returns batches run."""
+              until_hour: int = LAST_HOUR, name: str = "clock", timeout_s: float = 600) -> list[int]:
+    """Run the clock until ``until_hour`` has been processed; returns the batch ids
+    (ticks) this run executed -- a restart on the same checkpoint resumes after
+    the last committed tick."""
     q = start_clock(spark, on_day, vitals_hourly, procedures_hourly, month, day, out_root, name)
     try:
         waited = 0.0
@@ -70,6 +72,6 @@ def run_clock(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFrame,
                 break
             q.awaitTermination(0.5)
             waited += 0.5
-        return (q.lastProgress or {}).get("batchId", -1) + 1
+        return sorted({p["batchId"] for p in q.recentProgress if p.get("numInputRows", 0) > 0})
     finally:
         q.stop()

@@ -69,4 +69,6 @@ def test_clock_resumes_from_its_checkpoint_without_duplicates(spark):
     # stop may be re-run; its partition is overwritten whole)
     assert first[:3] == [0, 1, 2] and second and second[0] >= 3
     got = [(r.tick, r.subject_id) for r in spark.read.parquet(f"{out}/new_patients").collect()]
-    assert sorted(got) == [(h, h) for h in range(1, 6)]
+    # each tick once (a tick finishing while the stop lands may add one more)
+    assert len(got) == len(set(got)) and all(t == s for t, s in got)
+    assert {(h, h) for h in range(1, 6)} <= set(got)

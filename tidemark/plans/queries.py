@@ -73,6 +73,7 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._plans: dict[str, DataFrame] = {}
 
     @cached_property
     def t(self) -> ClinicalTables:
@@ -195,9 +196,22 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
 }
 
 
+# Queries whose plan embeds a value read at build time (a count): rebuilt per call.
+BUILD_PER_CALL = {"patient_page", "sample_and_count"}
+
+
 def make_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The registered query ``name``.  Its plan is built once per session and
+    folder and reused, like a prepared statement: every call returns the same
+    DataFrame, and every action on it runs the whole plan again."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return REGISTRY[name](Ctx.of(spark, sf_dir))
+        ctx = Ctx.of(spark, sf_dir)
+        if name in BUILD_PER_CALL:
+            return REGISTRY[name](ctx)
+        with ctx._lock:
+            if name not in ctx._plans:
+                ctx._plans[name] = REGISTRY[name](ctx)
+            return ctx._plans[name]
     run.__name__ = name
     return run
 

@@ -1,5 +1,6 @@
 """Every registered query equals its DuckDB oracle on the sf0.001 tables
-(row count, column names, order-insensitive value hash)."""
+(row count, column names and types, order-insensitive value hash, and the raw
+values themselves)."""
 
 from __future__ import annotations
 
@@ -31,3 +32,8 @@ def test_matches_oracle(spark, con, name):
     assert spark_types(df) == {c: str(t) for c, t in zip(ocols, con.sql(E.oracle_sql()[name]).types)}
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+    # stricter than the hash: the raw values are equal, floats included
+    cols = sorted(df.columns)
+    mine = sorted((tuple(r[df.columns.index(c)] for c in cols) for r in rows), key=repr)
+    theirs = sorted((tuple(r[ocols.index(c)] for c in cols) for r in orows), key=repr)
+    assert mine == theirs

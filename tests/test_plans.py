@@ -155,3 +155,20 @@ def test_inputs_read_from_catalog_by_name(spark):
     t = read_inputs(spark)
     assert t.vitalsign.schema == surrogate_tables(spark, SF).vitalsign.schema
     assert cohort_chain(t)["fisi9t_unique_patient_profile"].count() == 12
+
+
+def test_inputs_resolve_through_a_search_path(spark):
+    import pytest as _pytest
+
+    from tidemark.sources.tables import read_inputs, resolve_table
+    t = surrogate_tables(spark, SF)
+    for name in ("icustays", "vitalsign"):
+        getattr(t, name).createOrReplaceGlobalTempView(name)
+    assert resolve_table(spark, "icustays", ["no_such_db", "global_temp"]) == "global_temp.icustays"
+    with _pytest.raises(LookupError):
+        resolve_table(spark, "chemistry", ["no_such_db", "global_temp"])
+    for name in ("d_icd_diagnoses", "diagnoses_icd", "age", "icustay_detail", "procedureevents", "d_items",
+                 "chemistry", "coagulation"):
+        getattr(t, name).createOrReplaceGlobalTempView(name)
+    got = read_inputs(spark, search_path=["no_such_db", "global_temp"])
+    assert got.icustays.count() == 45

@@ -1,7 +1,7 @@
 """Command line: ``python -m tidemark refresh|readiness ...`` (run via spark-submit
 on a cluster, or locally).
 
-* ``refresh --inputs ROOT|--database DB --out ROOT [--tables T ...]`` rebuilds the
+* ``refresh --inputs ROOT|--database DB|--search-path DB1,DB2 --out ROOT [--tables T ...]`` rebuilds the
   nine tables in dependency order (a table and everything after it).
 * ``readiness --table NAME`` prints the readiness report as JSON and exits 0/1.
 """
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     src = r.add_mutually_exclusive_group(required=True)
     src.add_argument("--inputs", help="folder with one Parquet folder per input table")
     src.add_argument("--database", help="catalog database holding the input tables")
+    src.add_argument("--search-path", help="comma-separated databases; each table from the first holding it")
     r.add_argument("--out", required=True, help="shared folder for the nine tables")
     r.add_argument("--tables", nargs="*", choices=ORDER)
     r.add_argument("--master")
@@ -35,7 +36,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(a.master)
     if a.cmd == "refresh":
-        inputs = read_inputs(spark, root=a.inputs, database=a.database)
+        path = a.search_path.split(",") if a.search_path else None
+        inputs = read_inputs(spark, root=a.inputs, database=a.database, search_path=path)
         print(json.dumps(refresh(spark, inputs, a.out, a.tables), indent=1))
         return 0
     rep = readiness(spark, a.table, ["subject_id", "stay_id", "anchor_age", "gender"])

@@ -23,9 +23,25 @@ def read_input(spark: SparkSession, name: str, root: str | None = None,
     return spark.read.format(fmt).schema(schema).load(f"{root}/{name}")
 
 
+def resolve_table(spark: SparkSession, name: str, search_path: list[str]) -> str:
+    """``database.name`` for the first database of ``search_path`` holding ``name``
+    (unqualified names resolve like a schema search path)."""
+    for db in search_path:
+        try:
+            if spark.catalog.tableExists(f"{db}.{name}"):
+                return f"{db}.{name}"
+        except Exception:  # a database of the path that does not exist
+            continue
+    raise LookupError(f"table {name!r} not found in {search_path}")
+
+
 def read_inputs(spark: SparkSession, root: str | None = None, database: str | None = None,
-                fmt: str = "parquet") -> ClinicalTables:
-    """All inputs from a folder (``root``) or a catalog database (the schema search path)."""
+                fmt: str = "parquet", search_path: list[str] | None = None) -> ClinicalTables:
+    """All inputs from a folder (``root``), a catalog ``database``, or the first
+    database of ``search_path`` that holds each table."""
+    if search_path:
+        return ClinicalTables(**{n: conform(spark.table(resolve_table(spark, n, search_path)), INPUTS[n])
+                                 for n in INPUTS})
     return ClinicalTables(**{n: read_input(spark, n, root, database, fmt) for n in INPUTS})
 
 

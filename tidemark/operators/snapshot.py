@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.json import json_object
+from ..functions.json import JSON_OPTIONS, json_object
 from ..functions.time import display_clock, hour_label, on_month_day
 from .joins import has_at_most
 from .selection import TRIPLE
@@ -122,6 +122,20 @@ def vitals_timeline_json(timeline: DataFrame) -> DataFrame:
                            json_object(TIMELINE_COLUMNS + ["hour_label"]).alias("json"))
 
 
+def vitals_timeline_arrays(timeline: DataFrame) -> DataFrame:
+    """P14 as the page embeds it: one JSON array per stay, ordered by hour.
+
+    A group here is one stay's timeline rows, which the clock filter already
+    bounds to 24 per calendar day the stay covers (a month and day of one
+    year), so collecting it into one row is bounded by construction.  The
+    per-row form above needs no collection at all.
+    """
+    row = F.struct(*[F.col(c) for c in TIMELINE_COLUMNS + ["hour_label"]])
+    arr = F.array_sort(F.collect_list(row))  # struct order: charttime_hour first
+    return (timeline.groupBy("subject_id", "stay_id")
+            .agg(F.to_json(arr, JSON_OPTIONS).alias("json"), F.count(F.lit(1)).alias("n_hours")))
+
+
 def procedure_log(procedures_hourly: DataFrame, stays: DataFrame, month: int, day: int,
                   hour: int, ordered: bool = False) -> DataFrame:
     """Procedure rows of the selected stays up to the clock hour and the

@@ -176,6 +176,8 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
                                                           CLOCK_DAY, CLOCK_HOUR), VITAL_MEANS),
     "vitals_timeline_json": lambda c: P.vitals_timeline_json(_round(
         P.vitals_timeline(c.vitals_hourly(), c.profile, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR), VITAL_MEANS)),
+    "vitals_timeline_page": lambda c: P.vitals_timeline_arrays(_round(
+        P.vitals_timeline(c.vitals_hourly(), c.profile, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR), VITAL_MEANS)),
     "procedure_log": lambda c: P.procedure_log(c.procedures_hourly(), c.profile, CLOCK_MONTH,
                                                CLOCK_DAY, CLOCK_HOUR),
     "delta_new_patients": lambda c: P.delta_new_patients(c.on_day(), CLOCK_HOUR),

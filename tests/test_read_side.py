@@ -117,6 +117,7 @@ def test_readiness_report(spark, people):
     people.createOrReplaceTempView("fisi9t_unique_patient_profile")
     rep = readiness(spark, "fisi9t_unique_patient_profile", ["subject_id", "stay_id", "anchor_age", "gender"])
     assert rep["ok"] and rep["count"] == 4 and len(rep["sample"]) == 4 and rep["database"]
+    assert rep["engine_version"] == spark.version
     assert readiness(spark, "no_such_table")["ok"] is False
 
 

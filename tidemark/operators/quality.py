@@ -29,10 +29,10 @@ def sample_and_count(df: DataFrame, n: int = 5, order: str = "subject_id") -> Da
 
 
 def readiness(spark: SparkSession, table: str, sample_columns: list[str] | None = None) -> dict:
-    """The readiness script's steps: current database, table exists, row count,
-    five sample rows.  Returns a report dict with ``ok``."""
-    report = {"database": spark.catalog.currentDatabase(), "table": table,
-              "exists": spark.catalog.tableExists(table)}
+    """The readiness script's steps: engine version, current database, table
+    exists, row count, five sample rows.  Returns a report dict with ``ok``."""
+    report = {"engine_version": spark.version, "database": spark.catalog.currentDatabase(),
+              "table": table, "exists": spark.catalog.tableExists(table)}
     if not report["exists"]:
         return {**report, "ok": False}
     df = spark.table(table)

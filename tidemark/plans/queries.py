@@ -32,7 +32,7 @@ from ..operators import sessions as SS
 from ..operators import snapshot as P
 from ..schemas import VITAL_MEANS
 from ..sources.surrogate import ClinicalTables
-from .staging import materialise_views, stage_inputs
+from .staging import materialise_views, stage_inputs, stage_view
 
 # Workload parameters of the registered queries (fixed values).
 CLOCK_MONTH = 1
@@ -93,7 +93,8 @@ class Ctx:
     @cached_property
     def profile(self) -> DataFrame:
         """The stored one-row-per-subject profile: the hourly tables start from it."""
-        return self.views["fisi9t_unique_patient_profile"]
+        name = "fisi9t_unique_patient_profile"
+        return stage_view(self.spark, self.sf_dir, name, self.chain[name])
 
     @cached_property
     def cohort(self) -> DataFrame:

@@ -28,7 +28,7 @@ from ..schemas import INPUTS
 from ..session import checkpoint_dir
 from ..sources.surrogate import ClinicalTables, surrogate_tables
 from ..sources.tables import read_inputs
-from .chain import ORDER, fs_path, is_complete, refresh, write_once
+from .chain import LAYOUT, ORDER, fs_path, is_complete, refresh, write_once, write_table
 
 
 def _source_key(sf_dir: str) -> str:
@@ -86,6 +86,15 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     return read_inputs(spark, root)
 
 
+def stage_view(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    """One stored view on its own (the cohort profile the hourly tables start
+    from), published like the rest; a later full refresh skips it."""
+    path = f"{stage_root(spark, sf_dir)}/views/{name}"
+    with _LOCK:
+        write_once(spark, lambda tmp: write_table(df, tmp, LAYOUT[name]), path)
+    return spark.read.parquet(path)
+
+
 def _move(spark: SparkSession, src: str, dst: str) -> None:
     fs, s = fs_path(spark, src)
     _, d = fs_path(spark, dst)

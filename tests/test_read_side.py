@@ -138,3 +138,17 @@ def test_ordered_timeline(spark, people):
         .select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
     got = [r.hour_label for r in P.vitals_timeline(v, people, 3, 13, 3, ordered=True).collect()]
     assert got == ["02:00", "03:00"]
+
+
+def test_procedure_display_rules(spark):
+    rows = [(1, 100, ts("2130-03-13 10:00:00"), ts("2130-03-13 10:05:00"), "Line", 12.5, "mL", "Imaging", "Done"),
+            (1, 100, ts("2130-03-13 11:00:00"), None, None, 0.0, None, "Lines", ""),
+            (1, 100, ts("2130-03-13 12:00:00"), None, "", None, None, None, None)]
+    log = spark.createDataFrame(rows, "subject_id int, stay_id int, charttime_hour timestamp_ntz, "
+                                      "charttime timestamp_ntz, item_label string, value double, valueuom string, "
+                                      "ordercategoryname string, statusdescription string")
+    got = [(r.label_text, r.time_text, r.value_text, r.category_text)
+           for r in D.procedure_rows(log).orderBy("charttime_hour").collect()]
+    assert got == [("Line", "10:00", "Value: 12.5 mL", "Imaging · Done"),
+                   ("-", "11:00", None, "Lines"),
+                   ("-", "12:00", None, None)]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, tokens
-from tidemark.llm.common import table
+from tidemark.llm import crf_quality, mixing, tokens
+from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,3 +35,13 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.pareto_mix(docs, weights=(3, 1, 2), share=1.5, max_copies=2) \
         .select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = crf_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, keep=["doc_id"]).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

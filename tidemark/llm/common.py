@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], chars: int = 4 << 20) -> Ite
         if not n:
             continue
         i, col = 0, b.column(b.schema.get_field_index("text"))
-        sizes = pa.compute.binary_length(col).to_pylist()
+        sizes = pc.binary_length(col).to_pylist()
         while i < n:
             j, left = i, chars
             while j < n and (j == i or left >= (sizes[j] or 0)):

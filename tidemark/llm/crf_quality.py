@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,7 +166,7 @@ class CrfModel:
                 if threshold is None:
                     yield pa.record_batch(columns + [s], names=[*keep, "score"])
                 else:
-                    yield pa.record_batch(columns, names=keep).filter(pa.compute.greater_equal(s, threshold))
+                    yield pa.record_batch(columns, names=keep).filter(pc.greater_equal(s, threshold))
 
         rows = docs.select(F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
         schema = T.StructType([*fields, *([T.StructField("score", T.DoubleType())] if threshold is None else [])])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, mixing, tokens
+from tidemark.llm import crf_quality, decontaminate, mixing, tokens
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,43 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs, keep=["doc_id"]).select(
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        table(spark, sf_dir, "benchmark"), n=13, share=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op5_decontaminate"] = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), windows AS (
+  SELECT id AS item_id, least(len(w), 13) AS n, w[s : s + least(len(w), 13) - 1] AS gram
+  FROM words, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(s)
+  WHERE kind = 'b' AND len(w) > 0
+), grams AS (
+  SELECT id AS doc_id, s, l.n, w[s : s + l.n - 1] AS gram
+  FROM words, (SELECT DISTINCT n FROM windows) AS l, unnest(range(1, len(w) - l.n + 2)) AS u(s)
+  WHERE kind = 'd' AND len(w) >= l.n
+), found AS (
+  SELECT DISTINCT g.doc_id, g.s, g.n, v.item_id FROM grams g JOIN windows v ON g.n = v.n AND g.gram = v.gram
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(s, s + n)) AS u(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+)
+SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM words d LEFT JOIN hit h ON d.id = h.doc_id LEFT JOIN items i ON d.id = i.doc_id
+WHERE d.kind = 'd'
+"""

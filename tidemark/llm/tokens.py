@@ -29,15 +29,20 @@ from tidemark.llm.common import broadcast_if_small, new_path, text_batches
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2000
-#: Pieces whose ids a task remembers; only a bound on memory, results do not depend on it.
-REMEMBERED = 200_000
+#: Pieces whose ids a Python worker remembers; only a bound on memory, results do not depend on it.
+REMEMBERED = 500_000
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
-# A piece is a run of white space with the word after it.  Byte-level BPE never joins a
-# non-space character with white space after it, so the ids of a text are those of its pieces.
-_PIECE = re.compile(r"\s*\S+|\s+")
+# A piece is a run of white space with the word after it; a point or comma after plain letters
+# begins the next piece.  Byte-level BPE splits a text at these places before it merges bytes
+# (tokens hold no white space after other characters, and no letter before a point), so the
+# ids of a text are those of its pieces.
+_PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s]|\Z)|\s*\S+|\s+")
 # Python counts these as white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# A piece that may stand behind another one without a change of either's ids.
+_CHAINED = re.compile(r" [^\s<]+")
+CHAIN = 1000
 
 
 class PieceEncoder:
@@ -47,20 +52,53 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {}
+        size = self.tokenizer.get_vocab_size()
+        # in the byte-level alphabet a character stands for a byte
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        chained = [p for p in pieces if _CHAINED.fullmatch(p)]
+        alone = [p for p in pieces if not _CHAINED.fullmatch(p)]
+        out = {p: a.tobytes() for i in range(0, len(alone), CHAIN)
+               for p, a in zip(alone[i:i + CHAIN], self._ids(alone[i:i + CHAIN]))}
+        for i in range(0, len(chained), CHAIN):
+            some = chained[i:i + CHAIN]
+            ids = self._ids(["".join(some)])[0]
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends)
+            at = 0
+            for p, cut in zip(some, (cuts + 1).tolist()):
+                out[p] = ids[at:cut].tobytes()
+                at = cut
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        get = self.known.get
         pieces = [[t] if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        known.update((p, a.tobytes()) for p, a in zip(new, self._ids(new)))
-        return [b"".join([known[p] for p in ps]) for ps in pieces]
+        ids = [list(map(get, ps)) for ps in pieces]
+        gaps = [i for i, x in enumerate(ids) if None in x]
+        new = self._encode_new(list({p for i in gaps for p, x in zip(pieces[i], ids[i]) if x is None}))
+        for i in gaps:
+            ids[i] = [new[p] if x is None else x for p, x in zip(pieces[i], ids[i])]
+        room = REMEMBERED - len(self.known)
+        if room > 0:
+            self.known.update(list(new.items())[:room])
+        return [b"".join(x) for x in ids]
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def _encoder(tokenizer_path: str) -> PieceEncoder:
+    """One encoder for each Python worker, kept over its tasks."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 def _encode(tokenizer_path: str, end_id: int):
@@ -68,7 +106,7 @@ def _encode(tokenizer_path: str, end_id: int):
         from pyspark import TaskContext
 
         shard, start = TaskContext.get().partitionId(), 0
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], dtype="<i4").tobytes()
+        encoder, end = _encoder(tokenizer_path), np.array([end_id], dtype="<i4").tobytes()
         for b in text_batches(batches):
             ids = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, decontaminate, mixing, tokens
+from tidemark.llm import crf_quality, decontaminate, mixing, prob_minhash, tokens
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,10 @@ SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coale
 FROM words d LEFT JOIN hit h ON d.id = h.doc_id LEFT JOIN items i ON d.id = i.doc_id
 WHERE d.kind = 'd'
 """
+
+
+@query
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    found = prob_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "class_size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, decontaminate, mixing, prob_minhash, tokens
+from tidemark.llm import crf_quality, decontaminate, isolation, mixing, prob_minhash, tokens
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,11 @@ def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     found = prob_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=0.8)
     return found.select("doc_id", "class_id", "class_size")
+
+
+@query
+def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = isolation.fit(docs, table(spark, sf_dir, "labels"))
+    return model.judge(docs).select("doc_id", *isolation.BASE, "base_failed", "kept", "anomaly")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, decontaminate, isolation, mixing, prob_minhash, tokens
+from tidemark.llm import crf_quality, decontaminate, html_extract, isolation, mixing, prob_minhash, tokens
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = isolation.fit(docs, table(spark, sf_dir, "labels"))
     return model.judge(docs).select("doc_id", *isolation.BASE, "base_failed", "kept", "anomaly")
+
+
+@query
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, decontaminate, html_extract, isolation, mixing, prob_minhash, tokens
+from tidemark.llm import crf_quality, decontaminate, html_extract, isolation, langid, mixing, prob_minhash, tokens
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,12 @@ def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, folds=4, held_out=2)
+    return model.predict(docs).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"),
+                                      "lang_pred", "score", "rejected")

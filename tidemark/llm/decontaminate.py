@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import broadcast_if_small, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word with its letters as they stand; ``lowered`` lowers A-Z and nothing else.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word with its letters as they stand; ``lowered`` lowers A-Z and nothing else.  The same
+#: characters as ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]``, which Java matches many times slower.
+RAW_WORD = r"[\p{Alnum}\x{80}-\x{10FFFF}]+"
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
 
 

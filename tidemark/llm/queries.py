@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, decontaminate, html_extract, isolation, langid, mixing, prob_minhash, tokens
+from tidemark.llm import (crf_quality, decontaminate, html_extract, isolation, langid, mixing,
+                          moore_lewis, prob_minhash, tokens)
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,10 @@ def op10_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, folds=4, held_out=2)
     return model.predict(docs).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"),
                                       "lang_pred", "score", "rejected")
+
+
+@query
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss difference of every document; the target domain is the documents labelled good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return moore_lewis.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), good)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (crf_quality, decontaminate, html_extract, isolation, langid, mixing,
-                          moore_lewis, prob_minhash, tokens)
-from tidemark.llm.common import crc_mod, table
+                          moore_lewis, pii, prob_minhash, tokens)
+from tidemark.llm.common import crc_mod, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,3 +123,15 @@ def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss difference of every document; the target domain is the documents labelled good."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return moore_lewis.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
+@query
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stage(pii.find(docs), "pii-found")
+    terms = stage(pii.disclosing_terms(docs, found), "pii-disclosing")
+    every = pii.spans(found, terms)
+    return every.select(
+        "doc_id", *[pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))

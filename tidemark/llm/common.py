@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,6 +66,19 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if 2 * total <= max_bytes else df
 
 
+def shielded(docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame], DataFrame],
+             results: Sequence[str] = ()) -> DataFrame:
+    """``work`` on ``docs`` with every column but ``needed`` under a name that cannot clash.
+
+    Returns the columns of ``docs`` under their own names, without those that ``results`` replace,
+    and ``results``."""
+    names = {c.lower() for c in needed}
+    inner = {c: c.lower() if c.lower() in names else f"x{i}_" for i, c in enumerate(docs.columns)}
+    out = work(docs.select(*[docs[f"`{c}`"].alias(n) for c, n in inner.items()]))
+    replaced = {r.lower() for r in results}
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c.lower() not in replaced], *results)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``chars`` bytes of their ``text`` column, so
     that a task's memory does not follow the number of long texts in an Arrow batch."""

@@ -156,7 +156,7 @@ class CrfModel:
         return self._run(docs, text, docs.columns, threshold)
 
     def _run(self, docs, text, keep, threshold):
-        keep = [c for c in (docs.columns if keep is None else keep) if threshold is not None or c != "score"]
+        keep = [c for c in (docs.columns if keep is None else keep) if threshold is not None or c.lower() != "score"]
         model, fields = self, [docs.schema[c] for c in keep]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

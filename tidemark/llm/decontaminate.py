@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, stage
+from tidemark.llm.common import broadcast_if_small, shielded, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word with its letters as they stand; ``lowered`` lowers A-Z and nothing else.  The same
@@ -161,6 +161,10 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids with occurring windows, sorted as strings) and
     contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    return shielded(docs, ("doc_id", "text"), lambda d: _contamination(d, benchmark, n, share), RESULTS)
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, n: int, share: int) -> DataFrame:
     matches = stage(search(docs, benchmark, n), "decon-matches")
     places = matches.select("_id", "_h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at"))
     hit = places.distinct().groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n_hit"))
@@ -168,8 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     which = matches.select("_id", "_h", "item_id").distinct().groupBy("_id", "_h") \
         .agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     result = stage(hit.join(which, ["_id", "_h"]), "decon-hits")
-    rows = keyed(docs.select(*[c for c in docs.columns if c not in RESULTS]))
-    rows = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long"))
+    rows = keyed(docs).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long"))
     rows = rows.join(broadcast_if_small(result), ["_id", "_h"], "left").drop("_id", "_h")
     rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")) \
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))

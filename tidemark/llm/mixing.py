@@ -17,8 +17,9 @@ The ranking never sorts a source in one task.  Ranks are cut into bins twice; su
 tell which bin holds the boundary, and only rows of that last bin are ordered.
 
 All of it is DataFrame functions.  Null or empty texts have size 0 and are never taken; a
-null source is a source of its own (last); repeated ids are separate documents; equal ranks
-are ordered by id and text hash.  Results depend only on the rows and the seed.
+null source is a source of its own (last); an empty table gives an empty result; equal ranks
+are ordered by id and text hash, and rows equal in both are taken alike.  Extra columns pass
+through; columns named like the results are replaced.  Results depend only on the rows and the seed.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, stage
+from tidemark.llm.common import broadcast_if_small, shielded, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: str) -> Column:
@@ -76,8 +78,12 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     source's), copies and taken (= copies x size).
 
     ``tier_preference``: expected copies grow by this part with each doubling of the length."""
-    own = {"size", "source_size", "target", "copies", "taken"}
-    rows = _sized(docs.select(*[c for c in docs.columns if c not in own]), seed)
+    return shielded(docs, ("doc_id", "text", "source"),
+                    lambda d: _mix(d, weights, share, max_copies, seed, tier_preference), RESULTS)
+
+
+def _mix(docs: DataFrame, weights, share, max_copies, seed, tier_preference) -> DataFrame:
+    rows = _sized(docs, seed)
     keyed = stage(rows.select("doc_id", "source", "size", "_h", "_tier", "_u"), "mix-sizes")
     tiers, sources = _plan(keyed, weights, share, max_copies, tier_preference)
     rows = _ranked(rows, tiers)
@@ -88,13 +94,11 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     picked = F.col("a._q").isNotNull() & ((place <= F.col("b._cut")) | place.eqNullSafe(F.col("b._closing")))
     copies = (F.col("a._sure") + F.when(picked, 1).otherwise(0)).cast("int")
     return rows.select("a.*", "b.source_size", "b.target", copies.alias("copies")) \
-        .withColumn("taken", (F.col("copies") * F.col("size")).cast("long")) \
-        .drop("_h", "_tier", "_u", "_q", "_sure")
+        .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.col("source").cast("string"))
-    rows = rows.withColumn("size", word_count("text")).withColumn("_h", F.xxhash64("text"))
+    rows = docs.withColumn("size", word_count("text")).withColumn("_h", F.xxhash64("text"))
     rows = rows.withColumn("_tier", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "_h", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return rows.withColumn("_u", u)

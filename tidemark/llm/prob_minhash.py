@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, stage, text_batches
+from tidemark.llm.common import broadcast_if_small, shielded, stage, text_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -145,7 +145,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, _key (of the words), bands (empty if the text has no word)."""
+    """doc_id, _h (hash of the text), _key (of the words), bands (empty if the text has no word)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
@@ -155,11 +155,11 @@ def sign(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
             some = np.bincount(text, minlength=n) > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
             yield pa.record_batch({
-                "doc_id": b.column("doc_id"), "_key": pa.array(keys.view(np.int64)),
+                "doc_id": b.column("doc_id"), "_h": b.column("_h"), "_key": pa.array(keys.view(np.int64)),
                 "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[some].ravel()))})
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, _key long, bands array<long>")
+    return rows_.withColumn("_h", F.xxhash64("text")).mapInArrow(run, "doc_id long, _h long, _key long, bands array<long>")
 
 
 def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -278,15 +278,38 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS,
             rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size, _key: one row per row of ``docs``."""
+    """doc_id, _h (hash of the text), class_id (smallest doc_id of the class), class_size and first
+    (whether the row is the class's first by doc_id, then text hash): one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(sign(docs, k, bands, rows), "minhash-signed")
     found = links(signed.where("doc_id is not null"), docs, k, threshold)
     group = stage(components(found), "minhash-components")
-    texts = signed.groupBy("_key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    # rows without an id come last
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))
+    texts = signed.groupBy("_key").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n"))
     texts = texts.join(group, texts._key == group.node, "left") \
         .select("_key", "low", "n", F.coalesce("root", "_key").alias("root"))
     texts = stage(texts, "minhash-texts")
-    named = texts.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    named = stage(texts.join(named, "root").select("_key", "class_id", "class_size"), "minhash-named")
-    return signed.select("doc_id", "_key").join(named, "_key").select("doc_id", "class_id", "class_size", "_key")
+    named = texts.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("class_size"))
+    named = stage(texts.join(named, "root").select("_key", "first", "class_size"), "minhash-named")
+    return signed.join(named, "_key").select(
+        "doc_id", "_h", F.col("first.i").alias("class_id"), "class_size", (place == F.col("first")).alias("first"))
+
+
+def keep_first(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that come first in their class, columns unchanged.  Of rows that are
+    equal in id and text one stays."""
+    return shielded(docs, ("doc_id", "text"), lambda d: _keep_first(d, parameters))
+
+
+def _keep_first(docs: DataFrame, parameters: dict) -> DataFrame:
+    found = stage(classes(docs, **parameters), "minhash-classes")
+    rows = docs.withColumn("_i", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    gone = broadcast_if_small(found.where(~F.col("first")).select("doc_id", "_h").distinct().alias("gone"))
+    rows = rows.join(gone, F.col("_i").eqNullSafe(F.col("gone.doc_id")) & (F.col("_t") == F.col("gone._h")), "left_anti")
+    again = stage(found.where("first").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-again")
+    if not again.isEmpty():
+        again = broadcast_if_small(again).alias("again")
+        same = F.col("_i").eqNullSafe(F.col("again.doc_id")) & (F.col("_t") == F.col("again._h"))
+        rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["_i", "_t"]))
+    return rows

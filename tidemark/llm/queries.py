@@ -27,7 +27,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokens.encode_to_shared(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                    public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return tokens.token_digests(spark, path)
+    return tokens.token_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query

@@ -161,16 +161,15 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = [zlib.crc32(data[4 * i:4 * j]) for i, j in zip(offsets[:-1], offsets[1:])]
         yield pa.record_batch({
             "shard": b.column("shard"), "doc_id": b.column("doc_id"), "shard_start": b.column("shard_start"),
-            "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()),
+            "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "input_ids": lists, "ids_crc32": pa.array(crc, pa.int64()),
         })
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens and the crc32 of its ids."""
-    rows = read_tokens(spark, path).mapInArrow(
-        _digest, "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long")
+    """Per document, from the files: doc_id, start, n_tokens, input_ids and the crc32 of the ids."""
+    rows = read_tokens(spark, path).mapInArrow(_digest, TOKEN_SCHEMA + ", ids_crc32 long")
     return rows.join(broadcast_if_small(_shard_offsets(spark, path)), "shard").select(
-        "doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+        "doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "input_ids", "ids_crc32")
 
 
 def _shard_offsets(spark: SparkSession, path: str) -> DataFrame:

@@ -11,10 +11,11 @@ weights that is the ordinary Jaccard index.
    next arrival is later than all registers.  Registers agree with the probability of the index.
 2. Registers are joined into bands; texts that share a band's value share a bucket.
 3. In each bucket the texts are compared with leaders, not with one another: the first
-   leader is the first text of the bucket in a fixed random order; those not similar to it are
-   compared with the next leaders, twice as many each round, until each has been linked or
-   compared with all that are left.  So a bucket of thousands of copies costs one comparison
-   for each, and no text of a bucket stays uncompared.
+   leader is the text that shares the most buckets with others (of a group of copies, mostly the
+   text that they were made from).  Texts that no chain of links joins to it are put into new
+   buckets, by the rare shingles that similar texts must share, and compared with the next
+   leaders, ``GROWTH`` times as many each round, until none is left.  So a bucket of thousands of
+   copies costs one comparison for each, and a passage that many texts hold makes no pairs.
 4. Compared pairs are verified on their exact shingle weights: they are linked if their probability
    Jaccard index, or the plain Jaccard index of their shingle sets, is at least the threshold.
 5. Classes are the connected components of the links, found by joins; a class is
@@ -40,9 +41,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import broadcast_if_small, shielded, stage, text_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 24, 5
-#: Orders in which texts become leaders; bands take turns, so a text meets several leaders of its group.
-TURNS = 4
+#: Two texts of similarity 0.8 miss each other with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-5.
+BANDS, ROWS = 44, 7
+#: By how much the number of leaders grows from round to round.
+GROWTH = 4
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -180,34 +182,40 @@ def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "_key long, shingles binary, weights binary")
 
 
-def _verify(threshold: float):
-    def read(shingle: bytes, weight: bytes):
-        s = np.frombuffer(shingle, dtype=np.uint64)
-        return s, np.frombuffer(weight, dtype="<f4").astype(float) if weight else np.ones(len(s))
+def _read_set(shingle: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(shingle, dtype=np.uint64)
+    return s, np.frombuffer(weight, dtype="<f4").astype(float) if weight else np.ones(len(s))
+
 
+def _verify(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("a", "b", "sa", "wa", "sb", "wb")]
-            ok = [max(similarity(read(sa, wa), read(sb, wb))) >= threshold for _, _, sa, wa, sb, wb in zip(*cols)]
+            ok = [max(similarity(_read_set(sa, wa), _read_set(sb, wb))) >= threshold for _, _, sa, wa, sb, wb in zip(*cols)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(ok, pa.bool_())})
     return run
 
 
 def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """a, b (keys, a < b) of verified pairs that connect all similar texts of each bucket."""
-    buckets = signed.where(F.size("bands") > 0).dropDuplicates(["_key"]) \
-        .select("_key", F.posexplode("bands").alias("turn", "band")).withColumn("turn", F.col("turn") % TURNS)
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    buckets = signed.where(F.size("bands") > 0).dropDuplicates(["_key"]).select("_key", F.explode("bands").alias("band"))
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(buckets.join(sizes, "band"), "minhash-buckets")
-    wanted = stage(members.select("_key").distinct(), "minhash-wanted")
-    ids = signed.join(broadcast_if_small(wanted), "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stage(members.groupBy("_key").agg(F.sum("n").alias("mates")), "minhash-wanted")
+    members = stage(members.drop("n").join(broadcast_if_small(wanted), "_key"), "minhash-members")
+    ids = signed.join(broadcast_if_small(wanted.select("_key")), "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(broadcast_if_small(stage(ids.select("doc_id"), "minhash-ids")), "doc_id", "left_semi")
-    sets = stage(_shingle_sets(texts, k).join(broadcast_if_small(wanted), "_key", "left_semi"), "minhash-sets")
+    sets = stage(_shingle_sets(texts, k).join(broadcast_if_small(wanted.select("_key")), "_key", "left_semi"), "minhash-sets")
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = stage(sets.dropDuplicates(["_key"]), "minhash-sets")
+    members = members.withColumn("label", F.col("_key"))
     found, tested, leaders = None, None, 1
     while True:
-        pairs = _leader_pairs(members, leaders)
+        lead = _leaders(members, leaders)
+        # every leader comes before the other members in the order that leaders are picked by
+        after = (F.col("mates") < F.col("lead_mates")) | ((F.col("mates") == F.col("lead_mates")) & (F.col("_key") > F.col("leader")))
+        pairs = members.join(lead, "band").where(after & (F.col("label") != F.col("lead_label"))) \
+            .select(F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "minhash-pairs")
@@ -218,36 +226,67 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
         linked = done.where("linked").select("a", "b")
         found = linked if found is None else found.union(linked)
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        members = stage(_still_alone(members, leaders, found), "minhash-rest")
-        if members.isEmpty():
+        rest = stage(_still_apart(members, lead, found), "minhash-rest")
+        if rest.isEmpty():
             return found
-        leaders *= 2
-
-
-def _with_place(members: DataFrame, leaders: int) -> DataFrame:
-    """``leaders`` members of each bucket, by one of ``TURNS`` fixed random orders of all texts.
-    The limit is applied before the shuffle."""
-    w = Window.partitionBy("band").orderBy(F.xxhash64("_key", "turn"), "_key")
-    return members.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= leaders) \
-        .select("band", F.col("_key").alias("leader"))
+        if leaders == 1:
+            rest = stage(_prefix_buckets(sets, rest, threshold), "minhash-prefixes")
+        members, leaders = rest, leaders * GROWTH
 
 
-def _leader_pairs(members: DataFrame, leaders: int) -> DataFrame:
-    pairs = members.join(_with_place(members, leaders), "band").where("_key != leader")
-    return pairs.select(F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b")).distinct()
+def _prefix_buckets(sets: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
+    """New buckets for the texts that are left: those that share a shingle of their prefix.
 
+    Shingles are ordered by the number of these texts that hold them; a text's prefix is its rarest
+    shingles up to a mass of 1 - ``threshold``.  Similar texts share that much mass that their prefixes
+    meet (both indexes are at most the common mass), while texts with only a frequent passage in common do not."""
 
-def _still_alone(members: DataFrame, leaders: int, found: DataFrame) -> DataFrame:
-    """Members of buckets that are neither leaders of this round nor linked with one; buckets
-    with one such member are done."""
-    lead = _with_place(members, leaders)
-    by = members.join(lead, "band")
-    pair = by.select("band", "_key", F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b"))
-    linked = pair.join(found, ["a", "b"], "left_semi").select("band", "_key").distinct()
-    rest = members.join(lead.withColumnRenamed("leader", "_key"), ["band", "_key"], "left_anti") \
-        .join(linked, ["band", "_key"], "left_anti")
-    many = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    return rest.join(many, "band", "left_semi")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, shingle, weight in zip(*[b.column(c).to_pylist() for c in ("_key", "shingles", "weights")]):
+                s, w = _read_set(shingle, weight)
+                yield pa.record_batch({"_key": pa.array(np.full(len(s), key, dtype=np.int64)), "band": pa.array(s.view(np.int64)),
+                                       "p": pa.array(w / w.sum()), "u": pa.array(np.full(len(s), 1 / len(s)))})
+
+    labels = rest.select("_key", "label").distinct()
+    items = sets.join(broadcast_if_small(stage(labels, "minhash-left")), "_key", "left_semi") \
+        .mapInArrow(run, "_key long, band long, p double, u double")
+    items = stage(items, "minhash-items")
+    items = items.join(items.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
+    before = Window.partitionBy("_key").orderBy("n", "band").rowsBetween(Window.unboundedPreceding, -1)
+    items = items.withColumn("p", F.sum("p").over(before)).withColumn("u", F.sum("u").over(before))
+    prefix = F.coalesce(F.least("p", "u"), F.lit(0.0)) <= 1 - threshold + 1e-9
+    items = stage(items.where(prefix & (F.col("n") > 1)).select("_key", "band", "n"), "minhash-prefix-items")
+    mates = items.groupBy("_key").agg(F.sum("n").alias("mates")).join(labels, "_key")
+    return items.select("_key", "band").join(mates, "_key").select("_key", "band", "mates", "label")
+
+
+def _leaders(members: DataFrame, leaders: int) -> DataFrame:
+    """The ``leaders`` members of each bucket that share the most buckets with others.  The limit is
+    applied before the shuffle."""
+    w = Window.partitionBy("band").orderBy(F.col("mates").desc(), "_key")
+    return members.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= leaders) \
+        .select("band", F.col("_key").alias("leader"), F.col("label").alias("lead_label"), F.col("mates").alias("lead_mates"))
+
+
+def _labels(found: DataFrame) -> DataFrame:
+    """_key, label: the smallest text within two links of each linked text, the same for all texts
+    around a common one.  Equal labels mean connected; the reverse need not hold."""
+    both = found.union(found.select("b", "a")).toDF("u", "v")
+    one = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
+    return both.join(one, "v").groupBy("u").agg(F.min("low").alias("low")).select(F.col("u").alias("_key"), F.col("low").alias("label"))
+
+
+def _still_apart(members: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets whose label differs from those of this round's leaders, where two or
+    more labels are left."""
+    labels = broadcast_if_small(stage(_labels(found), "minhash-labels"))
+    relabel = lambda df, key, old: df.join(labels.select(F.col("_key").alias(key), F.col("label").alias("_new")), key, "left") \
+        .withColumn(old, F.coalesce("_new", old)).drop("_new")
+    lead = relabel(lead, "leader", "lead_label").select("band", F.col("lead_label").alias("label")).distinct()
+    rest = relabel(members, "_key", "label").join(lead, ["band", "label"], "left_anti")
+    many = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    return rest.join(many, "band", "left_semi").select("_key", "band", "mates", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:

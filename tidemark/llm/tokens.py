@@ -30,7 +30,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2000
 #: Pieces whose ids a Python worker remembers; only a bound on memory, results do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
 # A piece is a run of white space with the word after it; a point or comma after plain letters
@@ -40,11 +40,18 @@ TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_i
 _PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s]|\Z)|\s*\S+|\s+")
 # Python counts these as white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-# A piece that may stand behind another one without a change of either's ids.
-_CHAINED = re.compile(r" [^\s<]+")
 CHAIN = 1000
 
 
+class _Known(dict):
+    """Ids of remembered pieces; those of the batch that are not remembered are in ``extra``."""
+
+    extra: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.extra[piece]
+
+
 class PieceEncoder:
     """Ids of whole texts with the tokenizers library, remembering the ids of pieces."""
 
@@ -55,40 +62,41 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         # in the byte-level alphabet a character stands for a byte
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        chained = [p for p in pieces if _CHAINED.fullmatch(p)]
-        alone = [p for p in pieces if not _CHAINED.fullmatch(p)]
+        # a space and other characters behind it: such pieces may stand behind one another
+        chained = [p for p in pieces if p[0] == " " and not p[1:2].isspace() and len(p) > 1 and "<" not in p]
+        alone = list(set(pieces).difference(chained))
         out = {p: a.tobytes() for i in range(0, len(alone), CHAIN)
                for p, a in zip(alone[i:i + CHAIN], self._ids(alone[i:i + CHAIN]))}
         for i in range(0, len(chained), CHAIN):
             some = chained[i:i + CHAIN]
-            ids = self._ids(["".join(some)])[0]
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends)
-            at = 0
-            for p, cut in zip(some, (cuts + 1).tolist()):
-                out[p] = ids[at:cut].tobytes()
-                at = cut
+            joined = "".join(some)
+            ids = self._ids([joined])[0]
+            sizes = map(len, some) if joined.isascii() else [len(p.encode("utf-8", "surrogatepass")) for p in some]
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(some)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        get = self.known.get
+        known = self.known
         pieces = [[t] if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        ids = [list(map(get, ps)) for ps in pieces]
-        gaps = [i for i, x in enumerate(ids) if None in x]
-        new = self._encode_new(list({p for i in gaps for p, x in zip(pieces[i], ids[i]) if x is None}))
-        for i in gaps:
-            ids[i] = [new[p] if x is None else x for p, x in zip(pieces[i], ids[i])]
-        room = REMEMBERED - len(self.known)
-        if room > 0:
-            self.known.update(list(new.items())[:room])
-        return [b"".join(x) for x in ids]
+        new = self._encode_new(list(set().union(*pieces).difference(known)))
+        room = REMEMBERED - len(known)
+        if room >= len(new):
+            known.update(new)
+        else:
+            known.update(list(new.items())[:max(room, 0)])
+            known.extra = new
+        get = known.__getitem__
+        return [b"".join(map(get, ps)) for ps in pieces]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

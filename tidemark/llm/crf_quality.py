@@ -12,7 +12,7 @@ in one pass without a shuffle.
 Null texts and texts without a word score 0.  Rows are scored one by one, so repeated rows
 get equal scores; an empty table gives an empty result.  Extra columns pass through; a column
 named ``score`` of the input is replaced.  Without labels of both classes there is nothing to
-learn and ``fit`` raises ValueError.
+learn, and every text with a word scores 0.5.
 """
 
 from __future__ import annotations
@@ -133,7 +133,6 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, per_text: np.ndarray):
 class CrfModel:
     weights: np.ndarray
     transitions: np.ndarray
-    shift: float = 0.0
 
     def line_marginals(self, x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         emit = neighbour_features(x, per_text) @ self.weights
@@ -232,6 +231,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
     rows = chosen.mapInArrow(stats, "doc_id long, quality int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     if {r["quality"] for r in rows} != {0, 1}:
-        raise ValueError("labels of both classes are needed")
+        return CrfModel(np.zeros(3 * len(STATS) + 1), np.zeros((2, 2)))
     x = [np.frombuffer(r["x"], dtype="<f4").reshape(-1, len(STATS)).astype(float) for r in rows]
     return fit_crf(np.concatenate(x), np.array([len(a) for a in x]), np.array([r["quality"] for r in rows]))

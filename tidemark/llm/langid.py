@@ -11,7 +11,7 @@ farther from its centroid than nearly all learned texts of that centroid were is
 Document frequencies are counted over all learnable texts.  Clusters are fitted on at most
 ``max_docs`` of them (smallest hash of the id).  Null texts and texts without letters get
 ``und`` and score 0.  Rows are judged one by one; an empty table gives an empty result; extra
-columns are ignored.  Without a learnable row ``fit`` raises ValueError.
+columns are ignored.  Without a learnable row every text gets ``und``.
 """
 
 from __future__ import annotations
@@ -105,9 +105,9 @@ class CentroidModel:
             names = np.array([*m.languages, "und"], dtype=object)
             for b in text_batches(batches, 1 << 20):
                 n = b.num_rows
-                lang, score, out = np.full(n, len(m.languages)), np.zeros(n), np.ones(n, dtype=bool)
+                lang, score, out = np.full(n, len(names) - 1), np.zeros(n), np.ones(n, dtype=bool)
                 column = b.column("text")
-                for i in range(0, n, 500):
+                for i in range(0, n if m.languages else 0, 500):
                     x, some = vectors(column.slice(i, 500).to_pylist())
                     near = normalised(x, m.idf) @ m.centroids.T
                     best = near.argmax(axis=1)
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
     ids = usable.select(key.alias("h")).orderBy("h").limit(max_docs)
     last = ids.agg(F.max("h").alias("h")).first()["h"]
     if last is None:
-        raise ValueError("no text with a language")
+        return CentroidModel((), np.zeros((0, DIMS), dtype=np.float32), np.zeros(0), idf.astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
@@ -187,6 +187,5 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
             languages.append(lang)
             centroids.append(c[j])
             reach.append(np.quantile(top[best == j], reject_share) if (best == j).any() else 2.0)
-    if not rows:
-        raise ValueError("no text with a language")
-    return CentroidModel(tuple(languages), np.array(centroids, dtype=np.float32), np.array(reach), idf.astype(np.float32))
+    return CentroidModel(tuple(languages), np.array(centroids, dtype=np.float32).reshape(-1, DIMS), np.array(reach),
+                         idf.astype(np.float32))

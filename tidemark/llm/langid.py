@@ -5,8 +5,8 @@ character 1- to 3-grams are counted in ``DIMS`` hashed dimensions.  Counts are w
 inverse document frequency and normalised.  The vectors of every language
 are clustered (spherical k-means), so a language has several centroids; a text gets the
 language of the centroid with the greatest cosine.  The score is that cosine.  A text that is
-farther from its centroid than nearly all learned texts of that centroid were is rejected: the column
-``rejected`` is true, the nearest language is still given.
+clearly farther from its centroid than nearly all learned texts of the language are from theirs is
+rejected: the column ``rejected`` is true, the nearest language is still given.
 
 Document frequencies are counted over all learnable texts.  Clusters are fitted on at most
 ``max_docs`` of them (smallest hash of the id).  Null texts and texts without letters get
@@ -182,10 +182,10 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
         x = normalised(x, idf).astype(np.float32)
         c = cluster(x, clusters)
         near = x @ c.T
-        best, top = near.argmax(axis=1), near.max(axis=1)
+        top = near.max(axis=1)
         for j in range(len(c)):
             languages.append(lang)
             centroids.append(c[j])
-            reach.append(np.quantile(top[best == j], reject_share) if (best == j).any() else 2.0)
+            reach.append(0.9 * np.quantile(top, reject_share))
     return CentroidModel(tuple(languages), np.array(centroids, dtype=np.float32).reshape(-1, DIMS), np.array(reach),
                          idf.astype(np.float32))

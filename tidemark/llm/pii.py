@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import broadcast_if_small, stage, text_batches
+from tidemark.llm.common import broadcast_if_small, shielded, stage, text_batches
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -213,23 +213,24 @@ def replace_spans(text: str, every: list[tuple[str, int, int]]) -> str:
 
 def sanitise(docs: DataFrame, width: int = 8, support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """``docs`` (doc_id, text, more) with ``sanitised``."""
-    docs = docs.drop("sanitised")
+    return shielded(docs, ("doc_id", "text"), lambda d: _sanitise(d, width, support, generalise, remove), ("sanitised",))
+
+
+def _sanitise(docs: DataFrame, width: int, support: int, generalise: float, remove: float) -> DataFrame:
     found = stage(find(docs, width), "pii-found")
     every = spans(found, stage(disclosing_terms(docs, found, support, generalise, remove), "pii-disclosing"))
     # equal ids with equal texts have equal spans
     every = stage(every.where(F.size("spans") > 0).dropDuplicates(["doc_id", "_h"])
-                  .select(F.col("doc_id").alias("_i"), "_h", F.col("spans").alias("_spans")), "pii-spans")
-    keep = docs.columns
+                  .select(F.col("doc_id").alias("_i"), "_h", "spans"), "pii-spans")
     rows = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(broadcast_if_small(every), F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left")
+    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             clean = [t if t is None or not x else replace_spans(t, [(y["kind"], y["start"], y["end"]) for y in x])
                      for t, x in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
-            yield pa.record_batch([*[b.column(f"c{i}") for i in range(len(keep))], pa.array(clean, pa.string())],
-                                  names=[*keep, "sanitised"])
+            yield pa.record_batch([*[b.column(c) for c in names], pa.array(clean, pa.string())], names=[*names, "sanitised"])
 
-    rows = rows.select(F.col("text").cast("string").alias("text"), F.col("_spans").alias("spans"),
-                       *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("sanitised", T.StringType())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("sanitised", T.StringType())])
+    return rows.select(*names, "spans").mapInArrow(run, schema)

@@ -208,12 +208,12 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
     sets = stage(_shingle_sets(texts, k).join(broadcast_if_small(wanted.select("_key")), "_key", "left_semi"), "minhash-sets")
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = stage(sets.dropDuplicates(["_key"]), "minhash-sets")
-    members = members.withColumn("label", F.col("_key"))
+    members = members.withColumn("label", F.col("_key")).withColumn("light", F.lit(True))
     found, tested, leaders = None, None, 1
     while True:
         lead = _leaders(members, leaders)
-        # every leader comes before the other members in the order that leaders are picked by
-        after = (F.col("mates") < F.col("lead_mates")) | ((F.col("mates") == F.col("lead_mates")) & (F.col("_key") > F.col("leader")))
+        # every leader comes before the other members that may lead, in the order that they are picked by
+        after = ~F.col("light") | (F.col("mates") < F.col("lead_mates")) | ((F.col("mates") == F.col("lead_mates")) & (F.col("_key") > F.col("leader")))
         pairs = members.join(lead, "band").where(after & (F.col("label") != F.col("lead_label"))) \
             .select(F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b")).distinct()
         if tested is not None:
@@ -229,7 +229,7 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
         rest = stage(_still_apart(members, lead, found), "minhash-rest")
         if rest.isEmpty():
             return found
-        if leaders == 1:
+        if leaders == 1:  # the texts of all buckets together; their new buckets hold every similar pair of them
             rest = stage(_prefix_buckets(sets, rest, threshold), "minhash-prefixes")
         members, leaders = rest, leaders * GROWTH
 
@@ -254,18 +254,38 @@ def _prefix_buckets(sets: DataFrame, rest: DataFrame, threshold: float) -> DataF
     items = stage(items, "minhash-items")
     items = items.join(items.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
     before = Window.partitionBy("_key").orderBy("n", "band").rowsBetween(Window.unboundedPreceding, -1)
+    # with a = own / common mass of one text and b of the other, both indexes are at most 1 / (1 + a + b);
+    # so one of two similar texts has an own mass of at most ``half`` and leads where its prefix up to that
+    # mass meets the other's.  A shingle that no other of these texts holds is own mass
+    half = (1 / threshold - 1) / (1 / threshold + 1) + 1e-9
+    own = lambda c: F.sum(F.when(F.col("n") == 1, F.col(c)).otherwise(0.0))
+    light = items.groupBy("_key").agg((F.least(own("p"), own("u")) <= half).alias("light"))
     items = items.withColumn("p", F.sum("p").over(before)).withColumn("u", F.sum("u").over(before))
-    prefix = F.coalesce(F.least("p", "u"), F.lit(0.0)) <= 1 - threshold + 1e-9
-    items = stage(items.where(prefix & (F.col("n") > 1)).select("_key", "band", "n"), "minhash-prefix-items")
-    mates = items.groupBy("_key").agg(F.sum("n").alias("mates")).join(labels, "_key")
-    return items.select("_key", "band").join(mates, "_key").select("_key", "band", "mates", "label")
+    mass = F.coalesce(F.least("p", "u"), F.lit(0.0))
+    items = items.where((mass <= 1 - threshold + 1e-9) & (F.col("n") > 1))
+    items = stage(items.select("_key", "band", "n", (mass <= half).alias("short")), "minhash-prefix-items")
+    # a bucket whose texts all have the same shingle before this one lies inside that one's bucket
+    previous = items.withColumn("prev", F.lag("band").over(Window.partitionBy("_key").orderBy("n", "band")))
+    inside = previous.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count("prev").alias("some"),
+                                          F.min("prev").alias("x"), F.max("prev").alias("y")).where("all = some and x = y")
+    items = stage(items.join(inside.select("band"), "band", "left_anti"), "minhash-outer-items")
+    mates = items.groupBy("_key").agg(F.sum("n").alias("mates")).join(labels, "_key").join(light, "_key")
+    members = items.join(mates, "_key").withColumn("light", F.col("light") & F.col("short"))
+    return _open_buckets(members.select("_key", "band", "mates", "label", "light"))
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets with two or more labels and a text that may lead."""
+    many = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("light").alias("light")) \
+        .where("x < y and light").select("band")
+    return members.join(many, "band", "left_semi")
 
 
 def _leaders(members: DataFrame, leaders: int) -> DataFrame:
     """The ``leaders`` members of each bucket that share the most buckets with others.  The limit is
     applied before the shuffle."""
     w = Window.partitionBy("band").orderBy(F.col("mates").desc(), "_key")
-    return members.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= leaders) \
+    return members.where("light").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= leaders) \
         .select("band", F.col("_key").alias("leader"), F.col("label").alias("lead_label"), F.col("mates").alias("lead_mates"))
 
 
@@ -285,8 +305,7 @@ def _still_apart(members: DataFrame, lead: DataFrame, found: DataFrame) -> DataF
         .withColumn(old, F.coalesce("_new", old)).drop("_new")
     lead = relabel(lead, "leader", "lead_label").select("band", F.col("lead_label").alias("label")).distinct()
     rest = relabel(members, "_key", "label").join(lead, ["band", "label"], "left_anti")
-    many = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    return rest.join(many, "band", "left_semi").select("_key", "band", "mates", "label")
+    return _open_buckets(rest.select("_key", "band", "mates", "label", "light"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ their own, ordered by a hash of their text; null ids come first.  Extra input co
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,31 +28,21 @@ from tidemark.llm.common import broadcast_if_small, new_path, text_batches
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2000
-#: Pieces whose ids a Python worker remembers; only a bound on memory, results do not depend on it.
-REMEMBERED = 700_000
+#: Words whose ids a Python worker remembers (about 40 bytes each); only a bound on memory, results do
+#: not depend on it.
+REMEMBERED = 2_000_000
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
-# A piece is a run of white space with the word after it; a point or comma after plain letters
-# begins the next piece.  Byte-level BPE splits a text at these places before it merges bytes
-# (tokens hold no white space after other characters, and no letter before a point), so the
-# ids of a text are those of its pieces.
-_PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s]|\Z)|\s*\S+|\s+")
-# Python counts these as white space, the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Texts are cut before their spaces.  Byte-level BPE cuts there too before it merges bytes, but for
+# a space between other white space, or between white space and the end; such texts, and those with
+# characters whose class is in doubt, are encoded whole.
+_SPACES = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHOLE = rf"[{_SPACES}] (?:[{_SPACES}]|$)|[\x1c-\x1f]"
 CHAIN = 1000
 
 
-class _Known(dict):
-    """Ids of remembered pieces; those of the batch that are not remembered are in ``extra``."""
-
-    extra: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.extra[piece]
-
-
-class PieceEncoder:
-    """Ids of whole texts with the tokenizers library, remembering the ids of pieces."""
+class TextEncoder:
+    """Ids of whole texts with the tokenizers library, each distinct word of a batch encoded once."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
@@ -62,50 +51,117 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         # in the byte-level alphabet a character stands for a byte
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
-        self.known = _Known()
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        # a space and other characters behind it: such pieces may stand behind one another
-        chained = [p for p in pieces if p[0] == " " and not p[1:2].isspace() and len(p) > 1 and "<" not in p]
-        alone = list(set(pieces).difference(chained))
-        out = {p: a.tobytes() for i in range(0, len(alone), CHAIN)
-               for p, a in zip(alone[i:i + CHAIN], self._ids(alone[i:i + CHAIN]))}
-        for i in range(0, len(chained), CHAIN):
-            some = chained[i:i + CHAIN]
-            joined = "".join(some)
-            ids = self._ids([joined])[0]
-            sizes = map(len, some) if joined.isascii() else [len(p.encode("utf-8", "surrogatepass")) for p in some]
-            ends = np.cumsum(np.fromiter(sizes, np.int64, len(some)))
-            cuts = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
-            raw = ids.tobytes()
-            out.update(zip(some, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
+        # remembered words: two hashes of each (sorted by the first), place and number of its ids
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<i4")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), CHAIN):
+            some = self.tokenizer.encode_batch_fast(texts[i:i + CHAIN], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<i4").tobytes() for e in some]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        pieces = [[t] if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        new = self._encode_new(list(set().union(*pieces).difference(known)))
-        room = REMEMBERED - len(known)
-        if room >= len(new):
-            known.update(new)
-        else:
-            known.update(list(new.items())[:max(room, 0)])
-            known.extra = new
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
-
-
-_ENCODERS: dict[str, PieceEncoder] = {}
-
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        out = [b""] * len(words)
+        chained, alone = [], []
+        for i, w in enumerate(words):
+            (chained if w and "<" not in w and not w[0].isspace() and not w[-1].isspace() else alone).append(i)
+        for i, x in zip(alone, self._ids([" " + words[i] for i in alone])):
+            out[i] = x
+        for k in range(0, len(chained), CHAIN):
+            some = [words[i] for i in chained[k:k + CHAIN]]
+            raw = self._ids([" " + " ".join(some)])[0]
+            sizes = np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some))
+            ends = np.cumsum(self.token_bytes[np.frombuffer(raw, "<i4")])
+            cuts = (4 * (np.searchsorted(ends, np.cumsum(sizes)) + 1)).tolist()
+            for i, x, y in zip(chained[k:k + CHAIN], [0, *cuts], cuts):
+                out[i] = raw[x:y]
+        return out
 
-def _encoder(tokenizer_path: str) -> PieceEncoder:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the distinct ``words`` the place and number of its ids among them."""
+        h, g = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        hit = (self.hash[at] == h) & (self.check[at] == g) if len(self.hash) else np.zeros(len(h), dtype=bool)
+        place, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        place[hit], size[hit] = self.place[at[hit]], self.size[at[hit]]
+        new = np.flatnonzero(~hit)
+        raw = self._new_words(words.take(pa.array(new)).to_pylist())
+        size[new] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        place[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<i4")])
+        if len(self.hash) + len(new) <= REMEMBERED:
+            self.ids = ids
+            order = np.argsort(h[new], kind="stable")
+            some = new[order]
+            to = np.searchsorted(self.hash, h[some])
+            self.hash, self.check = np.insert(self.hash, to, h[some]), np.insert(self.check, to, g[some])
+            self.place, self.size = np.insert(self.place, to, place[some]), np.insert(self.size, to, size[some])
+        return ids, place, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each; null is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        if whole.any():
+            rest = texts.filter(pa.array(~whole))
+            flat, n = self._split(rest) if len(rest) else (np.zeros(0, "<i4"), np.zeros(0, np.int64))
+            parts = iter(np.split(flat, np.cumsum(n)[:-1]) if len(n) else [])
+            odd = iter(self._ids(texts.filter(pa.array(whole)).to_pylist()))
+            each = [np.frombuffer(next(odd), "<i4") if w else next(parts) for w in whole.tolist()]
+            return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+        return self._split(texts)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        flat = lists.flatten()
+        starts = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))
+        coded = flat.dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        ids, place, size = self._words(coded.dictionary)
+        # the first word of a text has no space before it
+        first = starts[:-1]
+        raw = self._ids(flat.take(pa.array(first)).to_pylist())
+        n_first = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        values = np.concatenate([ids, np.frombuffer(b"".join(raw), "<i4")])
+        place, n = place[index], size[index]
+        place[first], n[first] = len(ids) + np.cumsum(n_first) - n_first, n_first
+        before = np.cumsum(n) - n
+        out = values[np.repeat(place - before, n) + np.arange(n.sum())]
+        return out, np.add.reduceat(n, first)
+
+
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string: sums over its bytes of a random number for the byte times
+    one for its position."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+    starts, length = offsets[:-1] - offsets[0], np.diff(offsets)
+    position = np.arange(len(data)) - np.repeat(starts, length)
+    out = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        by_position = rng.integers(0, 1 << 64, int(length.max(initial=0)) + 1, dtype=np.uint64) | np.uint64(1)
+        h = np.zeros(len(words), np.uint64)
+        some = length > 0
+        if some.any():
+            h[some] = np.add.reduceat(byte[data] * by_position[position], starts[some])
+        out.append(h)
+    return out[0], out[1]
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def _encoder(tokenizer_path: str) -> TextEncoder:
     """One encoder for each Python worker, kept over its tasks."""
     if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
+        _ENCODERS[tokenizer_path] = TextEncoder(tokenizer_path)
     return _ENCODERS[tokenizer_path]
 
 
@@ -114,18 +170,17 @@ def _encode(tokenizer_path: str, end_id: int):
         from pyspark import TaskContext
 
         shard, start = TaskContext.get().partitionId(), 0
-        encoder, end = _encoder(tokenizer_path), np.array([end_id], dtype="<i4").tobytes()
-        for b in text_batches(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        encoder = _encoder(tokenizer_path)
+        for b in text_batches(batches, 6 << 20):
+            ids, n = encoder.encode(b.column("text"))
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             offsets = np.concatenate([[0], np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
             yield pa.record_batch({
                 "shard": pa.array(np.full(len(n), shard, dtype=np.int32)),
                 "doc_id": pc.cast(b.column("doc_id"), pa.int64()),
                 "shard_start": pa.array(start + offsets[:-1]),
                 "n_tokens": pa.array(n),
-                "input_ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values),
+                "input_ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
             })
             start += int(offsets[-1])
     return run

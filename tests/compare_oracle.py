@@ -8,6 +8,7 @@ import hashlib
 import math
 import sys
 import time
+from decimal import Decimal
 
 import duckdb
 
@@ -27,12 +28,8 @@ def _norm(v):
         return "nan" if math.isnan(v) else f"{round(v, 6):.6f}"
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
-    try:
-        from decimal import Decimal
-        if isinstance(v, Decimal):
-            return f"{float(v):.6f}"
-    except Exception:
-        pass
+    if isinstance(v, Decimal):
+        return f"{float(v):.6f}"
     return str(v)
 
 
@@ -42,7 +39,7 @@ SPARK_TO_DUCKDB = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT",
 
 
 def spark_types(df) -> dict[str, str]:
-    return {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString())
+    return {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
             for f in df.schema.fields}
 
 

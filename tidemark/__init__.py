@@ -6,7 +6,6 @@ all as DataFrame plans.  Entry points:
 * ``tidemark.sources.tables.read_inputs`` -- the eleven inputs (folders, catalog, JDBC)
 * ``tidemark.plans.chain.build_tables`` / ``refresh`` -- the nine tables, lazily or stored
 * ``tidemark.operators`` -- the operators one by one
-* ``tidemark.streaming.clock`` -- the hourly clock as a stream
 """
 
 __version__ = "0.1.0"

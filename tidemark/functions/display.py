@@ -88,13 +88,42 @@ def patient_rows(patients: DataFrame) -> DataFrame:
         datetime_text("intime").alias("admitted_text"))
 
 
+def detail_header(patients: DataFrame) -> DataFrame:
+    """The header of the detail page: as a list row, with the race in full."""
+    rows = patient_rows(patients).drop("race_text")
+    race = patients.select("subject_id", "stay_id", "hadm_id", or_missing("race").alias("race_text"))
+    return rows.join(race, ["subject_id", "stay_id", "hadm_id"])
+
+
+def vital_labels(hourly: DataFrame) -> DataFrame:
+    """A name for each hourly vitals row."""
+    return hourly.select("subject_id", "stay_id", "charttime_hour", _row_label("Vitals", "charttime_hour").alias("label"))
+
+
+def procedure_labels(hourly: DataFrame) -> DataFrame:
+    """A name for each row of the procedure table: its item, or that there is none."""
+    item = F.coalesce(F.col("item_label"), F.lit(MISSING))
+    return hourly.select("subject_id", "stay_id", "charttime_hour", "orderid",
+                         F.concat(item, F.lit(SEPARATOR), _row_label("Procedure", "charttime_hour")).alias("label"))
+
+
+def _row_label(kind: str, hour: str) -> Column:
+    return F.concat(F.lit(f"{kind} "), F.col("subject_id").cast("string"), F.lit("/"), F.col("stay_id").cast("string"),
+                    F.lit(" "), datetime_text(hour))
+
+
+def plain_number(c) -> Column:
+    """A number without an exponent: 12345678.0, 0.0005."""
+    return F.regexp_replace(_c(c).cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def procedure_rows(log: DataFrame) -> DataFrame:
     """Procedure log entries as the detail page shows them: label, time, value
     line only when a value is set, category line (with status) only when a
     category is set."""
     value = F.col("value")
     value_text = F.when(~_falsy(value, True),
-                        F.concat(F.lit("Value: "), value.cast("string"), F.lit(" "),
+                        F.concat(F.lit("Value: "), plain_number(value), F.lit(" "),
                                  F.coalesce(F.col("valueuom"), F.lit(""))))
     cat, status = F.col("ordercategoryname"), F.col("statusdescription")
     category_text = F.when(~_falsy(cat, False),

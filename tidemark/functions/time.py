@@ -17,8 +17,18 @@ def _c(c) -> Column:
 
 
 def trunc_hour(c) -> Column:
-    """``date_trunc('hour', c)`` kept zone-less (Spark's date_trunc returns TIMESTAMP)."""
-    return F.date_trunc("hour", _c(c)).cast("timestamp_ntz")
+    """The start of a zone-less time's hour.  ``date_trunc`` would go through TIMESTAMP and so
+    through the session's zone; taking minutes and seconds off stays zone-less."""
+    t = _c(c)
+    return t - F.make_dt_interval(mins=F.minute(t), secs=F.date_part(F.lit("SECOND"), t))
+
+
+def micros_of(c) -> Column:
+    """Microseconds of a zone-less time since 1970, whatever the session's zone."""
+    since = _c(c) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda field, micros: F.date_part(F.lit(field), since).cast("decimal(18,6)") * F.lit(micros)
+    return (part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000)
+            + part("SECOND", 1_000_000)).cast("long")
 
 
 def round_to_hour(c) -> Column:
@@ -48,5 +58,5 @@ def display_clock(hour: Column, base_date: Column) -> Column:
     """Clock text shown for a simulation hour: hour + 1, floored at midnight of the
     base day and capped at midnight of the next day."""
     shown = F.least(F.greatest(hour + 1, F.lit(0)), F.lit(24))
-    t = F.to_timestamp(base_date) + F.make_dt_interval(F.lit(0), shown)
+    t = base_date.cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), shown)
     return F.date_format(t, "MMMM d, yyyy HH:mm")

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import OUTPUTS, STAY_COLUMNS
-from .joins import broadcast_if_small
 
 
 def top1_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -52,7 +51,7 @@ def icd9_only_diagnoses(first: DataFrame, diagnoses: DataFrame, version: int = 9
 
 def titled_diagnoses(fis: DataFrame, titles: DataFrame) -> DataFrame:
     """Attach ``long_title`` on (code, version); untitled codes drop."""
-    t = broadcast_if_small(titles.select("icd_code", "icd_version", "long_title"))
+    t = titles.select("icd_code", "icd_version", "long_title")
     return fis.join(t, ["icd_code", "icd_version"]).select(*OUTPUTS["fis_icd9_titled"])
 
 

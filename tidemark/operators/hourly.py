@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import policy_agg
 from ..functions.time import round_to_hour
 from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
-from .joins import broadcast_if_small
-from .sessions import bucket_of, bucket_sessions, gap_buckets
+from .sessions import bucket_of, bucket_sessions
 
 KEYS = ["subject_id", "stay_id"]
 
@@ -87,28 +86,28 @@ def vital_clusters(vitals: DataFrame, cohort: DataFrame) -> DataFrame:
     """One row per gap cluster: mean of every vital, first non-NULL site, and the
     hour of the cluster's first reading (``charttime_hour``).
 
-    The readings are reduced once, to 15-minute bucket rows, with partial
-    aggregation before the only shuffle of the big table.  Sums and counts are a
-    hash aggregate (code-generated); the first site by time needs a (time, text)
-    buffer, which Spark aggregates by sorting, so it is reduced on its own over
-    the rows that have a site (three narrow columns) and joined 1:1 on (stay,
-    bucket), both sides already partitioned on those keys.  Clusters are runs of
+    One scan of the readings: they are summed per (stay, bucket, site), a hash aggregate
+    with partial aggregation before any exchange, so a stay with most of the readings
+    leaves each map task as its bucket rows.  Those rows are cut to the cohort and merged
+    per bucket (first site by time).  Clusters are runs of
     buckets: their means are sums over the run divided by counts, and both the
     cluster and the hour reduction run on the stay partitioning of the bucket
     window, without another exchange.
     """
-    v = vitals.select(*KEYS, "charttime", *VITAL_POLICIES).join(cohort.select(*KEYS), KEYS, "left_semi")
-    v = v.withColumn("temperature", F.col("temperature").cast("double"))
-    numeric = []
+    v = vitals.select(*KEYS, "charttime", *VITAL_POLICIES).filter(F.col("charttime").isNotNull())
+    v = v.withColumn("temperature", F.col("temperature").cast("double")).withColumn("_bucket", bucket_of("charttime"))
+    sums = []
     for c in VITAL_MEANS:
-        numeric += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
-    buckets = gap_buckets(v.drop("temperature_site"), KEYS, "charttime", aggs=numeric)
-    site = F.col("temperature_site")
-    sites = (v.filter(site.isNotNull() & F.col("charttime").isNotNull())
-             .select(*KEYS, bucket_of("charttime").alias("_bucket"),
-                     F.struct(F.col("charttime").alias("t"), site.alias("v")).alias("_ts"))
-             .groupBy(*KEYS, "_bucket").agg(F.min("_ts").alias("_site")))
-    b = bucket_sessions(buckets.join(sites, KEYS + ["_bucket"], "left"), KEYS)
+        sums += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")]
+    parts = (v.groupBy(*KEYS, "_bucket", "temperature_site")
+             .agg(F.min("charttime").alias("_t_first"), F.max("charttime").alias("_t_last"), *sums)
+             .join(cohort.select(*KEYS), KEYS, "left_semi"))
+    site = F.when(F.col("temperature_site").isNotNull(),
+                  F.struct(F.col("_t_first").alias("t"), F.col("temperature_site").alias("v")))
+    merged = [F.sum(f"_{k}_{c}").alias(f"_{k}_{c}") for c in VITAL_MEANS for k in "sn"]
+    buckets = parts.groupBy(*KEYS, "_bucket").agg(F.min("_t_first").alias("_t_first"), F.max("_t_last").alias("_t_last"),
+                                                  F.min(site).alias("_site"), *merged)
+    b = bucket_sessions(buckets, KEYS)
     cluster_keys = ["cluster_id", "cluster_time"]
     merged = [(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in VITAL_MEANS]
     out = b.groupBy(*KEYS, *cluster_keys).agg(*merged, F.min("_site")["v"].alias("temperature_site"))
@@ -120,6 +119,10 @@ def vitals_hourly(vitals: DataFrame, cohort: DataFrame, grid: DataFrame) -> Data
     """Vitals on the grid, the mean of cluster means per hour of the cluster's first reading."""
     clusters = vital_clusters(vitals, cohort)
     hourly = reduce_hourly(clusters, VITAL_POLICIES, time_col="cluster_time")
+    # published with the declared type; six digits first, so that noise in the last digits of a
+    # mean cannot turn a half
+    mean = F.round("temperature", 6).cast("decimal(12,6)")
+    hourly = hourly.withColumn("temperature", mean.cast("decimal(5,2)"))
     return on_grid(grid, hourly, OUTPUTS["fisi9t_vitalsign_hourly"][3:])
 
 
@@ -130,14 +133,20 @@ PROCEDURE_EVENT_COLUMNS = OUTPUTS["fisi9t_procedureevents_hourly"][3:]
 
 def procedure_events(procedures: DataFrame, window: DataFrame, items: DataFrame) -> DataFrame:
     """Cohort procedures stored inside the stay window, with the item dictionary."""
+    return with_items(stored_in_stay(procedures, window), items)
+
+
+def stored_in_stay(procedures: DataFrame, window: DataFrame) -> DataFrame:
     p = procedures.withColumnRenamed("storetime", "charttime")
-    p = in_stay_window(p, window, "charttime", on=KEYS)
-    di = broadcast_if_small(items.select(
+    return in_stay_window(p, window, "charttime", on=KEYS).withColumn("charttime_hour", round_to_hour("charttime"))
+
+
+def with_items(events: DataFrame, items: DataFrame) -> DataFrame:
+    di = items.select(
         "itemid", F.col("label").alias("item_label"), F.col("unitname").alias("item_unitname"),
         F.col("lownormalvalue").alias("item_lownormalvalue"),
-        F.col("highnormalvalue").alias("item_highnormalvalue")))
-    return (p.join(di, "itemid", "left")
-            .withColumn("charttime_hour", round_to_hour("charttime")))
+        F.col("highnormalvalue").alias("item_highnormalvalue"))
+    return events.join(di, "itemid", "left")
 
 
 def procedures_hourly(procedures: DataFrame, window: DataFrame, items: DataFrame,
@@ -152,13 +161,13 @@ def procedures_hourly(procedures: DataFrame, window: DataFrame, items: DataFrame
     """
     cols = OUTPUTS["fisi9t_procedureevents_hourly"]
     key = KEYS + ["charttime_hour"]
-    ev = procedure_events(procedures, window, items).select(*cols)
+    ev = stored_in_stay(procedures, window)
     # grid hours with no event: one aggregation over grid keys (0) and event keys
     # (1), partially aggregated before its single exchange; keys whose max is 0
     marks = grid.select(*key, F.lit(0).alias("_has")).unionByName(ev.select(*key, F.lit(1).alias("_has")))
     empty = marks.groupBy(*key).agg(F.max("_has").alias("_has")).filter(F.col("_has") == 0)
-    empty = empty.select(*key, *[F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in cols[3:]])
-    return ev.unionByName(empty)
+    empty = empty.select(*key, *[F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns if c not in key])
+    return with_items(ev.unionByName(empty), items).select(*cols)
 
 
 # --- P8, P9 -------------------------------------------------------------------

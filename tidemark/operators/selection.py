@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import on_month_day
-from .joins import broadcast_if_small
 
 TRIPLE = ["subject_id", "stay_id", "hadm_id"]
 
@@ -25,10 +24,10 @@ def cohort_relation(spark: SparkSession, triples: Sequence[tuple[int, int, int]]
     """A literal cohort list (S14) as a relation.  Precedence: triples, else
     subject ids, else no filter (an empty list counts as unset)."""
     if triples:
-        schema = T.StructType([T.StructField(c, T.IntegerType(), False) for c in TRIPLE])
+        schema = T.StructType([T.StructField(c, T.LongType(), False) for c in TRIPLE])
         return "triples", spark.createDataFrame([tuple(r) for r in triples], schema)
     if subject_ids:
-        schema = T.StructType([T.StructField("subject_id", T.IntegerType(), False)])
+        schema = T.StructType([T.StructField("subject_id", T.LongType(), False)])
         return "subject_ids", spark.createDataFrame([(int(s),) for s in subject_ids], schema)
     return None
 
@@ -38,12 +37,21 @@ def select_cohort(profile: DataFrame, triples: DataFrame | None = None,
     """P10 cohort part: keep profiles matching the cohort (triples take precedence).
     A semi join ignores duplicate cohort rows, so the lists are not de-duplicated."""
     if triples is not None:
-        return profile.join(broadcast_if_small(triples.select(*TRIPLE)), TRIPLE, "left_semi")
+        return profile.join(triples.select(*TRIPLE), TRIPLE, "left_semi")
     if subject_ids is not None:
-        return profile.join(broadcast_if_small(subject_ids.select("subject_id")), "subject_id", "left_semi")
+        return profile.join(subject_ids.select("subject_id"), "subject_id", "left_semi")
     return profile
 
 
+def base_patients(profile: DataFrame, cohort: tuple[str, DataFrame] | None, month: int, day: int) -> DataFrame:
+    """The query set behind every list, delta and count: the cohort (a relation of
+    ``cohort_relation``; None keeps everyone), then the clock's month and day."""
+    kind, relation = cohort or ("", None)
+    rows = select_cohort(profile, triples=relation if kind == "triples" else None,
+                         subject_ids=relation if kind == "subject_ids" else None)
+    return admitted_on(rows, month, day)
+
+
 def admitted_on(patients: DataFrame, month: int, day: int) -> DataFrame:
     """P10 date part: admitted on ``month``/``day`` of any year."""
     return patients.filter(on_month_day("intime", month, day))

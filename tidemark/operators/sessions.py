@@ -25,13 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import micros_of
+
 GAP_MINUTES = 15
 
 
 def bucket_of(time_col: str, gap_minutes: int = GAP_MINUTES) -> Column:
     """Index of the gap-wide time bucket of ``time_col``."""
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    return F.floor(micros / F.lit(gap_minutes * 60_000_000)).cast("long")
+    micros = micros_of(time_col)
+    width = F.lit(gap_minutes * 60_000_000)
+    return ((micros - F.pmod(micros, width)) / width).cast("long")
 
 
 def gap_buckets(df: DataFrame, keys: list[str], time_col: str = "charttime",
@@ -80,15 +83,14 @@ def session_summary(df: DataFrame, keys: list[str], time_col: str = "charttime",
 
 def gap_sessions_window(df: DataFrame, keys: list[str], time_col: str = "charttime",
                         gap_minutes: int = GAP_MINUTES) -> DataFrame:
-    """The same clusters with Spark's ``session_window`` (one group per cluster).
-
-    ``session_window`` merges a reading into the open session when it falls
-    within ``gap`` of the previous one, inclusive, which is the cluster rule.
-    It groups by the stay keys alone, so it suits streams (with a watermark) and
-    stays of bounded size; the bucket form above is the batch operator.
-    """
-    sw = F.session_window(F.col(time_col), f"{gap_minutes} minutes")
-    return (df.groupBy(*keys, sw.alias("_sw"))
-            .agg(F.min(time_col).alias("cluster_time"), F.max(time_col).alias("cluster_end"),
-                 F.count(F.lit(1)).alias("n_readings"))
+    """The same clusters with Spark's ``session_window``, over bucket rows.
+
+    A bucket row's session lasts from its first reading to the gap after its last one, so
+    sessions that touch are one cluster; readings are reduced before any exchange."""
+    b = gap_buckets(df, keys, time_col, gap_minutes)
+    length = micros_of("_t_last") - micros_of("_t_first") + F.lit(gap_minutes * 60_000_000)
+    sw = F.session_window("_t_first", F.concat(length.cast("string"), F.lit(" microseconds")))
+    return (b.groupBy(*keys, sw.alias("_sw"))
+            .agg(F.min("_t_first").alias("cluster_time"), F.max("_t_last").alias("cluster_end"),
+                 F.sum("_n").alias("n_readings"))
             .drop("_sw"))

@@ -14,9 +14,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.json import JSON_OPTIONS, json_object
+from ..functions.json import JSON_OPTIONS, json_fields, json_object
 from ..functions.time import display_clock, hour_label, on_month_day
-from .joins import has_at_most
 from .selection import TRIPLE
 
 PAGE_SIZE = 25
@@ -55,7 +54,7 @@ def patient_page(admitted: DataFrame, requested_page, page_size: int = PAGE_SIZE
     page count and total.  The count is one aggregate; the slice is a top-k of
     ``page * page_size`` rows (per-partition top-k, then one merge), never a
     global sort of the table."""
-    total = admitted.count()
+    total = admitted.count()  # the page number depends on it
     page, pages = resolve_page(requested_page, total, page_size)
     rows = admitted.orderBy("subject_id").offset((page - 1) * page_size).limit(page_size)
     return rows.select("*", F.lit(page).alias("page"), F.lit(pages).alias("num_pages"),
@@ -78,7 +77,7 @@ def lookup_one(profile: DataFrame, subject_id: int, stay_id: int, hadm_id: int)
     """Exactly-one lookup of a single triple; raises ``LookupError`` when absent."""
     row = profile.filter((F.col("subject_id") == subject_id) & (F.col("stay_id") == stay_id)
                          & (F.col("hadm_id") == hadm_id))
-    if has_at_most(row, 0):
+    if row.isEmpty():
         raise LookupError(f"no patient ({subject_id}, {stay_id}, {hadm_id})")
     return row
 
@@ -119,7 +118,7 @@ def vitals_timeline_json(timeline: DataFrame) -> DataFrame:
     ISO text.  Rows of a stay in ``charttime_hour`` order concatenate to the
     page's JSON array; nothing is collected into one row."""
     return timeline.select("subject_id", "stay_id", "charttime_hour",
-                           json_object(TIMELINE_COLUMNS + ["hour_label"]).alias("json"))
+                           json_object(timeline, TIMELINE_COLUMNS + ["hour_label"]).alias("json"))
 
 
 def vitals_timeline_arrays(timeline: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def vitals_timeline_arrays(timeline: DataFrame) -> DataFrame:
     year), so collecting it into one row is bounded by construction.  The
     per-row form above needs no collection at all.
     """
-    row = F.struct(*[F.col(c) for c in TIMELINE_COLUMNS + ["hour_label"]])
+    row = json_fields(timeline, TIMELINE_COLUMNS + ["hour_label"])
     arr = F.array_sort(F.collect_list(row))  # struct order: charttime_hour first
     return (timeline.groupBy("subject_id", "stay_id")
             .agg(F.to_json(arr, JSON_OPTIONS).alias("json"), F.count(F.lit(1)).alias("n_hours")))

@@ -3,11 +3,9 @@
 ``build_tables`` returns every output as a lazy DataFrame; Catalyst optimises
 each one as a whole, so filters and column pruning reach the input scans.
 
-``refresh`` materialises them in dependency order.  The cohort profile is
-written first and read back, so the four hourly tables start
-from stored data instead of recomputing the cohort chain four times (this also
-cuts lineage: a lost executor recomputes from the stored table, not from the raw
-inputs).  Every table is written with a layout that serves its lookups (K3):
+``refresh`` materialises them in dependency order.  Each table is read back for the
+next one, so nothing is computed twice (this also cuts lineage: a lost executor recomputes from
+the stored table, not from the raw inputs).  Every table is written with a layout that serves its lookups (K3):
 range-partitioned on ``stay_id`` and sorted by (stay_id, charttime_hour), so
 Parquet min/max statistics skip files and row groups for stay and time filters;
 the hourly tables are also split into calendar (month, day) directories for the
@@ -16,6 +14,8 @@ clock filters.
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +34,9 @@ ORDER = ["first_icu_stay", "fis_icd9", "fis_icd9_titled", "fisi9t_profile",
 # Sort key of each stored table (the access paths of the lookups).
 LAYOUT = {
     "first_icu_stay": ["subject_id"],
-    "fis_icd9": ["subject_id", "icd_code"],
-    "fis_icd9_titled": ["subject_id"],
-    "fisi9t_profile": ["subject_id"],
+    "fis_icd9": ["subject_id", "seq_num", "icd_code"],
+    "fis_icd9_titled": ["subject_id", "seq_num", "icd_code"],
+    "fisi9t_profile": ["subject_id", "seq_num", "icd_code"],
     "fisi9t_unique_patient_profile": ["subject_id"],
     "fisi9t_vitalsign_hourly": ["stay_id", "charttime_hour"],
     "fisi9t_procedureevents_hourly": ["stay_id", "charttime_hour", "charttime", "itemid", "orderid"],
@@ -86,73 +86,93 @@ def with_calendar(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, sort_keys: list[str], fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
-    """Overwrite ``path`` (DROP + CREATE) with a range-partitioned, sorted layout.
-    With ``partition_by`` each task covers a contiguous range of the partition
-    values, so it writes into few directories."""
-    parts = partition_by or []
-    laid_out = df.repartitionByRange(*parts, *sort_keys).sortWithinPartitions(*parts, *sort_keys)
-    writer = laid_out.write.mode("overwrite").format(fmt)
+    """Write ``df`` to the new folder ``path`` with a range-partitioned, sorted layout.
+
+    The range partitioner samples its input first, so the result is stored once as it comes and
+    the layout is made from the stored rows: the chain behind it runs only once.  With
+    ``partition_by`` each task covers a contiguous range of the partition values, so it writes
+    into few directories."""
+    spark, parts, raw = df.sparkSession, partition_by or [], f"{path}.raw"
+    df.write.parquet(raw)
+    stored = spark.read.schema(df.schema).parquet(raw)
+    laid_out = stored.repartitionByRange(*parts, *sort_keys).sortWithinPartitions(*parts, *sort_keys)
+    writer = laid_out.write.format(fmt)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.save(path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def fs_path(spark: SparkSession, path: str):
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+# What each table is computed from.
+DEPENDS = {
+    "first_icu_stay": [], "fis_icd9": ["first_icu_stay"], "fis_icd9_titled": ["fis_icd9"],
+    "fisi9t_profile": ["fis_icd9_titled"], "fisi9t_unique_patient_profile": ["fisi9t_profile"],
+    **{n: ["fisi9t_unique_patient_profile"] for n in ORDER[5:]},
+}
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """A table folder whose write finished (Spark's ``_SUCCESS`` marker exists)."""
-    fs, hpath = fs_path(spark, path + "/_SUCCESS")
-    return bool(fs.exists(hpath))
+def with_dependents(tables) -> list[str]:
+    """The tables and all that are computed from them, in order (the CASCADE of a view drop)."""
+    out = set(tables)
+    for name in ORDER:
+        if out & set(DEPENDS[name]):
+            out.add(name)
+    return [n for n in ORDER if n in out]
 
 
-def write_once(spark: SparkSession, write, path: str) -> None:
-    """Publish a table at ``path`` unless a complete one is there already.
+MANIFEST = "table string, path string, version long"
 
-    ``write(tmp_path)`` writes into a fresh sibling folder, which is then renamed
-    into place (atomic on HDFS and local disks), so readers never see a partial
-    table, a failed attempt leaves only its own scratch folder, and two writers
-    racing for the same path keep the first complete table.
-    """
-    if is_complete(spark, path):
-        return
-    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    write(tmp)
-    fs, target = fs_path(spark, path)
-    if fs.exists(target) and not is_complete(spark, path):
-        fs.delete(target, True)  # leftover of an interrupted non-atomic writer
-    _, src = fs_path(spark, tmp)
-    if not fs.rename(src, target):
-        fs.delete(src, True)  # another writer published first
+
+def published(spark: SparkSession, out_root: str) -> dict[str, str]:
+    """The newest published folder of each table under ``out_root``."""
+    path = f"{out_root}/manifest"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return {}
+    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(path).groupBy("table").agg(F.max(F.struct("version", "path"))["path"].alias("path"))
+    return {r["table"]: r["path"] for r in rows.collect()}
 
 
 def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
             tables: list[str] | None = None, fmt: str = "parquet") -> dict[str, str]:
-    """Rebuild the chain in dependency order under ``out_root`` (a shared folder).
+    """Rebuild ``tables`` (all by default), what depends on them, and inputs of theirs that were
+    never published, in dependency order under ``out_root`` (a shared folder).
 
-    Downstream tables are always rebuilt after their inputs (the CASCADE of a
-    view drop): asking for a table also rebuilds what depends on it.  The hourly
-    tables read the stored profile; when it is missing it is built first.
+    Every refresh writes into a folder of its own and every table starts from the stored table
+    before it.  All are published together at the end, by one file in the manifest: a failed
+    refresh publishes nothing, readers keep the folders that they opened, and of two
+    writers the later one is what ``published`` returns, whole.
     """
-    wanted = set(tables or ORDER)
-    first = min(ORDER.index(n) for n in wanted)
-    todo = ORDER[first:]
-    paths = {}
-    chain = C.cohort_chain(t)
-    profile_name = "fisi9t_unique_patient_profile"
-    profile_path = f"{out_root}/{profile_name}"
-    if profile_name not in todo and not is_complete(spark, profile_path):
-        todo = [profile_name] + todo
-    for name in [n for n in todo if n in chain]:
-        paths[name] = f"{out_root}/{name}"
-        write_table(chain[name], paths[name], LAYOUT[name], fmt)
-    profile = spark.read.format(fmt).load(profile_path)
-    for name, df in hourly_tables(t, profile).items():
+    have = published(spark, out_root)
+    todo = set(with_dependents(tables or ORDER))
+    for name in reversed(ORDER):
         if name in todo:
-            paths[name] = f"{out_root}/{name}"
-            calendar = name in CALENDAR_TABLES
-            out = with_calendar(df.select(*OUTPUTS[name])) if calendar else df.select(*OUTPUTS[name])
-            write_table(out, paths[name], LAYOUT[name], fmt, CALENDAR_COLUMNS if calendar else None)
+            todo |= {d for d in DEPENDS[name] if d not in have}
+    version = time.time_ns()
+    folder = f"{out_root}/versions/{version}-{uuid.uuid4().hex}"
+    paths = {n: f"{folder}/{n}" for n in ORDER if n in todo}
+    for name in paths:
+        before = {d: spark.read.format(fmt).load(paths.get(d, have.get(d))).select(*OUTPUTS[d]) for d in DEPENDS[name]}
+        out = _table(name, t, *before.values()).select(*OUTPUTS[name])
+        calendar = name in CALENDAR_TABLES
+        write_table(with_calendar(out) if calendar else out, paths[name], LAYOUT[name], fmt,
+                    CALENDAR_COLUMNS if calendar else None)
+    rows = [(n, p, version) for n, p in paths.items()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{out_root}/manifest/{os.path.basename(folder)}")
     return paths
+
+
+def _table(name: str, t: ClinicalTables, before: DataFrame | None = None) -> DataFrame:
+    """One table of the chain from the stored table before it."""
+    if name == "first_icu_stay":
+        return C.first_stay(t.icustays)
+    if name == "fis_icd9":
+        return C.icd9_only_diagnoses(before, t.diagnoses_icd)
+    if name == "fis_icd9_titled":
+        return C.titled_diagnoses(before, t.d_icd_diagnoses)
+    if name == "fisi9t_profile":
+        return C.stay_profile(before, t.age, t.icustay_detail)
+    if name == "fisi9t_unique_patient_profile":
+        return C.unique_profile(before)
+    return hourly_tables(t, before)[name]

@@ -1,7 +1,7 @@
 """Input and output schemas of the clinical tables.
 
-Inputs follow the column types declared for the read models (ids ``int``,
-age ``short``, temperature ``decimal(5,2)``, zone-less times ``timestamp_ntz``).
+Inputs follow the column types declared for the read models (ids are 64-bit, so
+that keys beyond two billion fit; age ``short``, temperature ``decimal(5,2)``, zone-less times ``timestamp_ntz``).
 Outputs are listed in column order; ``conform`` casts and orders a DataFrame to
 one of them, and ``assert_schema`` checks a result.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INT, SHORT, DOUBLE, STR = T.IntegerType(), T.ShortType(), T.DoubleType(), T.StringType()
+INT, LONG, SHORT, DOUBLE, STR = T.IntegerType(), T.LongType(), T.ShortType(), T.DoubleType(), T.StringType()
 NTZ = T.TimestampNTZType()
 DEC52 = T.DecimalType(5, 2)
 
@@ -29,31 +29,31 @@ CHEMISTRY_COLUMNS = ["bicarbonate", "calcium", "sodium", "potassium"]
 COAGULATION_COLUMNS = ["d_dimer", "fibrinogen", "thrombin", "inr", "pt", "ptt"]
 
 INPUTS: dict[str, T.StructType] = {
-    "icustays": _st(("subject_id", INT), ("hadm_id", INT), ("stay_id", INT),
+    "icustays": _st(("subject_id", LONG), ("hadm_id", LONG), ("stay_id", LONG),
                     ("first_careunit", STR), ("last_careunit", STR),
                     ("intime", NTZ), ("outtime", NTZ), ("los", DOUBLE)),
-    "diagnoses_icd": _st(("subject_id", INT), ("hadm_id", INT), ("seq_num", INT),
+    "diagnoses_icd": _st(("subject_id", LONG), ("hadm_id", LONG), ("seq_num", LONG),
                          ("icd_code", STR), ("icd_version", INT)),
     "d_icd_diagnoses": _st(("icd_code", STR), ("icd_version", INT), ("long_title", STR)),
-    "age": _st(("subject_id", INT), ("hadm_id", INT), ("anchor_age", SHORT)),
-    "icustay_detail": _st(("stay_id", INT), ("gender", STR), ("race", STR),
+    "age": _st(("subject_id", LONG), ("hadm_id", LONG), ("anchor_age", SHORT)),
+    "icustay_detail": _st(("stay_id", LONG), ("gender", STR), ("race", STR),
                           ("icu_intime", NTZ), ("icu_outtime", NTZ)),
-    "vitalsign": _st(("subject_id", INT), ("stay_id", INT), ("charttime", NTZ),
+    "vitalsign": _st(("subject_id", LONG), ("stay_id", LONG), ("charttime", NTZ),
                      *[(c, DEC52 if c == "temperature" else STR if c == "temperature_site" else DOUBLE)
                        for c in VITAL_COLUMNS]),
-    "procedureevents": _st(("subject_id", INT), ("stay_id", INT), ("storetime", NTZ),
-                           ("caregiver_id", INT), ("itemid", INT), ("value", DOUBLE),
+    "procedureevents": _st(("subject_id", LONG), ("stay_id", LONG), ("storetime", NTZ),
+                           ("caregiver_id", INT), ("itemid", LONG), ("value", DOUBLE),
                            ("valueuom", STR), ("location", STR), ("locationcategory", STR),
-                           ("orderid", INT), ("linkorderid", INT), ("ordercategoryname", STR),
+                           ("orderid", LONG), ("linkorderid", LONG), ("ordercategoryname", STR),
                            ("ordercategorydescription", STR), ("patientweight", DOUBLE),
                            ("isopenbag", SHORT), ("continueinnextdept", SHORT),
                            ("statusdescription", STR), ("originalamount", DOUBLE),
                            ("originalrate", DOUBLE)),
-    "d_items": _st(("itemid", INT), ("label", STR), ("unitname", STR),
+    "d_items": _st(("itemid", LONG), ("label", STR), ("unitname", STR),
                    ("lownormalvalue", DOUBLE), ("highnormalvalue", DOUBLE)),
-    "chemistry": _st(("subject_id", INT), ("charttime", NTZ),
+    "chemistry": _st(("subject_id", LONG), ("charttime", NTZ),
                      *[(c, DOUBLE) for c in CHEMISTRY_COLUMNS]),
-    "coagulation": _st(("subject_id", INT), ("charttime", NTZ),
+    "coagulation": _st(("subject_id", LONG), ("charttime", NTZ),
                        *[(c, DOUBLE) for c in COAGULATION_COLUMNS]),
 }
 

@@ -19,7 +19,6 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Partial aggregation must stay on: hot keys are reduced map-side.
     "spark.sql.execution.useObjectHashAggregateExec": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
@@ -41,7 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
-        b = b.config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
+        b = b.config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         # small local inputs: let AQE keep a few partitions per shuffle instead of one
         b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     spark = b.getOrCreate()
@@ -51,42 +50,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
-    """Shuffle and scan sizing for a given input volume (e.g. 100 TB).
-
-    The initial shuffle partition count is sized so one partition holds about
-    ``target_partition_bytes`` of input; AQE then coalesces small partitions
-    toward the advisory size and splits skewed ones, so memory per task stays
-    bounded whatever the key distribution.
-    """
-    partitions = max(200, -(-input_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    }
-
-
-def apply_scale(spark: SparkSession, input_bytes: int) -> None:
-    for k, v in scale_conf(input_bytes).items():
-        spark.conf.set(k, v)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
     (local tests) a scratch folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
         d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d.rstrip("/")

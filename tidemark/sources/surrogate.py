@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import micros_of
 from ..schemas import INPUTS, conform
 
 # Fixed values of the mapping (FIXTURES.md section 3): id offsets, stay length in
@@ -23,7 +24,7 @@ STAY_OFFSET = 30000000
 DAYS_PER_STAY = 10
 NO_OUTTIME_MODULUS = 13
 ICD_CODE_MODULUS = 250
-DICTIONARY_MAX_KEY = 200  # part keys below this form the code and item dictionaries
+UNTITLED_MODULUS = 4  # codes that this divides have a title of version 10 only
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def _typed(event_type: Column, kinds: tuple[str, ...], value: Column, negate: bo
 
 @dataclass
 class ClinicalTables:
-    """The eleven clinical inputs, as lazy DataFrames."""
+    """The ten clinical inputs, as lazy DataFrames."""
 
     icustays: DataFrame
     diagnoses_icd: DataFrame
@@ -63,7 +64,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
-    """The eleven clinical inputs derived from the test tables in ``sf_dir``."""
+    """The ten clinical inputs derived from the test tables in ``sf_dir``."""
     ev = _events(spark, sf_dir)
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -83,9 +84,7 @@ def surrogate_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
             "first_careunit", "last_careunit",
             (F.col("t0") + F.expr("INTERVAL 12 HOURS")).alias("intime"),
             F.when(~no_out, F.col("t1") - F.expr("INTERVAL 12 HOURS")).alias("outtime"),
-            F.when(~no_out, (F.unix_micros(F.col("t1").cast("timestamp"))
-                             - F.unix_micros(F.col("t0").cast("timestamp")) - day_us)
-                   / F.lit(float(day_us))).alias("los")),
+            F.when(~no_out, (micros_of("t1") - micros_of("t0") - day_us) / F.lit(float(day_us))).alias("los")),
         INPUTS["icustays"])
 
     et, v, eid = F.col("event_type"), F.col("value"), F.col("event_id")
@@ -98,9 +97,9 @@ def surrogate_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
             F.when(((F.col("user_id") % 5) == 0) & (et == "error"), 10).otherwise(9).alias("icd_version")),
         INPUTS["diagnoses_icd"])
 
-    dictionary = part.filter(F.col("p_partkey") < DICTIONARY_MAX_KEY)
-    d_icd = conform(dictionary.select(F.col("p_partkey").alias("icd_code"), F.lit(9).alias("icd_version"),
-                                      F.col("p_name").alias("long_title")),
+    version = F.when(F.col("p_partkey") % UNTITLED_MODULUS == 0, 10).otherwise(9)
+    d_icd = conform(part.select(F.col("p_partkey").alias("icd_code"), version.alias("icd_version"),
+                                F.col("p_name").alias("long_title")),
                     INPUTS["d_icd_diagnoses"])
 
     with_nation = (icustays.select("subject_id", "hadm_id", "stay_id", "intime", "outtime")
@@ -165,7 +164,7 @@ def surrogate_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
         F.lit("FinishedRunning").alias("statusdescription"),
         v.alias("originalamount"), (v / 2).alias("originalrate")), INPUTS["procedureevents"])
 
-    d_items = conform(dictionary.select(
+    d_items = conform(part.select(
         F.col("p_partkey").alias("itemid"), F.col("p_name").alias("label"),
         F.col("p_brand").alias("unitname"), F.col("p_size").cast("double").alias("lownormalvalue"),
         F.col("p_retailprice").alias("highnormalvalue")), INPUTS["d_items"])

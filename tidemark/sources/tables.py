@@ -27,11 +27,8 @@ def resolve_table(spark: SparkSession, name: str, search_path: list[str]) -> str
     """``database.name`` for the first database of ``search_path`` holding ``name``
     (unqualified names resolve like a schema search path)."""
     for db in search_path:
-        try:
-            if spark.catalog.tableExists(f"{db}.{name}"):
-                return f"{db}.{name}"
-        except Exception:  # a database of the path that does not exist
-            continue
+        if (db == "global_temp" or spark.catalog.databaseExists(db)) and spark.catalog.tableExists(f"{db}.{name}"):
+            return f"{db}.{name}"
     raise LookupError(f"table {name!r} not found in {search_path}")
 
 

@@ -79,7 +79,7 @@ def shielded(docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame],
     return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c.lower() not in replaced], *results)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterable[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``chars`` bytes of their ``text`` column, so
     that a task's memory does not follow the number of long texts in an Arrow batch."""
     for b in batches:

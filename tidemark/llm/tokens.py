@@ -30,7 +30,7 @@ PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2000
 #: Words whose ids a Python worker remembers (about 40 bytes each); only a bound on memory, results do
 #: not depend on it.
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
 # Texts are cut before their spaces.  Byte-level BPE cuts there too before it merges bytes, but for
@@ -171,7 +171,7 @@ def _encode(tokenizer_path: str, end_id: int):
 
         shard, start = TaskContext.get().partitionId(), 0
         encoder = _encoder(tokenizer_path)
-        for b in text_batches(batches, 6 << 20):
+        for b in text_batches(batches, 3 << 20):
             ids, n = encoder.encode(b.column("text"))
             ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             offsets = np.concatenate([[0], np.cumsum(n)])

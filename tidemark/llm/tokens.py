@@ -30,7 +30,7 @@ PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2000
 #: Words whose ids a Python worker remembers (about 40 bytes each); only a bound on memory, results do
 #: not depend on it.
-REMEMBERED = 700_000
+REMEMBERED = 1_400_000
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
 # Texts are cut before their spaces.  Byte-level BPE cuts there too before it merges bytes, but for

@@ -96,20 +96,13 @@ def detail_header(patients: DataFrame) -> DataFrame:
 
 
 def vital_labels(hourly: DataFrame) -> DataFrame:
-    """A name for each hourly vitals row."""
-    return hourly.select("subject_id", "stay_id", "charttime_hour", _row_label("Vitals", "charttime_hour").alias("label"))
+    """The name of each hourly vitals row."""
+    return hourly.select("subject_id", "stay_id", "charttime_hour", row_label("vitals").alias("label"))
 
 
 def procedure_labels(hourly: DataFrame) -> DataFrame:
-    """A name for each row of the procedure table: its item, or that there is none."""
-    item = F.coalesce(F.col("item_label"), F.lit(MISSING))
-    return hourly.select("subject_id", "stay_id", "charttime_hour", "orderid",
-                         F.concat(item, F.lit(SEPARATOR), _row_label("Procedure", "charttime_hour")).alias("label"))
-
-
-def _row_label(kind: str, hour: str) -> Column:
-    return F.concat(F.lit(f"{kind} "), F.col("subject_id").cast("string"), F.lit("/"), F.col("stay_id").cast("string"),
-                    F.lit(" "), datetime_text(hour))
+    """The name of each row of the procedure table."""
+    return hourly.select("subject_id", "stay_id", "charttime_hour", "orderid", row_label("procedure").alias("label"))
 
 
 def plain_number(c) -> Column:

@@ -23,9 +23,9 @@ def assert_unique(df: DataFrame, key: str = "subject_id") -> None:
 
 def sample_and_count(df: DataFrame, n: int = 5, order: str = "subject_id") -> DataFrame:
     """The readiness sample: ``n`` rows (lowest ``order`` first, so it is
-    repeatable) and the table's row count on every row."""
-    total = df.count()
-    return df.orderBy(order).limit(n).withColumn("total_rows", F.lit(total).cast("long"))
+    repeatable) and the table's row count on every row, in the same plan."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.orderBy(order).limit(n).withColumn("total_rows", total.cast("long"))
 
 
 def readiness(spark: SparkSession, table: str, sample_columns: list[str] | None = None) -> dict:

@@ -14,6 +14,7 @@ their own, ordered by a hash of their text; null ids come first.  Extra input co
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +46,8 @@ class TextEncoder:
     """Ids of whole texts with the tokenizers library, each distinct word of a batch encoded once."""
 
     def __init__(self, tokenizer_path: str):
+        # a task is one thread; set before the library starts its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_grid_has_hours_plus_two_rows_per_stay(spark):
-    c = Ctx.of(spark, SF)
+    c = Ctx(spark, SF)
     per_stay = c.grid.groupBy("stay_id").agg(F.count(F.lit(1)).alias("n"))
     want = c.window.select("stay_id", ((F.unix_seconds(F.col("end_hour").cast("timestamp"))
                                         - F.unix_seconds(F.col("start_hour").cast("timestamp"))) / 3600 + 2)

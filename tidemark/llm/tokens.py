@@ -223,8 +223,8 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column("input_ids")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        data = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        crc = [zlib.crc32(data[4 * i:4 * j]) for i, j in zip(offsets[:-1], offsets[1:])]
+        data = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+        crc = [zlib.crc32(data[4 * i:4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.record_batch({
             "shard": b.column("shard"), "doc_id": b.column("doc_id"), "shard_start": b.column("shard_start"),
             "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "input_ids": lists, "ids_crc32": pa.array(crc, pa.int64()),

@@ -157,7 +157,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = 3, genera
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}{3,}"), F.lit(0)))
     wanted = stage(pairs.select("term").distinct(), "pii-terms")
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")) \
-        .join(broadcast_if_small(wanted), "term", "left_semi")
+        .join(broadcast_if_small(wanted), "term")  # a semi join would be moved below the counts
     total = found.count()
     rows = both.join(entities, "entity").join(terms, "term")
     # the patterns' letters may differ a little from the words counted: a term occurs where the pair does

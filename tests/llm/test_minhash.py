@@ -109,3 +109,41 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert M.classes(frame(spark, [])).count() == 0 and M.keep_first(frame(spark, [])).count() == 0
+
+
+def plain_classes(docs, threshold=0.8):
+    """Classes by the plain index of all pairs, for texts without repeated shingles."""
+    t, s, w, _ = M.shingles([x for _, x in docs])
+    assert (w == 1).all()
+    column = np.unique(s, return_inverse=True)[1]
+    held = np.zeros((len(docs), column.max() + 1), dtype=np.float32)
+    held[t, column] = 1
+    size = held.sum(axis=1)
+    common = held @ held.T
+    near = common / (size[:, None] + size - common) >= threshold - 1e-6
+    label = np.arange(len(docs))
+    while True:
+        new = np.where(near, label, len(docs)).min(axis=1)
+        if (new == label).all():
+            return {d: docs[x][0] for (d, _), x in zip(docs, label)}
+        label = new
+
+
+def test_cut_copies_of_copies_in_large_groups(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(5):
+        base = [f"w{x}" for x in rng.choice(10**6, 200, replace=False)]
+        group = [(10_000 * g, " ".join(base))]
+        for i in range(1, 2000):  # edited copies lead most buckets
+            w = list(base)
+            for p in rng.integers(0, 200, rng.integers(1, 5)):
+                w[p] = f"new{g}x{i}"
+            group.append((10_000 * g + i, " ".join(w)))
+        for i in range(4):  # a copy with a part cut away, and one of that copy with more cut away
+            group.append((10_000 * g + 5000 + i, " ".join(base[:50 * i] + base[50 * i + 28:])))
+            group.append((10_000 * g + 6000 + i, " ".join(base[:50 * i] + base[50 * i + 50:])))
+        rows += group
+        want |= plain_classes(group)
+    got = {r.doc_id: r.class_id for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}

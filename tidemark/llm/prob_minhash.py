@@ -16,6 +16,8 @@ weights that is the ordinary Jaccard index.
    buckets, by the rare shingles that similar texts must share, and compared with the next
    leaders, ``GROWTH`` times as many each round, until none is left.  So a bucket of thousands of
    copies costs one comparison for each, and a passage that many texts hold makes no pairs.
+   A text may be similar to a joined text only, and not to its leader: at the end texts of different
+   classes that still share a bucket are compared directly (``_across``), joined ones too.
 4. Compared pairs are verified on their exact shingle weights: they are linked if their probability
    Jaccard index, or the plain Jaccard index of their shingle sets, is at least the threshold.
 5. Classes are the connected components of the links, found by joins; a class is
@@ -191,7 +193,9 @@ def _verify(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("a", "b", "sa", "wa", "sb", "wb")]
-            ok = [max(similarity(_read_set(sa, wa), _read_set(sb, wb))) >= threshold for _, _, sa, wa, sb, wb in zip(*cols)]
+            # sets without weights are at most as similar as their sizes
+            ok = [(bool(wa or wb) or min(len(sa), len(sb)) >= (threshold - 1e-9) * max(len(sa), len(sb)))
+                  and max(similarity(_read_set(sa, wa), _read_set(sb, wb))) >= threshold for _, _, sa, wa, sb, wb in zip(*cols)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(ok, pa.bool_())})
     return run
 
@@ -209,6 +213,7 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = stage(sets.dropDuplicates(["_key"]), "minhash-sets")
     members = members.withColumn("label", F.col("_key")).withColumn("light", F.lit(True))
+    every = members
     found, tested, leaders = None, None, 1
     while True:
         lead = _leaders(members, leaders)
@@ -219,21 +224,58 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "minhash-pairs")
-        a = sets.select(F.col("_key").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-        b = sets.select(F.col("_key").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-        full = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "wa", "sb", "wb")
-        done = stage(full.mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "minhash-verified")
+        done = _verified(pairs, sets, threshold)
         linked = done.where("linked").select("a", "b")
         found = linked if found is None else found.union(linked)
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         rest = stage(_still_apart(members, lead, found), "minhash-rest")
         if rest.isEmpty():
-            return found
+            return _across(every, sets, found, tested, threshold)
         if leaders == 1:  # the texts of all buckets together; their new buckets hold every similar pair of them
             rest = stage(_prefix_buckets(sets, rest, threshold), "minhash-prefixes")
         members, leaders = rest, leaders * GROWTH
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b and linked of ``pairs``."""
+    a = sets.select(F.col("_key").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
+    b = sets.select(F.col("_key").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
+    full = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "wa", "sb", "wb")
+    return stage(full.mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "minhash-verified")
+
+
+def _across(members: DataFrame, sets: DataFrame, found: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """``found`` and the links between texts of different classes that share a bucket.
+
+    All texts of buckets with two or more classes get prefix buckets, joined ones too.  In each, the texts
+    outside its largest class are compared with all texts of other classes: first with the ``GROWTH`` of
+    each class that share the most buckets with them, then, if still apart, with the others."""
+    roots = broadcast_if_small(stage(components(found), "minhash-roots"))
+    relabel = lambda df, key, label: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(label)), key, "left") \
+        .withColumn(label, F.coalesce(label, key))
+    rest = stage(_open_buckets(relabel(members.drop("label"), "_key", "label")), "minhash-mixed")
+    if rest.isEmpty():
+        return found
+    items = stage(_prefix_buckets(sets, rest, threshold), "minhash-mixed-prefixes").select("_key", "band", "label", "light")
+    sizes = items.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    few = items.join(largest, "band").where("label != largest") \
+        .select("band", F.col("_key").alias("x"), F.col("label").alias("x_label"), F.col("light").alias("x_light"))
+    few = broadcast_if_small(stage(few, "minhash-few"))
+    pairs = items.join(few, "band").where((F.col("label") != F.col("x_label")) & (F.col("light") | F.col("x_light"))) \
+        .groupBy("x", F.col("_key").alias("y"), "label").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(tested, ["a", "b"], "left_anti")
+    pairs = stage(pairs, "minhash-mixed-pairs")
+    place = F.row_number().over(Window.partitionBy("x", "label").orderBy(F.col("shared").desc(), "y"))
+    best = pairs.withColumn("place", place).where(F.col("place") <= GROWTH).select("a", "b").distinct()
+    done = _verified(stage(best, "minhash-best"), sets, threshold)
+    found = found.union(done.where("linked").select("a", "b"))
+    roots = broadcast_if_small(stage(components(found), "minhash-roots"))
+    left = relabel(relabel(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la != lb").select("a", "b")
+    done = _verified(stage(left.join(done.select("a", "b"), ["a", "b"], "left_anti"), "minhash-left-pairs"), sets, threshold)
+    return found.union(done.where("linked").select("a", "b"))
+
+
 def _prefix_buckets(sets: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
     """New buckets for the texts that are left: those that share a shingle of their prefix.
 

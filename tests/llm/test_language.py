@@ -44,6 +44,15 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == len(ODD)
 
 
+def test_a_rare_language_is_learned_beside_a_hot_one(spark):
+    rows = [(i, f"the words of text number {i} are as common as the others", "a", "en") for i in range(400)]
+    rows += [(1000 + i, f"сколько слов есть в этом редком тексте {'аб'[i % 2]}", "a", "ru") for i in range(4)]
+    model = langid.fit(frame(spark, rows), folds=1, held_out=-1, max_docs=10, clusters=2)
+    assert set(model.languages) == {"en", "ru"}
+    got = {r.doc_id: r.lang_pred for r in model.predict(frame(spark, rows)).collect()}
+    assert got == {i: lang for i, _, _, lang in rows}
+
+
 def test_far_texts_are_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs)

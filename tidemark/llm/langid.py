@@ -9,7 +9,8 @@ clearly farther from its centroid than nearly all learned texts of the language
 rejected: the column ``rejected`` is true, the nearest language is still given.
 
 Document frequencies are counted over all learnable texts.  Clusters are fitted on at most
-``max_docs`` of them (smallest hash of the id).  Null texts and texts without letters get
+``max_docs`` of them in each language (smallest hash of the id), so a rare language is learned
+beside a hot one; each language is clustered in a task of its own, and the driver gets its centroids.  Null texts and texts without letters get
 ``und`` and score 0.  Rows are judged one by one; an empty table gives an empty result; extra
 columns are ignored.  Without a learnable row every text gets ``und``.
 """
@@ -21,11 +22,12 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, text_batches
+from tidemark.llm.common import broadcast_if_small, crc_mod, stage, text_batches
 
 DIMS = 4096
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -154,11 +156,14 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
         .select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     n, df = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # the sample is drawn by hash of the id; the cut is the max_docs-th smallest of the narrow column
+    # the sample is drawn by hash of the id; the cut of a language is the max_docs-th smallest of its narrow
+    # rows, limited before the shuffle
     key = F.xxhash64("doc_id")
-    ids = usable.select(key.alias("h")).orderBy("h").limit(max_docs)
-    last = ids.agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = usable.select("lang", key.alias("h")).withColumn("place", place).where(F.col("place") <= max_docs) \
+        .groupBy("lang").agg(F.max("h").alias("last"))
+    cuts = stage(cuts, "langid-cuts")
+    if cuts.isEmpty():
         return CentroidModel((), np.zeros((0, DIMS), dtype=np.float32), np.zeros(0), idf.astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,21 +176,22 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
                 "dims": pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
                 "values": pa.array([x[i][a].astype("<f4").tobytes() for i, a in zip(use, at)], pa.binary())})
 
-    rows = usable.where(key <= last).mapInArrow(run, "doc_id long, lang string, dims binary, values binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["dims"], r["values"]))
-    languages, centroids, reach = [], [], []
-    for lang in sorted({r["lang"] for r in rows}):
-        own = [r for r in rows if r["lang"] == lang]
+    def learn(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["doc_id", "dims", "values"])
         x = np.zeros((len(own), DIMS), dtype=np.float32)
-        for i, r in enumerate(own):
-            x[i, np.frombuffer(r["dims"], "<u2")] = np.frombuffer(r["values"], "<f4")
+        for i, (dims, values) in enumerate(zip(own["dims"], own["values"])):
+            x[i, np.frombuffer(dims, "<u2")] = np.frombuffer(values, "<f4")
         x = normalised(x, idf).astype(np.float32)
-        c = cluster(x, clusters)
-        near = x @ c.T
-        top = near.max(axis=1)
-        for j in range(len(c)):
-            languages.append(lang)
-            centroids.append(c[j])
-            reach.append(0.9 * np.quantile(top, reject_share))
+        c = cluster(x, clusters).astype("<f4")
+        top = (x @ c.T).max(axis=1)
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "place": np.arange(len(c)), "centroid": [y.tobytes() for y in c],
+                             "reach": 0.9 * np.quantile(top, reject_share)})
+
+    picked = usable.join(broadcast_if_small(cuts), "lang").where(key <= F.col("last")).select("doc_id", "lang", "text")
+    rows = picked.mapInArrow(run, "doc_id long, lang string, dims binary, values binary") \
+        .groupBy("lang").applyInPandas(learn, "lang string, place long, centroid binary, reach double").collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], r["place"]))
+    languages, reach = [r["lang"] for r in rows], [r["reach"] for r in rows]
+    centroids = [np.frombuffer(r["centroid"], "<f4") for r in rows]
     return CentroidModel(tuple(languages), np.array(centroids, dtype=np.float32).reshape(-1, DIMS), np.array(reach),
                          idf.astype(np.float32))

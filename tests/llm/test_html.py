@@ -36,6 +36,22 @@ def test_odd_pages(page, text):
     assert X.extract(page) == text
 
 
+LANGUAGES = {
+    "pl": "Wczoraj wieczorem mieszkańcy naszego miasta spotkali się przy rynku, żeby porozmawiać o nowym moście nad rzeką",
+    "fi": "Kaupungin asukkaat kokoontuivat eilen illalla torille keskustelemaan uudesta sillasta, joka rakennetaan joen yli",
+    "ru": "Вчера вечером жители нашего города собрались на площади, чтобы поговорить о новом мосте через широкую реку",
+    "none": "Bridge building river market square evening residents discussion budget council engineer concrete steel cable tower"}
+
+
+@pytest.mark.parametrize("lead", ["<nav>Home News Contact</nav>", "<header>Site</header><nav>Home News</nav>",
+                                  "<nav>Home</nav><div><a href=a>One link of a list</a> <a href=b>another link of the list</a></div>"])
+@pytest.mark.parametrize("lang", LANGUAGES)
+def test_languages_without_article(lang, lead):
+    parts = [f"{LANGUAGES[lang]} {i}." for i in range(3)]
+    page = f"<body>{lead}<div>{''.join(f'<p>{p}</p>' for p in parts)}</div><footer>Contact us by mail</footer></body>"
+    assert X.extract(page) == "\n\n".join(parts)
+
+
 def test_long_page_is_whole():
     words = "the words of this paragraph are repeated in it and they go on to the end"
     page = "<article>" + "".join(f"<p>{words} {i}</p>" for i in range(5000)) + "</article>"

@@ -5,9 +5,11 @@ stop-word density, its length, its link density and the containers it lies in (m
 headers, footers, side columns, notices, adverts, forms and comments by tag, role, class or
 id).  Blocks in such containers and blocks that are mostly links are out; long blocks with
 stop words, and long ones of the article element, are in; the rest (short blocks, long ones
-without stop words) stay open.  Second pass: an open block takes the label of the
+without stop words) stay open.  Stop words are known for four languages: on a page without any block
+that is in, all long open blocks are.  Second pass: an open block takes the label of the
 nearest decided block of its own region (its innermost article, main or section element),
-then of the page; if two are equally near and differ it is out.  A region without
+then of the page; if two are equally near and differ it is out.  Blocks of marked containers
+say nothing of long ones, which are in if no other block decides.  A region without
 any decided block is in if it is an article or main element, and so are open blocks of a
 page on which nothing is decided.
 
@@ -202,11 +204,17 @@ def extract(html: str | None) -> str:
     found = blocks(html or "")
     labels = [first_pass(t, d, marked, main) for t, d, marked, _, main in found]
     regions = [r for *_, r, _ in found]
+    long = [len(b[0]) >= LONG for b in found]
+    if IN not in labels:  # a language whose stop words are not known, or no stop words
+        labels = [IN if x == OPEN and y else x for x, y in zip(labels, long)]
     decided = labels
     for whole_page in (False, True):
         if OPEN not in decided:
             break
         # inside a region, blocks of marked containers (a form in an article) say nothing of the others
+        if whole_page:  # nor do those of the page (menu, footer) of its long blocks
+            near = _nearest(decided, regions, [not b[2] for b in found], True)
+            decided = [near.get(i, IN) if x == OPEN and long[i] else x for i, x in enumerate(decided)]
         near = _nearest(decided, regions, [whole_page or not b[2] for b in found], whole_page)
         decided = [near.get(i, x) if x == OPEN else x for i, x in enumerate(decided)]
         if not whole_page:

@@ -65,6 +65,16 @@ def test_copies_of_a_context_disclose_nothing(spark):
     assert pii.disclosing_terms(docs, pii.find(docs).cache()).count() == 0
 
 
+def test_far_names_are_found_everywhere(spark):
+    filler = lambda i: " ".join(f"the thing that nobody wrote about{'abcdefghij'[i % 10]}" for _ in range(40))
+    rows = [(i, f"Quenby {filler(i)} q.b@mail.example.com {filler(i + 1)} Quenby", "a", "en") for i in range(6)]
+    rows += [(6, "a note of Quenby without the address", "a", "en")]
+    rows += [(i, f"{filler(i)} number {i}", "a", "en") for i in range(7, 60)]
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any("Quenby" in out[i] for i in range(7)) and out[0].count("nobody") == 80
+    assert all(out[i] == t for i, t, *_ in rows[7:])
+
+
 def test_query_on_all_documents(spark):
     rows = queries.op3_pii_disclosure(spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

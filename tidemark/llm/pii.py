@@ -1,21 +1,22 @@
 """Personal data: patterns, and terms that disclose the entities which patterns found.
 
 Patterns find e-mail addresses, IP numbers, card numbers (Luhn) and phone numbers.  Their values
-are the protected entities.  A term (a word of letters) near a mention may give an entity away
+are the protected entities.  A term (a word of letters) of the same document may give an entity away
 as well: the corpus tells by how much.  With
 
 * P(e) the share of documents that mention entity e,
-* P(e | t) the documents in which t stands near e over the documents with t,
+* P(e | t) the documents that hold t and mention e over the documents with t,
 
 the information content of e is -log P(e), and t reveals PMI(t; e) = log(P(e | t) / P(e)) of it.
 Terms that reveal at least ``remove`` of the information are removed, those that reveal at least
-``generalise`` are replaced by their kind (name, term).  A pair counts only if it was seen in
-``support`` different contexts: copies of one passage are one context.
+``generalise`` are replaced by their kind (name, term), wherever they stand: far from the mention and in
+documents without it, too.  A pair counts only if it was seen in ``support`` different texts: copies of a
+whole text are one, a passage (a signature) that different texts repeat counts in each.
 
-Counts cover all documents.  Contexts are ``width`` words on either side of a mention, so
-pairs grow with the mentions.  ``find`` gives base spans and contexts per document,
-``disclosing_terms`` the pairs over the thresholds, ``spans`` all spans per document, and
-``sanitise`` the texts with spans replaced.
+Counts cover all documents.  A term in more than n(e) (N / n(e)) ^ (1 - ``generalise``) of N documents
+cannot reveal enough of an entity in n(e) of them, so such pairs are not made.  ``find`` gives base
+spans, entities and terms per document, ``disclosing_terms`` the pairs over the thresholds, ``spans`` all
+spans per document, and ``sanitise`` the texts with spans replaced.
 
 Null texts count as empty.  Rows are told apart by a number given once to the found rows, so rows
 that repeat an id keep their own spans.  An empty table gives an empty result; extra columns
@@ -28,12 +29,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import broadcast_if_small, shielded, stage, text_batches
+from tidemark.llm.common import BROADCAST_BYTES, broadcast_if_small, shielded, stage, text_batches
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -47,7 +47,7 @@ _DIGITS = re.compile("[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 SPAN = "struct<kind:string,start:long,end:long>"
-CONTEXT = "struct<entity:string,context:long,term:string,start:long,end:long,capital:boolean>"
+
 
 
 def luhn(digits: str) -> bool:
@@ -97,86 +97,103 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _DIGITS.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], width: int) -> list[dict]:
-    """The terms within ``width`` words of each mention, outside of all mentions.
-
-    Words are searched from the mention outwards; a word is at most 64 characters, so 80 characters for each
-    word are enough to hold the window."""
-    out, taken = [], [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        left = [m for m in _WORD.finditer(text, max(0, a - 80 * width), a)][-width:]
-        right = []
-        for m in _WORD.finditer(text, b, b + 80 * width):
-            right.append(m)
-            if len(right) == width:
-                break
-        words = [m for m in left + right if m.end() - m.start() <= 64
-                 and not any(x < m.end() and m.start() < y for x, y in taken)]
-        name = entity(kind, text[a:b])
-        context = xxhash.xxh3_64_intdigest("\n".join([name, *(m[0].lower() for m in words)]).encode("utf-8", "surrogatepass")) >> 1
-        out += [{"entity": name, "context": context, "term": m[0].lower(), "start": m.start(), "end": m.end(),
-                 "capital": m[0][0].isupper()} for m in words]
-    return out
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words of a text that no span touches."""
+    i, end = 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][1] < m.end():
+            end, i = max(end, spans[i][2]), i + 1
+        if end <= m.start():
+            yield m
 
 
-def find(docs: DataFrame, width: int = 8) -> DataFrame:
-    """_row, doc_id, _h (hash of the text), base (spans) and contexts of every document."""
+def find(docs: DataFrame) -> DataFrame:
+    """_row, doc_id, _h (hash of the text) and base (spans) of every document; entities and, of documents
+    with an entity, terms: distinct values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
         schema = pa.schema([
             ("doc_id", pa.int64()), ("_h", pa.int64()),
             ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
-            ("contexts", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()),
-                                             ("start", pa.int64()), ("end", pa.int64()), ("capital", pa.bool_())])))])
+            ("entities", strings), ("terms", strings)])
         for b in text_batches(batches):
-            base, near = [], []
+            base, names, terms = [], [], []
             for t in b.column("text").to_pylist():
                 spans = base_spans(t or "")
                 base.append([{"kind": k, "start": i, "end": j} for k, i, j in spans])
-                near.append(contexts(t, spans, width) if spans else [])
+                names.append(sorted({entity(k, t[i:j]) for k, i, j in spans}))
+                terms.append(sorted({m[0].lower() for m in outside(t, spans)}) if spans else [])
             yield pa.record_batch([b.column("doc_id"), b.column("_h"), pa.array(base, schema.field("base").type),
-                                   pa.array(near, schema.field("contexts").type)], schema=schema)
+                                   pa.array(names, strings), pa.array(terms, strings)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("_h", F.xxhash64("text")).mapInArrow(run, f"doc_id long, _h long, base array<{SPAN}>, contexts array<{CONTEXT}>") \
+    return rows.withColumn("_h", F.xxhash64("text")) \
+        .mapInArrow(run, f"doc_id long, _h long, base array<{SPAN}>, entities array<string>, terms array<string>") \
         .withColumn("_row", F.monotonically_increasing_id())
 
 
+def _words():
+    """The distinct terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}{3,}"), F.lit(0)))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = 3, generalise: float = 0.75,
                      remove: float = 0.9) -> DataFrame:
     """entity, term, action and revealed (share of the entity's information) of the pairs over the thresholds."""
-    near = found.select("_row", F.explode("contexts").alias("c")).select("_row", "c.entity", "c.context", "c.term")
-    # equal contexts (copies) are one
-    pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
-    pairs = stage(pairs.where(F.col("n_contexts") >= support), "pii-pairs")
-    both = near.select("entity", "term", "_row").distinct().join(pairs, ["entity", "term"]) \
-        .groupBy("entity", "term", "n_contexts").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = near.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # documents with each term, over the whole corpus
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    wanted = stage(pairs.select("term").distinct(), "pii-terms")
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")) \
-        .join(broadcast_if_small(wanted), "term")  # a semi join would be moved below the counts
     total = found.count()
-    rows = both.join(entities, "entity").join(terms, "term")
+    mentions = found.select("_row", "_h", F.explode("entities").alias("entity"))
+    # equal texts (copies) are one
+    entities = mentions.groupBy("entity", "_h").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
+    most = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - generalise)) + 1e-6
+    entities = stage(entities.select("entity", "n_entity", most.alias("most")), "pii-entities")
+    mentions = stage(mentions.join(broadcast_if_small(entities), "entity"), "pii-mentions")
+    rows = stage(mentions.groupBy("_row").agg(F.max("most").alias("bound")), "pii-rows")
+    held = found.join(broadcast_if_small(rows), "_row").select("_row", "bound", F.explode("terms").alias("term"))
+    # documents with each term, over the whole corpus; terms of many documents are met without a shuffle
+    counts = stage(docs.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+                   .where(F.col("n_term") >= support), "pii-terms")
+    common = F.col("n_term") > total / 1000
+    hot = broadcast_if_small(counts.where(common))
+    held = held.join(hot, "term").unionByName(held.join(hot, "term", "left_anti").join(counts.where(~common), "term")) \
+        .where(F.col("n_term") <= F.col("bound")).drop("bound")
+    held = stage(held, "pii-held")
+    both = mentions.join(held, "_row").where(F.col("n_term") <= F.col("most")) \
+        .groupBy("entity", "term", "n_entity", "n_term", "_h").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")) \
+        .where(F.col("n_texts") >= support)
     # the patterns' letters may differ a little from the words counted: a term occurs where the pair does
     p_entity, p_given = F.col("n_entity") / F.lit(total), F.col("n_both") / F.greatest("n_term", "n_both")
     content = -F.log(p_entity)
-    rows = rows.withColumn("revealed", F.when(content > 0, F.log(p_given / p_entity) / content).otherwise(F.lit(0.0)))
+    rows = both.withColumn("revealed", F.when(content > 0, F.log(p_given / p_entity) / content).otherwise(F.lit(0.0)))
     action = F.when(F.col("revealed") >= remove, "removed").when(F.col("revealed") >= generalise, "generalised")
     return rows.withColumn("action", action).where("action is not null").select("entity", "term", "action", "revealed")
 
 
-def spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    for b in text_batches(batches):
+        added = []
+        for t, hits in zip(b.column("text").to_pylist(), b.column("hits").to_pylist()):
+            actions = {h["term"]: h["action"] for h in hits}
+            added.append([{"kind": actions[w], "start": m.start(), "end": m.end()}
+                          for m in outside(t, base_spans(t)) if (w := m[0].lower()) in actions])
+        yield pa.record_batch([b.column("_h"), pa.array(added, schema)], names=["_h", "added"])
+
+
+def spans(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     """_row, doc_id and spans (base and added, by start, then kind, then end) of every found row."""
-    near = found.select("_row", F.explode("contexts").alias("c")) \
-        .select("_row", "c.entity", "c.term", "c.start", "c.end", "c.capital")
-    hit = near.join(broadcast_if_small(terms), ["entity", "term"])
-    # removed wins over generalised where several entities are near
-    hit = hit.groupBy("_row", "start", "end").agg(F.max("action").alias("kind"))
-    added = hit.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    rows = found.select("_row", "doc_id", "_h", "base").join(added, "_row", "left")
+    # removed wins over generalised where a term discloses several entities
+    actions = stage(terms.groupBy("term").agg(F.max("action").alias("action")), "pii-actions")
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
+    hits = texts.select("_h", F.explode(_words()).alias("term")).join(broadcast_if_small(actions), "term") \
+        .groupBy("_h").agg(F.collect_set(F.struct("term", "action")).alias("hits"))
+    hits = stage(hits, "pii-hits")
+    added = texts.join(_small(hits, "hits"), "_h").select("_h", "text", "hits") \
+        .mapInArrow(_occurrences, f"_h long, added array<{SPAN}>").dropDuplicates(["_h"])
+    added = stage(added, "pii-added")
+    rows = found.select("_row", "doc_id", "_h", "base").join(_small(added, "added"), "_h", "left")
     order = F.array(*[F.lit(k) for k in KINDS])
     every = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     keyed = F.transform(every, lambda s: F.struct(s.start.alias("start"), F.array_position(order, s.kind).alias("k"),
@@ -185,6 +202,12 @@ def spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", "_h", "base", every.alias("spans"))
 
 
+def _small(df: DataFrame, items: str) -> DataFrame:
+    """``df`` with a broadcast hint if it is small: structs are counted as three items of an array."""
+    n = df.agg(F.sum(F.size(items) * 3 * 32 + 64).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if 2 * n <= BROADCAST_BYTES else df
+
+
 def digest(every: str):
     """Spans as text: kind:start:end, comma-joined."""
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
@@ -211,14 +234,14 @@ def replace_spans(text: str, every: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, width: int = 8, support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """``docs`` (doc_id, text, more) with ``sanitised``."""
-    return shielded(docs, ("doc_id", "text"), lambda d: _sanitise(d, width, support, generalise, remove), ("sanitised",))
+    return shielded(docs, ("doc_id", "text"), lambda d: _sanitise(d, support, generalise, remove), ("sanitised",))
 
 
-def _sanitise(docs: DataFrame, width: int, support: int, generalise: float, remove: float) -> DataFrame:
-    found = stage(find(docs, width), "pii-found")
-    every = spans(found, stage(disclosing_terms(docs, found, support, generalise, remove), "pii-disclosing"))
+def _sanitise(docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    found = stage(find(docs), "pii-found")
+    every = spans(docs, found, stage(disclosing_terms(docs, found, support, generalise, remove), "pii-disclosing"))
     # equal ids with equal texts have equal spans
     every = stage(every.where(F.size("spans") > 0).dropDuplicates(["doc_id", "_h"])
                   .select(F.col("doc_id").alias("_i"), "_h", "spans"), "pii-spans")

@@ -131,7 +131,7 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = stage(pii.find(docs), "pii-found")
     terms = stage(pii.disclosing_terms(docs, found), "pii-disclosing")
-    every = pii.spans(found, terms)
+    every = pii.spans(docs, found, terms)
     return every.select(
         "doc_id", *[pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS[:4]],
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))

@@ -75,6 +75,15 @@ def test_far_names_are_found_everywhere(spark):
     assert all(out[i] == t for i, t, *_ in rows[7:])
 
 
+def test_a_repeated_signature_discloses(spark):
+    sign = "regards from Quenby Ostrava chief of all things q.b@mail.example.com call any time on any day of week"
+    rows = [(i, f"letter number{chr(97 + i)} about things. {sign}", "a", "en") for i in range(6)]
+    rows += [(i, "a letter about things from all of them on any day, call any time, regards, chief of week", "a", "en") for i in range(6, 60)]
+    docs = frame(spark, rows)
+    terms = {r.term for r in pii.disclosing_terms(docs, pii.find(docs).cache()).collect()}
+    assert terms == {"quenby", "ostrava"}
+
+
 def test_query_on_all_documents(spark):
     rows = queries.op3_pii_disclosure(spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

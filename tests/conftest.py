@@ -2,15 +2,12 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.schemas import INPUTS  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
-from tidemark.sources.surrogate import ClinicalTables  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,18 +15,3 @@ def spark():
     s = build_session("local[4]", 4, app_name="tidemark-tests")
     yield s
     s.stop()
-
-
-def ts(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
-def frame(spark, name: str, rows: list[dict]):
-    """A DataFrame with the input schema of ``name``; missing fields are NULL."""
-    schema = INPUTS[name]
-    data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
-    return spark.createDataFrame(data, schema)
-
-
-def tables(spark, **rows) -> ClinicalTables:
-    return ClinicalTables(**{n: frame(spark, n, rows.get(n, [])) for n in INPUTS})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators import cohort as C
 from tidemark.operators.quality import assert_unique, uniqueness_report
-from conftest import tables, ts
+from clinical_cases import tables, ts
 
 
 def stay(subject, hadm, stay_id, intime):

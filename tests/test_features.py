@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import round_to_hour
 from tidemark.operators import grid as G
 from tidemark.operators import hourly as H
-from conftest import frame, tables, ts
+from clinical_cases import frame, tables, ts
 
 S, ST = 1, 100
 

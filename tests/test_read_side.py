@@ -10,7 +10,7 @@ from tidemark.functions.time import display_clock
 from tidemark.operators import browse as B
 from tidemark.operators import selection as SEL
 from tidemark.operators import snapshot as P
-from conftest import ts
+from clinical_cases import ts
 
 PROFILE_SCHEMA = ("subject_id int, anchor_age short, gender string, race string, hadm_id int, stay_id int, "
                   "first_careunit string, last_careunit string, intime timestamp_ntz, outtime timestamp_ntz, "

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import types as T
 
 from tidemark.operators.sessions import gap_sessions, gap_sessions_window, session_summary
-from conftest import ts
+from clinical_cases import ts
 
 SCHEMA = T.StructType([T.StructField("stay_id", T.IntegerType()),
                        T.StructField("charttime", T.TimestampNTZType())])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (crf_quality, decontaminate, html_extract, isolation, langid, mixing,
-                          moore_lewis, pii, prob_minhash, tokens)
+                          moore_lewis, periodic_runs, pii, prob_minhash, tokens)
 from tidemark.llm.common import crc_mod, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,15 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(
         "doc_id", *[pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS[:4]],
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, some of which have repetition written into them first."""
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.runs(docs, min_length=6, min_exponent=4).withColumn("top", periodic_runs.top_run("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))

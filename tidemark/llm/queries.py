@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (crf_quality, decontaminate, html_extract, isolation, langid, mixing,
-                          moore_lewis, periodic_runs, pii, prob_minhash, tokens)
-from tidemark.llm.common import crc_mod, stage, table
+                          moore_lewis, periodic_runs, pii, prob_minhash, spelling, tokens, warc)
+from tidemark.llm.common import crc_mod, new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,3 +147,76 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    words = spelling.with_planted_misspellings(spelling.word_occurrences(table(spark, sf_dir, "documents"), min_length=6))
+    vocab = stage(spelling.vocabulary(words, min_length=6, min_count=5), "spelling-vocabulary")
+    return spelling.variant_groups(vocab, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# crc32 byte by byte from its table, near words by equal texts after one deletion
+ORACLE_SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, 0 AS k, range::BIGINT AS c FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
+), low AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), runs AS (
+  SELECT id || ':' || w AS s, w, count(*) AS k
+  FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM low) WHERE length(w) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(s)), lambda i: ('0x' || hex(encode(s))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, tab
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT k, CASE WHEN h % 199 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cut AS (
+  SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS short FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.short = b.word
+  UNION
+  SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.short = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), path AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL
+  SELECT p.word, f.word, f.form FROM path p JOIN forms f ON f.word = p.next
+)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM forms f JOIN path p ON p.word = f.word AND p.next IS NULL
+"""
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC archives of all pages, read back."""
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_revisit=100)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op12_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM payloads
+"""

@@ -49,3 +49,22 @@ def policy_agg(column: str, policy: str, order: str | None = None, source: str |
     else:
         raise ValueError(f"unknown policy {policy!r}; expected one of {POLICIES}")
     return e.alias(column)
+
+
+def state_aggs(column: str, policy: str, order: str | None = None) -> list[Column]:
+    """Aggregates whose values ``merge_agg`` combines to the policy's result over several groups."""
+    v = F.col(column)
+    if policy == "mean":
+        return [F.sum(v).alias(f"_s_{column}"), F.count(v).alias(f"_n_{column}")]
+    if policy in ("first", "last"):
+        pair = F.when(v.isNotNull(), F.struct(F.col(order).alias("t"), v.alias("v")))
+        return [(F.min(pair) if policy == "first" else F.max(pair)).alias(f"_s_{column}")]
+    return [policy_agg(column, policy).alias(f"_s_{column}")]
+
+
+def merge_agg(column: str, policy: str) -> Column:
+    """The policy's result from the columns of ``state_aggs``."""
+    s = F.col(f"_s_{column}")
+    e = {"mean": lambda: F.sum(s) / F.sum(f"_n_{column}"), "min": lambda: F.min(s), "max": lambda: F.max(s),
+         "first": lambda: F.min(s)["v"], "last": lambda: F.max(s)["v"]}[policy]()
+    return e.alias(column)

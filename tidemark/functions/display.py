@@ -77,22 +77,23 @@ def row_label(kind: str = "patient") -> Column:
     raise ValueError(kind)
 
 
-def patient_rows(patients: DataFrame) -> DataFrame:
-    """Rows as the patient list shows them."""
+def _shown(patients: DataFrame, race: Column) -> DataFrame:
     return patients.select(
         "subject_id", "stay_id", "hadm_id", row_label().alias("label"),
         or_missing("anchor_age", numeric=True).alias("age_text"),
-        gender_label("gender").alias("gender_text"),
-        truncate_chars(or_missing("race")).alias("race_text"),
+        gender_label("gender").alias("gender_text"), race.alias("race_text"),
         or_missing("first_careunit").alias("careunit_text"),
         datetime_text("intime").alias("admitted_text"))
 
 
+def patient_rows(patients: DataFrame) -> DataFrame:
+    """Rows as the patient list shows them."""
+    return _shown(patients, truncate_chars(or_missing("race")))
+
+
 def detail_header(patients: DataFrame) -> DataFrame:
     """The header of the detail page: as a list row, with the race in full."""
-    rows = patient_rows(patients).drop("race_text")
-    race = patients.select("subject_id", "stay_id", "hadm_id", or_missing("race").alias("race_text"))
-    return rows.join(race, ["subject_id", "stay_id", "hadm_id"])
+    return _shown(patients, or_missing("race"))
 
 
 def vital_labels(hourly: DataFrame) -> DataFrame:

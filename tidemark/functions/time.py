@@ -18,9 +18,15 @@ def _c(c) -> Column:
 
 def trunc_hour(c) -> Column:
     """The start of a zone-less time's hour.  ``date_trunc`` would go through TIMESTAMP and so
-    through the session's zone; taking minutes and seconds off stays zone-less."""
+    through the session's zone; the day's start plus whole hours stays zone-less, without decimals."""
     t = _c(c)
-    return t - F.make_dt_interval(mins=F.minute(t), secs=F.date_part(F.lit("SECOND"), t))
+    return t.cast("date").cast("timestamp_ntz") + F.hour(t) * F.expr(ONE_HOUR)
+
+
+def minutes_of(c) -> Column:
+    """Whole minutes of a zone-less time since 1970 (floored), in integers."""
+    t = _c(c)
+    return F.unix_date(t.cast("date")).cast("long") * 1440 + F.hour(t) * 60 + F.minute(t)
 
 
 def micros_of(c) -> Column:

@@ -55,21 +55,30 @@ def titled_diagnoses(fis: DataFrame, titles: DataFrame) -> DataFrame:
     return fis.join(t, ["icd_code", "icd_version"]).select(*OUTPUTS["fis_icd9_titled"])
 
 
-def stay_profile(titled: DataFrame, age: DataFrame, detail: DataFrame) -> DataFrame:
-    """Demographics: age of the admission, gender/race of the stay."""
+#: The stay's times that a profile may carry, so that the stay window needs no join of its own.
+STAY_TIMES = ["icu_intime", "icu_outtime"]
+
+
+def stay_profile(titled: DataFrame, age: DataFrame, detail: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """Demographics: age of the admission, gender/race of the stay; ``carry``: more columns of the stay."""
     a = age.select("subject_id", "hadm_id", "anchor_age")
-    d = detail.select("stay_id", "gender", "race")
+    d = detail.select("stay_id", "gender", "race", *carry)
     return (titled.join(a, ["subject_id", "hadm_id"]).join(d, "stay_id")
-            .select(*OUTPUTS["fisi9t_profile"]))
+            .select(*OUTPUTS["fisi9t_profile"], *carry))
 
 
-def unique_profile(profile: DataFrame) -> DataFrame:
+def unique_profile(profile: DataFrame, carry: list[str] = ()) -> DataFrame:
     """P5: one row per subject.  The kept columns depend on the subject alone
     (one first stay, one age per admission, one detail per stay); a fixed order
     makes the pick deterministic even if they did not."""
     cols = OUTPUTS["fisi9t_unique_patient_profile"]
     order = [F.asc_nulls_last(c) for c in ("stay_id", "hadm_id", "seq_num", "icd_code")]
-    return top1_per_key(profile, ["subject_id"], order).select(*cols)
+    return top1_per_key(profile, ["subject_id"], order).select(*cols, *carry)
+
+
+def timed_profile(t, titled: DataFrame) -> DataFrame:
+    """P5 with the stay's times, one relation for the profile and its stay windows."""
+    return unique_profile(stay_profile(titled, t.age, t.icustay_detail, STAY_TIMES), STAY_TIMES)
 
 
 def cohort_chain(t) -> dict[str, DataFrame]:

@@ -2,16 +2,15 @@
 
 Readings (or cluster summaries) are rounded half-up to the hour and each column
 collapses with its policy (mean/min/max/first/last, see ``functions.aggregates``)
-onto the dense grid.  ``reduce_on_grid`` does the reduction and the grid in one
-aggregation (labs); ``reduce_hourly`` + ``on_grid`` reduce first and join the
-grid 1:1 (vitals, whose clusters are already partitioned by stay).  Either way no
-key of a join can be skewed.
+onto the dense grid.  Labs are reduced per subject and hour before any exchange and then
+meet the stay windows in a join binned by hour; ``reduce_hourly`` + ``on_grid`` reduce first and join the
+grid 1:1 (vitals, whose clusters are already partitioned by stay).
 
 * P6 vitals: gap clusters first (mean per cluster, first site by time), then the
   cluster means are averaged per hour of the cluster's *first* reading.
   Vitals are not bounded by the stay window; the grid join alone drops them.
 * P7 procedures: not reduced.  Events inside the stay window, each on its own
-  row, plus one all-NULL row for every grid hour without events.
+  row, plus one all-NULL row for every grid hour without events, in one join binned by hour.
 * P8 chemistry / P9 coagulation: readings inside the stay window (matched on the
   subject alone), reduced per hour with fixed policies.
 """
@@ -21,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import policy_agg
+from ..functions.aggregates import merge_agg, policy_agg, state_aggs
 from ..functions.time import round_to_hour
 from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
+from .grid import hour_grid
+from .key_filter import key_filter, may_hold
 from .sessions import bucket_of, bucket_sessions
 
 KEYS = ["subject_id", "stay_id"]
@@ -42,25 +43,6 @@ def reduce_hourly(df: DataFrame, policies: dict[str, str], time_col: str,
     return df.groupBy(*keys, hour_col).agg(*aggs)
 
 
-def reduce_on_grid(grid: DataFrame, rows: DataFrame, policies: dict[str, str], time_col: str,
-                   columns: list[str]) -> DataFrame:
-    """Grid LEFT JOIN (rows reduced per hour), as one aggregation.
-
-    Grid keys (NULL values, flag 1) and rows (flag 0) are unioned and reduced by
-    (subject, stay, hour) with the policies, which skip the grid's NULLs; keys
-    whose flag is 0 are not on the grid and drop.  Both inputs are partially
-    aggregated before the single exchange, so neither a hot hour nor the join
-    of a second shuffle is left.
-    """
-    key = KEYS + ["charttime_hour"]
-    src = rows.select(*key, time_col, *policies).withColumn("_grid", F.lit(0))
-    g = grid.select(*key, *[F.lit(None).cast(src.schema[c].dataType).alias(c) for c in [time_col, *policies]],
-                    F.lit(1).alias("_grid"))
-    aggs = [policy_agg(c, p, order=time_col) for c, p in policies.items()]
-    out = src.unionByName(g).groupBy(*key).agg(*aggs, F.max("_grid").alias("_grid"))
-    return out.filter(F.col("_grid") == 1).select(*key, *columns)
-
-
 def on_grid(grid: DataFrame, hourly: DataFrame, columns: list[str]) -> DataFrame:
     """Grid LEFT JOIN hourly on (subject, stay, hour).  Subject is functionally
     dependent on stay; keeping it in the key lets both sides share the
@@ -149,25 +131,39 @@ def with_items(events: DataFrame, items: DataFrame) -> DataFrame:
     return events.join(di, "itemid", "left")
 
 
-def procedures_hourly(procedures: DataFrame, window: DataFrame, items: DataFrame,
-                      grid: DataFrame) -> DataFrame:
-    """Grid LEFT JOIN events on (stay, hour), written as events UNION empty hours.
-
-    Every in-window event rounds to an hour on its stay's grid (in <= t <= out
-    gives trunc(in) <= round(t) <= trunc(out) + 1h), so the events pass through
-    without a join to the grid, and the hours with no event come from one
-    aggregation over the grid's and the events' (stay, hour) keys.  A stay-hour
-    with very many events is reduced map-side and never meets a join.
+def _bounded(grid: DataFrame, window: DataFrame) -> DataFrame:
+    """The grid with the stay's times on each row (``hour_grid(..., bounds=True)`` has them already)."""
+    if "icu_intime" in grid.columns:
+        return grid
+    return grid.join(window.select(*KEYS, "icu_intime", "icu_outtime"), KEYS)
+
+
+def events_on_grid(procedures: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:
+    """Grid LEFT JOIN events on (stay, hour): one row per event inside the stay, one for each empty hour.
+
+    Every in-window event rounds to an hour on its stay's grid (in <= t <= out gives trunc(in) <= round(t) <=
+    trunc(out) + 1h), so the stay window is binned into the grid's hours and the range join (J11) is an equi join on
+    (subject, stay, hour) with the time test beside it: the events of a hot stay are dealt over its hours.  Events of other
+    stays mostly stop at a key filter before the exchange.  Events are read once.
     """
-    cols = OUTPUTS["fisi9t_procedureevents_hourly"]
     key = KEYS + ["charttime_hour"]
-    ev = stored_in_stay(procedures, window)
-    # grid hours with no event: one aggregation over grid keys (0) and event keys
-    # (1), partially aggregated before its single exchange; keys whose max is 0
-    marks = grid.select(*key, F.lit(0).alias("_has")).unionByName(ev.select(*key, F.lit(1).alias("_has")))
-    empty = marks.groupBy(*key).agg(F.max("_has").alias("_has")).filter(F.col("_has") == 0)
-    empty = empty.select(*key, *[F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns if c not in key])
-    return with_items(ev.unionByName(empty), items).select(*cols)
+    grid = _bounded(grid, window)
+    cohort = key_filter(window, KEYS)
+    p = procedures.withColumnRenamed("storetime", "charttime").where(F.col("charttime").isNotNull())
+    p = p.where(may_hold(cohort, [F.col(c) for c in KEYS])).withColumn("charttime_hour", round_to_hour("charttime"))
+    inside = (F.col("p.charttime") >= F.col("g.icu_intime")) & (F.col("p.charttime") <= F.col("g.icu_outtime"))
+    same = [F.col(f"g.{c}") == F.col(f"p.{c}") for c in key]
+    joined = grid.alias("g").join(p.alias("p"), [*same, inside], "left")
+    return joined.select(*[F.col(f"g.{c}").alias(c) for c in key], *[F.col(f"p.{c}").alias(c) for c in p.columns if c not in key])
+
+
+def procedures_hourly(procedures: DataFrame, window: DataFrame, items: DataFrame,
+                      grid: DataFrame | None = None) -> DataFrame:
+    """The events of each grid hour, and a row for each hour without one, with the item dictionary.
+
+    ``grid`` (with bounds) may be a part of the window's grid; by default it is all of it."""
+    grid = hour_grid(window, bounds=True) if grid is None else grid
+    return with_items(events_on_grid(procedures, window, grid), items).select(*OUTPUTS["fisi9t_procedureevents_hourly"])
 
 
 # --- P8, P9 -------------------------------------------------------------------
@@ -181,16 +177,40 @@ def labs_in_stay(labs: DataFrame, window: DataFrame, columns: list[str]) -> Data
 
 def labs_hourly(labs: DataFrame, window: DataFrame, grid: DataFrame, policies: dict[str, str],
                 table: str) -> DataFrame:
-    """Labs inside the stay window, reduced per hour with ``policies``, on the grid."""
-    x = labs_in_stay(labs, window, list(policies))
-    return reduce_on_grid(grid, x, policies, "charttime", OUTPUTS[table][3:])
-
-
-def chemistry_hourly(chem: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:
+    """Labs inside the stay window, reduced per hour with ``policies``, on the grid: a binned range join.
+
+    A reading rounds to one hour, and that hour's bin lies wholly inside a stay unless it holds the
+    stay's first or last moment.  Readings are reduced per (subject, hour) before any exchange; only in
+    hours that may hold such a moment (a key filter of the edge hours) they are reduced per time.  The reduced rows meet
+    the grid in an equi join on (subject, hour): inner bins need no time test, edge bins are tested by time.
+    So a subject that holds most of the readings leaves each map task as at most one row an hour, its edge hours apart, and
+    the join's key is never a subject alone.
+    """
+    grid = _bounded(grid, window)
+    first, last = round_to_hour("icu_intime"), round_to_hour("icu_outtime")
+    edges = window.select("subject_id", F.explode(F.array(first, last)).alias("charttime_hour"))
+    hour = round_to_hour("charttime")
+    edge = may_hold(key_filter(edges, ["subject_id", "charttime_hour"]), [F.col("subject_id"), F.col("charttime_hour")])
+    rows = labs.select("subject_id", "charttime", hour.alias("charttime_hour"), *policies).where(F.col("charttime").isNotNull())
+    states = [a for c, p in policies.items() for a in state_aggs(c, p, order="charttime")]
+    reduced = rows.withColumn("_t", F.when(edge, F.col("charttime"))).groupBy("subject_id", "charttime_hour", "_t").agg(*states)
+    inner = F.col("r._t").isNull() & (F.col("g.charttime_hour") > first) & (F.col("g.charttime_hour") < last)
+    tested = (F.col("r._t") >= F.col("g.icu_intime")) & (F.col("r._t") <= F.col("g.icu_outtime"))
+    same = [F.col(f"g.{c}") == F.col(f"r.{c}") for c in ("subject_id", "charttime_hour")]
+    joined = grid.alias("g").join(reduced.alias("r"), [*same, inner | tested], "left")
+    names = [c for c in reduced.columns if c.startswith("_") and c != "_t"]
+    joined = joined.select("g.subject_id", "g.stay_id", "g.charttime_hour", *[f"r.{c}" for c in names])
+    merged = [merge_agg(c, p) for c, p in policies.items()]
+    return joined.groupBy(*KEYS, "charttime_hour").agg(*merged).select(*KEYS, "charttime_hour", *OUTPUTS[table][3:])
+
+
+def chemistry_hourly(chem: DataFrame, window: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Bicarbonate min, calcium and sodium mean, potassium max per hour."""
+    grid = hour_grid(window, bounds=True) if grid is None else grid
     return labs_hourly(chem, window, grid, CHEMISTRY_POLICIES, "fisi9t_chemistry_hourly")
 
 
-def coagulation_hourly(coag: DataFrame, window: DataFrame, grid: DataFrame) -> DataFrame:
+def coagulation_hourly(coag: DataFrame, window: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Inr, pt, ptt, thrombin last; d_dimer max; fibrinogen min per hour."""
+    grid = hour_grid(window, bounds=True) if grid is None else grid
     return labs_hourly(coag, window, grid, COAGULATION_POLICIES, "fisi9t_coagulation_hourly")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +59,17 @@ def admitted_on(patients: DataFrame, month: int, day: int) -> DataFrame:
 
 def admitted_as_of(patients_on_day: DataFrame, hour: int) -> DataFrame:
     """Admitted at or before ``hour``; nobody before the clock starts (hour < 0)."""
-    if hour < 0:
-        return patients_on_day.filter(F.lit(False))
-    return patients_on_day.filter(F.hour("intime") <= hour)
+    return patients_on_day.filter(is_admitted(hour))
+
+
+def is_admitted(hour: int) -> Column:
+    """Whether a patient of the clock day counts as admitted at the clock's ``hour``."""
+    return F.hour("intime") <= hour if hour >= 0 else F.lit(False)
+
+
+def clock_state(patients_on_day: DataFrame, hour: int) -> DataFrame:
+    """One row: the patients of the clock day, and those admitted at ``hour`` (none before the clock starts)."""
+    return patients_on_day.agg(F.count(F.lit(1)).alias("n_on_day"), F.count_if(is_admitted(hour)).alias("n_admitted"))
 
 
 def admitted_at(patients_on_day: DataFrame, hour: int) -> DataFrame:

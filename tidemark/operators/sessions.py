@@ -25,16 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import micros_of
+from ..functions.time import micros_of, minutes_of
 
 GAP_MINUTES = 15
 
 
 def bucket_of(time_col: str, gap_minutes: int = GAP_MINUTES) -> Column:
     """Index of the gap-wide time bucket of ``time_col``."""
-    micros = micros_of(time_col)
-    width = F.lit(gap_minutes * 60_000_000)
-    return ((micros - F.pmod(micros, width)) / width).cast("long")
+    minutes, width = minutes_of(time_col), F.lit(gap_minutes)
+    return F.call_function("div", minutes - F.pmod(minutes, width), width)
 
 
 def gap_buckets(df: DataFrame, keys: list[str], time_col: str = "charttime",

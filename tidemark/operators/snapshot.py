@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import JSON_OPTIONS, json_fields, json_object
 from ..functions.time import display_clock, hour_label, on_month_day
-from .selection import TRIPLE
+from .paging import key_page
+from .selection import TRIPLE, admitted_as_of
 
 PAGE_SIZE = 25
 CLOCK_HOURS = 24
@@ -51,14 +52,9 @@ def resolve_page(requested, total: int, page_size: int = PAGE_SIZE) -> tuple[int
 
 def patient_page(admitted: DataFrame, requested_page, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of the admitted list ordered by subject_id, with the page number,
-    page count and total.  The count is one aggregate; the slice is a top-k of
-    ``page * page_size`` rows (per-partition top-k, then one merge), never a
-    global sort of the table."""
-    total = admitted.count()  # the page number depends on it
-    page, pages = resolve_page(requested_page, total, page_size)
-    rows = admitted.orderBy("subject_id").offset((page - 1) * page_size).limit(page_size)
-    return rows.select("*", F.lit(page).alias("page"), F.lit(pages).alias("num_pages"),
-                       F.lit(total).cast("long").alias("total_patients"))
+    page count and total, from one plan (``paging.key_page``): ranks by range counts, never a
+    global sort, and no count before the plan runs."""
+    return key_page(admitted, "subject_id", requested_page, page_size).withColumnRenamed("total", "total_patients")
 
 
 # --- P13 lookup -----------------------------------------------------------------
@@ -101,13 +97,19 @@ def _clock_rows(df: DataFrame, month: int, day: int, hour: int, upto: bool) -> D
     return df.filter(on_month_day("charttime_hour", month, day) & ((h <= hour) if upto else (h == hour)))
 
 
-def vitals_timeline(vitals_hourly: DataFrame, stays: DataFrame, month: int, day: int,
+def _of_stays(table: DataFrame, stays: DataFrame | None) -> DataFrame:
+    """The rows of the selected stays; None: the table's stays are the selected ones."""
+    if stays is None:
+        return table
+    return table.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
+
+
+def vitals_timeline(vitals_hourly: DataFrame, stays: DataFrame | None, month: int, day: int,
                     hour: int, ordered: bool = False) -> DataFrame:
-    """Hourly vitals of the selected stays up to the clock hour, with the
+    """Hourly vitals of the selected stays (None: of all) up to the clock hour, with the
     ``HH:00`` label (grid rows without readings included, as in the table).
     ``ordered`` sorts by (stay, hour) -- a range-partitioned distributed sort."""
-    v = _clock_rows(vitals_hourly, month, day, hour, upto=True)
-    v = v.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
+    v = _of_stays(_clock_rows(vitals_hourly, month, day, hour, upto=True), stays)
     out = v.select("subject_id", "stay_id", *TIMELINE_COLUMNS,
                    hour_label("charttime_hour").alias("hour_label"))
     return out.orderBy("stay_id", "charttime_hour") if ordered else out
@@ -135,16 +137,15 @@ def vitals_timeline_arrays(timeline: DataFrame) -> DataFrame:
             .agg(F.to_json(arr, JSON_OPTIONS).alias("json"), F.count(F.lit(1)).alias("n_hours")))
 
 
-def procedure_log(procedures_hourly: DataFrame, stays: DataFrame, month: int, day: int,
+def procedure_log(procedures_hourly: DataFrame, stays: DataFrame | None, month: int, day: int,
                   hour: int, ordered: bool = False) -> DataFrame:
-    """Procedure rows of the selected stays up to the clock hour and the
-    stay's row count (empty grid hours count, as in the table).  ``ordered``
+    """Procedure rows of the selected stays (None: of all) up to the clock hour and the
+    stay's row count (empty grid hours count, as in the table).  The count is a window over the stay's
+    rows of that day, so the table is read once; a window's rows spill.  ``ordered``
     sorts by (stay, hour, event time)."""
-    p = _clock_rows(procedures_hourly, month, day, hour, upto=True)
-    p = p.join(stays.select("subject_id", "stay_id"), ["subject_id", "stay_id"], "left_semi")
-    p = p.select("subject_id", "stay_id", *PROCEDURE_LOG_COLUMNS)
-    counts = p.groupBy("subject_id", "stay_id").agg(F.count(F.lit(1)).alias("procedures_count"))
-    out = p.join(counts, ["subject_id", "stay_id"])
+    p = _of_stays(_clock_rows(procedures_hourly, month, day, hour, upto=True), stays)
+    count = F.count(F.lit(1)).over(Window.partitionBy("subject_id", "stay_id"))
+    out = p.select("subject_id", "stay_id", *PROCEDURE_LOG_COLUMNS, count.alias("procedures_count"))
     return out.orderBy("stay_id", "charttime_hour", F.asc_nulls_last("charttime")) if ordered else out
 
 
@@ -155,24 +156,74 @@ def delta_new_patients(on_day: DataFrame, hour: int) -> DataFrame:
     return on_day.filter(F.hour("intime") == hour).select(*NEW_PATIENT_COLUMNS)
 
 
-def _admitted_stays(on_day: DataFrame, hour: int) -> DataFrame:
-    if hour < 0:
-        return on_day.filter(F.lit(False)).select("stay_id")
-    return on_day.filter(F.hour("intime") <= hour).select("stay_id")
+def _of_admitted(table: DataFrame, on_day: DataFrame | None, hour: int) -> DataFrame:
+    if on_day is None:
+        return table
+    return table.join(admitted_as_of(on_day, hour).select("stay_id"), "stay_id", "left_semi")
 
 
-def delta_vitals(vitals_hourly: DataFrame, on_day: DataFrame, month: int, day: int,
+def delta_vitals(vitals_hourly: DataFrame, on_day: DataFrame | None, month: int, day: int,
                  hour: int) -> DataFrame:
-    """Vitals at exactly the clock hour for every admitted stay (matched on stay_id)."""
+    """Vitals at exactly the clock hour for every admitted stay (matched on stay_id); ``on_day`` None:
+    the table's stays are the admitted ones."""
     v = _clock_rows(vitals_hourly, month, day, hour, upto=False)
-    return v.join(_admitted_stays(on_day, hour), "stay_id", "left_semi").select(*DELTA_VITAL_COLUMNS)
+    return _of_admitted(v, on_day, hour).select(*DELTA_VITAL_COLUMNS)
 
 
-def delta_procedures(procedures_hourly: DataFrame, on_day: DataFrame, month: int, day: int,
+def delta_procedures(procedures_hourly: DataFrame, on_day: DataFrame | None, month: int, day: int,
                      hour: int) -> DataFrame:
     """Procedure rows at exactly the clock hour for every admitted stay."""
     p = _clock_rows(procedures_hourly, month, day, hour, upto=False)
-    return p.join(_admitted_stays(on_day, hour), "stay_id", "left_semi").select(*DELTA_PROCEDURE_COLUMNS)
+    return _of_admitted(p, on_day, hour).select(*DELTA_PROCEDURE_COLUMNS)
+
+
+def admitted_at_ticks(patients: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(tick_month, tick_day, tick_hour) of ``ticks`` with the stay_id of every patient admitted on the tick's
+    day, in any year, by its hour.  Ticks before the clock starts (hour < 0) admit nobody."""
+    admitted = patients.select("stay_id", F.month("intime").alias("tick_month"), F.dayofmonth("intime").alias("tick_day"),
+                               F.hour("intime").alias("admit_hour"))
+    return ticks.where("tick_hour >= 0").join(admitted, ["tick_month", "tick_day"]).where("admit_hour <= tick_hour") \
+        .select("tick_month", "tick_day", "tick_hour", "stay_id")
+
+
+def delta_vitals_at_ticks(vitals_hourly: DataFrame, patients: DataFrame, ticks: DataFrame) -> DataFrame:
+    """P16 for a relation of clock ticks (tick_month, tick_day, tick_hour): the vitals at each tick of the stays that it
+    admits, all ticks in one query.
+
+    ``vitals_hourly`` is a stored table in calendar directories (chart_month, chart_day): both are join keys, so the
+    days that the admitted stays have prune directories at run time, and the stay joins its own hours."""
+    admitted = admitted_at_ticks(patients, ticks)
+    same = (F.col("v.stay_id") == F.col("a.stay_id")) & (F.col("v.chart_month") == F.col("a.tick_month")) \
+        & (F.col("v.chart_day") == F.col("a.tick_day")) & (F.hour("v.charttime_hour") == F.col("a.tick_hour"))
+    return vitals_hourly.alias("v").join(admitted.alias("a"), same) \
+        .select("tick_month", "tick_day", "tick_hour", *[F.col(f"v.{c}").alias(c) for c in DELTA_VITAL_COLUMNS])
+
+
+# --- the clock's response ----------------------------------------------------------
+
+def clock_response(on_day: DataFrame, vitals: DataFrame, procedures: DataFrame, hour: int, current_time: Column) -> DataFrame:
+    """P16 as a document (K4): (section, member, json) rows, one JSON object each.
+
+    The section ``response`` has one row: the clock, its text and the counts.  The other sections hold the members of the
+    document's lists, one per row, so no list is collected into a row; ``member`` tells them apart.  ``vitals`` and
+    ``procedures`` are the rows of ``delta_vitals`` and ``delta_procedures``.  All counts come from one aggregation."""
+    new, admitted = delta_new_patients(on_day, hour), admitted_as_of(on_day, hour)
+
+    def part(section: str, rows: DataFrame, key: list[Column], columns: list[str]) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), F.concat_ws("/", *key).alias("member"), json_object(rows, columns).alias("json"))
+
+    hour_text = F.date_format("charttime_hour", "yyyy-MM-dd HH:mm:ss")
+    lists = [part("new_patients", new, [F.col("stay_id").cast("string")], NEW_PATIENT_COLUMNS),
+             part("vitalsigns", vitals, [F.col("stay_id").cast("string"), hour_text], DELTA_VITAL_COLUMNS),
+             part("procedureevents", procedures, [F.col("stay_id").cast("string"), hour_text], DELTA_PROCEDURE_COLUMNS)]
+    members = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    tally = members.select("section").unionByName(admitted.select(F.lit("admitted").alias("section")))
+    count = lambda section: F.count_if(F.col("section") == section)
+    counts = tally.agg(count("new_patients").alias("new_patients_count"), count("admitted").alias("total_admitted"),
+                       count("vitalsigns").alias("vitalsigns_count"), count("procedureevents").alias("procedureevents_count"))
+    head = counts.select(F.lit(hour).alias("current_hour"), current_time.alias("current_time"), "*")
+    head = head.select(F.lit("response").alias("section"), F.lit("").alias("member"), json_object(head, head.columns).alias("json"))
+    return head.unionByName(members)
 
 
 # --- P17 census --------------------------------------------------------------------
@@ -195,7 +246,8 @@ def hourly_census(spark: SparkSession, on_day: DataFrame, vitals_hourly: DataFra
                   display_date: str | None = None) -> DataFrame:
     """All 24 clock ticks at once: the tick's display time, new patients at the
     hour, patients admitted by the hour (running sum), and the vitals / procedure
-    rows a tick returns.  ``display_date`` (``yyyy-MM-dd``) is the day the clock
+    rows a tick returns.  Of the two tables only (stay_id, charttime_hour) of every row count, so relations
+    with these columns and as many rows do (vitals: the grid).  ``display_date`` (``yyyy-MM-dd``) is the day the clock
     text shows; by default the clock day in year 2025."""
     display_date = display_date or f"2025-{month:02d}-{day:02d}"
     hours = spark.range(CLOCK_HOURS).select(F.col("id").cast("int").alias("hour"))

@@ -17,8 +17,10 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
@@ -26,6 +28,7 @@ from ..operators import grid as G
 from ..operators import hourly as H
 from ..schemas import OUTPUTS
 from ..sources.surrogate import ClinicalTables
+from . import files
 
 ORDER = ["first_icu_stay", "fis_icd9", "fis_icd9_titled", "fisi9t_profile",
          "fisi9t_unique_patient_profile", "fisi9t_vitalsign_hourly",
@@ -49,19 +52,23 @@ def hourly_tables(t: ClinicalTables, profile: DataFrame) -> dict[str, DataFrame]
     """P6-P9 from a one-row-per-subject profile."""
     cohort = G.cohort_stays(profile)
     window = G.stay_window(cohort, t.icustay_detail)
+    return _hourly(t, window)
+
+
+def _hourly(t: ClinicalTables, window: DataFrame) -> dict[str, DataFrame]:
     grid = G.hour_grid(window)
     return {
-        "fisi9t_vitalsign_hourly": H.vitals_hourly(t.vitalsign, cohort, grid),
-        "fisi9t_procedureevents_hourly": H.procedures_hourly(t.procedureevents, window, t.d_items, grid),
-        "fisi9t_chemistry_hourly": H.chemistry_hourly(t.chemistry, window, grid),
-        "fisi9t_coagulation_hourly": H.coagulation_hourly(t.coagulation, window, grid),
+        "fisi9t_vitalsign_hourly": H.vitals_hourly(t.vitalsign, window, grid),
+        "fisi9t_procedureevents_hourly": H.procedures_hourly(t.procedureevents, window, t.d_items),
+        "fisi9t_chemistry_hourly": H.chemistry_hourly(t.chemistry, window),
+        "fisi9t_coagulation_hourly": H.coagulation_hourly(t.coagulation, window),
     }
 
 
 def build_tables(t: ClinicalTables) -> dict[str, DataFrame]:
     """All nine tables as lazy DataFrames over ``t``."""
     out = C.cohort_chain(t)
-    out.update(hourly_tables(t, out["fisi9t_unique_patient_profile"]))
+    out.update(_hourly(t, G.timed_window(C.timed_profile(t, out["fis_icd9_titled"]))))
     return out
 
 
@@ -84,24 +91,59 @@ def with_calendar(df: DataFrame) -> DataFrame:
              .withColumn("chart_day", F.dayofmonth("charttime_hour"))
 
 
+#: Columns that hold a row of each table at most once, and are never null.
+UNIQUE = {
+    "first_icu_stay": ["subject_id"],
+    "fisi9t_unique_patient_profile": ["subject_id"],
+    "fisi9t_vitalsign_hourly": ["stay_id", "charttime_hour"],
+    "fisi9t_chemistry_hourly": ["stay_id", "charttime_hour"],
+    "fisi9t_coagulation_hourly": ["stay_id", "charttime_hour"],
+}
+#: Lookup columns that get a Bloom filter in every row group (where they are not dictionary coded as a whole; there the dictionary answers).
+LOOKUPS = ["stay_id", "subject_id"]
+
+
+class ConstraintError(ValueError):
+    """A table that must not be published: repeated or missing keys."""
+
+
 def write_table(df: DataFrame, path: str, sort_keys: list[str], fmt: str = "parquet",
-                partition_by: list[str] | None = None) -> None:
-    """Write ``df`` to the new folder ``path`` with a range-partitioned, sorted layout.
+                partition_by: list[str] | None = None, unique: list[str] | None = None) -> dict[str, int]:
+    """Write ``df`` to the new folder ``path`` with a range-partitioned, sorted layout; returns counts of
+    ``n_rows``, and of ``n_repeated`` rows and ``n_null`` keys of ``unique``, all taken while writing.
 
     The range partitioner samples its input first, so the result is stored once as it comes and
     the layout is made from the stored rows: the chain behind it runs only once.  With
     ``partition_by`` each task covers a contiguous range of the partition values, so it writes
-    into few directories."""
+    into few directories.  Equal keys lie side by side in one range, so the
+    rows of a key are counted in a window on that layout, without another exchange or scan."""
     spark, parts, raw = df.sparkSession, partition_by or [], f"{path}.raw"
     df.write.parquet(raw)
     stored = spark.read.schema(df.schema).parquet(raw)
     laid_out = stored.repartitionByRange(*parts, *sort_keys).sortWithinPartitions(*parts, *sort_keys)
+    seen = Observation(f"write-{uuid.uuid4().hex}")
+    counts = [F.count(F.lit(1)).alias("n_rows")]
+    if unique:
+        if unique != sort_keys:
+            raise ValueError("a table is sorted by its unique key")
+        same = F.count(F.lit(1)).over(Window.partitionBy(*parts, *sort_keys))
+        null = F.greatest(*[F.col(c).isNull().cast("int") for c in unique], F.lit(0))
+        laid_out = laid_out.withColumn("_same", same)
+        counts += [F.count_if(F.col("_same") > 1).alias("n_repeated"), F.sum(null).alias("n_null")]
+    laid_out = laid_out.observe(seen, *counts).drop("_same")
     writer = laid_out.write.format(fmt)
+    if fmt == "parquet":
+        for c in LOOKUPS:
+            if c in df.columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+                if unique == [c]:  # a dictionary of distinct values helps nobody
+                    writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     if parts:
         writer = writer.partitionBy(*parts)
     writer.save(path)
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    files.delete(spark, raw)
+    return {k: int(v or 0) for k, v in seen.get.items()}
 
 
 # What each table is computed from.
@@ -122,20 +164,26 @@ def with_dependents(tables) -> list[str]:
 
 
 MANIFEST = "table string, path string, version long"
+#: Seconds for which a refresh or reader holds its folders unless it lets go or asks for more.
+LEASE_SECONDS = 24 * 3600
 
 
 def published(spark: SparkSession, out_root: str) -> dict[str, str]:
-    """The newest published folder of each table under ``out_root``."""
+    """The newest published folder of each table under ``out_root``; dropped tables have none."""
     path = f"{out_root}/manifest"
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+    if not files.exists(spark, path):
         return {}
-    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(path).groupBy("table").agg(F.max(F.struct("version", "path"))["path"].alias("path"))
-    return {r["table"]: r["path"] for r in rows.collect()}
+    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(path)
+    newest = rows.groupBy("table").agg(F.max_by("path", "version").alias("path")).where("path IS NOT NULL")
+    return {r["table"]: r["path"] for r in newest.collect()}
+
+
+def _publish(spark: SparkSession, out_root: str, rows: list[tuple[str, str | None, int]], name: str) -> None:
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{out_root}/manifest/{name}")
 
 
 def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
-            tables: list[str] | None = None, fmt: str = "parquet") -> dict[str, str]:
+            tables: list[str] | None = None, fmt: str = "parquet", checks: dict[str, dict[str, int]] | None = None) -> dict[str, str]:
     """Rebuild ``tables`` (all by default), what depends on them, and inputs of theirs that were
     never published, in dependency order under ``out_root`` (a shared folder).
 
@@ -143,6 +191,9 @@ def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
     before it.  All are published together at the end, by one file in the manifest: a failed
     refresh publishes nothing, readers keep the folders that they opened, and of two
     writers the later one is what ``published`` returns, whole.
+
+    A table whose unique key (``UNIQUE``) is repeated or null, by the counts taken in its write, stops the
+    refresh with ``ConstraintError``.  ``checks`` receives the counts of each table.
     """
     have = published(spark, out_root)
     todo = set(with_dependents(tables or ORDER))
@@ -151,18 +202,98 @@ def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
             todo |= {d for d in DEPENDS[name] if d not in have}
     version = time.time_ns()
     folder = f"{out_root}/versions/{version}-{uuid.uuid4().hex}"
+    lease = hold(spark, out_root, [folder, *{have[d].rsplit("/", 1)[0] for n in todo for d in DEPENDS[n] if d in have}])
     paths = {n: f"{folder}/{n}" for n in ORDER if n in todo}
-    for name in paths:
-        before = {d: spark.read.format(fmt).load(paths.get(d, have.get(d))).select(*OUTPUTS[d]) for d in DEPENDS[name]}
-        out = _table(name, t, *before.values()).select(*OUTPUTS[name])
-        calendar = name in CALENDAR_TABLES
-        write_table(with_calendar(out) if calendar else out, paths[name], LAYOUT[name], fmt,
-                    CALENDAR_COLUMNS if calendar else None)
-    rows = [(n, p, version) for n, p in paths.items()]
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{out_root}/manifest/{os.path.basename(folder)}")
+    try:
+        for name in paths:
+            before = {d: spark.read.format(fmt).load(paths.get(d, have.get(d))).select(*OUTPUTS[d]) for d in DEPENDS[name]}
+            out = _table(name, t, *before.values()).select(*OUTPUTS[name])
+            calendar = name in CALENDAR_TABLES
+            counts = write_table(with_calendar(out) if calendar else out, paths[name], LAYOUT[name], fmt,
+                                 CALENDAR_COLUMNS if calendar else None, UNIQUE.get(name))
+            if counts.get("n_repeated") or counts.get("n_null"):
+                raise ConstraintError(f"{name}: {counts['n_repeated']} rows repeat their {UNIQUE[name]}, {counts['n_null']} have none")
+            if checks is not None:
+                checks[name] = counts
+        _publish(spark, out_root, [(n, p, version) for n, p in paths.items()], os.path.basename(folder))
+    except BaseException:
+        files.delete(spark, folder)
+        raise
+    finally:
+        release(spark, out_root, lease)
     return paths
 
 
+def drop(spark: SparkSession, out_root: str, tables: list[str], cascade: bool = True) -> list[str]:
+    """Unpublish ``tables`` and what was computed from them, in one step; returns their names.
+
+    Without ``cascade``, tables that others depend on are refused.  Tables that are not published are passed
+    over.  Files stay until ``vacuum``, so readers of a dropped table finish."""
+    have = published(spark, out_root)
+    gone = [n for n in with_dependents(tables) if n in have]
+    others = [n for n in gone if n not in tables]
+    if others and not cascade:
+        raise ValueError(f"{', '.join(others)} depend on {', '.join(tables)}")
+    if gone:
+        version = time.time_ns()
+        _publish(spark, out_root, [(n, None, version) for n in gone], f"{version}-{uuid.uuid4().hex}-drop")
+    return gone
+
+
+def hold(spark: SparkSession, out_root: str, folders: list[str], seconds: int = LEASE_SECONDS) -> list[str]:
+    """Keep version folders from ``vacuum`` until ``release``, or until the time is over (of a holder that was lost)."""
+    until, token = int(time.time()) + seconds, uuid.uuid4().hex
+    lease = [f"{until}.{os.path.basename(f)}.{token}" for f in folders]
+    for name in lease:
+        files.touch(spark, f"{out_root}/leases/{name}")
+    return lease
+
+
+def release(spark: SparkSession, out_root: str, lease: list[str]) -> None:
+    for name in lease:
+        files.delete(spark, f"{out_root}/leases/{name}")
+
+
+@contextmanager
+def reading(spark: SparkSession, out_root: str, seconds: int = LEASE_SECONDS) -> Iterator[dict[str, str]]:
+    """The published folders, held while they are read."""
+    while True:
+        have = published(spark, out_root)
+        lease = hold(spark, out_root, sorted({p.rsplit("/", 1)[0] for p in have.values()}), seconds)
+        if all(files.exists(spark, p) for p in have.values()):  # none was removed in between
+            break
+        release(spark, out_root, lease)
+    try:
+        yield have
+    finally:
+        release(spark, out_root, lease)
+
+
+def vacuum(spark: SparkSession, out_root: str) -> list[str]:
+    """Delete table folders that no published name refers to and nobody holds; returns them.
+
+    Leases are listed first and publications after: a refresh holds its folder from before its first
+    write until it is published, so the folder is seen by one of the two."""
+    now = time.time()
+    held, ended = set(), []
+    listed = files.names(spark, f"{out_root}/versions")
+    for name in files.names(spark, f"{out_root}/leases"):
+        until, folder, _ = name.split(".")
+        (held.add(folder) if int(until) >= now else ended.append(name))
+    kept = set(published(spark, out_root).values())
+    gone = []
+    for version in listed:
+        if version in held:
+            continue
+        tables = [f"{out_root}/versions/{version}/{t}" for t in files.names(spark, f"{out_root}/versions/{version}")]
+        old = [t for t in tables if t not in kept]
+        for path in old if len(old) < len(tables) else [f"{out_root}/versions/{version}"]:
+            files.delete(spark, path)
+        gone += old
+    release(spark, out_root, ended)
+    return gone
+
+
 def _table(name: str, t: ClinicalTables, before: DataFrame | None = None) -> DataFrame:
     """One table of the chain from the stored table before it."""
     if name == "first_icu_stay":

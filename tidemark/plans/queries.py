@@ -44,9 +44,6 @@ BROWSE_GENDER = "F"
 TRIPLE_SEGMENTS = ("BUILDING", "MACHINERY")
 SUBJECT_SEGMENTS = ("AUTOMOBILE",)
 DIGITS = 6
-# A literal cohort as a client sends it (fixed values): triples win over subject ids.
-COHORT_TRIPLES = [(u, 30000000 + 10 * u + k, 20000000 + 10 * u + k) for u in range(1, 400) for k in range(4) if u % 3]
-COHORT_SUBJECTS = [1, 2, 3]
 # the published temperature is a decimal and needs no rounding for the comparison
 HOURLY_MEANS = [c for c in VITAL_MEANS if c != "temperature"]
 
@@ -78,12 +75,13 @@ class Ctx:
         return self.chain["fisi9t_unique_patient_profile"]
 
     @cached_property
-    def cohort(self) -> DataFrame:
-        return G.cohort_stays(self.profile)
+    def timed(self) -> DataFrame:
+        """The profile with the stay's times."""
+        return C.timed_profile(self.t, self.chain["fis_icd9_titled"])
 
     @cached_property
     def window(self) -> DataFrame:
-        return G.stay_window(self.cohort, self.t.icustay_detail)
+        return G.timed_window(self.timed)
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -91,25 +89,50 @@ class Ctx:
 
     @cached_property
     def vitals_hourly(self) -> DataFrame:
-        return _round(H.vitals_hourly(self.t.vitalsign, self.cohort, self.grid), HOURLY_MEANS)
+        return self._vitals(self.window, self.grid)
+
+    def _vitals(self, window: DataFrame, grid: DataFrame) -> DataFrame:
+        return _round(H.vitals_hourly(self.t.vitalsign, window, grid), HOURLY_MEANS)
 
     @cached_property
     def procedures_hourly(self) -> DataFrame:
-        return H.procedures_hourly(self.t.procedureevents, self.window, self.t.d_items, self.grid)
+        return H.procedures_hourly(self.t.procedureevents, self.window, self.t.d_items)
 
     @cached_property
-    def on_day(self) -> DataFrame:
-        return S.admitted_on(self.profile, CLOCK_MONTH, CLOCK_DAY)
+    def window_on_day(self) -> DataFrame:
+        """Windows of the stays that have grid hours on the clock day."""
+        return G.on_calendar_day(self.window, CLOCK_MONTH, CLOCK_DAY)
+
+    @cached_property
+    def vitals_on_day(self) -> DataFrame:
+        """The hourly vitals of the clock day: only stays of that day are read into clusters."""
+        return self._vitals(self.window_on_day, G.hour_grid(self.window_on_day, CLOCK_MONTH, CLOCK_DAY))
+
+    @cached_property
+    def procedures_on_day(self) -> DataFrame:
+        return self._procedures(self.window_on_day)
+
+    def _procedures(self, window: DataFrame) -> DataFrame:
+        """The procedure rows of the clock day."""
+        grid = G.hour_grid(window, CLOCK_MONTH, CLOCK_DAY, bounds=True)
+        return H.procedures_hourly(self.t.procedureevents, window, self.t.d_items, grid)
 
     @cached_property
-    def literal_cohort(self) -> tuple[str, DataFrame] | None:
-        """A literal list of triples, which takes precedence over the subject ids."""
-        return S.cohort_relation(self.spark, COHORT_TRIPLES, COHORT_SUBJECTS)
+    def admitted_window(self) -> DataFrame:
+        """Windows of the stays admitted on the clock day by the clock hour."""
+        return G.timed_window(S.admitted_as_of(S.admitted_on(self.timed, CLOCK_MONTH, CLOCK_DAY), CLOCK_HOUR))
+
+    def admitted_vitals(self, window: DataFrame) -> DataFrame:
+        """The vitals of these stays on the clock day."""
+        return self._vitals(window, G.hour_grid(window, CLOCK_MONTH, CLOCK_DAY))
 
     @cached_property
-    def cohort_day(self) -> DataFrame:
-        """The cohort of the literal list, admitted on the clock's month and day."""
-        return S.base_patients(self.profile, self.literal_cohort, CLOCK_MONTH, CLOCK_DAY)
+    def on_day(self) -> DataFrame:
+        return S.admitted_on(self.profile, CLOCK_MONTH, CLOCK_DAY)
+
+    def cohort_day(self, profile: DataFrame) -> DataFrame:
+        """The cohort of the triples, admitted on the clock's month and day."""
+        return S.base_patients(profile, ("triples", self.cohort_triples()), CLOCK_MONTH, CLOCK_DAY)
 
     @cached_property
     def _customer(self) -> DataFrame:
@@ -126,7 +149,16 @@ class Ctx:
 
 
 def _timeline(c: Ctx) -> DataFrame:
-    return P.vitals_timeline(c.vitals_hourly, c.profile, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR)
+    return P.vitals_timeline(c.vitals_on_day, None, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR)
+
+
+def _census(c: Ctx) -> DataFrame:
+    """Vitals rows are the grid's; of the procedure rows only their hours count.  A tick counts stays admitted that day."""
+    admitted = S.admitted_on(c.timed, CLOCK_MONTH, CLOCK_DAY)
+    window = G.timed_window(admitted)
+    grid = G.hour_grid(window, CLOCK_MONTH, CLOCK_DAY, bounds=True)
+    events = H.events_on_grid(c.t.procedureevents, window, grid)
+    return P.hourly_census(c.spark, admitted, grid, events, CLOCK_MONTH, CLOCK_DAY)
 
 
 def _all_vitals(c: Ctx) -> DataFrame:
@@ -147,7 +179,7 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
     "gap_sessions": lambda c: SS.session_summary(_all_vitals(c), KEYS),
     "gap_sessions_lag": lambda c: SS.gap_sessions(_all_vitals(c), KEYS)
     .select(*KEYS, "charttime", "cluster_id", "cluster_time"),
-    "session_means": lambda c: _round(H.vital_clusters(c.t.vitalsign, c.cohort), VITAL_MEANS),
+    "session_means": lambda c: _round(H.vital_clusters(c.t.vitalsign, c.window), VITAL_MEANS),
     "first_non_null": lambda c: H.reduce_hourly(
         c.t.vitalsign.withColumn("charttime_hour", round_to_hour("charttime")),
         {"temperature_site": "first"}, time_col="charttime"),
@@ -156,9 +188,9 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
         {"inr": "last", "pt": "last", "ptt": "last", "thrombin": "last"}, time_col="charttime"),
     "vitals_hourly": lambda c: c.vitals_hourly,
     "procedures_hourly": lambda c: c.procedures_hourly,
-    "chemistry_hourly": lambda c: _round(H.chemistry_hourly(c.t.chemistry, c.window, c.grid),
+    "chemistry_hourly": lambda c: _round(H.chemistry_hourly(c.t.chemistry, c.window),
                                          ["calcium", "sodium"]),
-    "coagulation_hourly": lambda c: H.coagulation_hourly(c.t.coagulation, c.window, c.grid),
+    "coagulation_hourly": lambda c: H.coagulation_hourly(c.t.coagulation, c.window),
     "events_in_stay_range_join": lambda c: H.labs_in_stay(c.t.chemistry, c.window,
                                                           ["bicarbonate", "calcium", "sodium", "potassium"]),
     "cohort_triples": lambda c: S.select_cohort(c.profile, triples=c.cohort_triples()),
@@ -170,25 +202,24 @@ REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
     "vitals_timeline": lambda c: _timeline(c),
     "vitals_timeline_json": lambda c: P.vitals_timeline_json(_timeline(c)),
     "vitals_timeline_page": lambda c: P.vitals_timeline_arrays(_timeline(c)),
-    "procedure_log": lambda c: P.procedure_log(c.procedures_hourly, c.profile, CLOCK_MONTH,
-                                               CLOCK_DAY, CLOCK_HOUR),
+    "procedure_log": lambda c: P.procedure_log(c.procedures_on_day, None, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR),
     "delta_new_patients": lambda c: P.delta_new_patients(c.on_day, CLOCK_HOUR),
-    "delta_vitals": lambda c: P.delta_vitals(c.vitals_hourly, c.on_day, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR),
-    "delta_procedures": lambda c: P.delta_procedures(c.procedures_hourly, c.on_day, CLOCK_MONTH,
+    "delta_vitals": lambda c: P.delta_vitals(c.admitted_vitals(c.admitted_window), None, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR),
+    "delta_procedures": lambda c: P.delta_procedures(c._procedures(c.admitted_window), None, CLOCK_MONTH,
                                                      CLOCK_DAY, CLOCK_HOUR),
-    "hourly_census": lambda c: P.hourly_census(c.spark, c.on_day, c.vitals_hourly,
-                                               c.procedures_hourly, CLOCK_MONTH, CLOCK_DAY),
+    "hourly_census": lambda c: _census(c),
     "facet_counts": lambda c: B.facet_counts(c.profile),
     "browse_rows": lambda c: B.browse_rows(c.profile, {"gender": BROWSE_GENDER}),
     "session_window_clusters": lambda c: SS.gap_sessions_window(_all_vitals(c), KEYS),
     "id_search": lambda c: B.id_search(c.profile, SEARCH),
     "display_rows": lambda c: D.patient_rows(c.profile),
     "procedure_display": lambda c: D.procedure_rows(P.procedure_log(
-        c.procedures_hourly, c.profile, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR)),
+        c.procedures_on_day, None, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR)),
     "sample_and_count": lambda c: Q.sample_and_count(c.profile),
-    "clock_cohort_list": lambda c: S.admitted_as_of(c.cohort_day, CLOCK_HOUR),
-    "clock_cohort_delta": lambda c: P.delta_vitals(c.vitals_hourly, c.cohort_day, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR),
-    "clock_not_started": lambda c: S.admitted_as_of(c.on_day, -1),
+    "clock_cohort_list": lambda c: S.admitted_as_of(c.cohort_day(c.profile), CLOCK_HOUR),
+    "clock_cohort_delta": lambda c: P.delta_vitals(c.admitted_vitals(G.timed_window(
+        S.admitted_as_of(c.cohort_day(c.timed), CLOCK_HOUR))), None, CLOCK_MONTH, CLOCK_DAY, CLOCK_HOUR),
+    "clock_not_started": lambda c: S.clock_state(c.on_day, -1),
     "detail_header": lambda c: D.detail_header(c.profile),
     "vital_labels": lambda c: D.vital_labels(c.vitals_hourly),
     "procedure_labels": lambda c: D.procedure_labels(c.procedures_hourly),

@@ -21,6 +21,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.useObjectHashAggregateExec": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
 
 

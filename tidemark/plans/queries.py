@@ -65,19 +65,28 @@ class Ctx:
         """The clinical inputs, derived from the given tables in the same plan."""
         return surrogate_tables(self.spark, self.sf_dir)
 
+    # P1-P5, each built when it is asked for
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return C.first_stay(self.t.icustays)
+
+    @cached_property
+    def coded(self) -> DataFrame:
+        return C.icd9_only_diagnoses(self.first, self.t.diagnoses_icd)
+
     @cached_property
-    def chain(self) -> dict[str, DataFrame]:
-        """P1-P5 computed from the inputs."""
-        return C.cohort_chain(self.t)
+    def titled(self) -> DataFrame:
+        return C.titled_diagnoses(self.coded, self.t.d_icd_diagnoses)
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self.chain["fisi9t_unique_patient_profile"]
+        return C.unique_profile(C.stay_profile(self.titled, self.t.age, self.t.icustay_detail))
 
     @cached_property
     def timed(self) -> DataFrame:
         """The profile with the stay's times."""
-        return C.timed_profile(self.t, self.chain["fis_icd9_titled"])
+        return C.timed_profile(self.t, self.titled)
 
     @cached_property
     def window(self) -> DataFrame:
@@ -166,11 +175,11 @@ def _all_vitals(c: Ctx) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {
-    "first_stay": lambda c: c.chain["first_icu_stay"],
-    "icd9_only_diagnoses": lambda c: c.chain["fis_icd9"],
-    "titled_diagnoses": lambda c: c.chain["fis_icd9_titled"],
-    "stay_profile": lambda c: c.chain["fisi9t_profile"],
-    "unique_profile": lambda c: c.chain["fisi9t_unique_patient_profile"],
+    "first_stay": lambda c: c.first,
+    "icd9_only_diagnoses": lambda c: c.coded,
+    "titled_diagnoses": lambda c: c.titled,
+    "stay_profile": lambda c: C.stay_profile(c.titled, c.t.age, c.t.icustay_detail),
+    "unique_profile": lambda c: c.profile,
     "unique_subject_check": lambda c: Q.uniqueness_report(c.profile),
     "stay_window": lambda c: c.window,
     "hour_grid": lambda c: c.grid,

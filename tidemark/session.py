@@ -38,6 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.master(master)
     for k, v in REQUIRED_CONF.items():
         b = b.config(k, v)
+    # plans are built by many small calls; without a call site noted for each they take half the time
+    b = b.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

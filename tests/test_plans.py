@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from duckdb_oracle import oracle_sql
 from tidemark.plans.chain import ORDER, published, refresh
-from tidemark.plans.queries import queries
+from tidemark.plans.queries import STORED, queries
 from tidemark.schemas import OUTPUTS
 from tidemark.sources.surrogate import surrogate_tables
 
@@ -34,7 +34,7 @@ def test_query_plan_is_jvm_only_and_reads_given_tables(spark, name):
     text = plan_text(df)
     for bad in FORBIDDEN:
         assert bad not in text, f"{name}: {bad}"
-    if name not in ("stored_vitals", "clock_not_started"):
+    if name not in STORED:
         assert df.inputFiles() and all(f.startswith(f"file://{SF}/") for f in df.inputFiles())
 
 

@@ -87,7 +87,8 @@ def footer_counts(spark: SparkSession, path: str) -> DataFrame:
     session's settings (``REQUIRED_CONF``)."""
     with settings(spark, spark__sql__sources__useV1SourceList=""):
         table = spark.read.parquet(path)
-    return table.agg(F.count(F.lit(1)).alias("n_rows"))
+    n = F.col("n")  # a pushed count over no row group is null, though typed as never null
+    return table.agg(F.count(F.lit(1)).alias("n")).select(F.when(n >= 0, n).otherwise(0).alias("n_rows"))
 
 
 def readiness_report(spark: SparkSession, tables: dict[str, str | None], required: dict[str, list[str]]) -> DataFrame:

@@ -230,7 +230,7 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         rest = stage(_still_apart(members, lead, found), "minhash-rest")
         if rest.isEmpty():
-            return _across(every, sets, found, tested, threshold)
+            return _across(every, sets, found, threshold)
         if leaders == 1:  # the texts of all buckets together; their new buckets hold every similar pair of them
             rest = stage(_prefix_buckets(sets, rest, threshold), "minhash-prefixes")
         members, leaders = rest, leaders * GROWTH
@@ -244,38 +244,154 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return stage(full.mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "minhash-verified")
 
 
-def _across(members: DataFrame, sets: DataFrame, found: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """``found`` and the links between texts of different classes that share a bucket.
 
-    All texts of buckets with two or more classes get prefix buckets, joined ones too.  In each, the texts
-    outside its largest class are compared with all texts of other classes: first with the ``GROWTH`` of
-    each class that share the most buckets with them, then, if still apart, with the others."""
+    All texts of buckets with two or more classes get prefix buckets, joined ones too.  In each, the texts outside
+    its largest class are compared with the stars of other classes: a star is a leader and the texts linked to it.  Both
+    distances (one less the index) are metrics, so a text further from a leader than the greatest distance of a member and
+    that of a link has no link into the star.  Stars that stay in question are searched by ``_into_stars``."""
     roots = broadcast_if_small(stage(components(found), "minhash-roots"))
-    relabel = lambda df, key, label: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(label)), key, "left") \
+    relabel = lambda df, key, label, roots: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(label)), key, "left") \
         .withColumn(label, F.coalesce(label, key))
-    rest = stage(_open_buckets(relabel(members.drop("label"), "_key", "label")), "minhash-mixed")
+    rest = stage(_open_buckets(relabel(members.drop("label"), "_key", "label", roots)), "minhash-mixed")
     if rest.isEmpty():
         return found
-    items = stage(_prefix_buckets(sets, rest, threshold), "minhash-mixed-prefixes").select("_key", "band", "label", "light")
+    items = _prefix_buckets(sets, rest, threshold).select("_key", "band", "label", "light")
+    stars = broadcast_if_small(stage(_stars(found), "minhash-stars"))
+    items = items.join(stars, "_key", "left").withColumn("star", F.coalesce("star", "_key"))
+    items = stage(items, "minhash-mixed-prefixes")
     sizes = items.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     few = items.join(largest, "band").where("label != largest") \
         .select("band", F.col("_key").alias("x"), F.col("label").alias("x_label"), F.col("light").alias("x_light"))
     few = broadcast_if_small(stage(few, "minhash-few"))
-    pairs = items.join(few, "band").where((F.col("label") != F.col("x_label")) & (F.col("light") | F.col("x_light"))) \
-        .groupBy("x", F.col("_key").alias("y"), "label").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(tested, ["a", "b"], "left_anti")
-    pairs = stage(pairs, "minhash-mixed-pairs")
-    place = F.row_number().over(Window.partitionBy("x", "label").orderBy(F.col("shared").desc(), "y"))
-    best = pairs.withColumn("place", place).where(F.col("place") <= GROWTH).select("a", "b").distinct()
+    spots = items.groupBy("band", "star", "label").agg(F.max("light").alias("light"))
+    near = spots.join(few, "band").where((F.col("label") != F.col("x_label")) & (F.col("light") | F.col("x_light")))
+    near = stage(near.select("x", "star").distinct(), "minhash-near-stars")
+    members = items.select("_key", "star").distinct().join(broadcast_if_small(near.select("star").distinct()), "star", "left_semi")
+    members = stage(_against_leaders(members.where("_key != star"), sets), "minhash-star-members")
+    radius = members.groupBy("star").agg(F.max("far").alias("far"), F.max("far_p").alias("far_p"))
+    near = _against_leaders(near.select(F.col("x").alias("_key"), "star"), sets)
+    near = near.join(broadcast_if_small(stage(radius, "minhash-radius")).withColumnsRenamed({"far": "r", "far_p": "r_p"}), "star", "left")
+    reach = 1 - threshold + 1e-9
+    is_open = (F.col("far") <= F.col("r") + reach) | (F.col("far_p") <= F.col("r_p") + reach)
+    linked = F.least("far", "far_p") <= reach
+    near = stage(near.select("*", linked.alias("linked"), F.coalesce(is_open, F.lit(False)).alias("open")).drop("r", "r_p"), "minhash-near")
+    pair = lambda df, y: df.select(F.least("_key", y).alias("a"), F.greatest("_key", y).alias("b"))
+    found = found.union(pair(near.where("linked"), "star"))
+    near = near.where("open AND NOT linked").drop("linked", "open")
+    roots = broadcast_if_small(stage(components(found), "minhash-roots"))
+    apart = lambda df, a, b: relabel(relabel(df, a, "_la", roots), b, "_lb", roots).where("_la != _lb").drop("_la", "_lb")
+    pairs = stage(_into_stars(stage(apart(near, "_key", "star"), "minhash-open-stars"), members, threshold), "minhash-mixed-pairs")
+    pairs = stage(relabel(pairs, "y", "label", roots), "minhash-labelled-pairs")
+    place = F.row_number().over(Window.partitionBy("_key", "label").orderBy(F.col("shared").desc(), "y"))
+    best = pair(pairs.withColumn("place", place).where(F.col("place") <= GROWTH), "y").distinct()
     done = _verified(stage(best, "minhash-best"), sets, threshold)
     found = found.union(done.where("linked").select("a", "b"))
     roots = broadcast_if_small(stage(components(found), "minhash-roots"))
-    left = relabel(relabel(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la != lb").select("a", "b")
-    done = _verified(stage(left.join(done.select("a", "b"), ["a", "b"], "left_anti"), "minhash-left-pairs"), sets, threshold)
+    left = apart(pair(pairs, "y").distinct(), "a", "b").select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    done = _verified(stage(left, "minhash-left-pairs"), sets, threshold)
     return found.union(done.where("linked").select("a", "b"))
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """_key, star: of each linked text and those linked to it, the one with the most links."""
+    both = found.union(found.select("b", "a")).toDF("u", "v").distinct()
+    links_ = broadcast_if_small(stage(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "minhash-degrees"))
+    of_v = links_.select(F.col("u").alias("v"), F.col("n").alias("n_v"))
+    best = both.join(of_v, "v").groupBy("u").agg(F.max(F.struct(F.col("n_v").alias("n"), F.col("v").alias("key"))).alias("best"))
+    own = F.struct(F.col("n"), F.col("u").alias("key"))
+    return best.join(links_, "u").select(F.col("u").alias("_key"), F.greatest("best", own)["key"].alias("star"))
+
+
+#: Members of a star that meet its leader's set in one task.
+STAR_ROWS = 500
+
+
+def _against_leaders(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Texts (_key, star) compared with their star's leader: its distances ``far`` (plain) and ``far_p`` (probability), the
+    number ``n`` of the text's shingles, their total weight ``w``, and ``delta``, the shingles that only one of the two has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, far_p, n, w, delta = [], [], [], [], []
+            for sa, wa, sb, wb in zip(*[batch.column(c).to_pylist() for c in ("sa", "wa", "sb", "wb")]):
+                x, y = _read_set(sa, wa), _read_set(sb, wb)
+                index_p, index = similarity(x, y)
+                far.append(1 - index), far_p.append(1 - index_p), n.append(len(x[0])), w.append(float(x[1].sum()))
+                delta.append(np.setxor1d(x[0], y[0], assume_unique=True).view(np.int64))
+            yield pa.record_batch({
+                "_key": batch.column("_key"), "star": batch.column("star"), "far": pa.array(far, pa.float64()), "far_p": pa.array(far_p, pa.float64()),
+                "n": pa.array(n, pa.int64()), "w": pa.array(w, pa.float64()), "delta": pa.array(delta, pa.list_(pa.int64()))})
+
+    rows = stage(rows, "minhash-star-rows")
+    counts = rows.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
+    counts = broadcast_if_small(stage(counts, "minhash-star-counts"))
+    leaders = sets.join(counts, sets._key == counts.star).select(
+        "star", F.col("shingles").alias("sb"), F.col("weights").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    texts = rows.join(counts, "star").withColumn("salt", F.pmod(F.col("_key"), F.col("salts")).cast("int"))
+    texts = texts.join(sets.select("_key", F.col("shingles").alias("sa"), F.col("weights").alias("wa")), "_key")
+    return texts.join(leaders, ["star", "salt"]).select("_key", "star", "sa", "wa", "sb", "wb") \
+        .mapInArrow(run, "_key long, star long, far double, far_p double, n long, w double, delta array<long>")
+
+
+def _into_stars(near: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(_key, y, shared): the members ``y`` of a star that a text near it may be linked to.
+
+    Two texts differ by the shingles that only one of their deltas to a common leader holds.  Linked by the plain index,
+    ``x`` and ``y`` differ by ``most`` shingles at most: (1 - t) / (1 + t) of both counts.  Linked by the probability index, by
+    that share of twice the greater total weight, and their distances to the leader are as close as a link.
+    Where the delta of ``x`` exceeds that (it is not linked to the leader), the two deltas must share
+    ``need = (|dx| + |dy| - most) / 2`` shingles, and so must their rarest ones: with a common order, those
+    but the last ``need - 1`` of each.  Edits of one copy only, in no other delta, are the rarest and meet nobody.
+
+    The few texts whose delta does not exceed ``most`` meet the members whose delta is as long as theirs, within
+    ``most``; for them members are parted by size and weight."""
+    share, reach = (1 - threshold) / (1 + threshold), 1 - threshold + 1e-9
+    step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.log(F.lit(1.02))).cast("long")
+    members = members.withColumnRenamed("_key", "y").withColumn("m", F.size("delta")).withColumn("part", step("n") * 100_000 + step("w"))
+    members = members.join(broadcast_if_small(near.select("star").distinct()), "star", "left_semi")
+    parts = members.groupBy("star", "part").agg(F.max("n").alias("n_y"), F.max("w").alias("w_y"), F.max("far_p").alias("r_p"),
+                                                F.min("m").alias("m_low"), F.max("m").alias("m_high"))
+    parts = broadcast_if_small(stage(parts, "minhash-star-parts"))
+    plain = lambda n, n_x: share * (n + n_x) + 1e-6
+    weighted = lambda close, w, w_x: F.when(close, 2 * share * F.greatest(w, w_x) + 1e-6).otherwise(0.0)
+    x = near.select("_key", "star", F.col("n").alias("n_x"), F.col("w").alias("w_x"), F.col("far_p").alias("far_x"), "delta", F.size("delta").alias("m_x"))
+    x = x.join(parts, "star").withColumn("most", F.greatest(plain(F.col("n_y"), F.col("n_x")), weighted(F.col("far_x") <= F.col("r_p") + reach, F.col("w_y"), F.col("w_x"))))
+    # the deltas' sizes alone rule out the other parts
+    x = stage(x.where((F.col("m_x") <= F.col("m_high") + F.col("most")) & (F.col("m_low") <= F.col("m_x") + F.col("most"))).drop("n_y", "w_y", "r_p"),
+              "minhash-near-parts")
+    most = F.greatest(plain(F.col("n"), F.col("n_x")), weighted(F.abs(F.col("far_p") - F.col("far_x")) <= reach, F.col("w"), F.col("w_x")))
+    any_ = x.where("m_x <= most").select("_key", "star", "part", "n_x", "w_x", "far_x", "m_x") \
+        .join(members.select("y", "star", "part", "n", "w", "far_p", "m"), ["star", "part"]) \
+        .where((F.col("m_x") <= most) & (F.abs(F.col("m") - F.col("m_x")) <= most))
+    # the deltas' shingles, once for each star: the places that a pair may share are tested by its own sizes
+    x = x.groupBy("_key", "star").agg(F.max("most").alias("most"), *[F.first(c).alias(c) for c in ("n_x", "w_x", "far_x", "m_x", "delta")])
+    e_x = x.select("_key", "star", "n_x", "w_x", "far_x", "m_x", F.greatest(F.ceil(F.col("m_x") - F.col("most")), F.lit(1)).alias("need"), F.explode("delta").alias("e"))
+    e_y = members.select("y", "star", "n", "w", "far_p", "m", F.explode("delta").alias("e"))
+    e_x, e_y = stage(e_x, "minhash-near-deltas"), stage(e_y, "minhash-star-deltas")
+    # a shingle of one side only meets nobody; it still takes its place in the order
+    spots = ["star", "e"]
+    held = e_x.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_x")).join(e_y.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_y")), spots)
+    held = stage(held.select(*spots, (F.col("k_x") + F.col("k_y")).alias("k")), "minhash-held")
+
+    def placed(df: DataFrame, key: str, m: str) -> DataFrame:
+        """The shared shingles with their place in the order of the delta: unshared ones come first."""
+        shared = df.join(held, spots)
+        own = Window.partitionBy(key, "star")
+        return shared.withColumn("at", F.col(m) - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "e")))
+
+    x_side = placed(e_x, "_key", "m_x").where("at <= m_x - need + 1").drop("need", "k").withColumnRenamed("at", "at_x")
+    y_side = placed(e_y, "y", "m").where("at <= m - floor(m / 2)").drop("k")
+    met = stage(x_side, "minhash-near-prefixes").join(stage(y_side, "minhash-star-prefixes"), spots)
+    room = 1 + F.least(F.col("m") - F.col("at"), F.col("m_x") - F.col("at_x"))
+    # the first shingle that they share lies early enough for all that they need
+    met = met.where(2 * room >= F.col("m") + F.col("m_x") - most).groupBy("_key", "y").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = met.union(any_.select("_key", "y", F.lit(0).cast("long").alias("shared")))
+    return pairs.groupBy("_key", "y").agg(F.max("shared").alias("shared"))
+
+
 def _prefix_buckets(sets: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
     """New buckets for the texts that are left: those that share a shingle of their prefix.
 

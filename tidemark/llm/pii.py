@@ -11,7 +11,11 @@ the information content of e is -log P(e), and t reveals PMI(t; e) = log(P(e | t
 Terms that reveal at least ``remove`` of the information are removed, those that reveal at least
 ``generalise`` are replaced by their kind (name, term), wherever they stand: far from the mention and in
 documents without it, too.  A pair counts only if it was seen in ``support`` different texts: copies of a
-whole text are one, a passage (a signature) that different texts repeat counts in each.
+whole text are one, a passage (a signature) that different texts repeat counts in each.  Terms are runs of three or more
+letters: shorter ones, among them most names in scripts without spaces, are not looked at.
+
+Texts are read where they lie: a bit filter of the disclosing terms (of a fixed size) picks the words that may be among
+them, and only those words' places are shuffled.
 
 Counts cover all documents.  A term in more than n(e) (N / n(e)) ^ (1 - ``generalise``) of N documents
 cannot reveal enough of an entity in n(e) of them, so such pairs are not made.  ``find`` gives base
@@ -28,7 +32,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +53,9 @@ _DIGITS = re.compile("[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 SPAN = "struct<kind:string,start:long,end:long>"
-
+#: Size of the filter of disclosing terms (2 MB), and words whose test a task remembers; results depend on neither.
+FILTER_BITS = 1 << 24
+REMEMBERED = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -171,27 +179,52 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = 3, genera
     return rows.withColumn("action", action).where("action is not null").select("entity", "term", "action", "revealed")
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for b in text_batches(batches):
-        added = []
-        for t, hits in zip(b.column("text").to_pylist(), b.column("hits").to_pylist()):
-            actions = {h["term"]: h["action"] for h in hits}
-            added.append([{"kind": actions[w], "start": m.start(), "end": m.end()}
-                          for m in outside(t, base_spans(t)) if (w := m[0].lower()) in actions])
-        yield pa.record_batch([b.column("_h"), pa.array(added, schema)], names=["_h", "added"])
+def _term_bits(actions: DataFrame) -> np.ndarray:
+    """A bit filter of the terms, of ``FILTER_BITS`` bits whatever their number: a set bit for the hash of each."""
+    place = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
+    words = actions.groupBy(F.floor(place / 64).cast("int").alias("i")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words.column("i").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def _occurrences(bits: np.ndarray):
+    """Rows (_h, term, start, end) of the words outside base spans that pass the filter; texts go nowhere."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+
+        def may_disclose(word: str) -> bool:
+            h = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 42) % FILTER_BITS  # Spark's xxhash64
+            yes = bool(int(bits[h >> 6]) >> (h & 63) & 1)
+            if len(known) < REMEMBERED:
+                known[word] = yes
+            return yes
+
+        for b in text_batches(batches):
+            rows: list[tuple[int, str, int, int]] = []
+            for h, t in zip(b.column("_h").to_pylist(), b.column("text").to_pylist()):
+                if not t:
+                    continue
+                hits = {w for w in set(_WORD.findall(t)) if (known[w] if w in known else may_disclose(w))}
+                if hits:
+                    rows += [(h, m[0].lower(), m.start(), m.end()) for m in outside(t, base_spans(t)) if m[0] in hits]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                                                 names=["_h", "term", "start", "end"])
+    return run
 
 
 def spans(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     """_row, doc_id and spans (base and added, by start, then kind, then end) of every found row."""
     # removed wins over generalised where a term discloses several entities
     actions = stage(terms.groupBy("term").agg(F.max("action").alias("action")), "pii-actions")
-    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
-    hits = texts.select("_h", F.explode(_words()).alias("term")).join(broadcast_if_small(actions), "term") \
-        .groupBy("_h").agg(F.collect_set(F.struct("term", "action")).alias("hits"))
-    hits = stage(hits, "pii-hits")
-    added = texts.join(_small(hits, "hits"), "_h").select("_h", "text", "hits") \
-        .mapInArrow(_occurrences, f"_h long, added array<{SPAN}>").dropDuplicates(["_h"])
+    texts = docs.select(F.col("text").cast("string").alias("text")).select(F.xxhash64("text").alias("_h"), "text")
+    places = texts.mapInArrow(_occurrences(_term_bits(actions)), "_h long, term string, start long, end long")
+    # equal texts have equal places: one of each stays
+    added = places.join(broadcast_if_small(actions), "term").groupBy("_h", "start", "end").agg(F.max("action").alias("kind")) \
+        .groupBy("_h").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     added = stage(added, "pii-added")
     rows = found.select("_row", "doc_id", "_h", "base").join(_small(added, "added"), "_h", "left")
     order = F.array(*[F.lit(k) for k in KINDS])

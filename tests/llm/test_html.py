@@ -73,3 +73,38 @@ def test_null_columns_and_empty_table(spark):
                                "page_id long, url string, html string, text string")
     assert sorted(map(tuple, X.main_text(df).collect()), key=str) == sorted([(None, None, "", 0), (1, "u", "a", 1), (1, "u", "a", 1)], key=str)
     assert X.main_text(df.limit(0)).count() == 0
+
+
+SENTENCE = "This is a paragraph with the words of a normal text that is in English and goes on for a while"
+
+
+@pytest.mark.parametrize("untidy", [
+    "<a href=x title=it's>link</a>", "<p title=it's>don't</p>", "<img alt=\"a > b\" src='x>y'>", "<p \"stray>quote</p>", "<div data-x = it's>don't</div>"])
+def test_untidy_attributes_lose_nothing(untidy):
+    page = f"<body><article><p>{SENTENCE} one.</p>{untidy}<p>{SENTENCE} isn't two.</p><p>{SENTENCE} three.</p></article></body>"
+    found = X.extract(page)
+    assert all(f"{SENTENCE} {x}" in found for x in ("one.", "isn't two.", "three."))
+
+
+@pytest.mark.parametrize("name,kept", [("legal-analysis", True), ("share-price news", True), ("article-footer", True), ("comments", False), ("comment-list", False),
+                                       ("share-buttons", False), ("ad-slot-2", False), ("related_links", False), ("sidebar widget", False)])
+def test_class_names_inside_an_article(name, kept):
+    page = f'<article><p>{SENTENCE} first.</p><div class="{name}"><p>{SENTENCE} inside.</p></div></article>'
+    assert (f"{SENTENCE} inside." in X.extract(page)) == kept and f"{SENTENCE} first." in X.extract(page)
+
+
+def test_links_around_blocks_count_as_links():
+    cards = "".join(f'<a href="/{i}"><div><p>{SENTENCE} of card {i}</p></div></a>' for i in range(2))
+    found = X.blocks(f"<body><div>{cards}</div><p>{SENTENCE} outside</p></body>")
+    assert [round(b[1], 1) for b in found] == [1.0, 1.0, 0.0]
+    # an inline link left open ends with its block, one around blocks with its container
+    assert [b[1] for b in X.blocks(f"<p>word <a href=x>link<p>{SENTENCE}<div><a href=y><p>card</div><p>{SENTENCE}")][1::2] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("hostile", ['<p a="' * 150_000, "<div>" * 60_000 + "</b>" * 60_000, "<!" * 300_000, "<a href=x " * 100_000, "<p a='" * 150_000 + ">",
+                                     "<script " * 100_000, "</div" * 150_000, "<div><p>" * 50_000 + "</x>" * 50_000])
+def test_hostile_pages_take_linear_time(hostile):
+    import time
+    start = time.process_time()
+    X.extract(hostile)
+    assert time.process_time() - start < 3

@@ -108,3 +108,10 @@ def test_language_model_on_odd_rows(spark):
     one_sided = moore_lewis.cross_entropy_difference(docs, F.lit(None).cast("boolean")).collect()
     assert len(one_sided) == len(ODD)
     assert moore_lewis.cross_entropy_difference(frame(spark, []), F.lit(True)).count() == 0
+
+
+def test_the_sample_is_bounded_without_ids(spark):
+    rows = [(None, f"text number {i}", "a", "en") for i in range(3000)] + [(7, f"other text {i}", "a", "fr") for i in range(500)]
+    rows += [(i, "one text", "a", "de") for i in range(5)] + [(1, "one text", "a", "de")] * 2000 + [(None, None, "a", "it")] * 50
+    got = langid.sample(frame(spark, rows).select("doc_id", "lang", "text"), 10).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"en": 10, "fr": 10, "de": 5, "it": 1}

@@ -124,3 +124,22 @@ def test_rules_on_odd_rows(spark):
     assert model.judge(frame(spark, [])).count() == 0
     bare = isolation.fit(docs, labels.limit(0)).judge(docs).collect()
     assert all(r.kept != r.base_failed for r in bare)
+
+
+def test_repeated_labelled_rows_are_one(spark):
+    rows = [(i, " ".join(f"{'good words of text' if i % 2 else '### $$$ ###'} {j}" for j in range(60 + i)), "a", "en") for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    once, often = frame(spark, rows), frame(spark, rows + [rows[4]] * 300 + [rows[7]] * 50)
+    a, b = (crf_quality.fit(d, labels, folds=1, held_out=-1) for d in (once, often))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.transitions, b.transitions)
+    a, b = (isolation.fit(d, labels) for d in (once, often))
+    assert a.threshold == b.threshold and np.array_equal(a.forest.value, b.forest.value)
+
+
+def test_long_texts_are_learned_from_by_their_first_lines(spark):
+    line = {0: "### $$$ %%%", 1: "the words of a good line"}
+    rows = [(i, "\n".join([line[i % 2]] * (30 if i % 3 else 3000)), "a", "en") for i in range(1, 30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    cut = [(i, "\n".join(t.split("\n")[:100]), s, lang) for i, t, s, lang in rows]
+    a, b = (crf_quality.fit(frame(spark, r), labels, max_lines=100, folds=1, held_out=-1) for r in (rows, cut))
+    assert not np.array_equal(a.weights, np.zeros_like(a.weights)) and a.weights.shape == b.weights.shape

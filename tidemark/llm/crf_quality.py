@@ -208,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
         folds: int = 5, held_out: int = 0) -> CrfModel:
     """Learns from labelled documents whose crc32(doc_id) mod ``folds`` is not ``held_out``.
 
-    ``max_docs`` bounds the sample (the labels with the smallest hash of their id), and a
-    document of more than ``max_lines`` lines is not learned from."""
+    ``max_docs`` bounds the sample (the labels with the smallest hash of their id): of rows that repeat an
+    id, the text with the smallest hash is learned from, and of a long text its first ``max_lines`` lines."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
                           & (crc_mod("doc_id", folds) != held_out))
     sample = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs) \
@@ -219,16 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
         for b in text_batches(batches):
             x, _, n = line_stats(b.column("text").to_pylist())
             ends = np.cumsum(n)
-            use = [i for i in range(len(n)) if 0 < n[i] <= max_lines]
+            use = [i for i in range(len(n)) if n[i]]
             yield pa.record_batch({
-                "doc_id": b.column("doc_id").take(pa.array(use, pa.int64())),
-                "quality": b.column("quality").take(pa.array(use, pa.int64())),
-                "x": pa.array([x[ends[i] - n[i]:ends[i]].astype("<f4").tobytes() for i in use], pa.binary())})
+                **{c: b.column(c).take(pa.array(use, pa.int64())) for c in ("doc_id", "quality", "h")},
+                "x": pa.array([x[ends[i] - n[i]:ends[i] - n[i] + min(n[i], max_lines)].astype("<f4").tobytes() for i in use], pa.binary())})
 
-    # at most max_docs short rows
     chosen = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = chosen.mapInArrow(stats, "doc_id long, quality int, x binary").collect()
+        .join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("text").alias("h"), "text")
+    # one row of an id leaves each task, so at most max_docs are gathered
+    rows = chosen.mapInArrow(stats, "doc_id long, quality int, h long, x binary").groupBy("doc_id") \
+        .agg(F.min(F.struct("h", "x", "quality")).alias("r")).select("doc_id", "r.quality", "r.x").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     if {r["quality"] for r in rows} != {0, 1}:
         return CrfModel(np.zeros(3 * len(STATS) + 1), np.zeros((2, 2)))

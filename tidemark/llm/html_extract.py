@@ -22,6 +22,7 @@ have no limit.  Null or empty pages give the empty text, each row is worked on a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -52,13 +53,20 @@ OUT_NAMES = re.compile(
     r"comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommend\w*|widget|newsletter|"
     r"subscribe|subscription|signup|login|search|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I)
 
+#: Parts of class names that say nothing of what is inside.
+PLAIN_PARTS = frozenset("box bar block wrap wrapper container section list item items area main top bottom left right inner outer content body "
+                        "link links button buttons icon icons text title group panel row col column module unit slot post page site js".split())
+
+# Quotes count only after an equals sign; other values run to white space or the tag's end.  Every form also ends with the
+# page, so no part of a page is read twice.
+_INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)?)*+"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\b[^>]*>|.*)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-z][^<>]*>"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b" + _INSIDE + r"(?:>(?:.*?</(?P=raw)\b[^>]*+(?:>|\Z)|.*)|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attributes>" + _INSIDE + r")(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.I | re.S)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -66,6 +74,13 @@ LONG, SHORT, LINKED, STOPS = 80, 25, 0.4, 0.15
 OUT, IN, OPEN = 0, 1, 2
 
 
+def _out_name(name: str) -> bool:
+    """Whether a whole class name says so: each part does, or says nothing.  Inside an article one part alone may as well be
+    its subject (``legal-analysis``, ``share-price``)."""
+    parts = [p for p in re.split(r"[\d_-]+", name.lower()) if p and p not in PLAIN_PARTS]
+    return bool(parts) and all(OUT_NAMES.search(p) for p in parts)
+
+
 def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether a container holds something other than main text."""
     if tag in OUT_TAGS:
@@ -79,7 +94,7 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
             if value.lower() in OUT_ROLES:
                 return True
         elif name in ("class", "id"):
-            if OUT_NAMES.search(value):
+            if OUT_NAMES.search(value) and (not in_article or any(map(_out_name, value.split()))):
                 return True
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
@@ -95,7 +110,9 @@ def blocks(html: str) -> list[tuple[str, float, bool, int, bool]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int, bool]] = []  # tag, marked, region, region is article or main
     marked, region, main, regions = False, 0, False, 0
-    links = linked = 0
+    links = linked = depth = 0
+    fresh = around = False  # a link without text yet; a link around blocks
+    opened: Counter[str] = Counter()  # tags on the stack
 
     def close() -> None:
         nonlocal linked
@@ -112,7 +129,9 @@ def blocks(html: str) -> list[tuple[str, float, bool, int, bool]]:
             text = unescape(text) if "&" in text else text
             parts.append(text)
             if links:
-                linked += len(text.strip())
+                size = len(text.strip())
+                linked += size
+                fresh = fresh and not size
             continue
         tag = m["tag"]
         if tag is None:
@@ -123,36 +142,47 @@ def blocks(html: str) -> list[tuple[str, float, bool, int, bool]]:
                 links = 0
             elif tag in BLOCK_TAGS:
                 close()
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
+            if opened[tag]:
                 if tag not in BLOCK_TAGS:
                     close()
-                del stack[at:]
+                while opened[tag]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
                 _, marked, region, main = stack[-1] if stack else ("", False, 0, False)
+                if len(stack) < depth:  # the link's own container has ended
+                    links = 0
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
-            links = 1
+            links, fresh, around, depth = int(bool(_HREF.search(m["attributes"]))), True, False, len(stack)
         elif tag in VOID_TAGS:
             if tag == "hr":
                 close()
         elif tag in BLOCK_TAGS or tag in OUT_TAGS:
+            around = around or fresh
             close()
-            links = 0
+            if not around:  # a link with text of its own does not go on in the next block
+                links = 0
             if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "option"):
                 # closed by the next of their kind, so not kept open; a mark on them holds for the block
                 while stack and stack[-1][0] == "p":
                     stack.pop()
+                    opened["p"] -= 1
                 _, marked, region, main = stack[-1] if stack else ("", False, 0, False)
                 if _marked(tag, m["attributes"], main):
                     stack.append(("p", True, region, main))
+                    opened["p"] += 1
                     marked = True
                 continue
             if tag == "body":
                 stack.clear()
+                opened.clear()
                 marked, region, main = False, 0, False
             while stack and stack[-1][0] == "p":
                 stack.pop()
+                opened["p"] -= 1
             _, marked, region, main = stack[-1] if stack else ("", False, 0, False)
             if tag in ("article", "main", "section"):
                 regions += 1
@@ -161,6 +191,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, int, bool]]:
             marked = marked or _marked(tag, m["attributes"], main)
             if not m["attributes"].endswith("/") or tag in BLOCK_TAGS:
                 stack.append((tag, marked, region, main))
+                opened[tag] += 1
     close()
     return out
 

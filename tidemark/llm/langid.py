@@ -9,7 +9,7 @@ clearly farther from its centroid than nearly all learned texts of the language
 rejected: the column ``rejected`` is true, the nearest language is still given.
 
 Document frequencies are counted over all learnable texts.  Clusters are fitted on at most
-``max_docs`` of them in each language (smallest hash of the id), so a rare language is learned
+``max_docs`` of them in each language (smallest hash of id and text), so a rare language is learned
 beside a hot one; each language is clustered in a task of its own, and the driver gets its centroids.  Null texts and texts without letters get
 ``und`` and score 0.  Rows are judged one by one; an empty table gives an empty result; extra
 columns are ignored.  Without a learnable row every text gets ``und``.
@@ -149,6 +149,22 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return n, df
 
 
+def sample(usable: DataFrame, max_docs: int) -> DataFrame:
+    """At most ``max_docs`` rows (doc_id, lang, text) of each language: those with the smallest hash of id and text.
+
+    Rows equal in both are one.  All tasks together put out about twice ``max_docs`` hashes of a language, those below a
+    share of their range, and the ``max_docs``-th smallest is its cut, so no task gathers more."""
+    usable = usable.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    sizes = stage(usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langid-sizes")
+    below = F.col("h") < F.lit(2.0 ** 64 * max_docs) / F.col("n")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = usable.select("lang", "h").join(broadcast_if_small(sizes), "lang").where(below).select("lang", "h").distinct() \
+        .withColumn("place", place).where(F.col("place") <= max_docs).groupBy("lang").agg(F.max("h").alias("last"))
+    cuts = stage(cuts, "langid-cuts")
+    return usable.join(broadcast_if_small(cuts), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]) \
+        .select("doc_id", "lang", "text")
+
+
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000, clusters: int = 8,
         reject_share: float = 0.002) -> CentroidModel:
     """Learns from text and non-null lang of documents whose crc32(doc_id) mod ``folds`` is not ``held_out``."""
@@ -156,15 +172,6 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
         .select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     n, df = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # the sample is drawn by hash of the id; the cut of a language is the max_docs-th smallest of its narrow
-    # rows, limited before the shuffle
-    key = F.xxhash64("doc_id")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = usable.select("lang", key.alias("h")).withColumn("place", place).where(F.col("place") <= max_docs) \
-        .groupBy("lang").agg(F.max("h").alias("last"))
-    cuts = stage(cuts, "langid-cuts")
-    if cuts.isEmpty():
-        return CentroidModel((), np.zeros((0, DIMS), dtype=np.float32), np.zeros(0), idf.astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
@@ -187,8 +194,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 6000
         return pd.DataFrame({"lang": own["lang"].iloc[0], "place": np.arange(len(c)), "centroid": [y.tobytes() for y in c],
                              "reach": 0.9 * np.quantile(top, reject_share)})
 
-    picked = usable.join(broadcast_if_small(cuts), "lang").where(key <= F.col("last")).select("doc_id", "lang", "text")
-    rows = picked.mapInArrow(run, "doc_id long, lang string, dims binary, values binary") \
+    rows = sample(usable, max_docs).mapInArrow(run, "doc_id long, lang string, dims binary, values binary") \
         .groupBy("lang").applyInPandas(learn, "lang string, place long, centroid binary, reach double").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["place"]))
     languages, reach = [r["lang"] for r in rows], [r["reach"] for r in rows]

@@ -141,10 +141,10 @@ def test_readings_are_scanned_once_and_thinned_before_an_exchange(spark, name):
 def test_key_filter_never_loses_a_key(spark):
     keys = spark.range(0, 30_000, 3).select(F.col("id").alias("a"), F.concat(F.lit("k"), F.col("id")).alias("b"))
     rows = spark.range(30_000).select("id", F.concat(F.lit("k"), F.col("id")).alias("b"))
-    kept = rows.where(may_hold(key_filter(keys, ["a", "b"]), [F.col("id"), F.col("b")]))
+    kept = rows.where(may_hold(key_filter(keys, [F.col("a"), F.col("b")]), [F.col("id"), F.col("b")]))
     assert kept.where("id % 3 = 0").count() == 10_000
     assert kept.where("id % 3 > 0").count() < 200  # two of 2^20 bits a key
-    assert rows.where(may_hold(key_filter(keys.limit(0), ["a", "b"]), [F.col("id"), F.col("b")])).isEmpty()
+    assert rows.where(may_hold(key_filter(keys.limit(0), [F.col("a"), F.col("b")]), [F.col("id"), F.col("b")])).isEmpty()
 
 
 @pytest.mark.parametrize("n,requested,page,pages", [

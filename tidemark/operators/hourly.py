@@ -24,7 +24,7 @@ from ..functions.aggregates import merge_agg, policy_agg, state_aggs
 from ..functions.time import round_to_hour
 from ..schemas import OUTPUTS, VITAL_COLUMNS, VITAL_MEANS
 from .grid import hour_grid
-from .key_filter import key_filter, may_hold
+from .key_filter import as_id, key_filter, may_hold
 from .sessions import bucket_of, bucket_sessions
 
 KEYS = ["subject_id", "stay_id"]
@@ -148,9 +148,9 @@ def events_on_grid(procedures: DataFrame, window: DataFrame, grid: DataFrame) ->
     """
     key = KEYS + ["charttime_hour"]
     grid = _bounded(grid, window)
-    cohort = key_filter(window, KEYS)
+    cohort = key_filter(window, [as_id(c) for c in KEYS])
     p = procedures.withColumnRenamed("storetime", "charttime").where(F.col("charttime").isNotNull())
-    p = p.where(may_hold(cohort, [F.col(c) for c in KEYS])).withColumn("charttime_hour", round_to_hour("charttime"))
+    p = p.where(may_hold(cohort, [as_id(c) for c in KEYS])).withColumn("charttime_hour", round_to_hour("charttime"))
     inside = (F.col("p.charttime") >= F.col("g.icu_intime")) & (F.col("p.charttime") <= F.col("g.icu_outtime"))
     same = [F.col(f"g.{c}") == F.col(f"p.{c}") for c in key]
     joined = grid.alias("g").join(p.alias("p"), [*same, inside], "left")
@@ -189,8 +189,8 @@ def labs_hourly(labs: DataFrame, window: DataFrame, grid: DataFrame, policies: d
     grid = _bounded(grid, window)
     first, last = round_to_hour("icu_intime"), round_to_hour("icu_outtime")
     edges = window.select("subject_id", F.explode(F.array(first, last)).alias("charttime_hour"))
-    hour = round_to_hour("charttime")
-    edge = may_hold(key_filter(edges, ["subject_id", "charttime_hour"]), [F.col("subject_id"), F.col("charttime_hour")])
+    hour, edge_key = round_to_hour("charttime"), [as_id("subject_id"), F.col("charttime_hour")]
+    edge = may_hold(key_filter(edges, edge_key), edge_key)
     rows = labs.select("subject_id", "charttime", hour.alias("charttime_hour"), *policies).where(F.col("charttime").isNotNull())
     states = [a for c, p in policies.items() for a in state_aggs(c, p, order="charttime")]
     reduced = rows.withColumn("_t", F.when(edge, F.col("charttime"))).groupBy("subject_id", "charttime_hour", "_t").agg(*states)

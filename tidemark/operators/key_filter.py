@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 WORDS = 1 << 14
 
 
+def as_id(column: str) -> Column:
+    """An integer id in the type that filters hash."""
+    return F.col(column).cast("long")
+
+
 def _places(columns: list[Column], words: int) -> list[tuple[Column, Column]]:
     """(index, bit) of the two bits of a key."""
     out = []
@@ -29,9 +34,10 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def key_filter(keys: DataFrame, columns: list[str], words: int = WORDS) -> Column:
-    """The filter of the keys as a column, the same on every row."""
-    pairs = F.array(*[F.struct(i.alias("i"), _bit(b).alias("bit")) for i, b in _places([F.col(c) for c in columns], words)])
+def key_filter(keys: DataFrame, columns: list[Column], words: int = WORDS) -> Column:
+    """The filter of the keys as a column, the same on every row.  Its keys and those that are tested must have equal
+    types, as hashes differ between types (ids: ``as_id``)."""
+    pairs = F.array(*[F.struct(i.alias("i"), _bit(b).alias("bit")) for i, b in _places(columns, words)])
     set_ = keys.select(F.explode(pairs).alias("p")).groupBy(F.col("p.i").cast("long").alias("id")).agg(F.bit_or("p.bit").alias("bits"))
     every = keys.sparkSession.range(words).join(set_, "id", "left")
     dense = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))

@@ -189,9 +189,16 @@ def _read_set(shingle: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
     return s, np.frombuffer(weight, dtype="<f4").astype(float) if weight else np.ones(len(s))
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs of sets, few at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _verify(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             cols = [batch.column(c).to_pylist() for c in ("a", "b", "sa", "wa", "sb", "wb")]
             # sets without weights are at most as similar as their sizes
             ok = [(bool(wa or wb) or min(len(sa), len(sb)) >= (threshold - 1e-9) * max(len(sa), len(sb)))
@@ -258,8 +265,7 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
     if rest.isEmpty():
         return found
     items = _prefix_buckets(sets, rest, threshold).select("_key", "band", "label", "light")
-    stars = broadcast_if_small(stage(_stars(found), "minhash-stars"))
-    items = items.join(stars, "_key", "left").withColumn("star", F.coalesce("star", "_key"))
+    items = items.join(_stars(found), "_key", "left").withColumn("star", F.coalesce("star", "_key"))
     items = stage(items, "minhash-mixed-prefixes")
     sizes = items.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
@@ -269,11 +275,11 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
     spots = items.groupBy("band", "star", "label").agg(F.max("light").alias("light"))
     near = spots.join(few, "band").where((F.col("label") != F.col("x_label")) & (F.col("light") | F.col("x_light")))
     near = stage(near.select("x", "star").distinct(), "minhash-near-stars")
-    members = items.select("_key", "star").distinct().join(broadcast_if_small(near.select("star").distinct()), "star", "left_semi")
+    members = items.select("_key", "star").distinct().join(near.select("star"), "star", "left_semi")
     members = stage(_against_leaders(members.where("_key != star"), sets), "minhash-star-members")
     radius = members.groupBy("star").agg(F.max("far").alias("far"), F.max("far_p").alias("far_p"))
     near = _against_leaders(near.select(F.col("x").alias("_key"), "star"), sets)
-    near = near.join(broadcast_if_small(stage(radius, "minhash-radius")).withColumnsRenamed({"far": "r", "far_p": "r_p"}), "star", "left")
+    near = near.join(radius.withColumnsRenamed({"far": "r", "far_p": "r_p"}), "star", "left")
     reach = 1 - threshold + 1e-9
     is_open = (F.col("far") <= F.col("r") + reach) | (F.col("far_p") <= F.col("r_p") + reach)
     linked = F.least("far", "far_p") <= reach
@@ -281,16 +287,16 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
     pair = lambda df, y: df.select(F.least("_key", y).alias("a"), F.greatest("_key", y).alias("b"))
     found = found.union(pair(near.where("linked"), "star"))
     near = near.where("open AND NOT linked").drop("linked", "open")
-    roots = broadcast_if_small(stage(components(found), "minhash-roots"))
-    apart = lambda df, a, b: relabel(relabel(df, a, "_la", roots), b, "_lb", roots).where("_la != _lb").drop("_la", "_lb")
-    pairs = stage(_into_stars(stage(apart(near, "_key", "star"), "minhash-open-stars"), members, threshold), "minhash-mixed-pairs")
-    pairs = stage(relabel(pairs, "y", "label", roots), "minhash-labelled-pairs")
+    pairs = stage(relabel(_into_stars(near, members, threshold), "y", "label", roots), "minhash-mixed-pairs")
+    if pairs.isEmpty():
+        return found
     place = F.row_number().over(Window.partitionBy("_key", "label").orderBy(F.col("shared").desc(), "y"))
     best = pair(pairs.withColumn("place", place).where(F.col("place") <= GROWTH), "y").distinct()
     done = _verified(stage(best, "minhash-best"), sets, threshold)
     found = found.union(done.where("linked").select("a", "b"))
     roots = broadcast_if_small(stage(components(found), "minhash-roots"))
-    left = apart(pair(pairs, "y").distinct(), "a", "b").select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    left = relabel(relabel(pair(pairs, "y").distinct(), "a", "_la", roots), "b", "_lb", roots).where("_la != _lb") \
+        .select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
     done = _verified(stage(left, "minhash-left-pairs"), sets, threshold)
     return found.union(done.where("linked").select("a", "b"))
 
@@ -298,7 +304,7 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
 def _stars(found: DataFrame) -> DataFrame:
     """_key, star: of each linked text and those linked to it, the one with the most links."""
     both = found.union(found.select("b", "a")).toDF("u", "v").distinct()
-    links_ = broadcast_if_small(stage(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "minhash-degrees"))
+    links_ = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     of_v = links_.select(F.col("u").alias("v"), F.col("n").alias("n_v"))
     best = both.join(of_v, "v").groupBy("u").agg(F.max(F.struct(F.col("n_v").alias("n"), F.col("v").alias("key"))).alias("best"))
     own = F.struct(F.col("n"), F.col("u").alias("key"))
@@ -314,7 +320,7 @@ def _against_leaders(rows: DataFrame, sets: DataFrame) -> DataFrame:
     number ``n`` of the text's shingles, their total weight ``w``, and ``delta``, the shingles that only one of the two has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             far, far_p, n, w, delta = [], [], [], [], []
             for sa, wa, sb, wb in zip(*[batch.column(c).to_pylist() for c in ("sa", "wa", "sb", "wb")]):
                 x, y = _read_set(sa, wa), _read_set(sb, wb)
@@ -327,7 +333,6 @@ def _against_leaders(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = stage(rows, "minhash-star-rows")
     counts = rows.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
-    counts = broadcast_if_small(stage(counts, "minhash-star-counts"))
     leaders = sets.join(counts, sets._key == counts.star).select(
         "star", F.col("shingles").alias("sb"), F.col("weights").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     texts = rows.join(counts, "star").withColumn("salt", F.pmod(F.col("_key"), F.col("salts")).cast("int"))
@@ -351,10 +356,9 @@ def _into_stars(near: DataFrame, members: DataFrame, threshold: float) -> DataFr
     share, reach = (1 - threshold) / (1 + threshold), 1 - threshold + 1e-9
     step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.log(F.lit(1.02))).cast("long")
     members = members.withColumnRenamed("_key", "y").withColumn("m", F.size("delta")).withColumn("part", step("n") * 100_000 + step("w"))
-    members = members.join(broadcast_if_small(near.select("star").distinct()), "star", "left_semi")
+    members = members.join(near.select("star"), "star", "left_semi")
     parts = members.groupBy("star", "part").agg(F.max("n").alias("n_y"), F.max("w").alias("w_y"), F.max("far_p").alias("r_p"),
                                                 F.min("m").alias("m_low"), F.max("m").alias("m_high"))
-    parts = broadcast_if_small(stage(parts, "minhash-star-parts"))
     plain = lambda n, n_x: share * (n + n_x) + 1e-6
     weighted = lambda close, w, w_x: F.when(close, 2 * share * F.greatest(w, w_x) + 1e-6).otherwise(0.0)
     x = near.select("_key", "star", F.col("n").alias("n_x"), F.col("w").alias("w_x"), F.col("far_p").alias("far_x"), "delta", F.size("delta").alias("m_x"))

@@ -1,6 +1,6 @@
 """Reading the clinical inputs from storage.
 
-``read_inputs`` loads the eleven input tables either from a folder of Parquet
+``read_inputs`` loads the ten input tables either from a folder of Parquet
 files (``<root>/<table>``) or from catalog tables of a database, always with the
 explicit input schema so nothing is inferred at run time.  Column pruning and
 filters reach the scan through Catalyst.

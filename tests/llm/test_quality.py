@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_cases import ODD, documents as frame
 from tidemark.llm import crf_quality, isolation, queries
@@ -143,3 +144,31 @@ def test_long_texts_are_learned_from_by_their_first_lines(spark):
     cut = [(i, "\n".join(t.split("\n")[:100]), s, lang) for i, t, s, lang in rows]
     a, b = (crf_quality.fit(frame(spark, r), labels, max_lines=100, folds=1, held_out=-1) for r in (rows, cut))
     assert not np.array_equal(a.weights, np.zeros_like(a.weights)) and a.weights.shape == b.weights.shape
+
+
+def test_forest_and_threshold_come_from_every_labelled_row(spark):
+    """More labelled rows than any bounded sample held: only the last ids by hash are bad, and they are found."""
+    n = 9000
+    bad = {r.id for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(40).collect()}
+    is_bad = F.col("id").isin(*bad)
+    noise, plain = " ".join(f"###{i}" for i in range(80)), " ".join(f"word{i}" for i in range(80))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(is_bad, noise).otherwise(plain).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(is_bad, 0).otherwise(1).alias("quality"))
+    assert isolation.labelled_stats(docs, labels).count() == n
+    rows = isolation.fit(docs, labels).judge(docs).collect()
+    assert {r.doc_id for r in rows if not r.kept} == bad and not any(r.base_failed for r in rows)
+
+
+def test_draw_is_by_smallest_hash(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"))
+    want = {r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(100).collect()}
+    assert {r.doc_id for r in isolation._draw(rows, 100)} == want and len(isolation._draw(rows, 5000)) == 3000
+
+
+def test_threshold_over_a_table_is_that_of_arrays(spark):
+    rng = np.random.default_rng(5)
+    for scores, good in ((rng.random(700).round(2), rng.random(700) < .8), (np.array([.5, .5]), np.array([True, False])),
+                         (np.array([.1, .9]), np.array([True, True]))):
+        df = spark.createDataFrame(list(zip(scores.tolist(), good.tolist())), "anomaly double, good boolean")
+        for share in (.5, .995):
+            assert isolation.calibrate_all(df.repartition(7), share) == isolation.calibrate(scores, good, share)

@@ -1,11 +1,11 @@
 """Quality rules with an isolation forest on their statistics.
 
 Every text is reduced to rule statistics (words, symbols, repeated lines and word windows,
-character kinds).  An isolation forest is fitted on a bounded sample of labelled rows: each tree
-takes a random subsample and splits it at random values of random statistics; rows that are
-separated by few splits are anomalies.  A row's anomaly score is ``2 ** (-mean path length /
-c)`` with ``c`` the mean path length of an unsuccessful search in a subsample.  The threshold on
-the score is calibrated on the labelled rows of the sample: among the scores it takes the one
+character kinds).  An isolation forest is grown from all labelled rows: each tree draws the few rows
+that the method gives it (``sample``) from all of them and splits these at random values of random
+statistics; rows that are separated by few splits are anomalies.  A row's anomaly score is ``2 ** (-mean
+path length / c)`` with ``c`` the mean path length of an unsuccessful search in such a draw.  The
+threshold on the score is calibrated on every labelled row: among the scores it takes the one
 that separates the labels best while at least ``keep_share`` of the good rows stay.
 
 A document is kept if it passes the base rules and its score is not above the threshold.
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_batches
+from tidemark.llm.common import stage, text_batches
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -124,14 +124,17 @@ class Forest:
 
 
 def grow_forest(x: np.ndarray, trees: int = 200, sample: int = 64, seed: int = 11) -> Forest:
+    """Trees on ``sample`` rows each; where there are enough rows for all, no row is in two trees."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
+    apart = rng.permutation(len(x)).reshape(trees, sample) if len(x) == trees * sample else None
     depth = max(1, math.ceil(math.log2(max(sample, 2))))
     size = 2 ** (depth + 1)
     k, value = np.full((trees, size), -1), np.zeros((trees, size))
     left, length = np.zeros((trees, size), dtype=np.int64), np.zeros((trees, size))
     for t in range(trees):
-        todo, free = [(0, x[rng.choice(len(x), sample, replace=False)], 0)], 1
+        drawn = rng.choice(len(x), sample, replace=False) if apart is None else apart[t]
+        todo, free = [(0, x[drawn], 0)], 1
         while todo:
             node, rows, d = todo.pop()
             low, high = rows.min(axis=0), rows.max(axis=0)
@@ -187,29 +190,81 @@ class RuleModel:
             .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= self.threshold))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, trees: int = 200, sample: int = 64,
-        keep_share: float = 0.995, seed: int = 11) -> RuleModel:
-    """Fits forest and threshold on at most ``max_rows`` labelled rows (smallest hash of the id)."""
-    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows) \
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def _passes(n_words, n_repeat_words):
+    """Whether the base rules are met."""
+    return (n_words >= 50) & (100 * n_repeat_words <= 50 * n_words)
+
+
+def labelled_stats(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good and stats of every labelled id that ``docs`` has.
+
+    Of labels that repeat an id the lowest holds, of texts that do the one with the smallest hash.  Texts
+    stay where they are: their statistics are joined."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             s = [list(rule_stats(t)) for t in b.column("text").to_pylist()]
-            yield pa.record_batch({**{c: b.column(c) for c in ("doc_id", "quality", "h")}, "stats": pa.array(s, pa.list_(pa.int64()))})
-
-    # of rows that repeat an id one leaves each task, the text with the smallest hash, so at most max_rows are gathered
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id") \
-        .select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("text").alias("h"), "text") \
-        .mapInArrow(run, "doc_id long, quality int, h long, stats array<long>").groupBy("doc_id") \
-        .agg(F.min(F.struct("h", "quality", "stats")).alias("r")).select("doc_id", "r.quality", "r.stats").collect()
-    if not rows:
-        return RuleModel(grow_forest(np.zeros((1, len(LIMITS))), 1), 1.0)
-    rows = sorted((r["doc_id"], r["quality"], r["stats"]) for r in rows)
-    x, good = features(np.array([r[2] for r in rows])), np.array([r[1] == 1 for r in rows])
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "h": b.column("h"), "stats": pa.array(s, pa.list_(pa.int64()))})
+
+    judged = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
+        .agg(F.min("quality").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, stats array<long>")
+    return rows.join(judged, "doc_id").groupBy("doc_id").agg(F.min(F.struct("h", "quality", "stats")).alias("r")) \
+        .select("doc_id", (F.col("r.quality") == 1).alias("good"), "r.stats")
+
+
+def _draw(rows: DataFrame, k: int) -> list:
+    """The ``k`` rows of smallest hash; tasks send about twice as many together, not ``k`` each."""
+    n, h = rows.count(), F.xxhash64("doc_id")
+    if n > 2 * k:
+        few = rows.where(h <= F.lit(-2**63 + 2**64 * 2 * k // n))
+        rows = few if few.count() >= k else rows
+    return rows.orderBy(h, "doc_id").limit(k).collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 200, sample: int = 64, keep_share: float = 0.995, seed: int = 11) -> RuleModel:
+    """Fits forest and threshold on all labelled rows.
+
+    The forest's ``trees`` * ``sample`` rows are drawn by hash of the id; every row is scored by
+    it, and the threshold is found on the scores of all."""
+    rows = stage(labelled_stats(docs, labels), "isolation-rows")
+    passing = rows.where(_passes(F.col("stats")[0], F.col("stats")[4]))
     # rows that fail the base rules are decided without the forest
-    s = np.array([r[2] for r in rows])
-    passes = (s[:, 0] >= 50) & (100 * s[:, 4] <= 50 * s[:, 0])
-    forest = grow_forest(x[passes] if passes.any() else x, trees, sample, seed)
-    return RuleModel(forest, calibrate(forest.scores(x[passes]), good[passes], keep_share) if passes.any() else 1.0)
+    drawn = _draw(passing, trees * sample)
+    if not drawn:
+        drawn = _draw(rows, trees * sample)
+        x = features(np.array([r["stats"] for r in drawn])) if drawn else np.zeros((1, len(LIMITS)))
+        return RuleModel(grow_forest(x, trees if drawn else 1, sample, seed), 1.0)
+    drawn.sort(key=lambda r: r["doc_id"])
+    forest = grow_forest(features(np.array([r["stats"] for r in drawn])), trees, sample, seed)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = features(np.array(b.column("stats").to_pylist(), dtype=np.int64))
+                yield pa.record_batch({"anomaly": pa.array(forest.scores(x)), "good": b.column("good")})
+
+    scored = passing.select("stats", "good").mapInArrow(score, "anomaly double, good boolean")
+    return RuleModel(forest, calibrate_all(scored, keep_share))
+
+
+def calibrate_all(scored: DataFrame, keep_share: float) -> float:
+    """``calibrate`` over a table (anomaly, good) of any size.
+
+    Scores are dealt to ranges; counts run inside each range and start from those of the ranges before."""
+    cuts = scored.groupBy("anomaly").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    cuts = stage(cuts.repartitionByRange("anomaly").withColumn("part", F.spark_partition_id()), "isolation-cuts")
+    totals = cuts.agg(F.sum("g").alias("g"), F.sum("b").alias("b")).first()
+    if not totals["g"] or not totals["b"]:
+        return 1.0
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cuts.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b")) \
+        .select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "gb"])
+    upto = Window.partitionBy("part").orderBy("anomaly")
+    kept = cuts.join(F.broadcast(parts), "part") \
+        .select("anomaly", *[((F.sum(c).over(upto) + F.col(f"{c}_before")) / totals[c]).alias(c) for c in "gb"])
+    best = kept.where(F.col("g") >= keep_share).withColumn("gain", F.col("g") - F.col("b")) \
+        .orderBy(F.col("gain").desc(), "anomaly").first()["anomaly"]
+    higher = cuts.where(F.col("anomaly") > best).agg(F.min("anomaly").alias("a")).first()["a"]
+    return float((best + (1.0 if higher is None else higher)) / 2)

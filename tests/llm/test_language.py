@@ -92,6 +92,34 @@ def test_losses_against_dictionaries(spark):
         assert r.score == pytest.approx(want[0] - want[1], abs=1e-4)
 
 
+def test_every_pair_has_a_count_of_its_own(spark, monkeypatch):
+    """More different pairs than a table of fixed size could part, over many blocks, against dictionaries."""
+    monkeypatch.setattr(moore_lewis, "BLOCK_BYTES", 1 << 19)
+    rng = np.random.default_rng(7)
+    docs = [(" ".join(f"w{x}" for x in rng.integers(0, 3000 * (1 + i % 3), 1500)), i % 3 == 0) for i in range(900)]
+    one, two, ctx = ([Counter(), Counter()] for _ in range(3))
+    words = [t.split() for t, _ in docs]
+    for w, (_, g) in zip(words, docs):
+        one[g].update(w), two[g].update(zip([None, *w], w)), ctx[g].update([None, *w][:-1])
+    assert len(two[0]) + len(two[1]) > 1_000_000
+    size = [sum(c.values()) for c in one]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(docs)], "doc_id long, text string, good boolean")
+    rows = {r.doc_id: r for r in moore_lewis.cross_entropy_difference(df, F.col("good")).collect()}
+    for i in range(0, 900, 97):
+        w, want = words[i], []
+        for g in (True, False):
+            own = (Counter(w), Counter(zip([None, *w], w)), Counter([None, *w][:-1])) if docs[i][1] == g else (Counter(),) * 3
+            scale, loss = min(size) / size[g], 0.0
+            for a, b in zip([None, *w], w):
+                base = (scale * (one[g][b] - own[0][b]) + 1) / (scale * (size[g] - own[0].total()) + moore_lewis.VOCABULARY)
+                loss -= math.log((scale * (two[g][a, b] - own[1][a, b]) + moore_lewis.BACKING * base)
+                                 / (scale * (ctx[g][a] - own[2][a]) + moore_lewis.BACKING))
+            want.append(loss / len(w))
+        assert [rows[i].loss_target, rows[i].loss_background] == pytest.approx(want, rel=1e-9)
+    tokens = moore_lewis.token_losses(df.select("doc_id", "text", F.col("good").alias("is_target"))).where("doc_id = 97").first()
+    assert tokens.words == words[97] and np.mean(tokens.losses) == pytest.approx(rows[97].score)
+
+
 def test_good_documents_score_lower(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op9_cross_entropy(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id") \

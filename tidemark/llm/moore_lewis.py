@@ -1,16 +1,22 @@
 """Cross-entropy difference of a target and a background language model.
 
 Two bigram models of the same form are counted from the corpus: one from the documents of
-the target domain, one from all others.  They share one vocabulary: words are hashed to
-``VOCABULARY`` ids and word pairs to ``PAIRS`` ids, so the models have a fixed size whatever the
-corpus, and every word of every document is counted.  The models are matched: the counts of the
+the target domain, one from all others.  Every word and every pair of neighbours has a count of its
+own (under a 64-bit hash: among 10 ** 9 different ones about 0.03 share one), so the models grow
+with the corpus and are nowhere whole: they live in tables.  The models are matched: the counts of the
 larger domain are scaled to the total of the smaller one, and both are smoothed alike, pairs by
-words with weight ``BACKING``, words by the uniform distribution.
+words with weight ``BACKING``, words by ``VOCABULARY`` equal shares.
+
+1. Documents are dealt to blocks of about ``BLOCK_BYTES``.  Each block counts its words and pairs and
+   deals the counts to parts by their key (``block_counts``).
+2. Each part adds up the counts of its keys over all blocks (a key has one count from each) and sends the
+   sums back to the blocks that hold the key, unless it occurs in one block only (``sums``).
+3. Each block scores its documents by the sums.
 
 A document's score is its mean loss per word under the target model minus the one under the
 background model: negative scores are closer to the target.  Each document is scored by models
 that have not seen it: its own counts are taken out of the model they went into.  Each word's
-loss difference is available from ``token_losses``.
+loss difference is available from ``token_losses``.  Rows that repeat an id with the same text share a block.
 
 Words are lower-cased runs of letters, digits and ``_``.  Null texts and texts without words
 have no losses (null) and score 0.  Rows are scored one by one (equal rows get equal scores); an
@@ -20,8 +26,9 @@ model is uniform.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, stage, text_batches
+from tidemark.llm.prob_minhash import mix
 
-VOCABULARY, PAIRS = 1 << 18, 1 << 19
+#: Equal shares of the distribution that words are smoothed by, the same for both models.
+VOCABULARY = 1 << 18
 BACKING = 8.0
+#: Text of a block: one task counts and scores it at once.
+BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_GOLD, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Hash of the word before the first one; key of the number of all words.
+_START, _TOTAL = np.uint64(1), np.uint64(0)
 _REMEMBERED = 500_000
 _word_ids: dict[str, int] = {}
 
@@ -51,83 +64,50 @@ def _id(word: str) -> int:
 
 
 def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words in a row: text number, word id, id of the word before (``VOCABULARY`` at the start
-    of a text), pair id."""
+    """Of all words in a row: text number, and the keys of the word, of the word before as a context
+    (one key for the start of a text) and of the pair."""
     words = [_WORD.findall((t or "").lower()) for t in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
-    h = np.array([_id(x) for w in words for x in w], dtype=np.uint64)
+    word = np.array([_id(x) for w in words for x in w], dtype=np.uint64)
     text = np.repeat(np.arange(len(words)), n)
-    word = (h >> np.uint64(40)).astype(np.int64) % VOCABULARY
-    first = np.ones(len(h), dtype=bool)
+    first = np.ones(len(word), dtype=bool)
     first[1:] = text[1:] != text[:-1]
-    before = np.where(first, VOCABULARY, np.roll(word, 1))
-    pair = (before.astype(np.uint64) * np.uint64(VOCABULARY + 1) + word.astype(np.uint64)) * _MIX
-    return text, word, before, (pair >> np.uint64(64 - 19)).astype(np.int64)
+    context = mix(np.where(first, _START, np.roll(word, 1)) ^ _CONTEXT)
+    return text, word, context, mix(context + word * _GOLD)
 
 
 @dataclass(frozen=True)
 class Counts:
-    """Counts of one domain: pairs, words as contexts (with the text start), and words."""
-
-    pairs: np.ndarray
-    contexts: np.ndarray
-    words: np.ndarray
+    """Counts of both domains by key (sorted)."""
 
-    @property
-    def total(self) -> float:
-        return float(self.words.sum(dtype=np.float64))
+    keys: np.ndarray
+    target: np.ndarray
+    background: np.ndarray
 
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
 
-@dataclass(frozen=True)
-class Models:
-    target: Counts
-    background: Counts
-
-    def losses(self, texts: Sequence[str | None], is_target: np.ndarray):
-        """Text number and the loss under target and background of every word."""
-        text, word, before, pair = grams(texts)
+    def losses(self, grams_: tuple[np.ndarray, ...], n: int, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The loss under target and background of every word of ``n`` texts."""
+        text, *keys = grams_
         if not len(text):
-            return text, np.zeros(0), np.zeros(0)
-        smaller = min(self.target.total, self.background.total)
+            return np.zeros(0), np.zeros(0)
+        at = [self.at(k) for k in keys]
         # what the text itself has put into its domain's counts
-        own_pair, own_context, own_word = _own(text, pair, PAIRS), _own(text, before, VOCABULARY + 1), _own(text, word, VOCABULARY)
-        own_total = np.bincount(text, minlength=len(texts))[text]
+        own_word, own_context, own_pair = [_own(text, k, len(self.keys)) for k in at]
+        own_total = np.bincount(text, minlength=n)[text]
+        totals = [float(c[self.at(_TOTAL)]) for c in (self.target, self.background)]
+        smaller = min(totals)
         mine, out = is_target[text], []
-        for counts, own in ((self.target, mine), (self.background, ~mine)):
-            w = np.maximum(counts.words[word] - own * own_word, 0)
-            c = np.maximum(counts.contexts[before] - own * own_context, 0)
-            p = np.minimum(np.maximum(counts.pairs[pair] - own * own_pair, 0), c)
-            scale = smaller / max(counts.total, 1)
-            base = (scale * w + 1) / (scale * np.maximum(counts.total - own * own_total, 0) + VOCABULARY)
+        for counts, total, own in ((self.target, totals[0], mine), (self.background, totals[1], ~mine)):
+            word, context, pair = [counts[k] for k in at]
+            w = np.maximum(word - own * own_word, 0)
+            c = np.maximum(context - own * own_context, 0)
+            p = np.maximum(pair - own * own_pair, 0)
+            scale = smaller / max(total, 1)
+            base = (scale * w + 1) / (scale * np.maximum(total - own * own_total, 0) + VOCABULARY)
             out.append(-np.log((scale * p + BACKING * base) / (scale * c + BACKING)))
-        return text, out[0], out[1]
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_words, loss_target, loss_background, score for ``docs`` (doc_id, text, is_target)."""
-        model = docs.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = model.value
-            for b in text_batches(batches):
-                n = b.num_rows
-                target = np.array([bool(x) for x in b.column("is_target").to_pylist()])
-                text, lt, lb = m.losses(b.column("text").to_pylist(), target)
-                words = np.bincount(text, minlength=n)
-                mean = [np.bincount(text, x, minlength=n) / np.maximum(words, 1) for x in (lt, lb)]
-                none = words == 0
-                yield pa.record_batch({
-                    "doc_id": b.column("doc_id"), "n_words": pa.array(words.astype(np.int64)),
-                    "loss_target": pa.array(mean[0], mask=none), "loss_background": pa.array(mean[1], mask=none),
-                    "score": pa.array(mean[0] - mean[1])})
-
-        return docs.select("doc_id", "text", "is_target").mapInArrow(
-            run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
-
-
-def token_losses(models: Models, text: str, is_target: bool = False) -> list[tuple[str, float]]:
-    """Each word of a text with its loss difference."""
-    _, t, b = models.losses([text], np.array([is_target]))
-    return list(zip(_WORD.findall((text or "").lower()), (t - b).tolist()))
+        return out[0], out[1]
 
 
 def _own(text: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
@@ -141,37 +121,113 @@ def _own(text: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def count(docs: DataFrame) -> Models:
-    """Counts over all of ``docs`` (text, is_target).
-
-    Each task adds up its documents and sends the ids it met; sums per id are gathered into
-    arrays of fixed size (``PAIRS`` + 2 * ``VOCABULARY`` + 1 numbers for each domain)."""
-    size = PAIRS + 2 * VOCABULARY + 1
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)]
-        for b in text_batches(batches):
-            target = np.array([bool(x) for x in b.column("is_target").to_pylist()])
-            text, word, before, pair = grams(b.column("text").to_pylist())
-            ids = np.concatenate([pair, PAIRS + before, PAIRS + VOCABULARY + 1 + word])
-            mine = np.tile(target[text], 3)
-            sums[0] += np.bincount(ids[mine], minlength=size)
-            sums[1] += np.bincount(ids[~mine], minlength=size)
-        at = np.flatnonzero(sums[0] + sums[1])
-        for i in range(0, len(at), 100_000):
-            some = at[i:i + 100_000]
-            yield pa.record_batch({"id": pa.array(some.astype(np.int32)), "target": pa.array(sums[0][some]),
-                                   "background": pa.array(sums[1][some])})
-
-    rows = docs.select("text", "is_target").mapInArrow(run, "id int, target long, background long") \
-        .groupBy("id").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    # float32 holds counts to 7 digits; the tables are of fixed size
-    sums = [np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)]
-    table = rows.select("id", F.col("target").cast("float"), F.col("background").cast("float")).toArrow()
-    at = table.column("id").to_numpy()
-    sums[0][at], sums[1][at] = table.column("target").to_numpy(), table.column("background").to_numpy()
-    parts = [(s[:PAIRS], s[PAIRS:PAIRS + VOCABULARY + 1], s[PAIRS + VOCABULARY + 1:]) for s in sums]
-    return Models(Counts(*parts[0]), Counts(*parts[1]))
+def _slices(block: pa.Table) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...], np.ndarray]]:
+    """The texts of a block, few at once, with their grams and domains."""
+    for b in text_batches(block.to_batches()):
+        yield b, grams(b.column("text").to_pylist()), np.array([bool(x) for x in b.column("is_target").to_pylist()])
+
+
+def _count(slices: Sequence[tuple[pa.RecordBatch, tuple[np.ndarray, ...], np.ndarray]]) -> Counts:
+    """Counts over the texts of one block."""
+    found = []
+    for domain in (True, False):
+        some = [k[target[g[0]] == domain] for _, g, target in slices for k in g[1:]]
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *some]), return_counts=True)
+        found.append((keys, n, sum(int((target[g[0]] == domain).sum()) for _, g, target in slices)))
+    every = np.union1d(np.append(found[0][0], _TOTAL), found[1][0])
+    counts = [np.zeros(len(every), dtype=np.int64) for _ in found]
+    for c, (keys, n, total) in zip(counts, found):
+        c[np.searchsorted(every, keys)] = n
+        c[0] = total
+    return Counts(every, *counts)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
+def block_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """block, part and the keys of the part with their counts in the block."""
+
+    def run(block: pa.Table) -> pa.Table:
+        c = _count(list(_slices(block)))
+        part = (c.keys % np.uint64(parts)).astype(np.int64)
+        # equal counts side by side compress well
+        order = np.lexsort((c.background, c.target, part))
+        some, first = np.unique(part[order], return_index=True)
+        ends = np.append(first, len(order))
+        return pa.table({"block": pa.array(np.full(len(some), block.column("block")[0].as_py())), "part": pa.array(some),
+                         "keys": _lists(c.keys[order].view(np.int64), ends), "target": _lists(c.target[order], ends),
+                         "background": _lists(c.background[order], ends)})
+
+    return blocks.groupBy("block").applyInArrow(run, "block long, part long, keys array<long>, target array<long>, background array<long>")
+
+
+def sums(counts: DataFrame) -> DataFrame:
+    """block and the sums over all blocks of those of its keys that other blocks hold too."""
+
+    def run(part: pa.Table) -> pa.Table:
+        lists = {c: part.column(c).combine_chunks() for c in ("keys", "target", "background")}
+        keys, at, n = np.unique(lists["keys"].flatten().to_numpy(), return_inverse=True, return_counts=True)
+        del keys
+        row = np.repeat(np.arange(part.num_rows), lists["keys"].value_lengths().to_numpy())
+        # sums of 64-bit integers below 2 ** 53 are exact
+        total = {c: np.bincount(at, lists[c].flatten().to_numpy(), len(n)).astype(np.int64) for c in ("target", "background")}
+        shared = np.flatnonzero(n[at] > 1)
+        order = shared[np.lexsort((total["background"][at[shared]], total["target"][at[shared]], row[shared]))]
+        ends = np.searchsorted(row[order], np.arange(part.num_rows + 1))
+        return pa.table({"block": part.column("block"), "keys": _lists(lists["keys"].flatten().to_numpy()[order], ends),
+                         **{c: _lists(total[c][at[order]], ends) for c in total}})
+
+    return counts.groupBy("part").applyInArrow(run, "block long, keys array<long>, target array<long>, background array<long>")
+
+
+def _by_block(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on slices of the texts (batch, grams, domains, the models' counts of the block's keys)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / BLOCK_BYTES))
+    # dealt once: the counts and the scores read the same exchange
+    blocks = docs.select("doc_id", "text", "is_target", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
+
+    def run(block: pa.Table, shared: pa.Table) -> pa.Table:
+        slices = list(_slices(block))
+        c = _count(slices)
+        if shared.num_rows:
+            flat = {k: shared.column(k).combine_chunks().flatten().to_numpy() for k in ("keys", "target", "background")}
+            at = c.at(flat["keys"].view(np.uint64))
+            c.target[at], c.background[at] = flat["target"], flat["background"]
+        return pa.Table.from_batches([work(*s, c) for s in slices])
+
+    return blocks.groupBy("block").cogroup(sums(block_counts(blocks, n)).groupBy("block")).applyInArrow(run, schema)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score for ``docs`` (doc_id, text, is_target)."""
+
+    def work(b: pa.RecordBatch, grams_: tuple[np.ndarray, ...], target: np.ndarray, counts: Counts) -> pa.RecordBatch:
+        n = b.num_rows
+        words = np.bincount(grams_[0], minlength=n)
+        mean = [np.bincount(grams_[0], x, minlength=n) / np.maximum(words, 1) for x in counts.losses(grams_, n, target)]
+        none = words == 0
+        return pa.record_batch({
+            "doc_id": b.column("doc_id"), "n_words": pa.array(words.astype(np.int64)),
+            "loss_target": pa.array(mean[0], mask=none), "loss_background": pa.array(mean[1], mask=none),
+            "score": pa.array(mean[0] - mean[1])})
+
+    return _by_block(docs, work, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+
+
+def token_losses(docs: DataFrame) -> DataFrame:
+    """doc_id, words, losses: each word of ``docs`` (doc_id, text, is_target) with its loss difference."""
+
+    def work(b: pa.RecordBatch, grams_: tuple[np.ndarray, ...], target: np.ndarray, counts: Counts) -> pa.RecordBatch:
+        t, g = counts.losses(grams_, b.num_rows, target)
+        return pa.record_batch({
+            "doc_id": b.column("doc_id"),
+            "words": pa.array([_WORD.findall((x or "").lower()) for x in b.column("text").to_pylist()], pa.list_(pa.string())),
+            "losses": _lists(t - g, np.searchsorted(grams_[0], np.arange(b.num_rows + 1)))})
+
+    return _by_block(docs, work, "doc_id long, words array<string>, losses array<double>")
 
 
 def with_target(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -190,4 +246,4 @@ def cross_entropy_difference(docs: DataFrame, target: Column | DataFrame) -> Dat
     else:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                            F.coalesce(target, F.lit(False)).alias("is_target"))
-    return count(rows).score(rows)
+    return score(rows)

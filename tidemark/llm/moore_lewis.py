@@ -28,8 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,68 +45,80 @@ BACKING = 8.0
 #: Text of a block: one task counts and scores it at once.
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
-_GOLD, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-#: Hash of the word before the first one; key of the number of all words.
-_START, _TOTAL = np.uint64(1), np.uint64(0)
-_REMEMBERED = 500_000
-_word_ids: dict[str, int] = {}
-
-
-def _id(word: str) -> int:
-    """A word's hash; remembered to save time, within a bound."""
-    h = _word_ids.get(word)
-    if h is None:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(_word_ids) < _REMEMBERED:
-            _word_ids[word] = h
-    return h
-
-
-def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words in a row: text number, and the keys of the word, of the word before as a context
-    (one key for the start of a text) and of the pair."""
-    words = [_WORD.findall((t or "").lower()) for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    word = np.array([_id(x) for w in words for x in w], dtype=np.uint64)
-    text = np.repeat(np.arange(len(words)), n)
-    first = np.ones(len(word), dtype=bool)
-    first[1:] = text[1:] != text[:-1]
-    context = mix(np.where(first, _START, np.roll(word, 1)) ^ _CONTEXT)
-    return text, word, context, mix(context + word * _GOLD)
-
-
-@dataclass(frozen=True)
-class Counts:
-    """Counts of both domains by key (sorted)."""
-
-    keys: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
-
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, keys)
-
-    def losses(self, grams_: tuple[np.ndarray, ...], n: int, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The loss under target and background of every word of ``n`` texts."""
-        text, *keys = grams_
-        if not len(text):
-            return np.zeros(0), np.zeros(0)
-        at = [self.at(k) for k in keys]
-        # what the text itself has put into its domain's counts
-        own_word, own_context, own_pair = [_own(text, k, len(self.keys)) for k in at]
-        own_total = np.bincount(text, minlength=n)[text]
-        totals = [float(c[self.at(_TOTAL)]) for c in (self.target, self.background)]
-        smaller = min(totals)
-        mine, out = is_target[text], []
-        for counts, total, own in ((self.target, totals[0], mine), (self.background, totals[1], ~mine)):
-            word, context, pair = [counts[k] for k in at]
-            w = np.maximum(word - own * own_word, 0)
-            c = np.maximum(context - own * own_context, 0)
-            p = np.maximum(pair - own * own_pair, 0)
-            scale = smaller / max(total, 1)
-            base = (scale * w + 1) / (scale * np.maximum(total - own * own_total, 0) + VOCABULARY)
-            out.append(-np.log((scale * p + BACKING * base) / (scale * c + BACKING)))
-        return out[0], out[1]
+_GOLD, _CONTEXT, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+#: Places of the number of all words and of all texts with words; their keys.
+_TOTAL, _TEXTS = 0, 1
+
+
+class Block:
+    """The words of a block's texts, and the counts of both domains for its words, text ends and pairs.
+
+    ``keys`` has a 64-bit key for each place of the counts.  A word is a context as often as it occurs
+    but does not end a text; the start of a text is one as often as there are texts."""
+
+    def __init__(self, table: pa.Table):
+        codes: dict[str, int] = {}
+        self.slices, word, n = [], [], []
+        for b in text_batches(table.to_batches()):
+            found = [_WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()]
+            word.append(np.array([codes.setdefault(x, len(codes)) for w in found for x in w], dtype=np.int64))
+            n.append(np.array([len(w) for w in found], dtype=np.int64))
+            self.slices.append(b)
+        self.word, self.n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (word, n))
+        target = np.array([bool(x) for b in self.slices for x in b.column("is_target").to_pylist()], dtype=bool)
+        self.ends, self.is_target, self.words = np.cumsum(self.n), target, len(codes)
+        some = self.n > 0
+        start, end = (self.ends - self.n)[some], self.ends[some] - 1
+        before = np.roll(self.word, 1)
+        before[start] = self.words
+        self.before = before
+        pairs, self.pair = np.unique(before * (self.words + 1) + self.word, return_inverse=True)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in codes), np.uint64, self.words)
+        context = mix(np.append(h, np.uint64(1)) ^ _CONTEXT)
+        self.keys = np.concatenate([np.array([_TOTAL, _TEXTS], np.uint64), h, mix(h ^ _END),
+                                    mix(context[pairs // (self.words + 1)] + h[pairs % (self.words + 1)] * _GOLD)])
+        mine, counts = np.repeat(target, self.n), []
+        for of_word, of_text in ((mine, target), (~mine, ~target)):
+            counts.append(np.concatenate([[of_word.sum(), (some & of_text).sum()], np.bincount(self.word[of_word], minlength=self.words),
+                                          np.bincount(self.word[end][of_text[some]], minlength=self.words),
+                                          np.bincount(self.pair[of_word], minlength=len(pairs))]).astype(np.int64))
+        self.target, self.background = counts
+
+    def order(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the counts by part, count and key, whatever the order of the texts; the parts, and where each begins
+        (and the last one ends).  Equal counts side by side compress well.  Ends that no text here has may occur elsewhere."""
+        at = np.argsort(self.keys, kind="stable")
+        part = (self.keys[at] % np.uint64(parts)).astype(np.int64)
+        code = (part << 16) + (np.minimum(self.target[at], 255) << 8) + np.minimum(self.background[at], 255)
+        order = np.argsort(code, kind="stable")
+        some, first = np.unique(part[order], return_index=True)
+        return at[order], some, np.append(first, len(order))
+
+    def losses(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each slice of the texts with the text number and the loss under target and background of its words."""
+        totals = [float(c[_TOTAL]) for c in (self.target, self.background)]
+        smaller, at = min(totals), 0
+        for b in self.slices:
+            here = slice(at, at + b.num_rows)
+            at += b.num_rows
+            n, mine = self.n[here], self.is_target[here]
+            tokens = slice(int(self.ends[here.start] - n[0]), int(self.ends[here.stop - 1]))
+            text = np.repeat(np.arange(b.num_rows), n)
+            word, before, pair = self.word[tokens], self.before[tokens], self.pair[tokens]
+            if not len(text):
+                yield b, text, np.zeros(0), np.zeros(0)
+                continue
+            # what the text itself has put into its domain's counts
+            own_word, own_context, own_pair = _own(text, word, self.words), _own(text, before, self.words + 1), _own(text, pair, len(self.keys))
+            own_total, mine, out = n[text], mine[text], []
+            for counts, total, own in ((self.target, totals[0], mine), (self.background, totals[1], ~mine)):
+                words, ends, pairs = np.split(counts[2:], [self.words, 2 * self.words])
+                contexts = np.append(words - ends, counts[_TEXTS])
+                w, c, p = words[word] - own * own_word, contexts[before] - own * own_context, pairs[pair] - own * own_pair
+                scale = smaller / max(total, 1)
+                base = (scale * w + 1) / (scale * (total - own * own_total) + VOCABULARY)
+                out.append(-np.log((scale * p + BACKING * base) / (scale * c + BACKING)))
+            yield b, text, out[0], out[1]
 
 
 def _own(text: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
@@ -121,27 +132,6 @@ def _own(text: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _slices(block: pa.Table) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...], np.ndarray]]:
-    """The texts of a block, few at once, with their grams and domains."""
-    for b in text_batches(block.to_batches()):
-        yield b, grams(b.column("text").to_pylist()), np.array([bool(x) for x in b.column("is_target").to_pylist()])
-
-
-def _count(slices: Sequence[tuple[pa.RecordBatch, tuple[np.ndarray, ...], np.ndarray]]) -> Counts:
-    """Counts over the texts of one block."""
-    found = []
-    for domain in (True, False):
-        some = [k[target[g[0]] == domain] for _, g, target in slices for k in g[1:]]
-        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *some]), return_counts=True)
-        found.append((keys, n, sum(int((target[g[0]] == domain).sum()) for _, g, target in slices)))
-    every = np.union1d(np.append(found[0][0], _TOTAL), found[1][0])
-    counts = [np.zeros(len(every), dtype=np.int64) for _ in found]
-    for c, (keys, n, total) in zip(counts, found):
-        c[np.searchsorted(every, keys)] = n
-        c[0] = total
-    return Counts(every, *counts)
-
-
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
@@ -149,54 +139,53 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 def block_counts(blocks: DataFrame, parts: int) -> DataFrame:
     """block, part and the keys of the part with their counts in the block."""
 
-    def run(block: pa.Table) -> pa.Table:
-        c = _count(list(_slices(block)))
-        part = (c.keys % np.uint64(parts)).astype(np.int64)
-        # equal counts side by side compress well
-        order = np.lexsort((c.background, c.target, part))
-        some, first = np.unique(part[order], return_index=True)
-        ends = np.append(first, len(order))
-        return pa.table({"block": pa.array(np.full(len(some), block.column("block")[0].as_py())), "part": pa.array(some),
-                         "keys": _lists(c.keys[order].view(np.int64), ends), "target": _lists(c.target[order], ends),
-                         "background": _lists(c.background[order], ends)})
+    def run(table: pa.Table) -> pa.Table:
+        block = Block(table)
+        order, some, ends = block.order(parts)
+        return pa.table({"block": pa.array(np.full(len(some), table.column("block")[0].as_py())), "part": pa.array(some),
+                         "keys": _lists(block.keys[order].view(np.int64), ends), "target": _lists(block.target[order], ends),
+                         "background": _lists(block.background[order], ends)})
 
     return blocks.groupBy("block").applyInArrow(run, "block long, part long, keys array<long>, target array<long>, background array<long>")
 
 
 def sums(counts: DataFrame) -> DataFrame:
-    """block and the sums over all blocks of those of its keys that other blocks hold too."""
+    """block, part and the sums over all blocks of those of its keys that other blocks hold too; ``places`` are
+    theirs among the keys that the block sent."""
 
     def run(part: pa.Table) -> pa.Table:
         lists = {c: part.column(c).combine_chunks() for c in ("keys", "target", "background")}
-        keys, at, n = np.unique(lists["keys"].flatten().to_numpy(), return_inverse=True, return_counts=True)
-        del keys
-        row = np.repeat(np.arange(part.num_rows), lists["keys"].value_lengths().to_numpy())
-        # sums of 64-bit integers below 2 ** 53 are exact
-        total = {c: np.bincount(at, lists[c].flatten().to_numpy(), len(n)).astype(np.int64) for c in ("target", "background")}
+        _, at, n = np.unique(lists["keys"].flatten().to_numpy(), return_inverse=True, return_counts=True)
+        size = lists["keys"].value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(part.num_rows), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        # sums of integers below 2 ** 53 are exact
+        total = {c: np.bincount(at, lists[c].flatten().to_numpy(), len(n)).astype(np.int64)[at] for c in ("target", "background")}
         shared = np.flatnonzero(n[at] > 1)
-        order = shared[np.lexsort((total["background"][at[shared]], total["target"][at[shared]], row[shared]))]
-        ends = np.searchsorted(row[order], np.arange(part.num_rows + 1))
-        return pa.table({"block": part.column("block"), "keys": _lists(lists["keys"].flatten().to_numpy()[order], ends),
-                         **{c: _lists(total[c][at[order]], ends) for c in total}})
+        code = (row[shared] << 16) + (np.minimum(total["target"][shared], 255) << 8) + np.minimum(total["background"][shared], 255)
+        shared = shared[np.argsort(code, kind="stable")]
+        ends = np.searchsorted(row[shared], np.arange(part.num_rows + 1))
+        return pa.table({"block": part.column("block"), "part": part.column("part"), "places": _lists(place[shared].astype(np.int32), ends),
+                         **{c: _lists(t[shared], ends) for c, t in total.items()}})
 
-    return counts.groupBy("part").applyInArrow(run, "block long, keys array<long>, target array<long>, background array<long>")
+    return counts.groupBy("part").applyInArrow(run, "block long, part long, places array<int>, target array<long>, background array<long>")
 
 
 def _by_block(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work`` on slices of the texts (batch, grams, domains, the models' counts of the block's keys)."""
+    """``work`` on slices of the texts (batch, text number and both losses of every word)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     # dealt once: the counts and the scores read the same exchange
     blocks = docs.select("doc_id", "text", "is_target", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
 
-    def run(block: pa.Table, shared: pa.Table) -> pa.Table:
-        slices = list(_slices(block))
-        c = _count(slices)
-        if shared.num_rows:
-            flat = {k: shared.column(k).combine_chunks().flatten().to_numpy() for k in ("keys", "target", "background")}
-            at = c.at(flat["keys"].view(np.uint64))
-            c.target[at], c.background[at] = flat["target"], flat["background"]
-        return pa.Table.from_batches([work(*s, c) for s in slices])
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        block = Block(table)
+        order, some, ends = block.order(n)
+        first = ends[np.searchsorted(some, shared.column("part").to_numpy())]
+        lists = {c: shared.column(c).combine_chunks() for c in ("places", "target", "background")}
+        at = order[np.repeat(first, lists["places"].value_lengths().to_numpy()) + lists["places"].flatten().to_numpy()]
+        block.target[at], block.background[at] = lists["target"].flatten().to_numpy(), lists["background"].flatten().to_numpy()
+        return pa.Table.from_batches([work(*x) for x in block.losses()])
 
     return blocks.groupBy("block").cogroup(sums(block_counts(blocks, n)).groupBy("block")).applyInArrow(run, schema)
 
@@ -204,10 +193,9 @@ def _by_block(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score for ``docs`` (doc_id, text, is_target)."""
 
-    def work(b: pa.RecordBatch, grams_: tuple[np.ndarray, ...], target: np.ndarray, counts: Counts) -> pa.RecordBatch:
-        n = b.num_rows
-        words = np.bincount(grams_[0], minlength=n)
-        mean = [np.bincount(grams_[0], x, minlength=n) / np.maximum(words, 1) for x in counts.losses(grams_, n, target)]
+    def work(b: pa.RecordBatch, text: np.ndarray, *losses: np.ndarray) -> pa.RecordBatch:
+        words = np.bincount(text, minlength=b.num_rows)
+        mean = [np.bincount(text, x, minlength=b.num_rows) / np.maximum(words, 1) for x in losses]
         none = words == 0
         return pa.record_batch({
             "doc_id": b.column("doc_id"), "n_words": pa.array(words.astype(np.int64)),
@@ -220,12 +208,11 @@ def score(docs: DataFrame) -> DataFrame:
 def token_losses(docs: DataFrame) -> DataFrame:
     """doc_id, words, losses: each word of ``docs`` (doc_id, text, is_target) with its loss difference."""
 
-    def work(b: pa.RecordBatch, grams_: tuple[np.ndarray, ...], target: np.ndarray, counts: Counts) -> pa.RecordBatch:
-        t, g = counts.losses(grams_, b.num_rows, target)
+    def work(b: pa.RecordBatch, text: np.ndarray, target: np.ndarray, background: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch({
             "doc_id": b.column("doc_id"),
             "words": pa.array([_WORD.findall((x or "").lower()) for x in b.column("text").to_pylist()], pa.list_(pa.string())),
-            "losses": _lists(t - g, np.searchsorted(grams_[0], np.arange(b.num_rows + 1)))})
+            "losses": _lists(target - background, np.searchsorted(text, np.arange(b.num_rows + 1)))})
 
     return _by_block(docs, work, "doc_id long, words array<string>, losses array<double>")
 

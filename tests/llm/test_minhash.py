@@ -147,3 +147,29 @@ def test_cut_copies_of_copies_in_large_groups(spark):
         want |= plain_classes(group)
     got = {r.doc_id: r.class_id for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
+
+
+def test_small_tables_stay_in_few_partitions(spark, monkeypatch):
+    """However many partitions a shuffle has, small tables are not staged in as many files and tasks."""
+    files = {}
+
+    def counted(df, name, stage=M.stage):
+        out = stage(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(M, "stage", counted)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[40 * i:40 * i + 40] + [f"copy{c}"]) for i in range(80) for c in range(3)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        kept = sorted(r["doc_id"] for r in M.keep_first(frame(spark, [(i, t, "a", "en") for i, t in enumerate(texts)])).select("doc_id").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept == [3 * i for i in range(80)]
+    small = ("cc-edges", "cc-large", "cc-small", "minhash-buckets", "minhash-wanted", "minhash-pairs", "minhash-verified", "minhash-texts", "minhash-named", "minhash-classes")
+    assert {n: files[n] for n in small if files[n] > spark.sparkContext.defaultParallelism} == {}

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A side is broadcast by hint only if it was measured to stay under this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Rows of a small table that one task takes.
+TASK_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,14 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if 2 * total <= max_bytes else df
 
 
+def in_few(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in no more partitions than ``rows``, a bound of its rows, need: one for ``task_rows``, and one a core at least.
+
+    A shuffle deals a small table over all its partitions, unless Spark joins them again: each is a task, files of the next
+    shuffle and files of a staged table, however few rows it has.  Partitions are joined, rows are not moved."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)))
+
+
 def shielded(docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame], DataFrame],
              results: Sequence[str] = ()) -> DataFrame:
     """``work`` on ``docs`` with every column but ``needed`` under a name that cannot clash.

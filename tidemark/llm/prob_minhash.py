@@ -40,13 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, shielded, stage, text_batches
+from tidemark.llm.common import broadcast_if_small, in_few, shielded, stage, text_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two texts of similarity 0.8 miss each other with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-5.
 BANDS, ROWS = 44, 7
 #: By how much the number of leaders grows from round to round.
 GROWTH = 4
+#: Pairs of texts that one task compares.
+PAIR_ROWS = 1 << 13
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,12 +211,15 @@ def _verify(threshold: float):
 
 def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """a, b (keys, a < b) of verified pairs that connect all similar texts of each bucket."""
-    buckets = signed.where(F.size("bands") > 0).dropDuplicates(["_key"]).select("_key", F.explode("bands").alias("band"))
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(buckets.join(sizes, "band"), "minhash-buckets")
-    wanted = stage(members.groupBy("_key").agg(F.sum("n").alias("mates")), "minhash-wanted")
+    n = signed.agg(F.sum(F.greatest(F.size("bands"), F.lit(1))).alias("n")).first()["n"] or 0
+    buckets = in_few(signed.where(F.size("bands") > 0).dropDuplicates(["_key"]), n).select("_key", F.explode("bands").alias("band"))
+    sizes = in_few(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")), n).where("n > 1")
+    members = stage(in_few(buckets.join(sizes, "band"), n), "minhash-buckets")
+    n = members.count()
+    wanted = stage(in_few(members.groupBy("_key").agg(F.sum("n").alias("mates")), n), "minhash-wanted")
     members = stage(members.drop("n").join(broadcast_if_small(wanted), "_key"), "minhash-members")
     ids = signed.join(broadcast_if_small(wanted.select("_key")), "_key", "left_semi").groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    ids = in_few(ids, n)
     texts = docs.select("doc_id", "text").join(broadcast_if_small(stage(ids.select("doc_id"), "minhash-ids")), "doc_id", "left_semi")
     sets = stage(_shingle_sets(texts, k).join(broadcast_if_small(wanted.select("_key")), "_key", "left_semi"), "minhash-sets")
     if sets.count() > wanted.count():  # rows that repeat an id
@@ -223,19 +228,20 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
     every = members
     found, tested, leaders = None, None, 1
     while True:
-        lead = _leaders(members, leaders)
+        n = members.count()
+        lead = in_few(_leaders(members, leaders), n)
         # every leader comes before the other members that may lead, in the order that they are picked by
         after = ~F.col("light") | (F.col("mates") < F.col("lead_mates")) | ((F.col("mates") == F.col("lead_mates")) & (F.col("_key") > F.col("leader")))
-        pairs = members.join(lead, "band").where(after & (F.col("label") != F.col("lead_label"))) \
-            .select(F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b")).distinct()
+        met = in_few(members.join(lead, "band").where(after & (F.col("label") != F.col("lead_label"))), n * leaders)
+        pairs = in_few(met.select(F.least("_key", "leader").alias("a"), F.greatest("_key", "leader").alias("b")).distinct(), n * leaders)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = in_few(pairs.join(tested, ["a", "b"], "left_anti"), n * leaders)
         pairs = stage(pairs, "minhash-pairs")
         done = _verified(pairs, sets, threshold)
         linked = done.where("linked").select("a", "b")
         found = linked if found is None else found.union(linked)
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        rest = stage(_still_apart(members, lead, found), "minhash-rest")
+        rest = stage(_still_apart(members, lead, found, n), "minhash-rest")
         if rest.isEmpty():
             return _across(every, sets, found, threshold)
         if leaders == 1:  # the texts of all buckets together; their new buckets hold every similar pair of them
@@ -244,10 +250,11 @@ def links(signed: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: float
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b and linked of ``pairs``."""
+    """a, b and linked of ``pairs`` (a staged table)."""
+    n = pairs.count()
     a = sets.select(F.col("_key").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     b = sets.select(F.col("_key").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    full = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "wa", "sb", "wb")
+    full = in_few(in_few(pairs.join(a, "a"), n, PAIR_ROWS).join(b, "b"), n, PAIR_ROWS).select("a", "b", "sa", "wa", "sb", "wb")
     return stage(full.mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "minhash-verified")
 
 
@@ -258,28 +265,32 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
     its largest class are compared with the stars of other classes: a star is a leader and the texts linked to it.  Both
     distances (one less the index) are metrics, so a text further from a leader than the greatest distance of a member and
     that of a link has no link into the star.  Stars that stay in question are searched by ``_into_stars``."""
+    n = members.count()
     roots = broadcast_if_small(stage(components(found), "minhash-roots"))
     relabel = lambda df, key, label, roots: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(label)), key, "left") \
         .withColumn(label, F.coalesce(label, key))
-    rest = stage(_open_buckets(relabel(members.drop("label"), "_key", "label", roots)), "minhash-mixed")
+    rest = stage(_open_buckets(relabel(members.drop("label"), "_key", "label", roots), n), "minhash-mixed")
     if rest.isEmpty():
         return found
     items = _prefix_buckets(sets, rest, threshold).select("_key", "band", "label", "light")
-    items = items.join(_stars(found), "_key", "left").withColumn("star", F.coalesce("star", "_key"))
+    items = stage(items, "minhash-mixed-items")
+    n = items.count()
+    items = in_few(items.join(_stars(found), "_key", "left"), n).withColumn("star", F.coalesce("star", "_key"))
     items = stage(items, "minhash-mixed-prefixes")
-    sizes = items.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    few = items.join(largest, "band").where("label != largest") \
+    sizes = in_few(items.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")), n)
+    largest = in_few(sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest")), n)
+    few = in_few(items.join(largest, "band"), n).where("label != largest") \
         .select("band", F.col("_key").alias("x"), F.col("label").alias("x_label"), F.col("light").alias("x_light"))
     few = broadcast_if_small(stage(few, "minhash-few"))
-    spots = items.groupBy("band", "star", "label").agg(F.max("light").alias("light"))
+    spots = in_few(items.groupBy("band", "star", "label").agg(F.max("light").alias("light")), n)
     near = spots.join(few, "band").where((F.col("label") != F.col("x_label")) & (F.col("light") | F.col("x_light")))
     near = stage(near.select("x", "star").distinct(), "minhash-near-stars")
-    members = items.select("_key", "star").distinct().join(near.select("star"), "star", "left_semi")
+    n_near = near.count()
+    members = in_few(in_few(items.select("_key", "star").distinct(), n).join(near.select("star"), "star", "left_semi"), n)
     members = stage(_against_leaders(members.where("_key != star"), sets), "minhash-star-members")
-    radius = members.groupBy("star").agg(F.max("far").alias("far"), F.max("far_p").alias("far_p"))
+    radius = in_few(members.groupBy("star").agg(F.max("far").alias("far"), F.max("far_p").alias("far_p")), members.count())
     near = _against_leaders(near.select(F.col("x").alias("_key"), "star"), sets)
-    near = near.join(radius.withColumnsRenamed({"far": "r", "far_p": "r_p"}), "star", "left")
+    near = in_few(near.join(radius.withColumnsRenamed({"far": "r", "far_p": "r_p"}), "star", "left"), n_near, PAIR_ROWS)
     reach = 1 - threshold + 1e-9
     is_open = (F.col("far") <= F.col("r") + reach) | (F.col("far_p") <= F.col("r_p") + reach)
     linked = F.least("far", "far_p") <= reach
@@ -290,25 +301,28 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, threshold: fl
     pairs = stage(relabel(_into_stars(near, members, threshold), "y", "label", roots), "minhash-mixed-pairs")
     if pairs.isEmpty():
         return found
+    n = pairs.count()
     place = F.row_number().over(Window.partitionBy("_key", "label").orderBy(F.col("shared").desc(), "y"))
-    best = pair(pairs.withColumn("place", place).where(F.col("place") <= GROWTH), "y").distinct()
+    best = in_few(pair(in_few(pairs.withColumn("place", place), n).where(F.col("place") <= GROWTH), "y").distinct(), n)
     done = _verified(stage(best, "minhash-best"), sets, threshold)
     found = found.union(done.where("linked").select("a", "b"))
     roots = broadcast_if_small(stage(components(found), "minhash-roots"))
-    left = relabel(relabel(pair(pairs, "y").distinct(), "a", "_la", roots), "b", "_lb", roots).where("_la != _lb") \
-        .select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    left = relabel(relabel(in_few(pair(pairs, "y").distinct(), n), "a", "_la", roots), "b", "_lb", roots).where("_la != _lb")
+    left = in_few(left.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti"), n)
     done = _verified(stage(left, "minhash-left-pairs"), sets, threshold)
     return found.union(done.where("linked").select("a", "b"))
 
 
 def _stars(found: DataFrame) -> DataFrame:
     """_key, star: of each linked text and those linked to it, the one with the most links."""
-    both = found.union(found.select("b", "a")).toDF("u", "v").distinct()
-    links_ = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    rows = 2 * found.count()
+    both = in_few(found.union(found.select("b", "a")).toDF("u", "v").distinct(), rows)
+    links_ = in_few(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), rows)
     of_v = links_.select(F.col("u").alias("v"), F.col("n").alias("n_v"))
-    best = both.join(of_v, "v").groupBy("u").agg(F.max(F.struct(F.col("n_v").alias("n"), F.col("v").alias("key"))).alias("best"))
+    best = in_few(both.join(of_v, "v"), rows).groupBy("u").agg(F.max(F.struct(F.col("n_v").alias("n"), F.col("v").alias("key"))).alias("best"))
+    best = in_few(best, rows)
     own = F.struct(F.col("n"), F.col("u").alias("key"))
-    return best.join(links_, "u").select(F.col("u").alias("_key"), F.greatest("best", own)["key"].alias("star"))
+    return in_few(best.join(links_, "u"), rows).select(F.col("u").alias("_key"), F.greatest("best", own)["key"].alias("star"))
 
 
 #: Members of a star that meet its leader's set in one task.
@@ -332,12 +346,13 @@ def _against_leaders(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 "n": pa.array(n, pa.int64()), "w": pa.array(w, pa.float64()), "delta": pa.array(delta, pa.list_(pa.int64()))})
 
     rows = stage(rows, "minhash-star-rows")
-    counts = rows.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
-    leaders = sets.join(counts, sets._key == counts.star).select(
+    m = rows.count()
+    counts = in_few(rows.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts")), m)
+    leaders = in_few(sets.join(counts, sets._key == counts.star), m, PAIR_ROWS).select(
         "star", F.col("shingles").alias("sb"), F.col("weights").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    texts = rows.join(counts, "star").withColumn("salt", F.pmod(F.col("_key"), F.col("salts")).cast("int"))
-    texts = texts.join(sets.select("_key", F.col("shingles").alias("sa"), F.col("weights").alias("wa")), "_key")
-    return texts.join(leaders, ["star", "salt"]).select("_key", "star", "sa", "wa", "sb", "wb") \
+    texts = in_few(rows.join(counts, "star"), m).withColumn("salt", F.pmod(F.col("_key"), F.col("salts")).cast("int"))
+    texts = in_few(texts.join(sets.select("_key", F.col("shingles").alias("sa"), F.col("weights").alias("wa")), "_key"), m, PAIR_ROWS)
+    return in_few(texts.join(leaders, ["star", "salt"]), m, PAIR_ROWS).select("_key", "star", "sa", "wa", "sb", "wb") \
         .mapInArrow(run, "_key long, star long, far double, far_p double, n long, w double, delta array<long>")
 
 
@@ -356,9 +371,11 @@ def _into_stars(near: DataFrame, members: DataFrame, threshold: float) -> DataFr
     share, reach = (1 - threshold) / (1 + threshold), 1 - threshold + 1e-9
     step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.log(F.lit(1.02))).cast("long")
     members = members.withColumnRenamed("_key", "y").withColumn("m", F.size("delta")).withColumn("part", step("n") * 100_000 + step("w"))
-    members = members.join(near.select("star"), "star", "left_semi")
+    n_near, n_members = near.count(), members.count()
+    members = in_few(members.join(near.select("star"), "star", "left_semi"), n_members, PAIR_ROWS)
     parts = members.groupBy("star", "part").agg(F.max("n").alias("n_y"), F.max("w").alias("w_y"), F.max("far_p").alias("r_p"),
                                                 F.min("m").alias("m_low"), F.max("m").alias("m_high"))
+    parts = in_few(parts, n_members)
     plain = lambda n, n_x: share * (n + n_x) + 1e-6
     weighted = lambda close, w, w_x: F.when(close, 2 * share * F.greatest(w, w_x) + 1e-6).otherwise(0.0)
     x = near.select("_key", "star", F.col("n").alias("n_x"), F.col("w").alias("w_x"), F.col("far_p").alias("far_x"), "delta", F.size("delta").alias("m_x"))
@@ -371,23 +388,26 @@ def _into_stars(near: DataFrame, members: DataFrame, threshold: float) -> DataFr
         .join(members.select("y", "star", "part", "n", "w", "far_p", "m"), ["star", "part"]) \
         .where((F.col("m_x") <= most) & (F.abs(F.col("m") - F.col("m_x")) <= most))
     # the deltas' shingles, once for each star: the places that a pair may share are tested by its own sizes
+    n_x = x.count()
     x = x.groupBy("_key", "star").agg(F.max("most").alias("most"), *[F.first(c).alias(c) for c in ("n_x", "w_x", "far_x", "m_x", "delta")])
+    x = in_few(x, min(n_x, n_near), PAIR_ROWS)
     e_x = x.select("_key", "star", "n_x", "w_x", "far_x", "m_x", F.greatest(F.ceil(F.col("m_x") - F.col("most")), F.lit(1)).alias("need"), F.explode("delta").alias("e"))
     e_y = members.select("y", "star", "n", "w", "far_p", "m", F.explode("delta").alias("e"))
     e_x, e_y = stage(e_x, "minhash-near-deltas"), stage(e_y, "minhash-star-deltas")
     # a shingle of one side only meets nobody; it still takes its place in the order
     spots = ["star", "e"]
-    held = e_x.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_x")).join(e_y.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_y")), spots)
-    held = stage(held.select(*spots, (F.col("k_x") + F.col("k_y")).alias("k")), "minhash-held")
+    n = e_x.count() + e_y.count()
+    held = in_few(e_x.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_x")), n).join(in_few(e_y.groupBy(*spots).agg(F.count(F.lit(1)).alias("k_y")), n), spots)
+    held = stage(in_few(held, n).select(*spots, (F.col("k_x") + F.col("k_y")).alias("k")), "minhash-held")
 
     def placed(df: DataFrame, key: str, m: str) -> DataFrame:
         """The shared shingles with their place in the order of the delta: unshared ones come first."""
-        shared = df.join(held, spots)
+        shared = in_few(df.join(held, spots), n)
         own = Window.partitionBy(key, "star")
         return shared.withColumn("at", F.col(m) - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "e")))
 
-    x_side = placed(e_x, "_key", "m_x").where("at <= m_x - need + 1").drop("need", "k").withColumnRenamed("at", "at_x")
-    y_side = placed(e_y, "y", "m").where("at <= m - floor(m / 2)").drop("k")
+    x_side = in_few(placed(e_x, "_key", "m_x"), n).where("at <= m_x - need + 1").drop("need", "k").withColumnRenamed("at", "at_x")
+    y_side = in_few(placed(e_y, "y", "m"), n).where("at <= m - floor(m / 2)").drop("k")
     met = stage(x_side, "minhash-near-prefixes").join(stage(y_side, "minhash-star-prefixes"), spots)
     room = 1 + F.least(F.col("m") - F.col("at"), F.col("m_x") - F.col("at_x"))
     # the first shingle that they share lies early enough for all that they need
@@ -410,37 +430,39 @@ def _prefix_buckets(sets: DataFrame, rest: DataFrame, threshold: float) -> DataF
                 yield pa.record_batch({"_key": pa.array(np.full(len(s), key, dtype=np.int64)), "band": pa.array(s.view(np.int64)),
                                        "p": pa.array(w / w.sum()), "u": pa.array(np.full(len(s), 1 / len(s)))})
 
-    labels = rest.select("_key", "label").distinct()
+    labels = in_few(rest.select("_key", "label").distinct(), rest.count())
     items = sets.join(broadcast_if_small(stage(labels, "minhash-left")), "_key", "left_semi") \
         .mapInArrow(run, "_key long, band long, p double, u double")
     items = stage(items, "minhash-items")
-    items = items.join(items.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
+    rows = items.count()
+    items = in_few(items.join(in_few(items.groupBy("band").agg(F.count(F.lit(1)).alias("n")), rows), "band"), rows)
     before = Window.partitionBy("_key").orderBy("n", "band").rowsBetween(Window.unboundedPreceding, -1)
     # with a = own / common mass of one text and b of the other, both indexes are at most 1 / (1 + a + b);
     # so one of two similar texts has an own mass of at most ``half`` and leads where its prefix up to that
     # mass meets the other's.  A shingle that no other of these texts holds is own mass
     half = (1 / threshold - 1) / (1 / threshold + 1) + 1e-9
     own = lambda c: F.sum(F.when(F.col("n") == 1, F.col(c)).otherwise(0.0))
-    light = items.groupBy("_key").agg((F.least(own("p"), own("u")) <= half).alias("light"))
-    items = items.withColumn("p", F.sum("p").over(before)).withColumn("u", F.sum("u").over(before))
+    light = in_few(items.groupBy("_key").agg((F.least(own("p"), own("u")) <= half).alias("light")), rows)
+    items = in_few(items.withColumn("p", F.sum("p").over(before)).withColumn("u", F.sum("u").over(before)), rows)
     mass = F.coalesce(F.least("p", "u"), F.lit(0.0))
     items = items.where((mass <= 1 - threshold + 1e-9) & (F.col("n") > 1))
     items = stage(items.select("_key", "band", "n", (mass <= half).alias("short")), "minhash-prefix-items")
     # a bucket whose texts all have the same shingle before this one lies inside that one's bucket
-    previous = items.withColumn("prev", F.lag("band").over(Window.partitionBy("_key").orderBy("n", "band")))
+    rows = items.count()
+    previous = in_few(items.withColumn("prev", F.lag("band").over(Window.partitionBy("_key").orderBy("n", "band"))), rows)
     inside = previous.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count("prev").alias("some"),
                                           F.min("prev").alias("x"), F.max("prev").alias("y")).where("all = some and x = y")
-    items = stage(items.join(inside.select("band"), "band", "left_anti"), "minhash-outer-items")
-    mates = items.groupBy("_key").agg(F.sum("n").alias("mates")).join(labels, "_key").join(light, "_key")
-    members = items.join(mates, "_key").withColumn("light", F.col("light") & F.col("short"))
-    return _open_buckets(members.select("_key", "band", "mates", "label", "light"))
+    items = stage(in_few(items.join(in_few(inside.select("band"), rows), "band", "left_anti"), rows), "minhash-outer-items")
+    mates = in_few(items.groupBy("_key").agg(F.sum("n").alias("mates")).join(labels, "_key").join(light, "_key"), rows)
+    members = in_few(items.join(mates, "_key"), rows).withColumn("light", F.col("light") & F.col("short"))
+    return _open_buckets(members.select("_key", "band", "mates", "label", "light"), rows)
 
 
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets with two or more labels and a text that may lead."""
+def _open_buckets(members: DataFrame, rows: int) -> DataFrame:
+    """The members (``rows`` at most) of buckets with two or more labels and a text that may lead."""
     many = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("light").alias("light")) \
         .where("x < y and light").select("band")
-    return members.join(many, "band", "left_semi")
+    return in_few(members.join(in_few(many, rows), "band", "left_semi"), rows)
 
 
 def _leaders(members: DataFrame, leaders: int) -> DataFrame:
@@ -455,19 +477,21 @@ def _labels(found: DataFrame) -> DataFrame:
     """_key, label: the smallest text within two links of each linked text, the same for all texts
     around a common one.  Equal labels mean connected; the reverse need not hold."""
     both = found.union(found.select("b", "a")).toDF("u", "v")
-    one = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
-    return both.join(one, "v").groupBy("u").agg(F.min("low").alias("low")).select(F.col("u").alias("_key"), F.col("low").alias("label"))
+    rows = 2 * found.count()
+    one = in_few(both.groupBy("u").agg(F.min("v").alias("low")), rows).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
+    two = in_few(both.join(one, "v"), rows).groupBy("u").agg(F.min("low").alias("low"))
+    return in_few(two, rows).select(F.col("u").alias("_key"), F.col("low").alias("label"))
 
 
-def _still_apart(members: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets whose label differs from those of this round's leaders, where two or
+def _still_apart(members: DataFrame, lead: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """Members (of ``rows``) of buckets whose label differs from those of this round's leaders, where two or
     more labels are left."""
     labels = broadcast_if_small(stage(_labels(found), "minhash-labels"))
     relabel = lambda df, key, old: df.join(labels.select(F.col("_key").alias(key), F.col("label").alias("_new")), key, "left") \
         .withColumn(old, F.coalesce("_new", old)).drop("_new")
-    lead = relabel(lead, "leader", "lead_label").select("band", F.col("lead_label").alias("label")).distinct()
-    rest = relabel(members, "_key", "label").join(lead, ["band", "label"], "left_anti")
-    return _open_buckets(rest.select("_key", "band", "mates", "label", "light"))
+    lead = in_few(relabel(lead, "leader", "lead_label").select("band", F.col("lead_label").alias("label")).distinct(), rows)
+    rest = in_few(relabel(members, "_key", "label").join(lead, ["band", "label"], "left_anti"), rows)
+    return _open_buckets(rest.select("_key", "band", "mates", "label", "light"), rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -475,19 +499,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: larger neighbours of a node move to its smallest
     neighbour, then smaller ones do.  Each is a partially aggregated minimum and a join."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc-edges")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    edges = stage(in_few(edges.distinct(), edges.count()), "cc-edges")
     while True:
+        rows = 2 * edges.count()  # a step makes no more edges than both ways of its input
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = stage(large.where("u != v").distinct(), "cc-large")
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        small = stage(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "cc-small")
+        low = in_few(both.groupBy("u").agg(F.min("v").alias("low")), rows).select("u", F.least("u", "low").alias("low"))
+        large = in_few(both.where("v > u").join(low, "u"), rows).select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = stage(in_few(large.where("u != v").distinct(), rows), "cc-large")
+        low = in_few(large.groupBy("u").agg(F.min("v").alias("low")), rows)
+        small = in_few(large.join(low, "u"), rows).where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = stage(in_few(small.union(low.select("u", F.col("low").alias("v"))).distinct(), rows), "cc-small")
         if _same(edges, small):
-            nodes = small.groupBy("u").agg(F.min("v").alias("root"))
+            nodes = in_few(small.groupBy("u").agg(F.min("v").alias("root")), rows)
             return nodes.select(F.col("u").alias("node"), "root") \
-                .union(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+                .union(in_few(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct(), rows))
         edges = small
 
 
@@ -506,13 +532,14 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     group = stage(components(found), "minhash-components")
     # rows without an id come last
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))
-    texts = signed.groupBy("_key").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n"))
-    texts = texts.join(group, texts._key == group.node, "left") \
+    rows = signed.count()
+    texts = in_few(signed.groupBy("_key").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n")), rows)
+    texts = in_few(texts.join(group, texts._key == group.node, "left"), rows) \
         .select("_key", "low", "n", F.coalesce("root", "_key").alias("root"))
     texts = stage(texts, "minhash-texts")
-    named = texts.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("class_size"))
-    named = stage(texts.join(named, "root").select("_key", "first", "class_size"), "minhash-named")
-    return signed.join(named, "_key").select(
+    named = in_few(texts.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("class_size")), rows)
+    named = stage(in_few(texts.join(named, "root"), rows).select("_key", "first", "class_size"), "minhash-named")
+    return in_few(signed.join(named, "_key"), rows).select(
         "doc_id", "_h", F.col("first.i").alias("class_id"), "class_size", (place == F.col("first")).alias("first"))
 
 
@@ -527,7 +554,8 @@ def _keep_first(docs: DataFrame, parameters: dict) -> DataFrame:
     rows = docs.withColumn("_i", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
     gone = broadcast_if_small(found.where(~F.col("first")).select("doc_id", "_h").distinct().alias("gone"))
     rows = rows.join(gone, F.col("_i").eqNullSafe(F.col("gone.doc_id")) & (F.col("_t") == F.col("gone._h")), "left_anti")
-    again = stage(found.where("first").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-again")
+    again = in_few(found.where("first").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")), found.count())
+    again = stage(again.where("n > 1"), "minhash-again")
     if not again.isEmpty():
         again = broadcast_if_small(again).alias("again")
         same = F.col("_i").eqNullSafe(F.col("again.doc_id")) & (F.col("_t") == F.col("again._h"))

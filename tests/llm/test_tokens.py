@@ -72,3 +72,19 @@ def test_empty_table(spark, tmp_path):
     tokens.write_tokens(frame(spark, []), path, PATH)
     assert tokens.token_digests(spark, path).count() == 0
     assert tokens.read_metadata(spark, path).count() == 0
+
+
+def test_digests_go_back_in_small_pieces_and_the_encoder_is_let_go():
+    sizes = [0, 3, 1, 0, 9, 2, 2, 0, 1]
+    lists = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    batch = pa.record_batch({"shard": pa.array([0] * 9, pa.int32()), "doc_id": pa.array(range(9), pa.int64()), "shard_start": pa.array(range(9), pa.int64()),
+                             "n_tokens": pa.array(sizes, pa.int64()), "input_ids": lists})
+    for b, n in ((batch, sizes), (batch.slice(2, 5), sizes[2:7]), (batch.slice(0, 0), [])):
+        parts = [p.column("input_ids").to_pylist() for p in tokens._id_slices(b, 4)]
+        assert [len(x) for p in parts for x in p] == n and all(len(p) == 1 or sum(map(len, p)) <= 4 for p in parts)
+    tokens._encoder(PATH)
+    many = pa.ListArray.from_arrays(pa.array([0, 1 << 18, 1 << 19, (1 << 19) + 5], pa.int32()), pa.array(np.arange((1 << 19) + 5, dtype=np.int32)))
+    whole = pa.record_batch({**{c: batch.column(c).slice(0, 3) for c in ("shard", "doc_id", "shard_start", "n_tokens")}, "input_ids": many})
+    out = list(tokens._digest([whole]))
+    assert not tokens._ENCODERS and len(out) == 3
+    assert [c for b in out for c in b.column("ids_crc32").to_pylist()] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in many.to_pylist()]

@@ -32,6 +32,8 @@ PAGE_ROWS = 2000
 #: Words whose ids a Python worker remembers (about 40 bytes each); only a bound on memory, results do
 #: not depend on it.
 REMEMBERED = 700_000
+#: Ids that go back to the JVM in one piece (1 MB).
+SLICE_IDS = 1 << 18
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, input_ids array<int>"
 
 # Texts are cut before their spaces.  Byte-level BPE cuts there too before it merges bytes, but for
@@ -220,15 +222,28 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _ENCODERS.clear()  # a worker that encoded before needs the room for whole id lists
     for b in batches:
-        lists = b.column("input_ids")
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        data = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
-        crc = [zlib.crc32(data[4 * i:4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.record_batch({
-            "shard": b.column("shard"), "doc_id": b.column("doc_id"), "shard_start": b.column("shard_start"),
-            "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "input_ids": lists, "ids_crc32": pa.array(crc, pa.int64()),
-        })
+        for part in _id_slices(b):
+            lists = part.column("input_ids")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            data = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+            crc = [zlib.crc32(data[4 * i:4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.record_batch({
+                "shard": part.column("shard"), "doc_id": part.column("doc_id"), "shard_start": part.column("shard_start"),
+                "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "input_ids": lists, "ids_crc32": pa.array(crc, pa.int64()),
+            })
+
+
+def _id_slices(b: pa.RecordBatch, ids: int = SLICE_IDS) -> Iterator[pa.RecordBatch]:
+    """The batch cut into slices of about ``ids`` ids (a longer list is a slice of its own): the JVM holds one slice at
+    a time of what comes back, whatever an Arrow batch holds."""
+    offsets = b.column("input_ids").offsets.to_numpy()
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + ids, side="right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import tempfile
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,30 @@ def test_counts_come_from_the_write_itself(spark):
     assert jobs[0] == jobs[1]  # no further scan and no further exchange
 
 
+def test_hourly_tables_are_written_at_once_from_windows_that_are_computed_once(spark, monkeypatch):
+    root, windows, together = new_root(), [], threading.Barrier(4, timeout=120)
+    window, write = chain.G.stay_window, chain.write_table
+    monkeypatch.setattr(chain.G, "stay_window", lambda *a: windows.append(a) or window(*a))
+    monkeypatch.setattr(chain, "write_table", lambda df, path, *a: (os.path.basename(path) in chain.CALENDAR_TABLES and together.wait()) and None or write(df, path, *a))
+    checks = {}
+    paths = refresh(spark, clinic(spark), root, checks=checks)
+    assert len(windows) == 1 and not together.broken and list(checks) == list(paths) == ORDER
+    assert sorted(os.listdir(os.path.dirname(paths[ORDER[0]]))) == sorted(ORDER)  # the windows are gone
+    built = chain.build_tables(clinic(spark))
+    for name in sorted(chain.CALENDAR_TABLES):
+        stored = spark.read.parquet(paths[name]).select(*chain.OUTPUTS[name])
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, built[name].select(*chain.OUTPUTS[name]).collect())), name
+        assert checks[name]["n_rows"] == 3 * 6
+
+
+def test_one_bad_table_of_several_at_once_publishes_nothing(spark, monkeypatch):
+    root, hourly = new_root(), chain.H.chemistry_hourly
+    monkeypatch.setattr(chain.H, "chemistry_hourly", lambda *a: hourly(*a).unionByName(hourly(*a)))
+    with pytest.raises(ConstraintError, match="fisi9t_chemistry_hourly: 36 rows repeat"):
+        refresh(spark, clinic(spark), root)
+    assert published(spark, root) == {} and not os.listdir(f"{root}/versions") and not [f for f in os.listdir(f"{root}/leases") if not f.startswith(".")]
+
+
 # --- drop and vacuum -------------------------------------------------------------------
 
 def test_drop_cascades_and_vacuum_keeps_what_is_read(spark):

@@ -3,8 +3,9 @@
 ``build_tables`` returns every output as a lazy DataFrame; Catalyst optimises
 each one as a whole, so filters and column pruning reach the input scans.
 
-``refresh`` materialises them in dependency order.  Each table is read back for the
-next one, so nothing is computed twice (this also cuts lineage: a lost executor recomputes from
+``refresh`` materialises them in dependency order, tables that do not need each other at the same time.
+Each table is read back for the next one, and the stay windows, which all hourly tables start from, are
+stored for their time, so nothing is computed twice (this also cuts lineage: a lost executor recomputes from
 the stored table, not from the raw inputs).  Every table is written with a layout that serves its lookups (K3):
 range-partitioned on ``stay_id`` and sorted by (stay_id, charttime_hour), so
 Parquet min/max statistics skip files and row groups for stay and time filters;
@@ -17,11 +18,13 @@ from __future__ import annotations
 import os
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..operators import cohort as C
 from ..operators import grid as G
@@ -50,9 +53,11 @@ LAYOUT = {
 
 def hourly_tables(t: ClinicalTables, profile: DataFrame) -> dict[str, DataFrame]:
     """P6-P9 from a one-row-per-subject profile."""
-    cohort = G.cohort_stays(profile)
-    window = G.stay_window(cohort, t.icustay_detail)
-    return _hourly(t, window)
+    return _hourly(t, _window(t, profile))
+
+
+def _window(t: ClinicalTables, profile: DataFrame) -> DataFrame:
+    return G.stay_window(G.cohort_stays(profile), t.icustay_detail)
 
 
 def _hourly(t: ClinicalTables, window: DataFrame) -> dict[str, DataFrame]:
@@ -146,11 +151,12 @@ def write_table(df: DataFrame, path: str, sort_keys: list[str], fmt: str = "parq
     return {k: int(v or 0) for k, v in seen.get.items()}
 
 
+PROFILE = "fisi9t_unique_patient_profile"
 # What each table is computed from.
 DEPENDS = {
     "first_icu_stay": [], "fis_icd9": ["first_icu_stay"], "fis_icd9_titled": ["fis_icd9"],
     "fisi9t_profile": ["fis_icd9_titled"], "fisi9t_unique_patient_profile": ["fisi9t_profile"],
-    **{n: ["fisi9t_unique_patient_profile"] for n in ORDER[5:]},
+    **{n: [PROFILE] for n in ORDER[5:]},
 }
 
 
@@ -193,7 +199,7 @@ def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
     writers the later one is what ``published`` returns, whole.
 
     A table whose unique key (``UNIQUE``) is repeated or null, by the counts taken in its write, stops the
-    refresh with ``ConstraintError``.  ``checks`` receives the counts of each table.
+    refresh with ``ConstraintError``, once the tables written beside it have ended.  ``checks`` receives the counts of each table.
     """
     have = published(spark, out_root)
     todo = set(with_dependents(tables or ORDER))
@@ -204,17 +210,32 @@ def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
     folder = f"{out_root}/versions/{version}-{uuid.uuid4().hex}"
     lease = hold(spark, out_root, [folder, *{have[d].rsplit("/", 1)[0] for n in todo for d in DEPENDS[n] if d in have}])
     paths = {n: f"{folder}/{n}" for n in ORDER if n in todo}
+    windows = f"{folder}/stay_window.raw"
+
+    def stored(name: str) -> DataFrame:
+        return spark.read.format(fmt).load(paths.get(name, have.get(name))).select(*OUTPUTS[name])
+
+    def build(name: str) -> dict[str, int]:
+        calendar = name in CALENDAR_TABLES
+        out = _hourly(t, spark.read.parquet(windows))[name] if calendar else _table(name, t, *map(stored, DEPENDS[name]))
+        out = out.select(*OUTPUTS[name])
+        counts = write_table(with_calendar(out) if calendar else out, paths[name], LAYOUT[name], fmt,
+                             CALENDAR_COLUMNS if calendar else None, UNIQUE.get(name))
+        if counts.get("n_repeated") or counts.get("n_null"):
+            raise ConstraintError(f"{name}: {counts['n_repeated']} rows repeat their {UNIQUE[name]}, {counts['n_null']} have none")
+        return counts
+
     try:
-        for name in paths:
-            before = {d: spark.read.format(fmt).load(paths.get(d, have.get(d))).select(*OUTPUTS[d]) for d in DEPENDS[name]}
-            out = _table(name, t, *before.values()).select(*OUTPUTS[name])
-            calendar = name in CALENDAR_TABLES
-            counts = write_table(with_calendar(out) if calendar else out, paths[name], LAYOUT[name], fmt,
-                                 CALENDAR_COLUMNS if calendar else None, UNIQUE.get(name))
-            if counts.get("n_repeated") or counts.get("n_null"):
-                raise ConstraintError(f"{name}: {counts['n_repeated']} rows repeat their {UNIQUE[name]}, {counts['n_null']} have none")
-            if checks is not None:
-                checks[name] = counts
+        left = list(paths)
+        while left:
+            ready = [n for n in left if not set(DEPENDS[n]) & set(left)]
+            left = [n for n in left if n not in ready]
+            if CALENDAR_TABLES & set(ready):
+                _window(t, stored(PROFILE)).write.parquet(windows)
+            for name, counts in zip(ready, _at_once(spark, build, ready)):
+                if checks is not None:
+                    checks[name] = counts
+        files.delete(spark, windows)
         _publish(spark, out_root, [(n, p, version) for n, p in paths.items()], os.path.basename(folder))
     except BaseException:
         files.delete(spark, folder)
@@ -224,6 +245,14 @@ def refresh(spark: SparkSession, t: ClinicalTables, out_root: str,
     return paths
 
 
+def _at_once(spark: SparkSession, build: Callable[[str], dict[str, int]], tables: list[str]) -> list[dict[str, int]]:
+    """``build`` of each table, all jobs under the caller's job group.  All have ended when it returns or raises."""
+    if len(tables) == 1:
+        return [build(tables[0])]
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(build), n) for n in tables]]
+
+
 def drop(spark: SparkSession, out_root: str, tables: list[str], cascade: bool = True) -> list[str]:
     """Unpublish ``tables`` and what was computed from them, in one step; returns their names.
 
@@ -295,7 +324,7 @@ def vacuum(spark: SparkSession, out_root: str) -> list[str]:
 
 
 def _table(name: str, t: ClinicalTables, before: DataFrame | None = None) -> DataFrame:
-    """One table of the chain from the stored table before it."""
+    """One table of the cohort chain from the stored table before it."""
     if name == "first_icu_stay":
         return C.first_stay(t.icustays)
     if name == "fis_icd9":
@@ -304,6 +333,4 @@ def _table(name: str, t: ClinicalTables, before: DataFrame | None = None) -> Dat
         return C.titled_diagnoses(before, t.d_icd_diagnoses)
     if name == "fisi9t_profile":
         return C.stay_profile(before, t.age, t.icustay_detail)
-    if name == "fisi9t_unique_patient_profile":
-        return C.unique_profile(before)
-    return hourly_tables(t, before)[name]
+    return C.unique_profile(before)

@@ -1,9 +1,11 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import ODD, SF, documents as frame
@@ -120,6 +122,30 @@ def test_every_pair_has_a_count_of_its_own(spark, monkeypatch):
     assert tokens.words == words[97] and np.mean(tokens.losses) == pytest.approx(rows[97].score)
 
 
+def test_a_block_takes_few_bytes_a_word():
+    """At its peak; 98 when arrays were wider and temporary ones stayed."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 500) % 100_000) for _ in range(800)]
+    batch = pa.record_batch({"text": texts, "is_target": [i % 3 == 0 for i in range(800)]})
+    tracemalloc.start()
+    try:
+        block = moore_lewis.Block([batch])
+        block.order(16)
+        assert tracemalloc.get_traced_memory()[1] < 75 * len(block.word) and len(block.word) == 400_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_lists_go_back_in_pieces_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(moore_lewis, "PIECE", 4)
+    for sizes in ([0, 3, 3, 0, 9, 1, 0], [0, 0], [], [1], [12]):
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        rows = pa.record_batch({"id": np.arange(len(sizes)), "x": moore_lewis._lists(np.arange(ends[-1]), ends)})
+        pieces = list(moore_lewis._pieces(rows, ends))
+        assert pa.Table.from_batches(pieces, rows.schema).to_pylist() == rows.to_pylist()
+        assert all(len(p.column("x").flatten()) < 4 + max(sizes) for p in pieces)
+
+
 def test_good_documents_score_lower(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op9_cross_entropy(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id") \
